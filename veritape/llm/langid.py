@@ -98,10 +98,9 @@ def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
 def load_profiles(profiles: DataFrame, max_languages: int = MAX_LANGUAGES, size: int = PROFILE_SIZE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language names in order, the sorted n-grams of all profiles, and a rank for each n-gram and language (``size`` if absent)."""
-    n = profiles.select("lang").distinct().count() if max_languages else 0
-    if n > max_languages:
-        raise ValueError(f"{n} languages; profiles are broadcast for at most {max_languages}")
-    rows = profiles.collect()  # max_languages x size rows at most
+    rows = profiles.limit(max_languages * size + 1).collect()
+    if len(rows) > max_languages * size:
+        raise ValueError(f"over {max_languages} languages; profiles are broadcast for no more")
     langs = sorted({r.lang for r in rows})
     grams = np.unique(np.array([r.gram for r in rows], dtype=np.uint32)) if rows else np.empty(0, np.uint32)
     ranks = np.full((len(grams), len(langs)), size, dtype=np.int32)
