@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritape.llm import bpe, html_blocks, langid, pii, secrets
+from veritape.llm import bpe, html_blocks, jaccard, langid, pfair, pii, quality, secrets
 from veritape.session import table
 
 
@@ -32,6 +32,20 @@ def op6_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = pfair.mix(docs, pfair.shares_of(docs, shares=pfair.SHARES))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_order")
+
+
+def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
 def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -41,7 +55,15 @@ QUERIES = {
     "op3_secret_novelty": op3_secret_novelty,
     "op5_html_blocks": op5_html_blocks,
     "op6_bpe_word_table": op6_bpe_word_table,
+    "op7_pfair_mix": op7_pfair_mix,
+    "op8_divergence_rules": op8_divergence_rules,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_rank_order_language": op10_rank_order_language,
 }
 
-ORACLES: dict[str, str] = {}
+#: The test tables' sources; the SQL states the schedule that they give.
+SOURCES = [f"src{i}" for i in range(20)]
+
+ORACLES: dict[str, str] = {
+    "op7_pfair_mix": pfair.oracle(pfair.SHARES, SOURCES),
+}
