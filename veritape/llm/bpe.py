@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from veritape.llm.common import texts_of
 
 BLOCK_CHARS = 16_000_000
+OFTEN = 1 << 16  # words of a block that get small numbers
 
 
 def vocabulary_path() -> str:
@@ -100,17 +101,29 @@ class _Block:
 
     def rows(self, block: int, shares: int) -> Iterator[tuple[int, int, int, bytes]]:
         """(block, share, kind, payload): kind 0 is a list of words for a share, kind 1 the documents."""
-        by: dict[int, list[bytes]] = {}
+        by: list[list[bytes]] = [[] for _ in range(shares)]
         for w in self.words:
-            by.setdefault(zlib.crc32(w) % shares, []).append(w)
-        for share, words in by.items():
-            words.sort()
-            yield block, share, 0, _pack(np.array([self.words[w] for w in words], np.uint32), b" ".join(words))
-        codes = np.concatenate(self.codes) if self.codes else np.empty(0, np.uint32)
-        order = np.argsort(-np.bincount(codes, minlength=len(self.words)), kind="stable").astype(np.uint32)  # frequent words get small numbers
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        yield block, block % shares, 1, _pack(np.array(self.docs, np.int64), np.array(self.valid, np.uint8), np.array(self.counts, np.uint32), place[codes], order)
+            by[zlib.crc32(w) % shares].append(w)
+        number, at = np.empty(len(self.words), np.uint32), 0  # words in the order of shares, and within a share as sorted
+        for share, words in enumerate(by):
+            if words:
+                words.sort()
+                number[[self.words[w] for w in words]] = np.arange(at, at + len(words), dtype=np.uint32)
+                at += len(words)
+                yield block, share, 0, _pack(b" ".join(words))
+        codes = number[np.concatenate(self.codes)] if self.codes else np.empty(0, np.uint32)
+        often = np.argsort(-np.bincount(codes, minlength=at), kind="stable")[:OFTEN].astype(np.uint32)
+        order = _full_order(often, at)
+        place = np.empty(at, np.uint32)
+        place[order] = np.arange(at, dtype=np.uint32)
+        yield block, block % shares, 1, _pack(np.array(self.docs, np.int64), np.array(self.valid, np.uint8), np.array(self.counts, np.uint32), place[codes], often)
+
+
+def _full_order(often: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of the most frequent words first, then all others as they come."""
+    rest = np.ones(n, bool)
+    rest[often] = False
+    return np.concatenate((often, np.flatnonzero(rest).astype(np.uint32)))
 
 
 _ROW = "block long, share int, kind int, payload binary"
@@ -148,15 +161,14 @@ def encode_words(rows: DataFrame, tokenizer_json: str) -> DataFrame:
         for batch in batches:
             for block, share, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
-                    codes, words = _unpack(payload)
-                    words = words.split(b" ")
+                    words = _unpack(payload)[0].split(b" ")
                     fresh = [w for w in words if w not in known]
                     for i in range(0, len(fresh), 4096):
                         part = fresh[i : i + 4096]
                         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
                             known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
                     ids = [known[w] for w in words]
-                    payload = _pack(codes, np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), np.uint32))
+                    payload = _pack(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), np.uint32))
                 yield _batch([(block, share, kind, payload)])
 
     return rows.mapInArrow(run, _ROW)
@@ -164,27 +176,19 @@ def encode_words(rows: DataFrame, tokenizer_json: str) -> DataFrame:
 
 def _join_block(table: pa.Table, pieces: list[str]) -> pa.Table:
     """Step 3 for one block: ids and decoded text of its documents."""
-    codes, lens, ids, docs = [], [], [], None
-    for kind, payload in zip(table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True):
-        parts = _unpack(payload)
+    found, docs = {}, None
+    for share, kind, payload in zip(table["share"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True):
         if kind:
-            docs = parts
+            docs = _unpack(payload)
         else:
-            codes.append(parts[0])
-            lens.append(parts[1])
-            ids.append(parts[2])
-    doc, valid, counts, seq, order = docs
-    n = len(order)
-    if n:
-        codes, lens, ids = np.concatenate(codes), np.concatenate(lens).astype(np.int64), np.concatenate(ids)
-        if len(codes) != n:
-            raise RuntimeError(f"{len(codes)} of {n} distinct words came back")
-        starts = np.zeros(n, np.int64)
-        length = np.zeros(n, np.int64)
-        starts[codes], length[codes] = np.cumsum(lens) - lens, lens
-        starts, length = starts[order], length[order]  # by the numbers that the documents hold
-    else:
-        ids, starts, length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+            found[share] = _unpack(payload)
+    doc, valid, counts, seq, often = docs
+    lens = np.concatenate([np.empty(0, np.uint32), *(found[x][0] for x in sorted(found))]).astype(np.int64)
+    ids = np.concatenate([np.empty(0, np.uint32), *(found[x][1] for x in sorted(found))])
+    if len(seq) and len(lens) <= int(seq.max()):
+        raise RuntimeError(f"only {len(lens)} distinct words came back")
+    order = _full_order(often, len(lens))
+    starts, length = (np.cumsum(lens) - lens)[order], lens[order]  # by the numbers that the documents hold
     each = length[seq]
     ends = np.cumsum(each)
     take = np.repeat(starts[seq] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
