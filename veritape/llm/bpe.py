@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import texts_of
+from veritape.llm.common import pack, texts_of, unpack
 
 BLOCK_CHARS = 16_000_000
 OFTEN = 1 << 16  # words of a block that get small numbers
@@ -54,35 +53,6 @@ def _tokenizer(source: str):
     return t
 
 
-def _pack(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays and byte strings, each with its type and length; integers are stored byte plane by byte plane."""
-    head, body = [], []
-    for a in arrays:
-        if isinstance(a, bytes):
-            head.append(f"b{len(a)}")
-            body.append(a)
-        else:
-            head.append(f"{a.dtype.str[1:]}:{len(a)}")
-            body.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(";".join(head).encode() + b"\n" + b"".join(body))
-
-
-def _unpack(data: bytes) -> list:
-    data = zstandard.ZstdDecompressor().decompress(data)
-    at = data.index(b"\n")
-    head, at, out = data[:at].decode().split(";"), at + 1, []
-    for h in head:
-        if h[0] == "b":
-            out.append(data[at : at + int(h[1:])])
-            at += int(h[1:])
-        else:
-            kind, n = h.split(":")
-            size = int(kind[1:]) * int(n)
-            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(int(kind[1:]), -1).T).view(f"<{kind}").ravel())
-            at += size
-    return out
-
-
 class _Block:
     """Documents of one block: their ids, and their words as numbers in the order of first sight."""
 
@@ -110,13 +80,13 @@ class _Block:
                 words.sort()
                 number[[self.words[w] for w in words]] = np.arange(at, at + len(words), dtype=np.uint32)
                 at += len(words)
-                yield block, share, 0, _pack(b" ".join(words))
+                yield block, share, 0, pack(b" ".join(words))
         codes = number[np.concatenate(self.codes)] if self.codes else np.empty(0, np.uint32)
         often = np.argsort(-np.bincount(codes, minlength=at), kind="stable")[:OFTEN].astype(np.uint32)
         order = _full_order(often, at)
         place = np.empty(at, np.uint32)
         place[order] = np.arange(at, dtype=np.uint32)
-        yield block, block % shares, 1, _pack(np.array(self.docs, np.int64), np.array(self.valid, np.uint8), np.array(self.counts, np.uint32), place[codes], often)
+        yield block, block % shares, 1, pack(np.array(self.docs, np.int64), np.array(self.valid, np.uint8), np.array(self.counts, np.uint32), place[codes], often)
 
 
 def _full_order(often: np.ndarray, n: int) -> np.ndarray:
@@ -161,14 +131,14 @@ def encode_words(rows: DataFrame, tokenizer_json: str) -> DataFrame:
         for batch in batches:
             for block, share, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
-                    words = _unpack(payload)[0].split(b" ")
+                    words = unpack(payload)[0].split(b" ")
                     fresh = [w for w in words if w not in known]
                     for i in range(0, len(fresh), 4096):
                         part = fresh[i : i + 4096]
                         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
                             known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
                     ids = [known[w] for w in words]
-                    payload = _pack(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), np.uint32))
+                    payload = pack(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), np.uint32))
                 yield _batch([(block, share, kind, payload)])
 
     return rows.mapInArrow(run, _ROW)
@@ -179,9 +149,9 @@ def _join_block(table: pa.Table, pieces: list[str]) -> pa.Table:
     found, docs = {}, None
     for share, kind, payload in zip(table["share"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True):
         if kind:
-            docs = _unpack(payload)
+            docs = unpack(payload)
         else:
-            found[share] = _unpack(payload)
+            found[share] = unpack(payload)
     doc, valid, counts, seq, often = docs
     lens = np.concatenate([np.empty(0, np.uint32), *(found[x][0] for x in sorted(found))]).astype(np.int64)
     ids = np.concatenate([np.empty(0, np.uint32), *(found[x][1] for x in sorted(found))])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,35 @@ def sha256_hex(x: str | bytes) -> str:
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
 
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays and byte strings, each with its type and length; integers are stored byte plane by byte plane."""
+    head, body = [], []
+    for a in arrays:
+        if isinstance(a, bytes):
+            head.append(f"b{len(a)}")
+            body.append(a)
+        else:
+            head.append(f"{a.dtype.str[1:]}:{len(a)}")
+            body.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(";".join(head).encode() + b"\n" + b"".join(body))
+
+
+def unpack(data: bytes) -> list:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    at = data.index(b"\n")
+    head, at, out = data[:at].decode().split(";"), at + 1, []
+    for h in head:
+        if h[0] == "b":
+            out.append(data[at : at + int(h[1:])])
+            at += int(h[1:])
+        else:
+            kind, n = h.split(":")
+            size = int(kind[1:]) * int(n)
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(int(kind[1:]), -1).T).view(f"<{kind}").ravel())
+            at += size
+    return out
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, component_id) of every id in ``edges`` (a, b: long); component_id is the smallest id reachable.
 

@@ -144,7 +144,7 @@ def _bounds(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, na long, nb long, most long")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if it has at most ``BROADCAST_ROWS`` narrow rows; else Spark shuffles."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -153,7 +153,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """a, b, common: the number of common tokens of each pair, from the full sets."""
     chunked = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1 << 30)).alias("h")).join(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "a").select("a", "b", (F.col("h") % F.col("chunks")).alias("chunk"))
     needs = cut(chunked.select("a", "chunk", F.col("b").alias("doc_id"), F.lit(1).alias("side")).unionAll(chunked.select("a", "chunk", F.col("a").alias("doc_id"), F.lit(0).alias("side")).distinct()), "needs")
-    ids = _small(needs.select("doc_id").distinct())
+    ids = small(needs.select("doc_id").distinct())
     texts = docs.join(ids, "doc_id", "left_semi")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         a = table["a"][0].as_py()
         return pa.table({"a": pa.array([a] * len(rest), pa.int64()), "b": pa.array([d for d, _ in rest], pa.int64()), "common": pa.array(found, pa.int64())})
 
-    return full.join(_small(needs), "doc_id").groupBy("a", "chunk").applyInArrow(match, "a long, b long, common long")
+    return full.join(small(needs), "doc_id").groupBy("a", "chunk").applyInArrow(match, "a long, b long, common long")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritape.llm import bpe, html_blocks, jaccard, langid, pfair, pii, quality, secrets
+from veritape.llm import bpe, cover_tree, html_blocks, jaccard, langid, pfair, pii, quality, secrets, suffix_dedup
 from veritape.session import table
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
@@ -18,6 +22,11 @@ def op3_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -51,8 +60,10 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_pii_boosting": op2_pii_boosting,
     "op3_secret_novelty": op3_secret_novelty,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_html_blocks": op5_html_blocks,
     "op6_bpe_word_table": op6_bpe_word_table,
     "op7_pfair_mix": op7_pfair_mix,
