@@ -76,7 +76,7 @@ def is_likely_claim(c: Column) -> Column:
 
 def contrast_parts(c: Column, pattern: str = V.CONTRAST, least: int = 20) -> Column:
     """Parts between contrast words (case-sensitive), trimmed, over ``least`` characters."""
-    return F.filter(F.transform(F.split(c, pattern), F.trim), lambda p: F.length(p) > least)
+    return F.filter(F.transform(F.split(c, pattern), lambda x: F.trim(x)), lambda p: F.length(p) > least)
 
 
 def metrics(c: Column, vocabulary: list[tuple[str, list[str]]] | None = None) -> Column:
@@ -135,7 +135,7 @@ def local_name(c: Column) -> Column:
 def parse_answer(c: Column) -> Column:
     """A model's answer as struct(explanation, positive, negative): the last SUMMARY line (the whole text without one), POS and NEG lines."""
     text = F.trim(c)
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
 
     def lined(mark: str) -> Column:
         return F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(mark))), lambda x: F.trim(F.replace(x, F.lit(mark), F.lit(""))))
@@ -166,7 +166,7 @@ def nlp_features(c: Column) -> Column:
         c.rlike(r"\d|%|₹|\$").alias("entity"),
         F.coalesce(subject, F.lit(False)).alias("subject"),
         F.coalesce(verb.w, F.lit("")).alias("root"),
-        low.rlike(r"\b(not|no|never)\b|n't\b").alias("negated"),
+        low.rlike(V.NEGATED).alias("negated"),
     )
 
 

@@ -7,11 +7,12 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CUTOFF = 0.5
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity. Built-in edit distances are other measures, so this runs in Arrow batches."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b, strict=True)])
