@@ -13,9 +13,13 @@ prefix one longer. (k is taken for the smallest possible partner.) A passage tha
 share holds fewer than k of a prefix in all but the shortest, and so indexes nothing.
 
 Links. In a bucket of the index every set is first compared with the bucket's smallest id only, so
-a group of thousands of near copies costs a link each, not all pairs. Buckets that then hold more
-than one component compare sets across components, except where the distances to the common first
-member rule a link out (Jaccard distance is a metric). No bucket is capped.
+a group of thousands of near copies costs a link each, not all pairs. Buckets that then still hold
+more than one component go two ways. Narrow ones compare sets across components, except where the
+distances to the common first member rule a link out (Jaccard distance is a metric). The sets of
+wide ones are indexed once more, by all their tokens, counted among these sets alone: loosely similar
+documents have enough tokens of their own to fill the short prefix that a full count allows, and so
+part without being compared. There the smaller set of a pair needs only the first n - ceil(2t/(1+t) n) + 1
+tokens of its order, since its partner is no smaller. No bucket is capped.
 
 Verification. The hashed prefixes bound the overlap of a pair exactly from above; pairs that survive
 are decided on the full sets, built anew from the texts of just these documents and brought
@@ -39,8 +43,9 @@ from pyspark.sql import functions as F
 
 from veritape.llm.common import connected_components, cut, texts_of
 
-FREQUENT = 4096
-LEAST_K = 16
+FREQUENT = 512
+LEAST_K = 32
+WIDE = 64  # members from which a bucket of several components is indexed again on full sets
 BROADCAST_ROWS = 1_000_000
 CHUNK = 128
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -88,40 +93,51 @@ def lengths(n: int, num: int, den: int) -> tuple[int, int]:
     return n - _ceil(num, den, n) + _k(n, num, den), _k(_ceil(num, den, n), num, den)
 
 
-def sets(df: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, sig, m, k and the extended prefix of (doc_id, text) rows."""
+def sets(df: DataFrame, width: int, num: int, den: int, full: bool = False) -> DataFrame:
+    """doc_id, n, sig, m, k, ks and the extended prefix (``full``: the whole set) of (doc_id, text) rows.
+
+    k: how many of the m tokens a partner's list shares at least; ks: the same for partners no smaller than the set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            n, sig, m, k, low = [], [], [], [], []
+            n, sig, m, k, ks, low = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width, known)
-                a, b = lengths(len(s), num, den) if len(s) else (0, 0)
+                a, b = (0, 0) if not len(s) else (len(s), _ceil(num, den, len(s))) if full else lengths(len(s), num, den)
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 m.append(a)
                 k.append(b)
+                ks.append(_ceil(2 * num, num + den, len(s)) if full else b)
                 low.append(s[:a].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in low]))).astype(np.int32)
             flat = np.concatenate(low) if low else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "sig", "m", "k", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(ks, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "sig", "m", "k", "ks", "low"])
 
-    return df.mapInArrow(run, "doc_id long, n long, sig binary, m int, k int, low array<long>")
+    return df.mapInArrow(run, "doc_id long, n long, sig binary, m int, k int, ks int, low array<long>")
 
 
 def index_rows(reps: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(key, rid, n): the sets' rare tokens and combinations of frequent ones, of those in two sets or more."""
+    """(key, rid, n, short): the sets' rare tokens and combinations of frequent ones, of those in two sets or more.
+
+    Of a pair that links, some key is in both, and short in the smaller set. Buckets without a short member are left out.
+    """
     each = reps.select("rid", F.explode("low").alias("tok"))
     counts = each.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
     shared = each.join(counts, "tok").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
     # the tokens found once come first in the order by count, and have no partner
-    place = shared.join(reps.select("rid", "n", "m", "k"), "rid").withColumn("left", F.col("m") - F.col("k") + 1 - (F.col("m") - F.size("toks"))).where("left > 0")
-    rare = F.transform(F.filter(F.slice("toks", 1, F.col("left")), lambda x: x.c <= frequent), lambda x: x.tok)
-    hot = F.transform(F.filter(F.slice("toks", 1, F.col("left") + 1), lambda x: x.c > frequent), lambda x: x.tok)
-    split = place.select("rid", "n", rare.alias("rare"), hot.alias("hot"))
-    pairs = F.flatten(F.transform("hot", lambda x, i: F.transform(F.slice("hot", i + 2, F.greatest(F.size("hot") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
-    return split.select("rid", "n", F.explode(F.concat("rare", F.when(F.size("hot") > 1, pairs).otherwise(F.array().cast("array<bigint>")))).alias("key"))
+    place = shared.join(reps.select("rid", "n", "m", "k", "ks"), "rid").withColumn("left", F.size("toks") - F.col("k") + 1).withColumn("near", F.size("toks") - F.col("ks") + 1).where("left > 0")
+    numbered = lambda upto: F.transform(F.slice("toks", 1, upto), lambda x, i: F.struct(x.c.alias("c"), x.tok.alias("tok"), i.alias("i")))
+    rare = F.transform(F.filter(numbered(F.col("left")), lambda x: x.c <= frequent), lambda x: F.struct(x.tok.alias("key"), (x.i < F.col("near")).alias("short")))
+    hot = F.filter(numbered(F.col("left") + 1), lambda x: x.c > frequent)
+    split = place.select("rid", "n", "near", rare.alias("rare"), hot.alias("hot"))
+    later = lambda i: F.slice("hot", i + 2, F.greatest(F.size("hot") - i - 1, F.lit(0)))
+    pairs = F.flatten(F.transform("hot", lambda x, i: F.transform(later(i), lambda y: F.struct(F.xxhash64(x.tok, y.tok).alias("key"), (y.i < F.col("near") + 1).alias("short")))))
+    rows = split.select("rid", "n", F.explode(F.when(F.size("hot") > 1, F.concat("rare", pairs)).otherwise(F.col("rare"))).alias("e")).select("e.key", "rid", "n", "e.short")
+    useful = rows.groupBy("key").agg(F.max("short").alias("any"), F.count("*").alias("c")).where("any and c > 1").select("key")
+    return rows.join(useful, "key", "left_semi")
 
 
 def _bounds(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -191,34 +207,69 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, num:
     return cut(exact.unionAll(far), "verified")
 
 
+def _first(index: DataFrame) -> DataFrame:
+    """Each bucket's smallest id and its set's size."""
+    return index.groupBy("key").agg(F.min(F.struct("rid", "n", "short")).alias("p")).select("key", F.col("p.rid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.short").alias("pshort"))
+
+
+def _placed(index: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return index.withColumn("comp", F.col("rid"))
+    return index.join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("component_id", "rid")).drop("component_id")
+
+
+def _star(index: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame | None, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Each set against the first of its buckets: the verified pairs, and the components with those links added to ``comp``."""
+    rows = index.join(_first(index), "key").where(f"rid <> pivot and if(n < pn, short, pshort) and least(n, pn) * {den} >= greatest(n, pn) * {num}")
+    pairs = rows.select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
+    if comp is not None:  # pairs that are together already need no look
+        c = lambda x: comp.select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}"))
+        pairs = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
+    near = _verify(cut(pairs, "star"), reps, docs, width, num, den)
+    links = near.where("linked").select("a", "b")
+    if comp is not None:
+        links = links.unionAll(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+    return near, cut(connected_components(links), "components")
+
+
+def _mixed(index: DataFrame, comp: DataFrame, near: DataFrame) -> DataFrame:
+    """Members of the buckets with more than one component, with their component and distance to the bucket's first."""
+    placed = _placed(index, comp)
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    known = placed.join(mixed, "key", "left_semi").join(_first(index), "key").join(near.selectExpr("a pivot", "b rid", "dlo", "dhi"), ["pivot", "rid"], "left")
+    return known.selectExpr("key", "rid", "n", "short", "comp", "pivot", "if(rid = pivot, 0D, coalesce(dlo, 0D)) dlo", "if(rid = pivot, 0D, coalesce(dhi, 1D)) dhi")
+
+
+def _across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a bucket's members from different components that sizes and distances leave possible; the first was compared before."""
+    x, y = members.alias("x"), members.alias("y")
+    reach = (den - num) / den + 1e-9
+    on = f"x.key = y.key and x.comp < y.comp and if(x.n < y.n, x.short, y.short) and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and x.dlo <= y.dhi + {reach}D and y.dlo <= x.dhi + {reach}D and x.rid <> x.pivot and y.rid <> y.pivot"
+    return x.join(y, F.expr(on)).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     docs = texts_of(df, id_col, text_col)
     every = cut(sets(docs, width, num, den), "sets")
     classes = cut(every.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rid")), "classes")
-    reps = every.withColumnRenamed("doc_id", "rid").join(classes, ["sig", "rid"]).dropDuplicates(["rid"]).select("rid", "n", "m", "k", "low")
+    reps = every.withColumnRenamed("doc_id", "rid").join(classes, ["sig", "rid"]).dropDuplicates(["rid"]).select("rid", "n", "m", "k", "ks", "low")
     index = cut(index_rows(reps, frequent), "index")
-    ratio = f"least(n, pn) * {den} >= greatest(n, pn) * {num}"
-
-    first = index.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("p")).select("key", F.col("p.rid").alias("pivot"), F.col("p.n").alias("pn"))
-    star = cut(index.join(first, "key").where(f"rid <> pivot and {ratio}").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct(), "star")
-    near = _verify(star, reps, docs, width, num, den)
+    near, comp = _star(index, reps, docs, None, width, num, den)
     links = near.where("linked").select("a", "b")
-    comp = connected_components(links)
 
-    # buckets with more than one component: across components, unless distances to the pivot forbid a link
-    placed = index.join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("component_id", "rid")).drop("component_id")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    known = placed.join(mixed, "key", "left_semi").join(first, "key").join(near.selectExpr("a pivot", "b rid", "dlo", "dhi"), ["pivot", "rid"], "left")
-    known = known.selectExpr("key", "rid", "n", "comp", "pivot", "if(rid = pivot, 0D, coalesce(dlo, 0D)) dlo", "if(rid = pivot, 0D, coalesce(dhi, 1D)) dhi")
-    members = cut(known, "members")
-    x, y = members.alias("x"), members.alias("y")
-    reach = (den - num) / den + 1e-9
-    cross = (
-        x.join(y, F.expr(f"x.key = y.key and x.comp < y.comp and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and x.dlo <= y.dhi + {reach}D and y.dlo <= x.dhi + {reach}D and x.rid <> x.pivot and y.rid <> y.pivot"))
-        .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
-        .distinct()
-    )
+    members = cut(_mixed(index, comp, near), "members")
+    size = members.groupBy("key").agg(F.count("*").alias("size"))
+    narrow = members.join(size.where(f"size <= {WIDE}").select("key"), "key")
+    wide = cut(members.join(size.where(f"size > {WIDE}").select("key"), "key", "left_semi").select("rid").distinct(), "wide")
+    cross = _across(narrow, num, den)
+    if wide.limit(1).count():
+        texts = docs.join(small(wide.withColumnRenamed("rid", "doc_id")), "doc_id", "left_semi")
+        own = cut(sets(texts, width, num, den, full=True).withColumnRenamed("doc_id", "rid").dropDuplicates(["rid"]), "full")
+        again = cut(index_rows(own, frequent), "index")
+        near2, comp = _star(again, reps, docs, comp, width, num, den)
+        links = links.unionAll(near2.where("linked").select("a", "b"))
+        cross = cross.unionAll(_across(cut(_mixed(again, comp, near2), "members"), num, den)).distinct()
     more = _verify(cut(cross, "cross"), reps, docs, width, num, den).where("linked").select("a", "b")
     final = connected_components(links.unionAll(more))
     out = every.join(classes, "sig", "left").join(final.withColumnRenamed("id", "rid"), "rid", "left")
