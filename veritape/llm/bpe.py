@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from veritape.llm.common import pack, texts_of, unpack
 
 BLOCK_CHARS = 16_000_000
+LEVEL = 9  # of compression: what is shuffled is the cost
 OFTEN = 1 << 16  # words of a block that get small numbers
 
 
@@ -80,13 +81,13 @@ class _Block:
                 words.sort()
                 number[[self.words[w] for w in words]] = np.arange(at, at + len(words), dtype=np.uint32)
                 at += len(words)
-                yield block, share, 0, pack(b" ".join(words))
+                yield block, share, 0, pack(b" ".join(words), level=LEVEL)
         codes = number[np.concatenate(self.codes)] if self.codes else np.empty(0, np.uint32)
         often = np.argsort(-np.bincount(codes, minlength=at), kind="stable")[:OFTEN].astype(np.uint32)
         order = _full_order(often, at)
         place = np.empty(at, np.uint32)
         place[order] = np.arange(at, dtype=np.uint32)
-        yield block, block % shares, 1, pack(np.array(self.docs, np.int64), np.array(self.valid, np.uint8), np.array(self.counts, np.uint32), place[codes], often)
+        yield block, block % shares, 1, pack(np.array(self.docs, np.int64), np.array(self.valid, np.uint8), np.array(self.counts, np.uint32), place[codes], often, level=LEVEL)
 
 
 def _full_order(often: np.ndarray, n: int) -> np.ndarray:
@@ -138,7 +139,7 @@ def encode_words(rows: DataFrame, tokenizer_json: str) -> DataFrame:
                         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
                             known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
                     ids = [known[w] for w in words]
-                    payload = pack(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), np.uint32))
+                    payload = pack(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), np.uint32), level=LEVEL)
                 yield _batch([(block, share, kind, payload)])
 
     return rows.mapInArrow(run, _ROW)

@@ -40,7 +40,7 @@ def sha256_hex(x: str | bytes) -> str:
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 3) -> bytes:
     """Arrays and byte strings, each with its type and length; integers are stored byte plane by byte plane."""
     head, body = [], []
     for a in arrays:
@@ -50,7 +50,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
         else:
             head.append(f"{a.dtype.str[1:]}:{len(a)}")
             body.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(";".join(head).encode() + b"\n" + b"".join(body))
+    return zstandard.ZstdCompressor(level=level).compress(";".join(head).encode() + b"\n" + b"".join(body))
 
 
 def unpack(data: bytes) -> list:
