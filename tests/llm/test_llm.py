@@ -1,0 +1,311 @@
+"""The corpus operators against brute force, on small fixtures with nulls, empties, long texts, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veritape.llm import bpe, common, cover_tree, html_blocks, jaccard, langid, pfair, pii, quality, secrets, suffix_dedup
+from veritape.llm.boosting import BoostedTrees
+from veritape.llm.suffix_array import permuted_common_prefixes, suffix_array
+
+SF = "/root/testdata/sf0.001"
+ODD = [
+    (900001, None, "en", None),
+    (900002, "", None, "src0"),
+    (900003, " \n\t ", "en", "src0"),
+    (None, "no id here but a text of several words", "en", "src1"),
+    (900004, "one", "en", "src1"),
+    (900005, "Same text of copies that repeat " * 6, "en", "src1"),
+    (900006, "Same text of copies that repeat " * 6, None, "src1"),
+    (900006, "Same text of copies that repeat " * 6, None, "src1"),
+    (900007, "café 漢字 \U0001f600 don't I'LL <|endoftext|> 12,345 İ ΣΑΣ", "xx", "src2"),
+    (900008, "9" * 3000 + " a@" + "b" * 3000 + " " + "x" * 70000, "en", "src2"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    clash = ["n", "sig", "low", "key", "rid", "start", "bucket", "share", "kind", "__rank", "component_id"]
+    rows = real.unionByName(spark.createDataFrame(ODD, SCHEMA))
+    return rows.select("*", *[F.lit("clash").alias(c) for c in clash]).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+
+
+def components(links, ids):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_connected_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(60)] + [(int(a), int(b)) for a, b in rng.integers(100, 200, (60, 2))] + [(7, 7)]
+    got = {r.id: r.component_id for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = components(edges, {x for e in edges for x in e})
+    assert got == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [40, 4096])
+def test_cover_tree(spark, block):
+    real = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding")
+    v = list(real.where("vec_id = 3").first().embedding)
+    label = real.where("vec_id = 3").first().label
+    odd = [(9001, label, None), (9002, None, v), (9003, 2, [0.0] * 64), (9004, 2, [float("nan")] * 64), (9005, 2, [1.0] * 63 + [None]), (9006, label, [2 * x for x in v]), (9007, label, v), (9008, label, v[:5])]
+    df = real.unionAll(spark.createDataFrame(odd, real.schema)).withColumn("node", F.lit("clash"))
+    data = collections.defaultdict(list)
+    for r in df.collect():
+        e = r.embedding
+        if r.label is not None and e is not None and len(e) == 64 and None not in e and np.isfinite(e).all() and any(e):
+            data[r.label].append((r.vec_id, np.array(e, float) / np.linalg.norm(e)))
+    links = [(a, b) for vs in data.values() for i, (a, x) in enumerate(vs) for b, y in vs[:i] if x @ y >= 0.98]
+    ids = [r.vec_id for r in df.collect()]
+    want = components(links, ids)
+    degree = collections.Counter(x for e in links for x in e)
+    got = cover_tree.near_duplicates(df, block=block).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, degree[i], want[i], want[i] == i) for i in ids}
+    assert len(links) >= 3 and cover_tree.near_duplicates(df.where("false")).count() == 0
+
+
+def test_cover_tree_prunes_exactly():
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(5, 8))
+    x = cover_tree.unit(np.concatenate([base[rng.integers(0, 5, 400)] + rng.normal(size=(400, 8)) * s for s in (0.01, 0.3)]))
+    out = cover_tree.Links(len(x))
+    one, two = np.arange(0, 500), np.arange(500, 800)
+    a, b = cover_tree.tree(x, one), cover_tree.tree(x, two)
+    for p, q in ((a, a), (b, b), (a, b)):
+        cover_tree.traverse(x, p, q, 0.98, out)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert (out.count == near.sum(axis=1)).all()
+
+
+PII_RULES = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(re.sub("[^0-9]", "", s))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(re.sub("[^0-9]", "", s)) <= 15),
+}
+SECRET_RULES = {
+    "assign": (r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+}
+TRICKY = [
+    "a@b.c@d.e x.@y @z.com q@w q@w.e. 1.2.3.4.5.6.7.8 256.1.1.1 1.1.1.1.1",
+    "4111 1111 1111 1111 4111-1111-1111-1112 +1 (555) 123-4567 +12 +1+2345678901 007.1.02.3",
+    "Password = 'abcdefgh' SECRET:\"1234567\" api_key=ABCDEFGH.ijk tokens token\x20\x20= \x20xyzxyzxyz AKIAABCDEFGHIJKL AKIA123",
+    "deadbeef" * 5 + "g" + "0123456789abcdef" * 2 + " secret_token=aaaaaaaa ſecret=abcdefgh api key",
+]
+
+
+def spans_by(rules, text, whole=False):
+    out = []
+    for kind, (pattern, ok) in rules.items():
+        out += [(m.start(), list(rules).index(kind), m.end()) for m in re.finditer(pattern, text) if ok(m if whole else m[0])]
+    return sorted(out)
+
+
+def test_pii_base_and_counts(spark, docs, rows):
+    for text in [t for _, t, _, _ in rows if t and len(t) < 60000] + TRICKY:
+        assert sorted(pii.base_spans(text)) == spans_by(PII_RULES, text)
+    got = pii.find(docs, pii.fit(docs)).collect()
+    assert len(got) == len(rows)
+    texts = collections.defaultdict(set)
+    for d, t, _, _ in rows:
+        texts[d].add(t or "")
+    for r in got:
+        (text,) = texts[r.doc_id]
+        base = pii.base_spans(text)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base)).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert {f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base} <= set(r.spans.split(","))
+    assert pii.find(docs.where("false"), pii.fit(docs.where("false"))).count() == 0
+
+
+def test_pii_redaction(spark):
+    df = spark.createDataFrame([(1, "mail a.b@c.de or +1 (555) 123-4567 now", "x"), (2, None, "y")], "doc_id long, text string, extra string")
+    out = {r.doc_id: r for r in pii.redact(df, pii.fit(df)).collect()}
+    assert out[1].text == "mail <EMAIL> or <PHONE> now" and out[2].text is None and out[2].extra == "y"
+
+
+def test_boosted_trees():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    m = BoostedTrees().fit(x, y)
+    fresh = rng.normal(size=(1000, 4))
+    assert (((m.predict(fresh) > 0.5) == ((fresh[:, 0] > 0) ^ (fresh[:, 1] > 0.5))).mean()) > 0.95
+    assert BoostedTrees().fit(x[:10], np.ones(10)).predict(x[:3]).min() > 0.9
+
+
+def test_secrets(spark, docs, rows):
+    for text in [t for _, t, _, _ in rows if t and len(t) < 60000] + TRICKY:
+        assert sorted(secrets.base_spans(text)) == spans_by(SECRET_RULES, text, True)
+    found = secrets.find(docs).collect()
+    assert len(found) == len(rows) and sum(r.n_assign for r in found) >= 0
+    text = "the auth header carries Zq8fK2xV9pLm3RtY7wBn for now, and the key word abcdefghijklmnopqrstuvwxyz0 stays"
+    assert [text[s:e] for s, _, e in secrets.novel_spans(text, [])] == ["Zq8fK2xV9pLm3RtY7wBn"]
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(3)
+    for trial in range(150):
+        t = rng.integers(0, rng.choice([1, 2, 3, 256]), rng.integers(0, 50)).astype(np.uint8)
+        b = t.tobytes() if trial % 3 else t.tobytes()[:4] * 7
+        want = sorted(range(len(b)), key=lambda i: b[i:])
+        sa = suffix_array(np.frombuffer(b, np.uint8))
+        assert sa.tolist() == want
+        if len(b) > 1:
+            plcp, _ = permuted_common_prefixes(np.frombuffer(b, np.uint8), sa, 13)
+            for i, j in zip(want[1:], want):
+                n = 0
+                while n < 13 and i + n < len(b) and j + n < len(b) and b[i + n] == b[j + n]:
+                    n += 1
+                assert plcp[i] == n
+
+
+def test_suffix_dedup(spark, docs, rows):
+    more = [(910000, "ab" * 200), (910001, "ba" * 100), (910001, "ba" * 90), (910002, "é" * 80), (910003, "x" * 49), (910004, "x" * 49)]
+    df = docs.select("doc_id", "text", "n", "bucket").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    data = [(d, (t or "").encode()) for d, t, *_ in [*rows, *more]]
+    least: dict = {}
+    for d, b in data:
+        for j in range(len(b) - 49) if d is not None else ():
+            least[b[j : j + 50]] = min(least.get(b[j : j + 50], d), d)
+    want = collections.Counter()
+    for d, b in data:
+        gone = bytearray(len(b))
+        for j in range(len(b) - 49) if d is not None else ():
+            if least[b[j : j + 50]] < d:
+                gone[j : j + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want[(d, len(b), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), kept)] += 1
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == want
+    assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
+
+
+def test_html(spark):
+    p = lambda n: "The quick words of the text are here for all to read and it is the case that they were. " * n
+    page = f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy now</div><article><h1>Head &amp; Co</h1><p>{p(3)}<br>more</p><p>Short.<section class=comments><p>{p(3)}</p></section><form>Name</form></article><aside>{p(4)}</aside><footer>&copy; x</footer></body></html>"
+    want = "\n\n".join(["Head & Co", " ".join((p(3) + " more").split()), "Short."])
+    assert html_blocks.main_text(page) == want
+    plain = f"<body><div>{p(4)}</div><p>Tiny</p><div>{p(4)}</div><ul><li><a href=1>one</a><li><a href=2>two</a></ul>"
+    assert html_blocks.main_text(plain) == "\n\n".join([p(4).strip(), "Tiny", p(4).strip()])
+    assert [html_blocks.main_text(x) for x in (None, "", "<!-- open", "<script>var t='</p>'")] == [""] * 4
+    pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string"))
+    out = html_blocks.extract(pages.withColumn("text", F.lit("clash"))).collect()
+    assert len(out) == pages.count() and all(r.n_chars == len(r.text) for r in out)
+    for r in pages.where("html is not null").collect():
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+        import html
+
+        parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))]
+        assert "\n\n".join(x for x in parts if x) == next(o.text for o in out if o.page_id == r.page_id and o.url == r.url)
+
+
+def test_bpe(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    want = collections.Counter()
+    for d, text, *_ in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want[(d, tuple(ids), t.decode(ids, skip_special_tokens=False))] += 1
+    coded = bpe.encode_decode(docs, block_chars=50_000)
+    assert collections.Counter((r.doc_id, tuple(r.ids), r.decoded) for r in coded.collect()) == want
+    unique = coded.where("doc_id < 900000")
+    back = bpe.decode(unique.select("doc_id", "ids"), ("doc_id",)).withColumnRenamed("decoded", "again").join(unique, "doc_id")
+    assert back.where("again <> decoded").count() == 0 and back.count() == unique.count()
+    assert bpe.encode_decode(docs.where("false")).count() == 0
+
+
+def test_mixing(spark, docs, rows):
+    out = pfair.mix(docs.select("doc_id", "text", "source", "n"), pfair.shares_of(docs, shares=pfair.SHARES), block_rows=2).collect()
+    assert len(out) == len(rows)
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
+    sources = sorted({s or "" for *_, s in rows})
+    shares = {s: pfair.SHARES.get(s, 1) for s in sources}
+    period, blocks = sum(shares.values()), collections.defaultdict(set)
+    for r in out:
+        blocks[r.source or ""].add((r.mix_block, r.mix_slot))
+    for s, own in blocks.items():
+        slots = [x for _, x in sorted(own)]
+        assert slots == sorted(set(slots))
+        for i, slot in enumerate(slots):  # less than one block from its due, at each slot while it lasts
+            assert abs(i + 1 - (slot + 1) * shares[s] / period) < 1
+    plan = {(r.source or "", r.turn): r.slot for r in pfair.schedule(pfair.shares_of(docs, shares=pfair.SHARES)).collect()}
+    assert plan == {(s, turn): slot for s, turn, slot in pfair.edf_slots(list(shares.items()))}
+    with pytest.raises(ValueError):
+        pfair.shares_of(docs, max_sources=1)
+
+
+def test_quality(spark, docs, rows):
+    got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(docs).collect())
+    want = collections.Counter()
+    for d, text, *_ in rows:
+        x = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", x)
+        lines = [s for s in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", s)]
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        want[(d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in x), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w))] += 1
+    assert got == want
+    assert quality.judge(docs.where("false")).count() == 0
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed").join(labels, "doc_id")
+    assert judged.where("quality = 1 and not kept").count() == 0 and judged.where("quality = 0 and kept").count() <= 2
+
+
+@pytest.mark.parametrize(("width", "num", "den", "wide"), [(3, 9, 10, 64), (5, 8, 10, 3)])
+def test_jaccard(spark, docs, rows, width, num, den, wide, monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(120)]
+    near = []
+    for i in range(60):  # a cloud about the threshold
+        words = list(base)
+        for j in rng.integers(0, 120, rng.integers(0, 8)):
+            words[j] = f"v{rng.integers(0, 1000)}"
+        near.append((920000 + i, " ".join(words).upper() if i % 2 else " ".join(words)))
+    df = docs.select("doc_id", "text", "n", "key").unionByName(spark.createDataFrame(near, "doc_id long, text string"), allowMissingColumns=True)
+    sets: dict = {}
+    for d, t, *_ in [*rows, *near]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[d] = frozenset(zip(*[w[i:] for i in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    ids = [d for d in sets if d is not None]
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    want = components(links, ids)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df, width=width, num=num, den=den, frequent=20).collect()}
+    assert got == {d: (len(s), want.get(d)) for d, s in sets.items()}
+    assert len(links) > 50
+
+
+def test_language(spark, docs, rows):
+    out = langid.identify_documents(docs).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    by = {r.doc_id: r for r in out}
+    assert {by[i].lang_pred for i in (900001, 900002, 900003)} == {"und"}
+    real = langid.identify_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
+    assert real.where("lang = lang_pred").count() / real.count() > 0.97
+    assert {r.lang_pred for r in langid.identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
