@@ -96,7 +96,8 @@ def assemble(series: DataFrame, risk: DataFrame, claims: DataFrame, explained: D
         named.alias("claims"),
         F.coalesce("source_label", F.lit("")).alias("source_label"),
     )
-    return out.select("company", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), F.to_json(body).alias("result_json"))
+    made = out.select("company", F.to_json(body).alias("result_json"))  # a generator in this select would drop the struct's names
+    return made.select("company", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), "result_json")
 
 
 def overlay_json(existing: Column, new: Column) -> Column:
