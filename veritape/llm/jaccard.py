@@ -219,7 +219,7 @@ def _placed(index: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _star(index: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame | None, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Each set against the first of its buckets: the verified pairs, and the components with those links added to ``comp``."""
+    """Each set against the first of its buckets: the verified pairs, and labels of what is connected, ``comp`` included."""
     rows = index.join(_first(index), "key").where(f"rid <> pivot and if(n < pn, short, pshort) and least(n, pn) * {den} >= greatest(n, pn) * {num}")
     pairs = rows.select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
     if comp is not None:  # pairs that are together already need no look
@@ -229,7 +229,19 @@ def _star(index: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame |
     links = near.where("linked").select("a", "b")
     if comp is not None:
         links = links.unionAll(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
-    return near, cut(connected_components(links), "components")
+    return near, cut(_labels(links), "labels")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, component_id) where equal labels are connected; not always the other way round.
+
+    Two steps of the smallest neighbour are enough to skip most pairs that are together already, and
+    cost far less than the components proper, which are found once, at the end.
+    """
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("m")).select("id", F.least("id", "m").alias("l"))
+    up = one.select(F.col("id").alias("l"), F.col("l").alias("ll"))
+    return one.join(up, "l", "left").select("id", F.coalesce("ll", "l").alias("component_id"))
 
 
 def _mixed(index: DataFrame, comp: DataFrame, near: DataFrame) -> DataFrame:
