@@ -72,9 +72,9 @@ class Segments:
 
 
 def _texts(table: pa.Table) -> Iterator[tuple[int | None, bytes]]:
-    for doc, text in zip(table["doc_id"], table["text"], strict=True):
-        t = text.as_py()
-        yield doc.as_py(), t.encode("utf-8", "surrogatepass") if t else b""
+    """The documents of a bucket in an order that doesn't depend on how the shuffle delivered them: the passes must agree."""
+    rows = [(doc, t.encode("utf-8", "surrogatepass") if t else b"") for doc, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)]
+    yield from sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
