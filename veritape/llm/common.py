@@ -69,6 +69,19 @@ def unpack(data: bytes) -> list:
     return out
 
 
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows of a written table, those of least hash of ``keys``.
+
+    The rows are thinned by hash before they are ordered, so all tasks together send little more than ``most``.
+    """
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    n = df.count()
+    rows = df.withColumn("__h", h)
+    if n > 2 * most:
+        rows = rows.where(F.col("__h") < int((1 << 30) * min(1.0, 1.5 * most / n)))
+    return rows.orderBy("__h", *keys).limit(most).drop("__h")
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, component_id) of every id in ``edges`` (a, b: long); component_id is the smallest id reachable.
 

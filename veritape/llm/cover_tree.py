@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import connected_components
+from veritape.llm.common import bounded_sample, connected_components
 from veritape.session import cut
 
 THRESHOLD = 0.98
@@ -173,7 +173,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     finite = F.col("__d").isNotNull() & ~F.exists("__d", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("__d", lambda v: v != 0)
     base = cut(rows.withColumn("good", F.coalesce(finite, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("vec", F.when(F.col("good"), F.col("__d"))).drop("__d"), "vectors")
     good = base.where("good")
-    picked = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").collect()
+    picked = bounded_sample(good, ["vec_id"], sample).select("vec").collect()
     result = base.select("uid", "vec_id")
     if not picked:
         return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritape.llm.boosting import BoostedTrees
-from veritape.llm.common import sha256_hex, span_text, texts_of
+from veritape.llm.common import bounded_sample, sha256_hex, span_text, texts_of
+from veritape.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TRAIN = 20_000
@@ -156,7 +156,8 @@ def training_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> BoostedTrees:
     """The trees, from at most ``max_train`` proposals."""
-    rows = training_rows(df, id_col, text_col).orderBy(F.xxhash64("doc_id", "start", "kind"), "doc_id", "start", "kind").limit(max_train).select("label", "x").collect()
+    proposed = cut(training_rows(df, id_col, text_col), "proposals")
+    rows = bounded_sample(proposed, ["doc_id", "start", "kind"], max_train).select("label", "x").collect()
     if not rows:
         return BoostedTrees().fit(np.zeros((0, 1)), np.zeros(0))
     return BoostedTrees().fit(np.array([r.x for r in rows]), np.array([r.label for r in rows]))
