@@ -12,6 +12,6 @@ from veritape.session import local_session  # noqa: E402
 def spark():
     s = local_session(4, "tests")
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
     yield s
     s.stop()

@@ -17,6 +17,7 @@ from veritape.operators.risk import aggregate_risk
 from veritape.operators.timeseries import features, pivot_metrics
 from veritape.operators.verify import verify
 from veritape.schemas import TABLES
+from veritape.session import cut
 from veritape.sinks import Store
 from veritape.sources.tree import transcripts
 from veritape.sources.xbrl import filings
@@ -36,17 +37,19 @@ class Analysis:
     claims: DataFrame
 
 
-def plan(docs: DataFrame, facts: DataFrame, logits: Callable[[Column], Column] = lexical_logits) -> Analysis:
-    """``docs`` and ``facts`` of any number of companies. The model's claims are used for a company if it has any, else the rules'."""
+def plan(docs: DataFrame, facts: DataFrame, logits: Callable[[Column], Column] = lexical_logits, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Analysis:
+    """``docs`` and ``facts`` of any number of companies. The model's claims are used for a company if it has any, else the rules'.
+
+    ``keep`` is applied to each frame that several later ones read; a run that writes them all passes :func:`cut`.
+    """
     order = ["company", "folder", "quarter", "pos"] if "folder" in docs.columns else ["company", "quarter", "pos"]
-    keep = [c for c in order if c != "pos"]
-    sentences = explode_sentences(docs, order=keep)
+    sentences = keep(explode_sentences(docs, order=[c for c in order if c != "pos"]))
     found = model_claims(sentences, logits, order, scope=["company"]).select("company", "quarter", "sentence", *[c for c in order if c not in ("company", "quarter")])
     ruled = rule_claims(sentences, order=order, scope=["company"]).select(*found.columns)
     claims = first_nonempty([found, ruled], ["company"])
-    attrs = attributes(claims, order, scope=["company"])
-    series = features(pivot_metrics(facts))
-    verified = verify(attrs, series)
+    attrs = keep(attributes(claims, order, scope=["company"]))
+    series = keep(features(pivot_metrics(facts)))
+    verified = keep(verify(attrs, series))
     has_series = series.select("company").distinct()
     checked = verified.join(has_series, "company", "left_semi")
     plain = attrs.join(has_series, "company", "left_anti")
@@ -57,7 +60,7 @@ def run(spark: SparkSession, root: str, store: Store, company: str | None = None
     """Read the tree, analyse, and write every table. ``answer`` turns a context text into a model's answer text."""
     store.create()
     docs = transcripts(spark, root, extract_pdf, company)
-    a = plan(docs, filings(spark, root, company), logits)
+    a = plan(docs, filings(spark, root, company), logits, cut)
     folders = docs.select(F.col("company").alias("folder_name")).distinct()
     store.upsert_companies(folders.select("folder_name", F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.expr("unix_micros(current_timestamp())").alias("seq")))
     ids = store.read("companies").select(F.col("id").alias("company_id"), F.col("folder_name").alias("company"))
