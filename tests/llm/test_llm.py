@@ -148,6 +148,43 @@ def test_pii_redaction(spark):
     assert out[1].text == "mail <EMAIL> or <PHONE> now" and out[2].text is None and out[2].extra == "y"
 
 
+PLANTED = [
+    (0, "ann.lee{i} (at) host{i} (dot) com"),
+    (0, "bob{i}[at]site{i}[dot]example[dot]org"),
+    (3, "(425) 555-{i:04d}"),
+    (3, "614-555-{i:04d}"),
+    (1, "2001:db8:85a3:{i:x}:1319:8a2e:370:7348"),
+]
+DECOYS = ["{i:08d}", "2024-0{m}-1{m}", "00:1b:44:11:3a:{i:02x}", "4000000000{i:06d}"]
+
+
+def test_pii_additions(spark):
+    """Planted forms beside few and many base spans are added and redacted; digit runs, dates and hardware addresses stay."""
+    words = "the report of this week was sent to all of them and nobody had more to add".split()
+    lead = lambda i: " ".join(words[(i + j) % len(words)] for j in range(5))
+    rows, want, stay = [], {}, {}
+    for i in range(100, 200):
+        rows.append((i, f"{lead(i)} x{i}@mail.example.com {lead(i + 3)} +1 (425) 555-{i:04d} {lead(i)} 10.1.2.{i} {lead(i + 1)} 4111 1111 1111 1111 end"))
+        k, form = PLANTED[i % 5]
+        planted = form.format(i=i)
+        want[1000 + i] = (k, len(lead(i)) + 1, planted)
+        rows.append((1000 + i, f"{lead(i)} {planted} {lead(i + 2)}"))
+        decoy = DECOYS[i % 4].format(i=i + 50, m=i % 9 + 1)
+        if i % 4 == 3 and pii.luhn(decoy):
+            decoy = decoy[:-1] + str((int(decoy[-1]) + 1) % 10)
+        stay[2000 + i] = f"{lead(i)} {decoy} {lead(i + 2)}"
+        rows.append((2000 + i, stay[2000 + i]))
+    for least in (0, 1190):  # all, or ten planted rows beside the base spans
+        df = spark.createDataFrame([r for r in rows if not 1000 <= r[0] < 2000 or r[0] >= least], "doc_id long, text string")
+        model = pii.fit(df)
+        spans = {r.doc_id: r.spans for r in pii.find(df, model).collect()}
+        out = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+        for d, (k, s, planted) in want.items():
+            if d >= least:
+                assert spans[d] == f"{pii.KINDS[k]}:{s}:{s + len(planted)}" and planted not in out[d], (d, planted, out[d])
+        assert all(out[d] == text for d, text in stay.items()), [out[d] for d in stay if out[d] != stay[d]]
+
+
 def test_boosted_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))

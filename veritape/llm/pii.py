@@ -7,9 +7,13 @@ format and context; a proposal outside the base spans is added where its calibra
 reaches ``threshold``. Of overlapping additions the likelier one stays, then the longer, then the
 earlier.
 
-The trees learn from the corpus itself: a proposal that lies in a base span of its kind is a
-positive, any other a negative. They are fitted on at most ``max_train`` proposals, those with the
-least hash of (doc_id, start, kind); every proposal of every text is scored.
+The trees learn from the corpus itself by weak labels, not by what the base rules find: a proposal
+is a positive if it lies in a base span of its kind or its own form or context speaks for it
+(:func:`weak_label`), a negative if they speak against it; undecided ones train nothing. So that
+forms that are rare in a corpus are known, each base span also stands in its place as two twins:
+the same data in another form (obfuscated, without a plus, 13 digits, colon-separated) and a decoy.
+The trees are fitted on at most ``max_train`` rows, those with the least hash of (doc_id, start,
+kind, form); every proposal of every text is scored.
 
 Null text counts as empty: no spans. Repeated rows give repeated results. All scans are linear in
 the text, so very long texts and long runs of digits are safe.
@@ -18,6 +22,7 @@ the text, so very long texts and long runs of digits are safe.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +57,9 @@ _DIGITS = re.compile(r"[0-9](?:[\x20.-]?[0-9])*+")
 _SHAPE = re.compile(r"[+(]?[0-9][\x20().0-9/-]*+")
 _SIX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _ANY = re.compile(r"[0-9@]")
+_MARKED = re.compile(r"[(\[{](?:at|dot)[)\]}]|\x20dot\x20", re.ASCII | re.IGNORECASE)
+_GROUPED = re.compile(r"\(?[0-9]{3}(?:\)\x20?|[\x20.-])[0-9]{3}[\x20.-][0-9]{4}", re.ASCII)
+_DATE = re.compile(r"[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}", re.ASCII)
 
 
 def luhn(digits: str) -> bool:
@@ -118,26 +126,86 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _near(text: str, span: tuple[int, int, int]) -> bool:
+    """Whether a context word of the kind is among the four words before the span or the one after it."""
+    s, k, e = span
+    near = re.findall(r"[a-z-]+", text[max(0, s - 40) : s].lower())[-4:] + re.findall(r"[a-z-]+", text[e : e + 20].lower())[:1]
+    return any(w in CONTEXT_WORDS[KINDS[k]] for w in near)
+
+
+def _colon_address(x: str) -> bool:
+    """Eight groups, not all of two digits as in hardware addresses and fingerprints."""
+    groups = x.split(":")
+    return len(groups) == 8 and any(len(g) != 2 for g in groups)
+
+
 def features(text: str, span: tuple[int, int, int]) -> list[float]:
     s, k, e = span
     x = text[s:e]
     d = _digits(x)
     groups = re.findall("[0-9]+", x)
     before, after = text[max(0, s - 40) : s].lower(), text[e : e + 20].lower()
-    near = re.findall(r"[a-z-]+", before)[-4:] + re.findall(r"[a-z-]+", after)[:1]
     octets = [int(g[-4:]) for g in groups] if k == 1 else []
     return [
         float(k == 0), float(k == 1), float(k == 2), float(k == 3),
         len(x), len(d), len(d) / max(1, len(x)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
-        float(bool(d) and luhn(d)), float(int(d[0])) if d else -1.0, len(set(d)), float(x[:1] == "+"), float("(" in x), x.count("."), x.count("-"), x.count(" "),
-        float("@" in x), sum(c.isalpha() for c in x), float(max(octets, default=0) <= 255 and len(octets) == 4),
+        float(bool(d) and luhn(d)), float(int(d[0])) if d else -1.0, len(set(d)), float("(" in x), x.count("."), x.count("-"), x.count(" "), x.count(":"),
+        sum(c.isalpha() for c in x), float(max(octets, default=0) <= 255 and len(octets) == 4), float(k == 1 and _colon_address(x)),
+        float(k == 0 and " at " in x.lower()), float(bool(_MARKED.search(x))), float(bool(_GROUPED.fullmatch(x))), float(bool(_DATE.match(x))),
         float(before[-1:].isspace() or not before), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(after[:1] in "#*%$&!"),
-        float(any(w in CONTEXT_WORDS[KINDS[k]] for w in near)), float("." in before[-2:]),
+        float(_near(text, span)), float("." in before[-2:]),
     ]
 
 
+def weak_label(text: str, span: tuple[int, int, int], base: list[tuple[int, int, int]]) -> float | None:
+    """1 or 0 by the base rules, the span's own form and the words near it; None where they do not decide."""
+    s, k, e = span
+    met = [b for b in base if b[0] < e and s < b[2]]
+    if any(bk == k and bs <= s and e <= be for bs, bk, be in met):
+        return 1.0
+    if met:  # part of other data, or more than a span of its own kind
+        return None if any(bk == k for _, bk, _ in met) else 0.0
+    x = text[s:e]
+    if k == 0:
+        return float(bool(_MARKED.search(x)) or _near(text, span))
+    if k == 1:
+        return float(_colon_address(x))
+    if text[max(0, s - 1) : s].isalnum() or text[e : e + 1].isalnum():
+        return 0.0  # digits of a longer word
+    if k == 2:
+        return float(luhn(_digits(x)) and _near(text, span))
+    return float(not _DATE.match(x) and (bool(_GROUPED.fullmatch(x)) or _near(text, span)))
+
+
+def twins(text: str, span: tuple[int, int, int]) -> list[tuple[str, tuple[int, int, int]]]:
+    """(text, span) of a base span's data in another form and of a decoy, in the span's own surroundings."""
+    s, k, e = span
+    x = text[s:e]
+    d, pick = _digits(x), zlib.crc32(x.encode("utf-8", "surrogatepass"))
+    if k == 0:
+        local, _, host = x.partition("@")
+        at, dot = ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" {at} ", "."))[pick % 4]
+        forms = [("", local[:64] + at + host.replace(".", dot)), ("", f"{local[-8:]} at {host}")]
+    elif k == 1:
+        h = sha256_hex(x)
+        colons = lambda n, w: ":".join(h[4 * i : 4 * i + w] for i in range(n))
+        forms = [("", colons(8, 4 if pick % 2 else 3)), ("", colons((6, 5, 8, 7)[pick % 4], 2))]
+    elif k == 2:
+        n = 12 - pick % 2
+        short = next(d[:n] + c for c in "0123456789" if luhn(d[:n] + c))
+        forms = [("card ", short), (("", short), ("card ", d[:-1] + str((int(d[-1]) + 1) % 10)))[pick // 2 % 2]]
+    else:
+        a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+        forms = [(("", f"({a}) {b}-{c}"), ("", f"{a}-{b}-{c}"), ("", f"{a}.{b}.{c}"), ("call ", d), ("phone ", a + b + c))[pick % 5], (("", d), ("", a + b + c[:2]), ("call ", f"20{d[-2:]}-0{pick % 9 + 1}-1{d[-1]}"))[pick // 5 % 3]]
+    out = []
+    for lead, form in forms:
+        before = text[max(0, s - 40) : s] + lead
+        out.append((before + form + text[e : e + 20], (len(before), k, len(before) + len(form))))
+    return out
+
+
 def training_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (doc_id, start, kind, label, x) for each proposal in each text."""
+    """A row (doc_id, start, kind, form, label, x) for each proposal that has a weak label (form 0), and for the twins of each base span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,18 +214,23 @@ def training_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 found = proposals(text) if text else []
                 base = base_spans(text) if found else []
                 for s, k, e in found:
-                    rows.append((doc, s, k, float(any(k == bk and bs <= s and e <= be for bs, bk, be in base)), features(text, (s, k, e))))
+                    label = weak_label(text, (s, k, e), base)
+                    if label is not None:
+                        rows.append((doc, s, k, 0, label, features(text, (s, k, e))))
+                for s, k, e in base:
+                    for form, (twin, at) in enumerate(twins(text, (s, k, e)), 1):
+                        rows.append((doc, s, k, form, weak_label(twin, at, []), features(twin, at)))
             if rows:
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.list_(pa.float64()))], ["doc_id", "start", "kind", "label", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.list_(pa.float64()))], ["doc_id", "start", "kind", "form", "label", "x"])
 
-    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, start long, kind int, label double, x array<double>")
+    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, start long, kind int, form int, label double, x array<double>")
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> BoostedTrees:
-    """The trees, from at most ``max_train`` proposals."""
+    """The trees, from at most ``max_train`` proposals and twins."""
     proposed = cut(training_rows(df, id_col, text_col), "proposals")
-    rows = bounded_sample(proposed, ["doc_id", "start", "kind"], max_train).select("label", "x").collect()
+    rows = bounded_sample(proposed, ["doc_id", "start", "kind", "form"], max_train).select("label", "x").collect()
     if not rows:
         return BoostedTrees().fit(np.zeros((0, 1)), np.zeros(0))
     return BoostedTrees().fit(np.array([r.x for r in rows]), np.array([r.label for r in rows]))
