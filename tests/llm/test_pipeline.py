@@ -34,6 +34,22 @@ def test_stages(spark, tmp_path):
     assert docs.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
 
 
+def test_mixture_reaches_the_tokens(spark):
+    """Prefixes of the last stage's rows follow the target weights, whatever order the stage is given; one source holds most rows."""
+    sources = ["src0"] * 1200 + ["src1"] * 240 + ["src2"] * 160 + ["src3"] * 160
+    docs = spark.createDataFrame([(i, f"text number {i}", "en", s, 5) for i, s in enumerate(sources)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = P.tokens(spark, P.mixture(spark, docs, SF).orderBy("doc_id"), SF).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(sources)))
+    weights = {"src0": 6 / 12, "src1": 3 / 12, "src2": 2 / 12, "src3": 1 / 12}
+    for n in range(16, 961, 16):  # no source has run out yet
+        for s, w in weights.items():
+            assert abs(sum(sources[r.doc_id] == s for r in rows[:n]) - w * n) < 16
+    full = P.mixed_tokens(spark, docs, SF).collect()
+    assert [r.doc_id for r in full] == [r.doc_id for r in rows] and [r.mix_order for r in full] == sorted(r.mix_order for r in full)
+    assert all(r.n_tokens == len(r.ids) > 0 for r in full)
+    assert P.tokens(spark, docs.where("false"), SF).count() == 0
+
+
 @pytest.mark.parametrize(
     ("name", "columns"),
     [

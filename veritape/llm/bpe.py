@@ -58,14 +58,16 @@ class _Block:
     """Documents of one block: their ids, and their words as numbers in the order of first sight."""
 
     def __init__(self):
-        self.docs, self.valid, self.counts, self.codes, self.words, self.chars = [], [], [], [], {}, 0
+        self.docs, self.valid, self.places, self.counts, self.codes, self.words, self.chars = [], [], [], [], [], {}, 0
 
-    def add(self, doc: int | None, text: str | None) -> None:
+    def add(self, doc: int | None, text: str | None, place: int | None = None) -> None:
         words = text.encode("utf-8", "surrogatepass").split() if text else []
         number = self.words
         codes = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.uint32)
         self.docs.append(doc or 0)
         self.valid.append(doc is not None)
+        if place is not None:
+            self.places.append(place)
         self.counts.append(len(codes))
         self.codes.append(codes)
         self.chars += len(text or "")
@@ -87,7 +89,7 @@ class _Block:
         order = _full_order(often, at)
         place = np.empty(at, np.uint32)
         place[order] = np.arange(at, dtype=np.uint32)
-        yield block, block % shares, 1, pack(np.array(self.docs, np.int64), np.array(self.valid, np.uint8), np.array(self.counts, np.uint32), place[codes], often, level=LEVEL)
+        yield block, block % shares, 1, pack(np.array(self.docs, np.int64), np.array(self.valid, np.uint8), np.array(self.counts, np.uint32), place[codes], often, *([np.array(self.places, np.int64)] if self.places else []), level=LEVEL)
 
 
 def _full_order(often: np.ndarray, n: int) -> np.ndarray:
@@ -107,13 +109,13 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 
 def split_words(docs: DataFrame, shares: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Step 1, for (doc_id, text) rows."""
+    """Step 1, for (doc_id, text) rows, with a place in an order (long, not null) as a third column if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n, held = TaskContext.get().partitionId() << 24, 0, _Block()
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                held.add(doc.as_py(), text.as_py())
+            for row in zip(*batch.columns, strict=True):
+                held.add(*(x.as_py() for x in row))
                 if held.chars >= block_chars:
                     yield _batch(list(held.rows(first + n, shares)))
                     n, held = n + 1, _Block()
@@ -153,7 +155,7 @@ def _join_block(table: pa.Table, pieces: list[str]) -> pa.Table:
             docs = unpack(payload)
         else:
             found[share] = unpack(payload)
-    doc, valid, counts, seq, often = docs
+    doc, valid, counts, seq, often, *places = docs
     lens = np.concatenate([np.empty(0, np.uint32), *(found[x][0] for x in sorted(found))]).astype(np.int64)
     ids = np.concatenate([np.empty(0, np.uint32), *(found[x][1] for x in sorted(found))])
     if len(seq) and len(lens) <= int(seq.max()):
@@ -180,11 +182,12 @@ def _join_block(table: pa.Table, pieces: list[str]) -> pa.Table:
             "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())),
             "decoded": pa.array(decoded, pa.string()),
         }
+        | ({"place": pa.array(places[0], pa.int64())} if places else {})
     )
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_json: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, ids array<int>, decoded string of each row."""
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_json: str | None = None, block_chars: int = BLOCK_CHARS, place_col: str | None = None) -> DataFrame:
+    """doc_id, ids array<int>, decoded string of each row; with ``place_col`` (never null) also that as place long."""
     spark = df.sparkSession
     if tokenizer_json is None:
         with open(vocabulary_path(), encoding="utf-8") as f:
@@ -192,8 +195,9 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = _tokenizer(tokenizer_json)
     pieces = spark.sparkContext.broadcast([t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))])
     shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = split_words(texts_of(df, id_col, text_col), shares, block_chars).repartition("share")
-    return encode_words(asked, tokenizer_json).groupBy("block").applyInArrow(lambda table: _join_block(table, pieces.value), "doc_id long, ids array<int>, decoded string")
+    docs = texts_of(df, id_col, text_col) if place_col is None else df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{place_col}`").cast("long").alias("place"))
+    asked = split_words(docs, shares, block_chars).repartition("share")
+    return encode_words(asked, tokenizer_json).groupBy("block").applyInArrow(lambda table: _join_block(table, pieces.value), "doc_id long, ids array<int>, decoded string" + ", place long" * (place_col is not None))
 
 
 def decode(df: DataFrame, key_cols: tuple[str, ...], ids_col: str = "ids", tokenizer_json: str | None = None) -> DataFrame:
