@@ -1,10 +1,11 @@
 """Secrets by dictionary-primed zstandard novelty.
 
 Base rules give the spans that always stand. Further candidates are opaque strings (16 characters
-or more from the base64 and hexadecimal alphabets, with letters and digits) close after a sensitive
-word. For each the marginal cost is measured: the compressed bytes of context plus candidate less
+or more from the base64 and hexadecimal alphabets, with letters and digits) within ``REACH`` of a
+sensitive word, before or after it, and those on lines that follow one another from such a string,
+as in a key block. For each the marginal cost is measured: the compressed bytes of context plus candidate less
 those of the context alone, by a compressor primed with a dictionary of identifiers and the text
-around the candidate. Ordinary identifiers and words compress to little; a string that costs at
+around the candidate, out of which copies of the candidate itself are taken. Ordinary identifiers and words compress to little; a string that costs at
 least ``novelty`` bytes a character is reported. The limit is above what dictionary words cost and
 below the 6 bits a character of random base64 and the 4 bits of random hexadecimal.
 
@@ -25,7 +26,7 @@ from veritape.llm.common import sha256_hex, span_text, texts_of
 KINDS = ("assign", "access", "hex")
 NOVELTY = 0.45
 AROUND = 400
-REACH = 48
+REACH = 400
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,6 +35,9 @@ _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _WORDS = ("pass", "secret", "token", "api", "key", "auth", "bearer", "credential", "private", "pwd", "signature", "cookie", "session")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 
+_NEXT_LINE = re.compile(r"""[\s"'`\\,;>|#*.]{1,64}""")
+_LAST_LINE = re.compile(r"""[\x20\t"'`,;>|#*.]*(?:\r?\n|\\n)[\x20\t"'`>|#*]*([A-Za-z0-9+/]{1,15}={1,2}|[A-Za-z0-9+/]{1,15}(?=["'\\,;\s]{1,64}-----END))(?![A-Za-z0-9+/_=])""", re.ASCII)
+
 # Identifiers and words that code and prose use, for the compression dictionary.
 IDENTIFIERS = """
 import export return function class public private static const void string integer boolean number object array
@@ -48,7 +52,7 @@ http https www com org net html json yaml xml utf-8 ascii base64 sha256 sha1 md5
 true false null none undefined abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789
 """.strip().encode()
 
-_DICT: zstandard.ZstdCompressionDict | None = None
+_PRESS: zstandard.ZstdCompressor | None = None
 
 
 def lowered(text: str) -> str:
@@ -70,37 +74,61 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
 
 def marginal_bytes(before: str, candidate: str) -> int:
     """What ``candidate`` adds to the compressed size of ``before``, with the identifier dictionary."""
-    global _DICT
-    if _DICT is None:
-        _DICT = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=9, dict_data=_DICT, write_content_size=False, write_checksum=False)
-    return len(press.compress((before + candidate).encode("utf-8", "surrogatepass"))) - len(press.compress(before.encode("utf-8", "surrogatepass")))
+    global _PRESS
+    if _PRESS is None:
+        _PRESS = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+    return len(_PRESS.compress((before + candidate).encode("utf-8", "surrogatepass"))) - len(_PRESS.compress(before.encode("utf-8", "surrogatepass")))
+
+
+def surroundings(text: str, s: int, e: int) -> str:
+    """``AROUND`` characters on either side of text[s:e], without copies of it, even those that the edge cuts."""
+    x, gone = text[s:e], "\0" * (e - s)
+    before = text[max(0, s - AROUND - (e - s)) : s].replace(x, gone)[-AROUND:]
+    return (before + text[e : e + AROUND + e - s].replace(x, gone)[:AROUND]).replace("\0", "")
+
+
+def reached(text: str, low: str) -> list[list[tuple[int, int]]]:
+    """Blocks of opaque strings on adjacent lines of which one lies within ``REACH`` of a sensitive word."""
+    near: list[list[int]] = []
+    for s, e in sorted((m.start(), m.end()) for word in _WORDS for m in re.finditer(word, low)):
+        if near and s - REACH <= near[-1][1]:
+            near[-1][1] = max(near[-1][1], e + REACH)
+        else:
+            near.append([s - REACH, e + REACH])
+    blocks: list[list[tuple[int, int]]] = []
+    for m in _OPAQUE.finditer(text) if near else ():
+        gap = text[blocks[-1][-1][1] : m.start()] if blocks else ""
+        if len(gap) <= 64 and ("\n" in gap or "\\" in gap) and _NEXT_LINE.fullmatch(gap):
+            blocks[-1].append(m.span())
+        else:
+            blocks.append([m.span()])
+    at, out = 0, []
+    for block in blocks:
+        for s, e in block:
+            while at < len(near) and near[at][1] < s:
+                at += 1
+            if at < len(near) and near[at][0] <= e:
+                out.append(block)
+                break
+    return out
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float = NOVELTY, low: str | None = None) -> list[tuple[int, int, int]]:
-    """Opaque strings that start within ``REACH`` of a sensitive word and stay costly beside their surroundings. They get the kind assign."""
+    """Opaque strings that :func:`reached` gives and that stay costly beside their surroundings. They get the kind assign."""
     low = lowered(text) if low is None else low
-    ends = set()
-    for word in _WORDS:
-        at = low.find(word)
-        while at >= 0:
-            ends.add(at + len(word))
-            at = low.find(word, at + 1)
-    found: dict[int, int] = {}
-    for end in sorted(ends):
-        for m in _OPAQUE.finditer(text, max(0, end - 1), end + REACH + 4096):
-            if m.start() > end + REACH:
-                break
-            found[m.start()] = m.end()
     out = []
-    for s, e in found.items():
-        m = _OPAQUE.match(text, s)  # the whole string, however long
-        e, x = m.end(), m[0]
-        if not (re.search("[0-9]", x) and re.search("[A-Za-z]", x)) or any(bs < e and s < be for bs, _, be in base):
+    for block in reached(text, low):
+        whole = "".join(text[s:e] for s, e in block)
+        if not (re.search("[0-9]", whole) and re.search("[A-Za-z]", whole)):
             continue
-        around = text[max(0, s - AROUND) : s] + text[e : e + AROUND]
-        if marginal_bytes(around, x) >= novelty * (e - s):
-            out.append((s, 0, e))
+        costly = False
+        for s, e in block:
+            costly = marginal_bytes(surroundings(text, s, e), text[s:e]) >= novelty * (e - s)
+            if costly and not any(bs < e and s < be for bs, _, be in base):
+                out.append((s, 0, e))
+        last = _LAST_LINE.match(text, block[-1][1]) if costly else None  # too short for a string of its own
+        if last and not any(bs < last.end(1) and last.start(1) < be for bs, _, be in base):
+            out.append((last.start(1), 0, last.end(1)))
     return out
 
 
