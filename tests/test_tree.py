@@ -84,6 +84,31 @@ def test_whole_analysis(spark, root, tmp_path):
     assert service.validate({"company": " "})[1] and service.validate({"company": "a", "mode": "x"})[1] and service.validate({"company": "a"})[0]["mode"] == "full"
 
 
+def test_explanations_from_retrieval(spark, root, tmp_path):
+    """The context is what is nearest to the query, not the first sentences; a repair run asks again and keeps what it has no answer for."""
+    store = Store(spark, str(tmp_path / "store"))
+    near = "Alpha financial performance earnings guidance growth decline margins."
+    texts = [f"Sentence number {i} speaks of quite other things today." for i in range(20)] + [near, near]
+    vectors = spark.createDataFrame([(f"v{i:02}", t, {"company": "Alpha"}) for i, t in enumerate(texts)], "id string, document string, metadata map<string,string>").withColumns({"embedding": hashed_embedding(F.col("document")), "company": F.lit("Alpha")})
+    names = spark.createDataFrame([("Alpha", "Alpha"), ("None", "None")], "company string, name string")
+    made = {r.company: r for r in analysis.explain(vectors, names, hashed_embedding, lambda c: c).collect()}
+    assert made["Alpha"].explanation.split("\n")[0] == f"- {near}" and made["Alpha"].explanation.count(near) == 1 and made["Alpha"].answered
+    assert made["None"].explanation == analysis.EMPTY_ANSWER and not made["None"].answered
+    analysis.run(spark, root, store, answer=lambda c: F.concat(F.lit("SUMMARY: first\nPOS: a\n"), F.lit("")))
+    before = {(r.company_id, r.mode): json.loads(r.result_json) for r in store.read("analysis_cache").collect()}
+    analysis.rebuild(store)
+    assert {(r.company_id, r.mode): json.loads(r.result_json) for r in store.read("analysis_cache").collect()} == before
+    analysis.rebuild(store, answer=lambda c: F.when(F.contains(c, F.lit("revenue")), F.lit("SUMMARY: second\nPOS: b\nNEG: c\nNEG: d")))
+    after = {(r.company_id, r.mode): json.loads(r.result_json) for r in store.read("analysis_cache").collect()}
+    for (company, mode), old in before.items():
+        new = after[company, mode]
+        if company == 1:
+            assert (new["explanation"], new["verdict"], [x["body"] for x in new["negative_signals"]], new["mode"]) == ("second", "Negative", ["c", "d"], mode)
+            assert new["metrics"] == old["metrics"] and new["claims"] == old["claims"]
+        else:
+            assert new == old
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps({"company": "C", "quarter": "2024-Q1", "raw_text": CALL.replace("\n", " ")}))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritape.functions.numbers import signal_class, squared_distance
-from veritape.functions.text import is_noise
+from veritape.functions.text import context_lines, is_noise
 from veritape.operators.dedup import first_wins
 
 SUFFIX_EXPLAIN = "growth decline guidance margins"  # fixed values: words added to a query before it is embedded
@@ -27,6 +27,17 @@ def retrieve_context(vectors: DataFrame, query: list[float], k: int = 6, where:
     return unique.where(~is_noise(F.col(doc_col))).orderBy("distance", id_col).limit(k)
 
 
+def company_contexts(vectors: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
+    """company, context: :func:`retrieve_context` for each company's own ``query`` over its own rows, joined to lines. ``vectors`` has the company as a column."""
+    order = [F.col("distance").asc_nulls_last(), F.asc("id")]
+    w = Window.partitionBy("company").orderBy(*order)
+    own = vectors.join(queries, "company").withColumn("distance", squared_distance(F.col("embedding"), F.col("query").cast("array<double>"))).drop("query", "embedding")
+    near = own.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= 2 * k)
+    unique = first_wins(near.drop("__rn"), ["company", "document"], order).where(~is_noise(F.col("document")))
+    best = unique.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+    return best.groupBy("company").agg(context_lines(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "document"))), lambda x: x.document)).alias("context"))
+
+
 def signal_top_k(vectors: DataFrame, query: list[float], k: int = 8, where: Column | None = None, id_col: str = "id", doc_col: str = "document") -> DataFrame:
     """Of four times ``k`` nearest, unique and without noise, the ``k`` best of each signal class."""
     near = first_wins(top_k(vectors, query, 4 * k, where, id_col), [doc_col], [F.asc("distance"), F.asc(id_col)]).where(~is_noise(F.col(doc_col)))

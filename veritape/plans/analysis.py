@@ -8,11 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritape.functions.text import parse_answer
+from veritape.functions.numbers import verdict_label
+from veritape.functions.text import display_name, parse_answer
 from veritape.models import hashed_embedding, lexical_logits, model_claims
 from veritape.operators.claims import attributes, explode_sentences, rule_claims
 from veritape.operators.dedup import first_nonempty
-from veritape.operators.payload import assemble, overlay_json
+from veritape.operators.payload import assemble, signals
+from veritape.operators.retrieval import SUFFIX_EXPLAIN, company_contexts
 from veritape.operators.risk import aggregate_risk
 from veritape.operators.timeseries import features, pivot_metrics
 from veritape.operators.verify import verify
@@ -22,6 +24,7 @@ from veritape.sinks import Store
 from veritape.sources.tree import transcripts
 from veritape.sources.xbrl import filings
 
+QUERY = "financial performance earnings guidance financial performance"  # fixed value: follows the company's name, before the suffix
 EMPTY_ANSWER = "Insufficient transcript data available to synthesize an analysis."  # fixed value
 
 
@@ -74,7 +77,10 @@ def run(spark: SparkSession, root: str, store: Store, company: str | None = None
         store.replace_company_rows(name, rows.select(*typed))
     order = [c for c in ("folder", "quarter", "pos") if c in a.sentences.columns]
     store.append_vectors(a.sentences, embed(F.col("sentence")), order)
-    payload = assemble(a.series, a.risk, _typed_claims(a.claims), explain(a.sentences, answer), ["quarter", "sentence", "metric"])
+    vectors = spark.read.parquet(f"{store.root}/vectors").withColumn("company", F.col("metadata")["company"])
+    names = a.sentences.select("company").distinct().withColumn("name", display_name(F.col("company"), strict=False))
+    explained = explain(vectors, names, embed, answer).drop("answered")
+    payload = assemble(a.series, a.risk, _typed_claims(a.claims), explained, ["quarter", "sentence", "metric"])
     store.save_analysis(keyed(payload).select("company_id", "mode", "result_json", F.expr("unix_micros(current_timestamp())").alias("seq")))
     store.upsert_companies(folders.select("folder_name", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.expr("unix_micros(current_timestamp())").alias("seq")))
     return a
@@ -87,32 +93,40 @@ def _typed_claims(claims: DataFrame) -> DataFrame:
     return claims
 
 
-def explain(sentences: DataFrame, answer: Callable[[Column], Column] | None, k: int = 6) -> DataFrame:
-    """company, explanation, positive, negative. A company's context is its ``k`` first sentences that are no noise; without a model or context the fixed answer stands."""
-    from pyspark.sql import Window
+def explain(vectors: DataFrame, companies: DataFrame, embed: Callable[[Column], Column], answer: Callable[[Column], Column] | None, k: int = 6) -> DataFrame:
+    """company, explanation, positive, negative, answered.
 
-    from veritape.functions.text import context_lines, is_noise
-
-    order = [c for c in ("folder", "quarter", "pos") if c in sentences.columns]
-    w = Window.partitionBy("company").orderBy(*order)
-    head = sentences.where(~is_noise(F.col("sentence"))).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-    context = head.groupBy("company").agg(context_lines(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "sentence"))), lambda x: x.sentence)).alias("context"))
-    rows = sentences.select("company").distinct().join(context, "company", "left")
-    if answer is None:
-        empty = F.array().cast("array<string>")
-        return rows.select("company", F.lit(EMPTY_ANSWER).alias("explanation"), empty.alias("positive"), empty.alias("negative"))
-    parsed = rows.withColumn("__a", F.when(F.col("context").isNotNull(), parse_answer(answer(F.col("context")))))
+    ``companies``: company and the name that its query holds. Its context are the rows of ``vectors`` (with the company as
+    a column) nearest to the query. Without a model, a context or an answer the fixed answer stands and ``answered`` is false.
+    """
     none = F.array().cast("array<string>")
-    return parsed.select("company", F.coalesce("__a.explanation", F.lit(EMPTY_ANSWER)).alias("explanation"), F.coalesce("__a.positive", none).alias("positive"), F.coalesce("__a.negative", none).alias("negative"))
+    if answer is None:
+        return companies.select("company", F.lit(EMPTY_ANSWER).alias("explanation"), none.alias("positive"), none.alias("negative"), F.lit(False).alias("answered"))
+    queries = companies.select("company", embed(F.concat(F.col("name"), F.lit(f" {QUERY} {SUFFIX_EXPLAIN}"))).alias("query"))
+    asked = companies.select("company").join(company_contexts(vectors, queries, k), "company", "left")
+    parsed = asked.withColumn("__a", F.when(F.col("context").isNotNull(), parse_answer(answer(F.col("context")))))
+    made = F.coalesce(F.col("__a.explanation") != "", F.lit(False))
+    return parsed.select("company", F.coalesce("__a.explanation", F.lit(EMPTY_ANSWER)).alias("explanation"), F.coalesce("__a.positive", none).alias("positive"), F.coalesce("__a.negative", none).alias("negative"), made.alias("answered"))
 
 
-def rebuild(store: Store, embed: Callable[[Column], Column] = hashed_embedding) -> int:
-    """Vectors and refreshed payload signals from the stored claims of ready companies; returns the number of vectors."""
-    ready = store.read("companies").where("status = 'ready'").select(F.col("id").alias("company_id"), F.col("display_name").alias("company"))
+def rebuild(store: Store, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None) -> int:
+    """Vectors from the stored claims of ready companies that have none, and explanation, signals and verdict of all modes
+    asked anew over the stored vectors; returns the number of vectors. A company without claims or an answer keeps its payloads.
+    """
+    ready = store.read("companies").where("status = 'ready'").select(F.col("id").alias("company_id"), F.col("display_name").alias("company"), "folder_name")
     claims = store.read("claims").where("length(sentence) > 0").join(ready, "company_id")
     n = store.append_vectors(claims.withColumn("result", F.coalesce("result", F.lit("None"))), embed(F.col("sentence")), ["quarter", "sentence", "metric"])
-    fresh = store.read("analysis_cache").where("mode = 'full'").join(ready, "company_id").select("company_id", "result_json")
-    patch = F.to_json(F.struct(F.lit(EMPTY_ANSWER).alias("explanation")))
-    modes = fresh.select("company_id", F.explode(F.array(*[F.lit(m) for m in ("full", "earnings", "financial")])).alias("mode"), overlay_json(F.col("result_json"), patch).alias("result_json"), F.expr("unix_micros(current_timestamp())").alias("seq"))
-    store.save_analysis(modes)
+    if answer is None:
+        return n
+    asked = ready.join(claims.select("company_id").distinct(), "company_id", "left_semi")
+    names = asked.select("company_id", F.explode(F.array_distinct(F.array("company", "folder_name"))).alias("__stored"))  # vectors bear the one or the other
+    vectors = store.spark.read.parquet(f"{store.root}/vectors").withColumn("__stored", F.col("metadata")["company"]).join(names, "__stored").withColumn("company", F.col("company_id"))
+    explained = cut(explain(vectors, asked.select(F.col("company_id").alias("company"), F.col("company").alias("name")), embed, answer).where("answered").withColumnRenamed("company", "company_id"), "explained")
+    old = store.read("analysis_cache").where("mode = 'full'").select("company_id", "result_json")
+    modes = explained.join(old, "company_id", "left").withColumn("mode", F.explode(F.array(*[F.lit(m) for m in ("full", "earnings", "financial")])))
+    patch = F.to_json(F.struct("mode", signals(F.col("positive"), "P").alias("positive_signals"), signals(F.col("negative"), "N").alias("negative_signals"), "explanation", verdict_label(F.size("positive"), F.size("negative")).alias("verdict")))
+    as_map = lambda c: F.from_json(F.coalesce(c, F.lit("{}")), "map<string,variant>")
+    rows = modes.withColumns({"__old": as_map(F.col("result_json")), "__new": as_map(patch)})
+    kept = F.map_filter("__old", lambda key, _: ~F.array_contains(F.map_keys("__new"), key))
+    store.save_analysis(rows.select("company_id", "mode", F.to_json(F.map_concat(kept, "__new")).alias("result_json"), F.expr("unix_micros(current_timestamp())").alias("seq")))
     return n
