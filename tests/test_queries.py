@@ -42,3 +42,13 @@ def test_rows_only(spark):
     names = [r.n_name for r in spark.read.parquet(f"{SF}/nation.parquet").collect()]
     want = difflib.get_close_matches("natoin-7", [n.lower() for n in sorted(names)], n=1, cutoff=0.5)
     assert [r.n_name.lower() for r in best] == want
+
+
+def test_queries_in_blocks(spark):
+    from veritape.operators.retrieval import batch_top_k
+
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 200").select("vec_id", "embedding")
+    q = v.where("vec_id % 10 = 0").selectExpr("vec_id query_id", "embedding query")
+    whole, parts = batch_top_k(v, q, 3, "vec_id"), batch_top_k(v, q, 3, "vec_id", max_queries=8)
+    assert parts.columns == whole.columns and whole.count() == 3 * q.count() > 24
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))

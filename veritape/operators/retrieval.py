@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritape.functions.numbers import signal_class, squared_distance
 from veritape.functions.text import context_lines, is_noise
 from veritape.operators.dedup import first_wins
+from veritape.session import cut
 
 SUFFIX_EXPLAIN = "growth decline guidance margins"  # fixed values: words added to a query before it is embedded
 SUFFIX_DIAGNOSE = "guidance miss"
@@ -47,10 +50,17 @@ def signal_top_k(vectors: DataFrame, query: list[float], k: int = 8, where: Colu
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query", max_queries: int = 1024) -> DataFrame:
-    """The ``k`` nearest rows for each of at most ``max_queries`` queries (checked). Each task keeps k rows a query before anything moves."""
-    n = queries.limit(max_queries + 1).count()
+    """The ``k`` nearest rows for each query. Each task keeps k rows a query before anything moves.
+
+    Over ``max_queries`` queries are taken in blocks of about two thirds as many, by the hash of their id; each block's
+    result is written, so that one block at a time is broadcast.
+    """
+    n = queries.count()
     if n > max_queries:
-        raise ValueError(f"over {max_queries} queries; split them into blocks")
+        blocks = -(-3 * n // (2 * max_queries))
+        held = cut(queries.withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(blocks))), "queries")
+        parts = [cut(batch_top_k(vectors, held.where(F.col("__block") == b).drop("__block"), k, id_col, vec_col, query_id, query_vec, n), "nearest") for b in range(blocks)]
+        return reduce(DataFrame.unionAll, parts)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("__q"))
     pairs = vectors.crossJoin(F.broadcast(q)).withColumn("distance", squared_distance(F.col(vec_col), F.col("__q"))).drop("__q")
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
