@@ -339,17 +339,49 @@ def test_jaccard(spark, docs, rows, width, num, den, wide, monkeypatch):
         for j in rng.integers(0, 120, rng.integers(0, 8)):
             words[j] = f"v{rng.integers(0, 1000)}"
         near.append((920000 + i, " ".join(words).upper() if i % 2 else " ".join(words)))
+    a, b = (" ".join(f"{x}{i}" for i in range(120)) for x in "ab")
+    near += [(930001, a), (930001, b), (930001, b), (930002, f"{a} end"), (930003, f"{b} end"), (930004, a + "\n"), (930005, ""), (930005, "some words of its own")]
     df = docs.select("doc_id", "text", "n", "key").unionByName(spark.createDataFrame(near, "doc_id long, text string"), allowMissingColumns=True)
-    sets: dict = {}
+    sets = []
     for d, t, *_ in [*rows, *near]:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
-        sets[d] = frozenset(zip(*[w[i:] for i in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else [])
-    ids = [d for d in sets if d is not None]
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+        sets.append((d, t, frozenset(zip(*[w[i:] for i in range(width)])) if len(w) >= width else frozenset([tuple(w)] if w else [])))
+    close = lambda x, y: bool(x) and bool(y) and den * len(x & y) >= num * len(x | y)
+    ids = [d for d, *_ in sets if d is not None]
+    links = [(d, e) for i, (d, _, x) in enumerate(sets) for e, _, y in sets[:i] if d is not None and e is not None and close(x, y)]
     want = components(links, ids)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(df, width=width, num=num, den=den, frequent=20).collect()}
-    assert got == {d: (len(s), want.get(d)) for d, s in sets.items()}
-    assert len(links) > 50
+    found = jaccard.components(df, width=width, num=num, den=den, classes=((0.02, 2), (0.1, 3)), least_frequent=4).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == collections.Counter((d, len(s), want.get(d)) for d, _, s in sets)
+    assert len(links) > 50 and want[930003] == 930001
+    # one row of each component of texts; rows of one id are apart where their texts are
+    real = [(d, t or "", s) for d, t, s in sets if d is not None and s]
+    texts = components([(i, j) for i, (_, _, x) in enumerate(real) for j in range(i) if close(x, real[j][2])], range(len(real)))
+    least = collections.defaultdict(set)
+    for i, (d, t, _) in enumerate(real):
+        least[texts[i]].add((d, t))
+    kept = collections.Counter((r.doc_id, r.text or "") for r in jaccard.first_rows(df, width=width, num=num, den=den).collect())
+    assert sum(kept.values()) == len(least) + sum(d is None or not s for d, _, s in sets)
+    for group in least.values():
+        of = [x for x in group if x in kept]
+        assert len(of) == 1 and of[0][0] == min(d for d, _ in group) and kept[of[0]] == 1
+    assert jaccard.components(df.where("false")).count() == 0 and jaccard.first_rows(df.where("false")).count() == 0
+
+
+def test_combinations():
+    """Two sets that share enough tokens share a key, whatever the classes of the tokens."""
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        limits = [[(20, 2)], [(10, 2), (30, 3)], [(15, 3)]][trial % 3]
+        counts = np.sort(rng.integers(1, 50, 30))
+        tok = rng.permutation(np.arange(30)) + 100
+        need = int(rng.integers(3, 12))
+        keys = []
+        common = set(rng.choice(30, need, replace=False).tolist())
+        for side in (0, 1):
+            has = np.array([i for i in range(30) if i in common or (rng.random() < 0.4 and i % 2 == side)])
+            left = len(has) - need + 1
+            keys.append({int(k) for found, _ in jaccard.combined(counts[has][: left + 2], tok[has][: left + 2], left, left, limits) for k in found})
+        assert keys[0] & keys[1]
 
 
 def test_language(spark, docs, rows):

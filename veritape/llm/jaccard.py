@@ -3,37 +3,47 @@
 Two documents link when their sets of word shingles have Jaccard similarity ``num / den`` or more.
 Tokens are 64-bit shingle hashes; equal sets are one node from the start.
 
+Near copies first. Each set meets the first set that shares one of its ``FIRST`` least hashes, and
+what these comparisons link is one group from then on. That costs a set at most ``FIRST``
+comparisons, so groups of thousands of near copies are joined at the price of a link each, and the
+search below only has to find links between different groups.
+
 Candidates. Let a set have n tokens. A partner misses at most n - ceil(t n) of them, so among the
-``m = n - ceil(t n) + k`` tokens of least hash (the extended prefix) it shares k or more. These
-prefixes are counted once, which gives each token its number of sets. Sorted by that number, the
-first ``m - k + 1`` tokens must hold a shared one. Rare tokens index a set singly; a token found
-once needs no entry, though it uses up its place. If the first shared token is frequent (over
-``frequent`` sets), so are all later ones: frequent tokens index in combinations of two, from a
-prefix one longer. (k is taken for the smallest possible partner.) A passage that many documents
-share holds fewer than k of a prefix in all but the shortest, and so indexes nothing.
-
-Links. In a bucket of the index every set is first compared with the bucket's smallest id only, so
-a group of thousands of near copies costs a link each, not all pairs. Buckets that then still hold
-more than one component go two ways. Narrow ones compare sets across components, except where the
-distances to the common first member rule a link out (Jaccard distance is a metric). The sets of
-wide ones are indexed once more, by all their tokens, counted among these sets alone: loosely similar
-documents have enough tokens of their own to fill the short prefix that a full count allows, and so
-part without being compared. There the smaller set of a pair needs only the first n - ceil(2t/(1+t) n) + 1
-tokens of its order, since its partner is no smaller. No bucket is capped.
+``m = n - ceil(t n) + k`` tokens of least hash (the extended prefix) it shares k or more. Of these,
+tokens that only one group has can't be shared with another group; they need no entry, though they
+use up their place. The others are put in the order of the number of groups that have them: among
+the first ``m - k + 1`` there must be a shared one, and the j-th shared one is among the first
+``m - k + j``. The number of groups also gives a token its class, by shares of all groups
+(``classes``): rare tokens index a set singly; if the first shared token is frequent, so are all
+later ones, and such tokens index in combinations of two, the most frequent in combinations of
+three, each from a prefix that is longer by the size of the combination less one. (k is taken for
+the smallest possible partner.) A passage that many documents share holds fewer than k of a prefix
+in all but the shortest, and so indexes nothing.
+
+Links. In a bucket of the index every set is first compared with the bucket's first set only.
+Buckets that then still hold more than one group go two ways. Narrow ones compare sets across
+groups, except where the distances to the common first member rule a link out (Jaccard distance is
+a metric). The sets of wide ones are indexed once more, by all their tokens, counted among these
+sets alone: loosely similar documents have enough tokens of their own to fill the short prefix that
+a full count allows, and so part without being compared. There the smaller set of a pair needs only
+the first n - ceil(2t/(1+t) n) + 1 tokens of its order, since its partner is no smaller. No bucket
+is capped.
 
 Verification. The hashed prefixes bound the overlap of a pair exactly from above; pairs that survive
 are decided on the full sets, built anew from the texts of just these documents and brought
-together by (first id, chunk of partners).
+together by (first set, chunk of partners, by their sizes).
 
 Null, empty and wordless texts have no tokens and link with nothing; texts shorter than a shingle
-are one token. Rows with a null id keep their size and get a null component. Rows that repeat an id
-are one document to the components.
+are one token. Rows with a null id keep their size and get a null component. Rows that repeat an id,
+with the same text or another, are one document to the components; :func:`first_rows` keeps texts
+apart instead. Intermediate tables are deleted as soon as their last reader is done.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +51,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import connected_components, cut, texts_of
+from veritape.llm.common import connected_components, cut, drop_cut
 
-FREQUENT = 512
+FIRST = 3  # least hashes by which near copies are found
+CLASSES = ((0.01, 2), (0.1, 3))  # tokens in over this share of all groups index in combinations of so many
+LEAST_FREQUENT = 512  # groups that a frequent token has at least
 LEAST_K = 32
-WIDE = 64  # members from which a bucket of several components is indexed again on full sets
+WIDE = 64  # members from which a bucket of several groups is indexed again on full sets
 BROADCAST_ROWS = 1_000_000
-CHUNK = 128
+CHUNK_TOKENS = 1 << 20
+INDEX_ROWS = 1 << 16  # that a task holds at a time
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -93,17 +106,23 @@ def lengths(n: int, num: int, den: int) -> tuple[int, int]:
     return n - _ceil(num, den, n) + _k(n, num, den), _k(_ceil(num, den, n), num, den)
 
 
-def sets(df: DataFrame, width: int, num: int, den: int, full: bool = False) -> DataFrame:
-    """doc_id, n, sig, m, k, ks and the extended prefix (``full``: the whole set) of (doc_id, text) rows.
+def least_size(num: int, den: int) -> int:
+    """Smaller sets link with no other set than their own."""
+    return -(-num // (den - num)) if den > num else 1 << 62
+
+
+def sets(rows: DataFrame, width: int, num: int, den: int, full: bool = False) -> DataFrame:
+    """The columns of ``rows`` but its last, the text; then n, sig, m, k, ks and the extended prefix (``full``: the whole set).
 
     k: how many of the m tokens a partner's list shares at least; ks: the same for partners no smaller than the set.
     """
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
             n, sig, m, k, ks, low = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 s = shingles(text, width, known)
                 a, b = (0, 0) if not len(s) else (len(s), _ceil(num, den, len(s))) if full else lengths(len(s), num, den)
                 n.append(len(s))
@@ -114,122 +133,281 @@ def sets(df: DataFrame, width: int, num: int, den: int, full: bool = False) -> D
                 low.append(s[:a].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in low]))).astype(np.int32)
             flat = np.concatenate(low) if low else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(ks, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "sig", "m", "k", "ks", "low"])
-
-    return df.mapInArrow(run, "doc_id long, n long, sig binary, m int, k int, ks int, low array<long>")
-
-
-def index_rows(reps: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(key, rid, n, short): the sets' rare tokens and combinations of frequent ones, of those in two sets or more.
+            made = [pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(ks, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*kept, "n", "sig", "m", "k", "ks", "low"])
 
-    Of a pair that links, some key is in both, and short in the smaller set. Buckets without a short member are left out.
-    """
-    each = reps.select("rid", F.explode("low").alias("tok"))
-    counts = each.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
-    shared = each.join(counts, "tok").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
-    # the tokens found once come first in the order by count, and have no partner
-    place = shared.join(reps.select("rid", "n", "m", "k", "ks"), "rid").withColumn("left", F.size("toks") - F.col("k") + 1).withColumn("near", F.size("toks") - F.col("ks") + 1).where("left > 0")
-    numbered = lambda upto: F.transform(F.slice("toks", 1, upto), lambda x, i: F.struct(x.c.alias("c"), x.tok.alias("tok"), i.alias("i")))
-    rare = F.transform(F.filter(numbered(F.col("left")), lambda x: x.c <= frequent), lambda x: F.struct(x.tok.alias("key"), (x.i < F.col("near")).alias("short")))
-    hot = F.filter(numbered(F.col("left") + 1), lambda x: x.c > frequent)
-    split = place.select("rid", "n", "near", rare.alias("rare"), hot.alias("hot"))
-    later = lambda i: F.slice("hot", i + 2, F.greatest(F.size("hot") - i - 1, F.lit(0)))
-    pairs = F.flatten(F.transform("hot", lambda x, i: F.transform(later(i), lambda y: F.struct(F.xxhash64(x.tok, y.tok).alias("key"), (y.i < F.col("near") + 1).alias("short")))))
-    rows = split.select("rid", "n", F.explode(F.when(F.size("hot") > 1, F.concat("rare", pairs)).otherwise(F.col("rare"))).alias("e")).select("e.key", "rid", "n", "e.short")
-    useful = rows.groupBy("key").agg(F.max("short").alias("any"), F.count("*").alias("c")).where("any and c > 1").select("key")
-    return rows.join(useful, "key", "left_semi")
-
-
-def _bounds(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, na, nb, most: at most so many tokens are in both sets, from the extended prefixes."""
-    side = lambda x: reps.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("low").alias(f"l{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            na, nb = t["na"].to_numpy(), t["nb"].to_numpy()
-            most = np.empty(len(na), np.int64)
-            for i, (x, y) in enumerate(zip(t["la"], t["lb"], strict=True)):
-                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-                top = min(x[-1] if len(x) < na[i] else np.uint64(2**64 - 1), y[-1] if len(y) < nb[i] else np.uint64(2**64 - 1))
-                x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
-                most[i] = len(np.intersect1d(x, y, assume_unique=True)) + min(na[i] - len(x), nb[i] - len(y))
-            yield pa.RecordBatch.from_arrays([t["a"], t["b"], t["na"], t["nb"], pa.array(most)], ["a", "b", "na", "nb", "most"])
-
-    return both.mapInArrow(run, "a long, b long, na long, nb long, most long")
+    schema = "".join(f"{c} long, " for c in kept) + "n long, sig binary, m int, k int, ks int, low array<long>"
+    return rows.mapInArrow(run, schema)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has at most ``BROADCAST_ROWS`` narrow rows; else Spark shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _overlaps(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """a, b, common: the number of common tokens of each pair, from the full sets."""
-    chunked = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1 << 30)).alias("h")).join(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "a").select("a", "b", (F.col("h") % F.col("chunks")).alias("chunk"))
-    needs = cut(chunked.select("a", "chunk", F.col("b").alias("doc_id"), F.lit(1).alias("side")).unionAll(chunked.select("a", "chunk", F.col("a").alias("doc_id"), F.lit(0).alias("side")).distinct()), "needs")
-    ids = small(needs.select("doc_id").distinct())
-    texts = docs.join(ids, "doc_id", "left_semi")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, width, known).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "tokens"])
-
-    full = texts.mapInArrow(build, "doc_id long, tokens binary")
-
-    def match(table: pa.Table) -> pa.Table:
-        first, rest = None, []
-        for doc, side, tokens in zip(table["doc_id"].to_pylist(), table["side"].to_pylist(), table["tokens"].to_pylist(), strict=True):
-            x = np.frombuffer(tokens, np.uint64)
-            if side:
-                rest.append((doc, x))
-            else:
-                first = x
-        found = []
-        for _, x in rest:
-            at = np.minimum(np.searchsorted(first, x), len(first) - 1)
-            found.append(int((first[at] == x).sum()))
-        a = table["a"][0].as_py()
-        return pa.table({"a": pa.array([a] * len(rest), pa.int64()), "b": pa.array([d for d, _ in rest], pa.int64()), "common": pa.array(found, pa.int64())})
-
-    return full.join(small(needs), "doc_id").groupBy("a", "chunk").applyInArrow(match, "a long, b long, common long")
-
-
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """a, b, linked, least and greatest Jaccard distance of each pair."""
-    bounds = cut(_bounds(pairs, reps, num, den), "bounds")
-    possible = f"{den} * most >= {num} * (na + nb - most)"
-    decided = _overlaps(bounds.where(possible).select("a", "b"), docs, width)
-    exact = bounds.where(possible).join(decided, ["a", "b"]).selectExpr("a", "b", f"{den} * common >= {num} * (na + nb - common) linked", "1D - common / (na + nb - common) dlo", "1D - common / (na + nb - common) dhi")
-    far = bounds.where(f"not ({possible})").selectExpr("a", "b", "false linked", "1D - most / (na + nb - most) dlo", "1D dhi")
-    return cut(exact.unionAll(far), "verified")
-
-
-def _first(index: DataFrame) -> DataFrame:
-    """Each bucket's smallest id and its set's size."""
-    return index.groupBy("key").agg(F.min(F.struct("rid", "n", "short")).alias("p")).select("key", F.col("p.rid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.short").alias("pshort"))
-
-
-def _placed(index: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return index.withColumn("comp", F.col("rid"))
-    return index.join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("component_id", "rid")).drop("component_id")
-
-
-def _star(index: DataFrame, reps: DataFrame, docs: DataFrame, comp: DataFrame | None, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Each set against the first of its buckets: the verified pairs, and labels of what is connected, ``comp`` included."""
-    rows = index.join(_first(index), "key").where(f"rid <> pivot and if(n < pn, short, pshort) and least(n, pn) * {den} >= greatest(n, pn) * {num}")
-    pairs = rows.select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
-    if comp is not None:  # pairs that are together already need no look
-        c = lambda x: comp.select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}"))
-        pairs = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    near = _verify(cut(pairs, "star"), reps, docs, width, num, den)
-    links = near.where("linked").select("a", "b")
-    if comp is not None:
-        links = links.unionAll(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
-    return near, cut(_labels(links), "labels")
+    """A written table, marked for broadcast if it has at most ``BROADCAST_ROWS`` narrow rows; else Spark shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+class _Scratch:
+    """Written tables that go when their last reader is done."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(cut(df, name))
+        return self.held[-1]
+
+    def drop(self, frames: list[DataFrame]) -> None:
+        for x in list(frames):
+            drop_cut(x)
+            self.held = [y for y in self.held if y is not x]
+
+    def since(self, before: list[DataFrame]) -> list[DataFrame]:
+        return [x for x in self.held if not any(x is y for y in before)]
+
+
+class _Join:
+    """One run: the sets, the texts to verify on, and the threshold."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, classes: tuple, least_frequent: int):
+        self.width, self.num, self.den, self.scratch = width, num, den, _Scratch()
+        least = least_size(num, den)
+        most = max(1, _k(_ceil(num, den, least), num, den)) if least < 1 << 62 else 1
+        self.classes = [(share, min(k, most)) for share, k in classes]
+        self.least_frequent = least_frequent
+        text = F.col(f"`{text_col}`").cast("string")
+        self.docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        put = self.scratch.put
+        numbered = self.docs.select("doc_id", "th", F.monotonically_increasing_id().alias("uid"), "text")
+        self.every = put(sets(numbered, width, num, den), "sets")
+        valid = self.every.where("n > 0 and doc_id is not null")
+        self.nodes = cut(valid.groupBy("sig").agg(F.min(F.struct("doc_id", "uid")).alias("f")).select("sig", F.col("f.uid").alias("node"), F.col("f.doc_id").alias("doc")), "nodes")
+        copies = put(valid.select("uid", "sig", "doc_id").join(self.nodes, "sig").where("uid <> node").select("uid", (F.col("doc_id") == F.col("doc")).alias("again")), "copies")
+        self.repeats = copies.where("again").limit(1).count() > 0  # the texts of some sets are there several times
+        reps = valid.join(small(copies.select("uid")), "uid", "left_anti")
+        self.reps = reps.select(F.col("uid").alias("rid"), "doc_id", "th", "n", "m", "k", "ks", "low").where(F.col("n") >= least)
+
+    def apart(self) -> str:
+        """SQL: two sizes that can't link."""
+        return f"least(n, pn) * {self.den} < greatest(n, pn) * {self.num}"
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(rid, text) of the sets in ``ids`` (rid), a written table."""
+        named = self.scratch.put(self.reps.select("rid", "doc_id", "th").join(small(ids), "rid", "left_semi"), "named")
+        found = self.docs.join(small(named), ["doc_id", "th"]).select("rid", "text")
+        return found.dropDuplicates(["rid"]) if self.repeats else found
+
+    def bounds(self, pairs: DataFrame) -> DataFrame:
+        """a, b, na, nb, most: at most so many tokens are in both sets, from the extended prefixes."""
+        side = lambda x: self.reps.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("low").alias(f"l{x}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+                na, nb = t["na"].to_numpy(), t["nb"].to_numpy()
+                most = np.empty(len(na), np.int64)
+                for i, (x, y) in enumerate(zip(t["la"], t["lb"], strict=True)):
+                    x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                    top = min(x[-1] if len(x) < na[i] else np.uint64(2**64 - 1), y[-1] if len(y) < nb[i] else np.uint64(2**64 - 1))
+                    x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+                    most[i] = len(np.intersect1d(x, y, assume_unique=True)) + min(na[i] - len(x), nb[i] - len(y))
+                yield pa.RecordBatch.from_arrays([t["a"], t["b"], t["na"], t["nb"], pa.array(most)], ["a", "b", "na", "nb", "most"])
+
+        return both.mapInArrow(run, "a long, b long, na long, nb long, most long")
+
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """a, b, common: the number of common tokens of each pair (a, b, nb), from the full sets."""
+        chunks = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / CHUNK_TOKENS).alias("chunks"))
+        chunked = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
+        needs = self.scratch.put(chunked.select("a", "chunk", F.col("b").alias("rid"), F.lit(1).alias("side")).unionAll(chunked.select("a", "chunk", F.col("a").alias("rid"), F.lit(0).alias("side")).distinct()), "needs")
+        width = self.width
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Words()
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, width, known).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["rid", "tokens"])
+
+        full = self.texts(self.scratch.put(needs.select("rid").distinct(), "ids")).mapInArrow(build, "rid long, tokens binary")
+
+        def match(table: pa.Table) -> pa.Table:
+            first, rest = None, []
+            for rid, side, tokens in zip(table["rid"].to_pylist(), table["side"].to_pylist(), table["tokens"].to_pylist(), strict=True):
+                x = np.frombuffer(tokens, np.uint64)
+                if side:
+                    rest.append((rid, x))
+                else:
+                    first = x
+            found = []
+            for _, x in rest:
+                at = np.minimum(np.searchsorted(first, x), len(first) - 1)
+                found.append(int((first[at] == x).sum()))
+            a = table["a"][0].as_py()
+            return pa.table({"a": pa.array([a] * len(rest), pa.int64()), "b": pa.array([d for d, _ in rest], pa.int64()), "common": pa.array(found, pa.int64())})
+
+        return full.join(small(needs), "rid").groupBy("a", "chunk").applyInArrow(match, "a long, b long, common long")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """a, b, linked, least and greatest Jaccard distance of each pair; a written table."""
+        before = list(self.scratch.held)
+        bounds = self.scratch.put(self.bounds(pairs), "bounds")
+        possible = f"{self.den} * most >= {self.num} * (na + nb - most)"
+        decided = self.overlaps(bounds.where(possible).select("a", "b", "nb"))
+        exact = bounds.where(possible).join(decided, ["a", "b"]).selectExpr("a", "b", f"{self.den} * common >= {self.num} * (na + nb - common) linked", "1D - common / (na + nb - common) dlo", "1D - common / (na + nb - common) dhi")
+        far = bounds.where(f"not ({possible})").selectExpr("a", "b", "false linked", "1D - most / (na + nb - most) dlo", "1D dhi")
+        out = cut(exact.unionAll(far), "verified")
+        self.scratch.drop(self.scratch.since(before))
+        self.scratch.held.append(out)
+        return out
+
+    def star(self, index: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """Each set (key, rid, n, short) against the first of its buckets, unless they are in one group: verified pairs."""
+        first = index.groupBy("key").agg(F.min(F.struct("rid", "n", "short")).alias("p"), F.max("rid").alias("last")).where("p.rid < last")
+        each = index.join(first.select("key", F.col("p.rid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.short").alias("pshort")), "key")
+        pairs = each.where(f"rid <> pivot and if(n < pn, short, pshort) and not ({self.apart()})").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
+        if comp is not None:
+            c = lambda x: small(comp).select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}"))
+            pairs = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
+        written = self.scratch.put(pairs, "star")
+        out = self.verify(written)
+        self.scratch.drop([written])
+        return out
+
+    def index_rows(self, reps: DataFrame, comp: DataFrame, sizes: int) -> DataFrame:
+        """(key, rid, n, short): rare tokens and combinations of frequent ones, of those in two groups or more; a written table.
+
+        Of a pair across groups that links, some key is in both, and short in the smaller set. Buckets without a short
+        member are left out, as are those of one group. ``sizes``: how many sets there are.
+        """
+        before = list(self.scratch.held)
+        group = small(comp).withColumnRenamed("id", "rid")
+        grouped = reps.join(group, "rid", "left").withColumn("comp", F.coalesce("component_id", "rid")).select("rid", "comp", "n", "m", "k", "ks", "low")
+        each = grouped.select("rid", "comp", F.explode("low").alias("tok"))
+        wide = self.scratch.put(each.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok"), "tokens")
+        shared = self.scratch.put(each.join(small(wide), "tok"), "shared")
+        counts = shared.select("tok", "comp").distinct().groupBy("tok").agg(F.count("*").alias("c"))
+        lists = shared.select("rid", "tok").join(small(self.scratch.put(counts, "counts")), "tok").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
+        place = lists.join(reps.select("rid", "n", "k", "ks"), "rid").select("rid", "n", (F.size("toks") - F.col("k") + 1).alias("left"), (F.size("toks") - F.col("ks") + 1).alias("near"), "toks").where("left > 0")
+        limits = [(max(self.least_frequent, share * sizes), k) for share, k in self.classes]
+        longest = max([1, *(k for _, k in limits)])
+        listed = place.select("rid", "n", "left", "near", F.transform(F.slice("toks", 1, F.col("left") + longest - 1), lambda x: x.c).alias("c"), F.transform(F.slice("toks", 1, F.col("left") + longest - 1), lambda x: x.tok).alias("tok"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = [[], [], [], []]
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], ["key", "rid", "n", "short"])
+                for x in held:
+                    x.clear()
+                return out
+
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    rid, n, left, near = (batch.column(i)[row].as_py() for i in range(4))
+                    c, tok = batch.column(4)[row].values.to_numpy(), batch.column(5)[row].values.to_numpy()
+                    for key, short in combined(c, tok, left, near, limits):
+                        for into, x in zip(held, (key, np.full(len(key), rid), np.full(len(key), n), short), strict=True):
+                            into.append(x)
+                        size += len(key)
+                        if size >= INDEX_ROWS:
+                            yield flush()
+                            size = 0
+            if size:
+                yield flush()
+
+        rows = self.scratch.put(listed.mapInArrow(run, "key long, rid long, n long, short boolean"), "keys")
+        placed = rows.join(group, "rid", "left").withColumn("comp", F.coalesce("component_id", "rid"))
+        useful = placed.groupBy("key").agg(F.max("short").alias("any"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("any and lo < hi").select("key")
+        out = cut(rows.join(useful, "key", "left_semi"), "index")
+        self.scratch.drop(self.scratch.since(before))
+        self.scratch.held.append(out)
+        return out
+
+    def mixed(self, index: DataFrame, comp: DataFrame, near: DataFrame) -> DataFrame:
+        """Members of the buckets with more than one group, with their group and distance to the bucket's first; a written table."""
+        placed = index.join(small(comp).withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("component_id", "rid")).drop("component_id")
+        some = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rid").alias("pivot")).where("lo < hi").select("key", "pivot")
+        known = placed.join(some, "key").join(near.selectExpr("a pivot", "b rid", "dlo", "dhi"), ["pivot", "rid"], "left")
+        return self.scratch.put(known.selectExpr("key", "rid", "n", "short", "comp", "pivot", "if(rid = pivot, 0D, coalesce(dlo, 0D)) dlo", "if(rid = pivot, 0D, coalesce(dhi, 1D)) dhi"), "members")
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """Pairs of a bucket's members from different groups that sizes and distances leave possible; the first was compared before."""
+        x, y = members.alias("x"), members.alias("y")
+        reach = (self.den - self.num) / self.den + 1e-9
+        on = f"x.key = y.key and x.comp < y.comp and if(x.n < y.n, x.short, y.short) and least(x.n, y.n) * {self.den} >= greatest(x.n, y.n) * {self.num} and x.dlo <= y.dhi + {reach}D and y.dlo <= x.dhi + {reach}D and x.rid <> x.pivot and y.rid <> y.pivot"
+        return x.join(y, F.expr(on)).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+
+    def links(self) -> DataFrame:
+        """(a, b) of nodes: a written table whose components are those of all links."""
+        put, free = self.scratch.put, self.scratch.drop
+        least = self.reps.select(F.explode(F.slice("low", 1, FIRST)).alias("key"), "rid", "n", F.lit(True).alias("short"))
+        near = self.star(least, None)
+        found = put(near.where("linked").select("a", "b"), "links")
+        free([near])
+        comp = put(_labels(found), "labels")
+        sizes = self.reps.count()
+        index = self.index_rows(self.reps, comp, sizes)
+        near = self.star(index, comp)
+        found2 = put(near.where("linked").select("a", "b"), "links")
+        comp2 = put(_labels(found2.unionAll(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "labels")
+        members = self.mixed(index, comp2, near)
+        free([index, near, comp])
+        size = members.groupBy("key").agg(F.count("*").alias("size"))
+        narrow = members.join(size.where(f"size <= {WIDE}").select("key"), "key")
+        wide = put(members.join(size.where(f"size > {WIDE}").select("key"), "key", "left_semi").select("rid").distinct(), "wide")
+        cross, all_links = self.across(narrow), found.unionAll(found2)
+        if wide.limit(1).count():
+            own = put(sets(self.texts(wide), self.width, self.num, self.den, full=True), "full")
+            again = self.index_rows(own, comp2, wide.count())
+            near2 = self.star(again, comp2)
+            found3 = put(near2.where("linked").select("a", "b"), "links")
+            comp3 = put(_labels(found3.unionAll(comp2.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "labels")
+            free([own])
+            cross = cross.unionAll(self.across(self.mixed(again, comp3, near2))).distinct()
+            all_links = all_links.unionAll(found3)
+        last = self.verify(put(cross, "cross"))
+        out = cut(all_links.unionAll(last.where("linked").select("a", "b")).distinct(), "all_links")
+        free([x for x in self.scratch.held if x is not self.every])
+        return out
+
+    def rows(self) -> DataFrame:
+        """doc_id, th, uid, n, sig of each row; a written table that outlasts the others."""
+        out = cut(self.every.select("doc_id", "th", "uid", "n", "sig"), "rows")
+        self.scratch.drop(self.scratch.held)
+        return out
+
+
+def combined(c: np.ndarray, tok: np.ndarray, left: int, near: int, limits: list[tuple[float, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of a set's ordered tokens, and whether each is short: of the first ``near`` places, or ``left`` for all partners.
+
+    ``limits`` gives the size of combinations for tokens in more groups than so many.
+    """
+    k = np.ones(len(c), np.int64)
+    for more_than, size in limits:
+        k[c > more_than] = size
+    single = np.flatnonzero(k[:left] == 1)
+    yield tok[single], single < near
+    for size in sorted({int(x) for x in k[:left]} - {1}):
+        upto, place, held = left + size - 1, [], 0
+        for i in np.flatnonzero(k[:left] == size).tolist():
+            for rest in combinations(range(i + 1, min(upto, len(tok))), size - 1):
+                place.append((i, *rest))
+                held += 1
+                if held == INDEX_ROWS:
+                    yield _keys(tok, place, near + size - 1)
+                    place, held = [], 0
+        if place:
+            yield _keys(tok, place, near + size - 1)
+
+
+def _keys(tok: np.ndarray, place: list[tuple], upto: int) -> tuple[np.ndarray, np.ndarray]:
+    p = np.array(place)
+    h = np.zeros(len(p), np.uint64)
+    for j in range(p.shape[1]):
+        h = (h ^ (h >> np.uint64(29))) * _C1 + tok[p[:, j]].view(np.uint64) * _C2
+    h ^= h >> np.uint64(32)
+    h *= _C3
+    h ^= h >> np.uint64(29)
+    return h.view(np.int64), p[:, -1] < upto
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -244,45 +422,40 @@ def _labels(links: DataFrame) -> DataFrame:
     return one.join(up, "l", "left").select("id", F.coalesce("ll", "l").alias("component_id"))
 
 
-def _mixed(index: DataFrame, comp: DataFrame, near: DataFrame) -> DataFrame:
-    """Members of the buckets with more than one component, with their component and distance to the bucket's first."""
-    placed = _placed(index, comp)
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    known = placed.join(mixed, "key", "left_semi").join(_first(index), "key").join(near.selectExpr("a pivot", "b rid", "dlo", "dhi"), ["pivot", "rid"], "left")
-    return known.selectExpr("key", "rid", "n", "short", "comp", "pivot", "if(rid = pivot, 0D, coalesce(dlo, 0D)) dlo", "if(rid = pivot, 0D, coalesce(dhi, 1D)) dhi")
-
-
-def _across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a bucket's members from different components that sizes and distances leave possible; the first was compared before."""
-    x, y = members.alias("x"), members.alias("y")
-    reach = (den - num) / den + 1e-9
-    on = f"x.key = y.key and x.comp < y.comp and if(x.n < y.n, x.short, y.short) and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and x.dlo <= y.dhi + {reach}D and y.dlo <= x.dhi + {reach}D and x.rid <> x.pivot and y.rid <> y.pivot"
-    return x.join(y, F.expr(on)).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
-
-
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10, frequent: int = FREQUENT) -> DataFrame:
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10, classes: tuple = CLASSES, least_frequent: int = LEAST_FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    docs = texts_of(df, id_col, text_col)
-    every = cut(sets(docs, width, num, den), "sets")
-    classes = cut(every.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rid")), "classes")
-    reps = every.withColumnRenamed("doc_id", "rid").join(classes, ["sig", "rid"]).dropDuplicates(["rid"]).select("rid", "n", "m", "k", "ks", "low")
-    index = cut(index_rows(reps, frequent), "index")
-    near, comp = _star(index, reps, docs, None, width, num, den)
-    links = near.where("linked").select("a", "b")
-
-    members = cut(_mixed(index, comp, near), "members")
-    size = members.groupBy("key").agg(F.count("*").alias("size"))
-    narrow = members.join(size.where(f"size <= {WIDE}").select("key"), "key")
-    wide = cut(members.join(size.where(f"size > {WIDE}").select("key"), "key", "left_semi").select("rid").distinct(), "wide")
-    cross = _across(narrow, num, den)
-    if wide.limit(1).count():
-        texts = docs.join(small(wide.withColumnRenamed("rid", "doc_id")), "doc_id", "left_semi")
-        own = cut(sets(texts, width, num, den, full=True).withColumnRenamed("doc_id", "rid").dropDuplicates(["rid"]), "full")
-        again = cut(index_rows(own, frequent), "index")
-        near2, comp = _star(again, reps, docs, comp, width, num, den)
-        links = links.unionAll(near2.where("linked").select("a", "b"))
-        cross = cross.unionAll(_across(cut(_mixed(again, comp, near2), "members"), num, den)).distinct()
-    more = _verify(cut(cross, "cross"), reps, docs, width, num, den).where("linked").select("a", "b")
-    final = connected_components(links.unionAll(more))
-    out = every.join(classes, "sig", "left").join(final.withColumnRenamed("id", "rid"), "rid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rid", "doc_id")).alias("component_id"))
+    join = _Join(df, id_col, text_col, width, num, den, classes, least_frequent)
+    links, rows = join.links(), join.rows()
+    own = rows.where("doc_id is not null").join(join.nodes, "sig")
+    several = cut(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("doc_id", "a"), "several")
+    if several.limit(1).count():
+        links = links.unionAll(own.join(small(several), "doc_id").select("a", F.col("node").alias("b")).distinct())
+    final = connected_components(links)
+    of = final.withColumnRenamed("id", "node").join(join.nodes.select("node", "doc"), "node")
+    least = of.groupBy("component_id").agg(F.min("doc").alias("least"))
+    named = of.join(least, "component_id").select("node", "least")
+    out = rows.join(join.nodes, "sig", "left").join(named, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc", "doc_id")).alias("component_id"))
+
+
+def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``df`` with one row of each component of texts: that of the least id, then of the least text hash, then of the least other columns.
+
+    Rows with the same id and other texts are judged by their texts. Rows with a null id stay, as do those without words.
+    """
+    join = _Join(df, id_col, text_col, width, num, den, CLASSES, LEAST_FREQUENT)
+    links, rows = join.links(), join.rows()
+    final = connected_components(links).withColumnRenamed("id", "node")
+    own = rows.where("doc_id is not null and n > 0").join(join.nodes.select("sig", "node"), "sig").join(final, "node", "left").select("doc_id", "th", "uid", F.coalesce("component_id", "node").alias("c"))
+    first = own.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f"))
+    ranked = cut(own.join(first, "c").select("doc_id", "th", (F.struct("doc_id", "th") == F.col("f")).alias("first")).groupBy("doc_id", "th").agg(F.max("first").alias("first"), F.count("*").alias("rows")), "ranked")
+    key = [F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__th")]
+    side = lambda where: small(cut(ranked.where(where).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "gone"))
+    left = df.join(side("not first"), key, "left_anti")
+    if ranked.where("first and rows > 1").limit(1).count():
+        again = side("first and rows > 1")
+        once = left.join(again, key, "left_anti")
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        twice = left.join(again, key, "left_semi").groupBy(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))).agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select("__row.*")
+        left = once.unionAll(twice)
+    return left
