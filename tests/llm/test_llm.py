@@ -251,7 +251,7 @@ def test_suffix_dedup(spark, docs, rows):
                 gone[j : j + 50] = b"\1" * 50
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[(d, len(b), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), kept)] += 1
-    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect())
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, bucket_bytes=30_000).collect())
     assert got == want
     assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
 

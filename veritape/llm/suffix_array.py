@@ -1,11 +1,19 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-``suffix_array`` classifies suffixes as L or S, sorts the leftmost S suffixes (LMS) by one induced
-pass over their substrings, names them, recurses on the names while they repeat, and induces the
-whole order from the sorted LMS suffixes. Induction is linear: the array is walked bucket by
-bucket, and within a bucket in rounds, each of which moves all entries found so far to their
-predecessors' buckets at once; the order is that of the usual one-by-one walk. Alphabets that are
-large for their string are walked one by one.
+``suffix_array`` classifies suffixes as L or S (greater or smaller than the next one), sorts the
+leftmost S substrings (LMS) and names them, recurses on the names while they repeat, and induces the
+whole order from the sorted LMS suffixes.
+
+Induction goes by runs, all buckets at once. An L suffix is a run of falling symbols that ends at an
+LMS suffix, whose order is known; so L suffixes are ordered by their run's symbols and then by that
+end. An S suffix is a run of rising symbols that ends at an L suffix, and follows in the same way
+from the order of the L suffixes; of equal first symbols, L comes before S. Runs are compared by
+doubling: ranks by the first h elements of a run give those by the first 2 h, and only suffixes that
+still tie and whose run goes on take part. Runs of text are a few symbols long, so nearly all ties
+part in the first rounds; a run of r symbols costs log r rounds.
+
+The same two passes name the LMS substrings, with the ends' symbols in place of their order: equal
+substrings keep equal ranks.
 """
 
 from __future__ import annotations
@@ -26,132 +34,105 @@ def classify(t: np.ndarray) -> np.ndarray:
     return s
 
 
-def _spread(sa: np.ndarray, p: np.ndarray, t: np.ndarray, at: np.ndarray, step: int) -> None:
-    """Put positions ``p``, in order, at their buckets' heads (step 1) or tails (step -1), which move on."""
-    c = t[p]
-    order = np.argsort(c, kind="stable")
-    c, p = c[order], p[order]
-    first = np.concatenate(([True], c[1:] != c[:-1]))
-    starts = np.flatnonzero(first)
-    n = np.diff(np.append(starts, len(c)))
-    within = np.arange(len(c)) - np.repeat(starts, n)
-    sa[at[c] + step * within] = p
-    at[c[starts]] += step * n
+def _next(mask: np.ndarray) -> np.ndarray:
+    """For each place, and the one after the last, the first place of ``mask`` from there on; its length where there is none."""
+    n = len(mask)
+    at = np.full(n + 1, n, np.int32)
+    at[:n][mask] = np.flatnonzero(mask)
+    return np.minimum.accumulate(at[::-1])[::-1]
 
 
-def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
-    """The suffix order that follows from ``lms`` in the given order."""
-    n = len(t)
-    count = np.bincount(t, minlength=k)
-    ends = np.cumsum(count)
-    starts = ends - count
-    if k > 512 and n < 64 * k:
-        return _induce_singly(t, s, lms, starts, ends)
-    sa = np.full(n, -1, np.int64)
-    head = starts.copy()
-    by_bucket = np.concatenate(([0], np.cumsum(np.bincount(t[lms], minlength=k))))
-    lms = lms[np.argsort(t[lms], kind="stable")]
-    _spread(sa, np.array([n - 1]), t, head, 1)
-    for c in range(k):
-        done = starts[c]
-        while done < head[c]:  # L entries of the bucket, also those that this loop adds
-            p = sa[done : head[c]] - 1
-            done = head[c]
-            p = p[p >= 0]
-            p = p[~s[p]]
-            if len(p):
-                _spread(sa, p, t, head, 1)
-        p = lms[by_bucket[c] : by_bucket[c + 1]] - 1  # then its LMS entries
-        if len(p):
-            p = p[~s[p]]
-            _spread(sa, p, t, head, 1) if len(p) else None
-    tail = ends - 1
-    for c in range(k - 1, -1, -1):
-        done = ends[c] - 1
-        while done > tail[c]:  # S entries, from the right
-            p = sa[tail[c] + 1 : done + 1][::-1] - 1
-            done = tail[c]
-            p = p[p >= 0]
-            p = p[s[p]]
-            if len(p):
-                _spread(sa, p, t, tail, -1)
-        p = sa[starts[c] : head[c]][::-1] - 1  # then its L entries
-        p = p[p >= 0]
-        p = p[s[p]]
-        if len(p):
-            _spread(sa, p, t, tail, -1)
-    return sa
-
-
-def _induce_singly(t: np.ndarray, s: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = len(t)
-    sa, tl, sl, head, tail = [-1] * n, t.tolist(), s.tolist(), starts.tolist(), (ends - 1).tolist()
-    for i in lms[::-1].tolist():
-        c = tl[i]
-        sa[tail[c]] = i
-        tail[c] -= 1
-    c = tl[n - 1]
-    sa[head[c]] = n - 1
-    head[c] += 1
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not sl[p]:
-            c = tl[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = (ends - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and sl[p]:
-            c = tl[p]
-            sa[tail[c]] = p
-            tail[c] -= 1
-    return np.array(sa, np.int64)
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """An order of pairs of numbers below 2^31."""
+    key = first.astype(np.int64)
+    key <<= 32
+    key |= second
+    return np.argsort(key)
+
+
+def _changes(*values: np.ndarray) -> np.ndarray:
+    """Where the rows of these columns differ from the row before; the first row does."""
+    out = np.ones(len(values[0]), bool)
+    if len(out):
+        np.not_equal(values[0][1:], values[0][:-1], out=out[1:])
+        for v in values[1:]:
+            out[1:] |= v[1:] != v[:-1]
+    return out
+
+
+def _starts(new: np.ndarray) -> np.ndarray:
+    """For each row the first of its part; parts begin where ``new`` is set."""
+    at = np.flatnonzero(new).astype(np.int32)
+    return np.repeat(at, np.diff(np.append(at, len(new))))
+
+
+def _refine(rank: np.ndarray, open_: np.ndarray, end: np.ndarray) -> None:
+    """Split ties of ``open_`` places in ``rank`` by the rest of their runs, which end at the ranked places ``end``.
+
+    A rank is the number of smaller entries in the pass, so parts of a tie take the numbers between it and the next one.
+    """
+    h = 1
+    while len(open_):
+        p = open_[_order(rank[open_], rank[open_ + h])]
+        a, b = rank[p], rank[p + h]
+        new = _changes(a, b)
+        rank[p] = a + (_starts(new) - _starts(_changes(a)))
+        new[:-1] &= new[1:]  # places that are alone now
+        h *= 2
+        open_ = p[~new]
+        open_ = open_[open_ + h <= end[open_]]
+
+
+def _pass(symbol: np.ndarray, mine: np.ndarray, ends: np.ndarray, ends_rank: np.ndarray, mine_first: bool, k: int) -> np.ndarray:
+    """Ranks of the places ``mine``, whose runs end at the next place of ``ends``, and of these, in one numbering.
+
+    ``ends_rank``: numbers by which ends with the same symbol are ordered, equal for ties. The place after the last has rank 0.
+    """
+    n = len(symbol)
+    bucket = 2 * symbol + (mine if not mine_first else ~mine)
+    e, own = np.flatnonzero(ends).astype(np.int32), np.flatnonzero(mine).astype(np.int32)
+    count = np.bincount(bucket[own], minlength=2 * k) + np.bincount(bucket[e], minlength=2 * k)
+    rank = np.zeros(n + 1, np.int32)
+    rank[:n] = (np.cumsum(count) - count + 1).astype(np.int32)[bucket]
+    if len(e):
+        e = e[_order(bucket[e], ends_rank[e])]
+        b = bucket[e]
+        rank[e] += _starts(_changes(b, ends_rank[e])) - _starts(_changes(b))
+    _refine(rank, own[(count > 1)[bucket[own]]], _next(ends))
+    return rank
+
+
+def _induce(t: np.ndarray, s: np.ndarray, is_lms: np.ndarray, lms_rank: np.ndarray, k: int) -> np.ndarray:
+    """Ranks of all suffixes, from 1, from those of the LMS suffixes (by place; ties allowed)."""
+    falling = _pass(t, ~s, is_lms, lms_rank, True, k)
+    return _pass(t, s, ~s, falling[:-1], False, k)[:-1]
 
 
 def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
-    """The starts of the suffixes of ``t`` (integers from 0 to k - 1) in order."""
+    """The starts of the suffixes of ``t`` (integers from 0 to k - 1, fewer than 2^31) in order."""
     n = len(t)
     if n == 0:
         return np.empty(0, np.int64)
-    t = t.astype(np.uint8 if k <= 256 else np.uint16 if k <= 65536 else np.int64)  # narrow symbols are sorted by radix
+    t = t.astype(np.int32)
     s = classify(t)
     is_lms = s.copy()
     is_lms[0] = False
     is_lms[1:] &= ~s[:-1]
     lms = np.flatnonzero(is_lms)
+    lms_rank = np.zeros(n, np.int32)
     if len(lms) > 1:
-        order = _induce(t, s, lms, k)
-        order = order[is_lms[order]]  # LMS suffixes by their substrings
-        names, kinds = _name(t, s, lms, order)
+        by_substring = _induce(t, s, is_lms, lms_rank, k)[lms]
+        used = np.zeros(n + 1, np.int32)
+        used[by_substring] = 1
+        kinds = int(used.sum())
+        names = (np.cumsum(used, dtype=np.int32) - 1)[by_substring]
         if kinds < len(lms):
-            lms = lms[suffix_array(names, kinds)]
+            lms_rank[lms[suffix_array(names, kinds)]] = np.arange(len(lms))
         else:
-            lms = order
-    return _induce(t, s, lms, k)
-
-
-def _name(t: np.ndarray, s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names of the LMS substrings in text order, equal for equal substrings and ordered as they are."""
-    n = len(t)
-    stop = np.append(lms[1:], n)  # the last substring runs into the end and equals no other
-    length = np.zeros(n, np.int64)
-    length[lms] = stop - lms + 1
-    a, b = order[:-1], order[1:]
-    same = (length[a] == length[b]) & (a + length[a] <= n) & (b + length[b] <= n)
-    open_ = np.flatnonzero(same)
-    d = 0
-    while len(open_):
-        x, y = a[open_] + d, b[open_] + d
-        equal = (t[x] == t[y]) & (s[x] == s[y])
-        same[open_[~equal]] = False
-        open_ = open_[equal]
-        d += 1
-        open_ = open_[length[a[open_]] > d]
-    rank = np.concatenate(([0], np.cumsum(~same)))
-    names = np.empty(n, np.int64)
-    names[order] = rank
-    return names[lms], int(rank[-1]) + 1
+            lms_rank[lms] = names
+    order = np.empty(n, np.int64)
+    order[_induce(t, s, is_lms, lms_rank, k) - 1] = np.arange(n)
+    return order
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,11 @@ groups of suffixes that share ``length`` bytes; each group's least id goes back
 
 Documents are dealt by id hash into buckets, in one shuffle that the three passes over them share.
 A passage in a third of all documents is one segment a bucket, so no shard is hot. Nothing is
-broadcast or collected. ``buckets`` should grow with the data (by default, with the shuffle
-partitions) so that a bucket's texts fit a worker.
+broadcast or collected. Buckets and shards are as many as the texts' bytes ask for (``bucket_bytes``),
+so what a task holds does not grow with the data; small tables are spread over the shuffle partitions.
+
+What travels per hash are 48 of its bits, besides those that choose the shard. Other hashes that
+look the same only add candidates, for strings are compared as they are.
 
 Null and empty texts give zero counts and empty bytes. A null id is no smaller than any other: such
 rows neither lose nor take anything. Rows with equal ids don't take from each other.
@@ -35,23 +38,29 @@ from veritape.llm.common import pack, texts_of, unpack
 from veritape.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 50
-GRAM = 16
+GRAM = 32
+SHORT_GRAM = 16  # for lengths below 48
+BUCKET_BYTES = 16_000_000
+LEAST_BYTES = 1_000_000  # that are worth a bucket of their own
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEPARATOR = 0xFF
 _ROW = "bucket int, shard int, payload binary"
 
 
 def least_hashes(b: np.ndarray, length: int) -> np.ndarray:
-    """For each ``length``-byte string of ``b`` the least hash of its ``GRAM``-byte grams."""
+    """For each ``length``-byte string of ``b`` the least hash of its grams."""
+    gram = GRAM if length >= 48 else SHORT_GRAM
     w = b.astype(np.uint64)
     for j in (1, 2, 4):
         w = w[:-j] | (w[j:] << np.uint64(8 * j))
-    h = w[:-8] * _C1
-    h ^= h >> np.uint64(32)
-    h += w[8:] * _C2
-    h *= _C1
+    n = len(b) - gram + 1
+    h = np.zeros(n, np.uint64)
+    for j in range(0, gram, 8):
+        h ^= h >> np.uint64(32)
+        h += w[j : j + n] * _C2
+        h *= _C1
     h ^= h >> np.uint64(29)
-    need, have = length - GRAM + 1, 1
+    need, have = length - gram + 1, 1
     while have < need:
         j = min(have, need - have)
         h = np.minimum(h[:-j], h[j:])
@@ -83,7 +92,13 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def _deal(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+    """Shards by the low bits of the hashes."""
+    return ((h & np.uint64(0xFFFFFF)) % np.uint64(shards)).astype(np.int64)
+
+
+def _sent(h: np.ndarray) -> np.ndarray:
+    """The bits of the hashes that travel."""
+    return h >> np.uint64(16)
 
 
 def hashes_of(table: pa.Table, length: int, shards: int) -> pa.Table:
@@ -104,7 +119,7 @@ def hashes_of(table: pa.Table, length: int, shards: int) -> pa.Table:
     last = np.append(first[1:], len(h)) - 1
     several, h = d[first] != d[last], h[first]
     at = _deal(h, shards)
-    return _rows([(bucket, s, pack(h[at == s], several[at == s].astype(np.uint8))) for s in np.unique(at).tolist()])
+    return _rows([(bucket, s, pack(_sent(h[at == s]), several[at == s].astype(np.uint8))) for s in np.unique(at).tolist()])
 
 
 def repeated_of(table: pa.Table) -> pa.Table:
@@ -133,8 +148,9 @@ def _candidates(texts: pa.Table, repeated: pa.Table, length: int):
         found = []
         if doc is not None and len(known):
             s = Segments(np.frombuffer(b, np.uint8), length)
-            at = np.minimum(np.searchsorted(known, s.hash), len(known) - 1)
-            ok = known[at] == s.hash
+            own = _sent(s.hash)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            ok = known[at] == own
             for a, n, h in zip(s.start[ok].tolist(), s.count[ok].tolist(), s.hash[ok].tolist(), strict=True):
                 x = b[a : a + n + length - 1]
                 i = number.setdefault(x, len(number))
@@ -157,7 +173,7 @@ def segments_of(key: tuple, texts: pa.Table, repeated: pa.Table, length: int, sh
     for s in np.unique(at).tolist():
         own = np.flatnonzero(at == s)
         data = [strings[i] for i in own.tolist()]
-        rows.append((key[0].as_py(), s, pack(own.astype(np.uint32), hashes[own], least[own], np.array([len(x) for x in data], np.uint32), b"".join(data))))
+        rows.append((key[0].as_py(), s, pack(own.astype(np.uint32), _sent(hashes[own]), least[own], np.array([len(x) for x in data], np.uint32), b"".join(data))))
     return _rows(rows)
 
 
@@ -241,13 +257,15 @@ def cut_documents(texts: pa.Table, repeated: pa.Table, results: list[bytes], len
     return pa.table({k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()})
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, buckets: int | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of each row."""
-    if length < GRAM + 1:
-        raise ValueError(f"length must be over {GRAM}")
-    shards = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    n = buckets or 2 * shards
-    docs = texts_of(df, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text").cast("long"))), F.lit(n)).cast("int")).repartition("bucket")
+    if length <= SHORT_GRAM:
+        raise ValueError(f"length must be over {SHORT_GRAM}")
+    docs = texts_of(df, id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spread = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES)
+    shards = n = max(1, -(-size // bucket_bytes), spread)
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text").cast("long"))), F.lit(n)).cast("int")).repartition(n, "bucket")
     hashes = docs.groupBy("bucket").applyInArrow(lambda t: hashes_of(t, length, shards), _ROW)
     repeated = hashes.groupBy("shard").applyInArrow(repeated_of, _ROW)
     sent = docs.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda k, a, b: segments_of(k, a, b, length, shards), _ROW)
