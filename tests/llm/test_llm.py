@@ -264,6 +264,9 @@ def test_html(spark):
     plain = f"<body><div>{p(4)}</div><p>Tiny</p><div>{p(4)}</div><ul><li><a href=1>one</a><li><a href=2>two</a></ul>"
     assert html_blocks.main_text(plain) == "\n\n".join([p(4).strip(), "Tiny", p(4).strip()])
     assert [html_blocks.main_text(x) for x in (None, "", "<!-- open", "<script>var t='</p>'")] == [""] * 4
+    assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+    long = f"<article><p>{p(20000)}</p></article>"
+    assert html_blocks.main_text(long) == p(20000).strip()
     pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string"))
     out = html_blocks.extract(pages.withColumn("text", F.lit("clash"))).collect()
     assert len(out) == pages.count() and all(r.n_chars == len(r.text) for r in out)
@@ -275,6 +278,29 @@ def test_html(spark):
         assert "\n\n".join(x for x in parts if x) == next(o.text for o in out if o.page_id == r.page_id and o.url == r.url)
 
 
+def test_html_without_article(monkeypatch):
+    """Pages without an article element, against what a reader would keep."""
+    para = "This is the account of the day when they came to the town and found that it was not what they had been told about it, and so all of them went on to the next one in the hope of better news for the road that lay ahead of them."
+    thin = "Model QX4 weighs 12 kg, Model QX5 weighs 14 kg, Model QX6 weighs 19 kg, delivery included, batteries separate."
+    page = (
+        "<body><div id=top class='site-header'><span>The Daily</span></div><ul><li><a href=1>Home</a><li><a href=2>World and the news of it</a></ul>"
+        f"<h2 class='section-header'>A day in town</h2><div>{para}</div><p>It rained.</p><p>{para}</p><p hidden>{para}</p><div style='display:none'>{para}</div>"
+        f"<div class='related links'><p>{para}</p></div><p>{thin}</p><div><a href=3>{para}</a></div><p>&copy; 2020 The Daily</p><div class=site-footer>{para}</div></body>"
+    )
+    want = ["A day in town", para, "It rained.", para]
+    assert html_blocks.main_text(page) == "\n\n".join(want)
+    # names: whole words for containers, parts only outside articles, never for headings
+    page = f"<div class='legal-search'><article><h2 class='section-header'>Head</h2><div class='widget-text'><p>{para}</p></div><div class=share>Share</div><article class=comment><p>{para}</p></article></article></div>"
+    assert html_blocks.main_text(page) == f"Head\n\n{para}"
+    assert html_blocks.main_text(f"<article><p>{para}</p><p>© of <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <noscript>so on</noscript></p></article>") == f"{para}\n\n© of x=2 and so on"
+    assert html_blocks.main_text("<main><p>Tiny</p></main>") == "Tiny" and html_blocks.main_text("<p>Tiny</p>") == ""
+    mixed = f"<article><p>{para}</p><p>{thin}</p><p>Yes.</p></article>"
+    assert html_blocks.main_text(mixed) == "\n\n".join([para, thin, "Yes."])
+    monkeypatch.setattr(html_blocks, "STOP_WORDS", frozenset())
+    plain = f"<div>{para}</div><p>{thin}</p>"
+    assert html_blocks.main_text(plain) == f"{para}\n\n{thin}"
+
+
 def test_bpe(spark, docs, rows):
     from tokenizers import Tokenizer
 

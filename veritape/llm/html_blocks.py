@@ -1,18 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. Pass one decides what it can: blocks in menus,
-headers, footers, sidebars, forms, adverts, notices and comments are bad, as are blocks that are
-mostly link text; long blocks with many stop words are good. Short blocks and blocks with few stop
-words stay ambiguous. Pass two gives each ambiguous block the label of its nearest decided
-neighbour; of two as near, a good one wins only if the other is good too or the block itself has
-some stop words.
+The page is cut into blocks at block-level tags. Blocks in menus, headers, footers, sidebars, forms,
+adverts, notices and comments (by tag, role or name) and hidden ones are bad. Pass one decides what
+it can of the others by length, link density and stop-word density: blocks that are mostly link text
+are bad; long blocks with many stop words are good; long blocks without them are bad. Blocks with
+some stop words (near), short blocks, and inside an article also those with few stop words (thin)
+stay ambiguous. Pass two gives each ambiguous block the label of its nearest decided neighbour; of
+two as near, a good one wins only if the other is good too or the block itself has some stop words;
+a heading goes with the block that follows.
 
-Where a page marks its article (``article`` or ``main``), blocks outside it are bad, and inside it
-a block is good unless it is mostly links, for an article's short lines, lists of figures and
-headings belong to it. Neighbours then count inside the article only.
+An ``article`` or ``main`` element is a hint. It bounds the neighbourhood: what lies outside is bad,
+and its blocks inherit from good blocks inside it, since a menu beside an article says nothing about
+its first line. Where no block inside is decided, near ones count as good; without these, too, the
+element is believed, for an article may be two words long.
+
+Names count as whole class words (``sidebar``), and as parts of one (``site-footer``) only for
+containers outside an article that hold none; headings are never bad by name. Where a page has no
+stop word at all its language is unknown and blocks are judged by length and links only.
 
 Null or empty pages, and pages without good blocks, give empty text. Unclosed tags, comments and
-scripts run to the end of the page, as browsers have it. Scanning is linear in the page.
+scripts run to the end of the page, as browsers have it. Text areas and select lists are form
+controls and go; ``noscript``, ``math`` and ``svg`` text is text. Repeated rows give repeated
+results, and an empty table an empty one; nothing is compared between rows, so there are no ties.
+Scanning is linear in the page, however long.
 """
 
 from __future__ import annotations
@@ -50,6 +60,7 @@ _BLOCK = frozenset("address article aside blockquote body button caption center
 _HOLDS = frozenset("article aside blockquote button details dialog div dl fieldset figure footer form head header main menu nav ol section select table ul".split())
 _BAD_TAGS = frozenset("nav header footer aside form menu dialog button select head fieldset".split())
 _GOOD_TAGS = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert toolbar".split())
 _BAD_NAMES = frozenset(
     """
@@ -61,41 +72,52 @@ widget widgets login signin signup search pagination pager toolbar copyright leg
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|object|svg|math|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>script|style|template|textarea|iframe|object|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<more>(?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|</?[a-z][^<>]*+>|<[!?/][^>]*+>|<[a-z/!?][^<>]*+\Z",
     re.DOTALL | re.IGNORECASE | re.ASCII,
 )
-_NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([a-z][a-z0-9:-]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE | re.ASCII)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def _is_bad(tag: str, more: str, in_article: bool) -> bool:
+def _badness(tag: str, more: str, in_article: bool) -> int:
+    """2: certainly not main text; 1: by part of a name, which an article inside outweighs; 0: not known to be bad."""
     if tag in _BAD_TAGS and not (tag == "header" and in_article):
-        return True
-    if "=" not in more or tag in ("body", "html", "article", "main"):
-        return False
-    for m in _NAME.finditer(more):
-        words = re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())
-        if any(w in (_BAD_ROLES if m[1].lower() == "role" else _BAD_NAMES) for w in words):
-            return True
-    return bool(_HIDDEN.search(more)) and "style" in more.lower()
+        return 2
+    out = 0
+    for m in _ATTRIBUTE.finditer(more) if more else ():
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "style" and _UNSEEN.search(value)):
+            return 2
+        if tag in ("body", "html", "main") or tag in _HEADINGS:
+            continue
+        if name == "role" and value in _BAD_ROLES:
+            return 2
+        if name in ("class", "id"):
+            words = value.split()
+            if any(w in _BAD_NAMES for w in words):
+                return 2
+            if not in_article and tag in _HOLDS and tag not in _GOOD_TAGS and any(x in _BAD_NAMES for w in words for x in re.split(r"[^a-z]+", w)):
+                out = 1
+    return out
 
 
 class Block:
-    __slots__ = ("bad", "inside", "links", "text")
+    __slots__ = ("bad", "heading", "inside", "links", "text")
 
-    def __init__(self, text: str, links: int, bad: bool, inside: bool):
-        self.text, self.links, self.bad, self.inside = text, links, bad, inside
+    def __init__(self, text: str, links: int, bad: bool, inside: bool, heading: bool = False):
+        self.text, self.links, self.bad, self.inside, self.heading = text, links, bad, inside, heading
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order, their link characters, and whether bad or article elements hold them."""
     out: list[Block] = []
     parts: list[str] = []
-    links = bad_depth = good_depth = link_depth = 0
+    links = bad_depth = doubt_depth = good_depth = link_depth = 0
     own_bad = False  # of a p, li or heading that is bad by its own name
-    stack: list[tuple[str, bool]] = []
+    heading = False
+    stack: list[tuple[str, int]] = []
     open_tags: dict[str, int] = {}
 
     def end_block() -> None:
@@ -103,7 +125,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, links, bad_depth > 0 or own_bad, good_depth > 0))
+                out.append(Block(text, links, bad_depth > 0 or own_bad or (doubt_depth > 0 and not good_depth), good_depth > 0, heading))
             parts.clear()
         links = 0
 
@@ -133,22 +155,24 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in _BLOCK:
             continue
         end_block()
-        own_bad, link_depth = False, 0
+        own_bad, link_depth, heading = False, 0, tag in _HEADINGS and not m["close"]
         if m["close"]:
             if open_tags.get(tag):
                 while True:
                     name, bad = stack.pop()
                     open_tags[name] -= 1
-                    bad_depth -= bad
+                    bad_depth -= bad == 2
+                    doubt_depth -= bad == 1
                     good_depth -= name in _GOOD_TAGS
                     if name == tag:
                         break
         elif tag in _HOLDS:
             if not m["more"].endswith("/"):
-                bad = _is_bad(tag, m["more"], good_depth > 0)
+                bad = _badness(tag, m["more"], good_depth > 0)
                 stack.append((tag, bad))
                 open_tags[tag] = open_tags.get(tag, 0) + 1
-                bad_depth += bad
+                bad_depth += bad == 2
+                doubt_depth += bad == 1
                 good_depth += tag in _GOOD_TAGS
         elif tag == "title":
             own_bad = True
@@ -156,60 +180,74 @@ def blocks_of(page: str) -> list[Block]:
             while stack and stack[-1][0] == "head":
                 name, bad = stack.pop()
                 open_tags[name] -= 1
-                bad_depth -= bad
+                bad_depth -= bad == 2
+                doubt_depth -= bad == 1
         else:
-            own_bad = _is_bad(tag, m["more"], good_depth > 0)
+            own_bad = _badness(tag, m["more"], good_depth > 0) == 2
     add(page[at:])
     end_block()
     return out
 
 
-def _first_pass(b: Block, article: bool) -> str:
-    """good, bad, or the ambiguous near and short."""
+def stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()#*%$&") in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _first_pass(b: Block, article: bool, stops: float, known: bool) -> str:
+    """good, bad, or the ambiguous near, short and thin. ``known``: the page has stop words that we know."""
     n = len(b.text)
     if b.bad or (article and not b.inside):
         return "bad"
-    density = b.links / max(1, len(b.text.replace(" ", "")))
-    if density > (ARTICLE_LINKS if article else LINKS):
+    if b.links / max(1, len(b.text.replace(" ", ""))) > (ARTICLE_LINKS if article else LINKS):
         return "bad"
-    if not article and ("©" in b.text):
+    if not article and n <= LONG and b.text.lower().startswith(("©", "(c) ", "copyright ")):
         return "bad"
     if n < SHORT:
         return "short" if not b.links or article else "bad"
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()#*%$&") in STOP_WORDS for w in words) / len(words)
-    if stops >= STOP_HIGH:
-        return "good" if n > LONG or article else "near"
-    return "near" if stops >= STOP_LOW or article else "bad"
+    if stops >= STOP_HIGH or not known:
+        return "good" if n > LONG else "near"
+    if stops >= STOP_LOW:
+        return "near"
+    return "thin" if article else "bad"
 
 
 def labels(blocks: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     article = any(b.inside and not b.bad for b in blocks)
-    first = [_first_pass(b, article) for b in blocks]
+    stops = [stop_density(b.text) for b in blocks]
+    known = any(stops)
+    first = [_first_pass(b, article, d, known) for b, d in zip(blocks, stops, strict=True)]
+    if article:
+        left = [i for i, x in enumerate(first) if x != "bad"]
+        if not any(first[i] == "good" for i in left):
+            for i in [i for i in left if first[i] == "near"] or left:
+                first[i] = "good"
+        counts = ("good",)  # what the element holds is judged by its own good blocks
+    else:
+        counts = ("good", "bad")
     n = len(first)
-    left, right = [None] * n, [None] * n  # the nearest decided block on each side
-    for order, into in ((range(n), left), (range(n - 1, -1, -1), right)):
+    before, after = [None] * n, [None] * n  # the nearest decided block on each side
+    for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):
         last = None
         for i in order:
             into[i] = last
-            if first[i] in ("good", "bad") and not (article and (blocks[i].bad or not blocks[i].inside)):
+            if first[i] in counts:
                 last = i
     out = []
     for i, label in enumerate(first):
         if label in ("good", "bad"):
             out.append(label == "good")
-        elif article:  # what the article holds is its own unless it is mostly links
-            out.append(True)
-        else:
-            a, b = left[i], right[i]
-            near = [x for x in (a, b) if x is not None]
-            if not near:
-                out.append(label == "near")
-                continue
-            gap = min(abs(x - i) for x in near)
-            kinds = {first[x] for x in near if abs(x - i) == gap}
-            out.append(kinds == {"good"} or ("good" in kinds and label == "near"))
+            continue
+        near = [x for x in (before[i], after[i]) if x is not None]
+        if not near:
+            out.append(label == "near")
+            continue
+        gap = min(abs(x - i) for x in near)
+        kinds = {first[x] for x in near if abs(x - i) == gap}
+        if blocks[i].heading and len(near) == 2 and len(kinds) == 2:
+            kinds = {first[near[1]]}  # a heading goes with what follows it
+        out.append(kinds == {"good"} or ("good" in kinds and label == "near"))
     return out
 
 
