@@ -69,34 +69,53 @@ def test_cover_tree(spark, block):
     real = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding")
     v = list(real.where("vec_id = 3").first().embedding)
     label = real.where("vec_id = 3").first().label
-    odd = [(9001, label, None), (9002, None, v), (9003, 2, [0.0] * 64), (9004, 2, [float("nan")] * 64), (9005, 2, [1.0] * 63 + [None]), (9006, label, [2 * x for x in v]), (9007, label, v), (9008, label, v[:5])]
+    odd = [(9001, label, None), (9002, None, v), (9003, 2, [0.0] * 64), (9004, 2, [float("nan")] * 64), (9005, 2, [1.0] * 63 + [None]), (9006, label, [2 * x for x in v]), (9007, label, v), (9008, label, v[:5]), (9009, label, [2 * x for x in v[:5]]), (9010, label, [1e-200] * 7), (9011, label, [1e200] * 7), (9013, None, v), (None, label, v), (9012, label, [])]
+    odd += [(9100 + i, label, v) for i in range(20)] + [(9200 + i, "only", [1.0, 0.0] if i < 5 else [0.0, -0.0, 1.0]) for i in range(10)]
+    odd = [(a, None if b is None else str(b), c) for a, b, c in odd]
+    real = real.withColumn("label", F.col("label").cast("string")).withColumn("embedding", F.col("embedding").cast("array<double>"))
     df = real.unionAll(spark.createDataFrame(odd, real.schema)).withColumn("node", F.lit("clash"))
     data = collections.defaultdict(list)
     for r in df.collect():
         e = r.embedding
-        if r.label is not None and e is not None and len(e) == 64 and None not in e and np.isfinite(e).all() and any(e):
-            data[r.label].append((r.vec_id, np.array(e, float) / np.linalg.norm(e)))
+        if r.vec_id is not None and r.label is not None and e and None not in e and np.isfinite(e).all() and any(e):
+            e = np.array(e, float) / np.abs(e).max()
+            data[(r.label, len(e))].append((r.vec_id, e / np.linalg.norm(e)))
     links = [(a, b) for vs in data.values() for i, (a, x) in enumerate(vs) for b, y in vs[:i] if x @ y >= 0.98]
     ids = [r.vec_id for r in df.collect()]
     want = components(links, ids)
     degree = collections.Counter(x for e in links for x in e)
     got = cover_tree.near_duplicates(df, block=block).collect()
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, degree[i], want[i], want[i] == i) for i in ids}
-    assert len(links) >= 3 and cover_tree.near_duplicates(df.where("false")).count() == 0
+    assert len(got) == len(ids) and len(links) >= 190 and cover_tree.near_duplicates(df.where("false")).count() == 0
 
 
 def test_cover_tree_prunes_exactly():
     rng = np.random.default_rng(1)
     base = rng.normal(size=(5, 8))
-    x = cover_tree.unit(np.concatenate([base[rng.integers(0, 5, 400)] + rng.normal(size=(400, 8)) * s for s in (0.01, 0.3)]))
-    out = cover_tree.Links(len(x))
-    one, two = np.arange(0, 500), np.arange(500, 800)
-    a, b = cover_tree.tree(x, one), cover_tree.tree(x, two)
+    sub = np.concatenate([b + rng.normal(size=(4, 8)) * 0.2 for b in base])  # groups of groups
+    x = cover_tree.unit(np.concatenate([sub[rng.integers(0, 20, 1600)] + rng.normal(size=(1600, 8)) * 0.01, base[rng.integers(0, 5, 800)] + rng.normal(size=(800, 8)) * 0.3]))
+    w = rng.integers(1, 4, len(x))
+    out = cover_tree.Links(w)
+    one, two = np.arange(0, 1500), np.arange(1500, 2400)
+    a, b = cover_tree.tree(x, w, one), cover_tree.tree(x, w, two)
     for p, q in ((a, a), (b, b), (a, b)):
         cover_tree.traverse(x, p, q, 0.98, out)
     near = x @ x.T >= 0.98
     np.fill_diagonal(near, False)
-    assert (out.count == near.sum(axis=1)).all()
+    assert (out.count == near @ w).all()
+
+    def walk(node, depth):
+        """Covering, halving, nesting and separation at every node; the greatest depth."""
+        assert (np.sqrt(((x[node.at] - node.own) ** 2).sum(axis=1)) <= node.radius + 1e-6).all()
+        if not node.children:
+            return depth
+        assert all(c.radius <= node.radius / 2 for c in node.children) and node.children[0].at[0] == node.at[0]
+        assert sorted(i for c in node.children for i in c.at.tolist()) == sorted(node.at.tolist())
+        apart = np.sqrt(((node.centers[:, None] - node.centers[None]) ** 2).sum(axis=2))
+        assert (apart[np.triu_indices(len(node.children), 1)] > node.radius / 2).all()
+        return max(walk(c, depth + 1) for c in node.children)
+
+    assert walk(a, 0) >= 2
 
 
 PII_RULES = {

@@ -72,13 +72,15 @@ def unpack(data: bytes) -> list:
 def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     """At most ``most`` rows of a written table, those of least hash of ``keys``.
 
-    The rows are thinned by hash before they are ordered, so all tasks together send little more than ``most``.
+    The rows are thinned by hash before they are ordered, so all tasks together send little more than ``most``; if keys
+    repeat so much that too few are left, the others are ordered too.
     """
     h = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
     n = df.count()
     rows = df.withColumn("__h", h)
     if n > 2 * most:
-        rows = rows.where(F.col("__h") < int((1 << 30) * min(1.0, 1.5 * most / n)))
+        thin = rows.where(F.col("__h") < int((1 << 30) * min(1.0, 1.5 * most / n)))
+        rows = thin if thin.count() >= most else rows
     return rows.orderBy("__h", *keys).limit(most).drop("__h")
 
 

@@ -1,29 +1,36 @@
 """Exact near-duplicate pairs of embeddings by cover trees.
 
-Vectors are put on the unit sphere, where cosine >= t is distance <= sqrt(2 - 2t). A farthest-first
-order of a bounded sample gives the top of the tree: its prefixes are nets of nested levels with
-falling radii, and the first ``centers`` of it deal all vectors into nodes. Every node's covering
-radius is then measured over all its vectors, so pruning is exact though the sample is not. Node
-pairs of one label survive if the centers' distance less both radii is within reach; nodes are cut
-into blocks of about ``block`` vectors, and a vector goes to a partner block only if its own
-distance to the centers allows a link.
-
-Each pair of blocks is one task: cover trees are built in both (children cover their parent's
-vectors within half its radius where at most ``FAN`` of them can) and traversed together. A pair of
-nodes too far apart is pruned; one so near that all its pairs must link is counted whole; pairs of
-leaves are compared by double-precision products. A task returns, per vector, its number of links
-and the smallest vector its links reach, not the pairs; sums and components follow in Spark.
+Vectors are put on the unit sphere, where cosine >= t is distance <= sqrt(2 - 2t). Equal vectors of
+a label are one from the start, with a weight, so a group of copies costs a single vector.
+
+A farthest-first order of a bounded sample gives the top of the tree for all tasks: its first
+centers, of which there are more the more vectors there are, deal all vectors into nodes. Every
+node's covering radius is then measured over all its vectors, so pruning is exact though the sample
+is not. Node pairs of one label survive if the centers' distance less both radii is within reach;
+nodes are cut into blocks of about ``block`` vectors, and a vector goes to a partner block only if
+its own distance to the centers allows a link.
+
+Each pair of blocks is one task: cover trees are built in both and traversed together. A level of a
+tree covers the vectors of a node of radius r by balls of radius r / 2. Levels are nested (a node's
+center is the center of its first child), their radii halve, and centers of a level are more than
+its radius apart. Node pairs too far apart for a link are pruned, by all children at once; a pair so
+near that all its vectors must link is counted whole; pairs of leaves are compared by
+double-precision products. A node whose next level would have a center for fewer than ``SPREAD``
+vectors each, as where vectors don't cluster, is a leaf. A task returns, per vector, its number of
+links and the smallest vector its links reach, not the pairs; sums and components follow in Spark.
 
 Where vectors don't cluster no metric tree can prune, and the number of block pairs of a label then
-grows with the square of its size over ``block`` squared.
+grows with the square of its size over ``block`` squared; the same holds for a tight group of
+different vectors beyond one block, whose pairs of blocks are counted whole.
 
-Null, zero and non-finite vectors, vectors of another length than the sample's first, and null
-labels link with nothing. Rows that repeat an id are separate vectors. Empty tables give empty
-results.
+Vectors are compared with those of the same label and length only. Null, zero and non-finite vectors
+(or components), null labels and null ids link with nothing. Rows that repeat an id are separate
+vectors. Ties are links: the threshold itself counts. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -33,27 +40,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritape.llm.common import bounded_sample, connected_components
+from veritape.llm.jaccard import small
 from veritape.session import cut
 
 THRESHOLD = 0.98
 BLOCK = 4096
-SAMPLE = 4096
-MAX_CENTERS = 256
+SAMPLE = 4096  # vectors for the top of the tree, and so its centers at most
 LEAF = 96
-FAN = 16
+SPREAD = 32
+SLACK = 1e-6  # distances are found from products, whose rounding this covers
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are scaled first, so that squares neither vanish nor overflow."""
     rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(axis=1)[:, None]
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
 def _distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x - c) ** 2).sum(axis=1), 0.0))
+    """Distances of unit vectors; of all pairs where both are tables."""
+    return np.sqrt(np.maximum(2 - 2 * (x @ c.T), 0.0))
 
 
 def farthest_first(x: np.ndarray, most: int, radius: float = 0.0) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Indices of centers, each the farthest from those before it, until ``most`` or all are within ``radius``; the nearest center of each row and its distance."""
+    """Indices of centers, the first row and then each the farthest from those before it, until ``most`` or all are within ``radius``; the nearest center of each row and its distance."""
     centers, near = [0], np.zeros(len(x), np.int64)
     d = _distance(x, x[0])
     while len(centers) < most and d.max() > radius:
@@ -67,31 +78,41 @@ def farthest_first(x: np.ndarray, most: int, radius: float = 0.0) -> tuple[list[
 
 
 class Node:
-    """Rows ``at`` of a block within ``radius`` of ``center``."""
+    """Rows ``at`` within ``radius`` of the first of them, and the next level: the children, their centers and radii."""
 
-    __slots__ = ("at", "center", "children", "radius")
+    __slots__ = ("at", "centers", "children", "own", "radius", "weight")
 
-    def __init__(self, x: np.ndarray, at: np.ndarray, center: np.ndarray, radius: float):
-        self.at, self.center, self.radius = at, center, radius
+    def __init__(self, x: np.ndarray, w: np.ndarray, at: np.ndarray, radius: float):
+        self.at, self.radius, self.own, self.weight = at, radius, x[at[0]], int(w[at].sum())
         self.children: list[Node] = []
-        if len(at) > LEAF and radius > 1e-12:
-            own = x[at]
-            centers, near, d = farthest_first(own, FAN, radius / 2)
-            if len(centers) > 1:
+        self.centers = None
+        if len(at) > LEAF and radius > SLACK:
+            rows, most = x[at], len(at) // SPREAD
+            centers, near, d = farthest_first(rows, most + 1, radius / 2)
+            if 1 < len(centers) <= most:
                 for i, c in enumerate(centers):
                     members = near == i
-                    self.children.append(Node(x, at[members], own[c], float(d[members].max())))
+                    members[c] = False
+                    inside = np.flatnonzero(members)
+                    self.children.append(Node(x, w, at[np.concatenate(([c], inside))], float(d[inside].max()) if len(inside) else 0.0))
+                self.centers = x[at[centers]]
 
+    def parts(self) -> tuple[list[Node], np.ndarray, np.ndarray]:
+        """The children, or a leaf itself, with their centers and radii."""
+        if not self.children:
+            return [self], self.own[None, :], np.array([self.radius])
+        return self.children, self.centers, np.array([c.radius for c in self.children])
 
-def tree(x: np.ndarray, at: np.ndarray) -> Node:
-    return Node(x, at, x[at[0]], float(_distance(x[at], x[at[0]]).max()))
+
+def tree(x: np.ndarray, w: np.ndarray, at: np.ndarray) -> Node:
+    return Node(x, w, at, float(_distance(x[at], x[at[0]]).max()))
 
 
 class Links:
-    """Numbers of links, and components, of the rows of a task."""
+    """Numbers of links, and components, of the rows of a task, which have weights."""
 
-    def __init__(self, n: int):
-        self.count, self.parent = np.zeros(n, np.int64), np.arange(n)
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.count, self.parent = weights, np.zeros(len(weights), np.int64), np.arange(len(weights))
 
     def roots(self, i: np.ndarray) -> np.ndarray:
         r = self.parent[i]
@@ -112,104 +133,154 @@ class Links:
 
 def traverse(x: np.ndarray, a: Node, b: Node, threshold: float, out: Links) -> None:
     """Count and join all pairs, one row below ``a`` and one below ``b`` (each pair once where they are the same node), of cosine ``threshold`` or more."""
-    reach, slack = math.sqrt(2 - 2 * threshold), 1e-9
+    reach, w = math.sqrt(2 - 2 * threshold), out.weights
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
-        gap = float(np.sqrt(((p.center - q.center) ** 2).sum()))
-        if gap - p.radius - q.radius > reach + slack:
+        gap = float(_distance(p.own, q.own))
+        if gap - p.radius - q.radius > reach + SLACK:
             continue
-        if gap + p.radius + q.radius < reach - slack and p is not q:
-            out.count[p.at] += len(q.at)
-            out.count[q.at] += len(p.at)
-            out.join(np.concatenate((p.at, q.at)), np.full(len(p.at) + len(q.at), p.at[0]))
-        elif p is q and 2 * p.radius < reach - slack:
-            out.count[p.at] += len(p.at) - 1
+        if p is q and 2 * p.radius < reach - SLACK:
+            out.count[p.at] += p.weight - w[p.at]
             out.join(p.at, np.full(len(p.at), p.at[0]))
+        elif p is not q and gap + p.radius + q.radius < reach - SLACK:
+            out.count[p.at] += q.weight
+            out.count[q.at] += p.weight
+            out.join(np.concatenate((p.at, q.at)), np.full(len(p.at) + len(q.at), p.at[0]))
         elif not p.children and not q.children:
             near = x[p.at] @ x[q.at].T >= threshold
             if p is q:
                 near = np.triu(near, 1)
             if near.any():
-                out.count[p.at] += near.sum(axis=1)
-                out.count[q.at] += near.sum(axis=0)
+                out.count[p.at] += near @ w[q.at]
+                out.count[q.at] += w[p.at] @ near
                 i, j = np.nonzero(near)
                 out.join(p.at[i], q.at[j])
-        elif p is q:
-            c = p.children
-            stack += [(c[i], c[j]) for i in range(len(c)) for j in range(i, len(c))]
-        elif not q.children or (p.children and p.radius >= q.radius):
-            stack += [(c, q) for c in p.children]
         else:
-            stack += [(p, c) for c in q.children]
+            one, c1, r1 = p.parts()
+            two, c2, r2 = q.parts()
+            close = _distance(c1, c2) - r1[:, None] - r2[None, :] <= reach + SLACK
+            if p is q:
+                close = np.triu(close)
+            stack += [(one[i], two[j]) for i, j in np.argwhere(close).tolist()]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors from their bytes, all of one length."""
+    return np.stack([np.frombuffer(v, np.float64) for v in column.to_pylist()])
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1))
+def units(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(uid, vec_id, label, vec) with the vector as unit bytes, its length and digest; null where it links with nothing."""
+    n = batch.num_rows
+    vec: list = [None] * n
+    width, digest = [None] * n, [None] * n
+    rows = batch.column(3)
+    lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    able = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & batch.column(2).is_valid().to_numpy(zero_copy_only=False) & (lengths > 0)
+    for size in np.unique(lengths[able]).tolist():
+        at = np.flatnonzero(able & (lengths == size))
+        flat = rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+        good = np.isfinite(flat).all(axis=1) & (flat != 0).any(axis=1)
+        for i, v in zip(at[good].tolist(), unit(flat[good]) + 0.0 if good.any() else (), strict=True):
+            vec[i], width[i] = v.tobytes(), size
+            digest[i] = hashlib.blake2b(vec[i], digest_size=16).digest()
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(width, pa.int32()), pa.array(digest, pa.binary()), pa.array(vec, pa.binary())], ["uid", "vec_id", "label", "width", "digest", "vec"])
 
 
 def linked(table: pa.Table, threshold: float) -> pa.Table:
     """One pair of blocks: for each of its vectors the links found here and the least vector reached."""
     side = table["side"].to_numpy()
-    x, uid = _matrix(table["vec"]), table["uid"].to_numpy()
-    out = Links(len(uid))
+    x, uid, w = _matrix(table["vec"]), table["uid"].to_numpy(), table["w"].to_numpy()
+    out = Links(w)
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a = tree(x, one) if len(one) else None
+    a = tree(x, w, one) if len(one) else None
     if table["same"][0].as_py():
         traverse(x, a, a, threshold, out)
     elif len(one) and len(two):
-        traverse(x, a, tree(x, two), threshold, out)
+        traverse(x, a, tree(x, w, two), threshold, out)
     found = np.flatnonzero(out.count)
     root = out.roots(found)
     return pa.table({"uid": pa.array(uid[found]), "links": pa.array(out.count[found]), "root": pa.array(uid[root])})
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int = BLOCK, max_centers: int = MAX_CENTERS, sample: int = SAMPLE) -> DataFrame:
+def _top(classes: DataFrame, n: int, block: int, sample: int) -> dict[int, np.ndarray]:
+    """For each vector length of the sample its centers; the origin, at distance 1 of all, serves the other lengths."""
+    picked = [(r.width, np.frombuffer(r.vec, np.float64)) for r in bounded_sample(classes, ["uid"], sample).select("width", "vec").collect()]
+    wanted = max(1, math.ceil(n / (8 * block)))
+    out = {}
+    for width in sorted({k for k, _ in picked}):
+        own = np.stack([v for k, v in picked if k == width])
+        share = max(1, math.ceil(wanted * len(own) / len(picked)))
+        out[width] = own[farthest_first(own, min(share, len(own)))[0]]
+    return out
+
+
+def _to_centers(x: np.ndarray, centers: np.ndarray | None) -> np.ndarray:
+    return np.ones((len(x), 1)) if centers is None else _distance(x, centers)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row; pairs are compared within a label."""
     spark = df.sparkSession
-    vec = F.col(f"`{vec_col}`").cast("array<double>")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").cast("array<float>").alias("vec"), vec.alias("__d")).withColumn("uid", F.monotonically_increasing_id())
-    finite = F.col("__d").isNotNull() & ~F.exists("__d", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("__d", lambda v: v != 0)
-    base = cut(rows.withColumn("good", F.coalesce(finite, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("vec", F.when(F.col("good"), F.col("__d"))).drop("__d"), "vectors")
-    good = base.where("good")
-    picked = bounded_sample(good, ["vec_id"], sample).select("vec").collect()
-    result = base.select("uid", "vec_id")
-    if not picked:
-        return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = len(picked[0].vec)
-    good = good.where(F.size("vec") == width)
-    x = unit(np.array([r.vec for r in picked if len(r.vec) == width]))
-    wanted = min(max_centers, max(1, math.ceil(good.count() / (8 * block))))
-    centers = x[farthest_first(x, wanted)[0]]
-    shared = spark.sparkContext.broadcast(centers)  # at most max_centers vectors
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield units(batch)
+
+    base = cut(rows.mapInArrow(prepare, "uid long, vec_id long, label string, width int, digest binary, vec binary"), "vectors")
+    good = base.where("vec is not null")
+    classes = cut(good.groupBy("label", "digest").agg(F.min("uid").alias("class"), F.min("vec_id").alias("least"), F.count("*").alias("w")), "classes")
+    member = good.select("uid", "label", "digest").join(classes.select("label", "digest", "class"), ["label", "digest"]).select("uid", "class")
+    copies = cut(member.where("uid <> class").select("uid"), "copies")
+    reps = good.join(small(copies), "uid", "left_anti").select("uid", "label", "width", "vec")
+    n = classes.count()
+    centers = spark.sparkContext.broadcast(_top(reps, n, block, sample) if n else {})  # at most ``sample`` vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column(2))
-            d = np.stack([_distance(v, c) for c in shared.value], axis=1)
-            node = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node.astype(np.int32)), pa.array(d[np.arange(len(v)), node])], ["uid", "label", "vec", "node", "dist"])
-
-    placed = cut(good.select("uid", "label", "vec").mapInArrow(assign, "uid long, label string, vec array<double>, node int, dist double"), "placed")
-    nodes = placed.groupBy("label", "node").agg(F.count("*").alias("n"), F.max("dist").alias("r")).withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
-    gaps = spark.createDataFrame([(i, j, float(np.sqrt(((centers[i] - centers[j]) ** 2).sum()))) for i in range(len(centers)) for j in range(len(centers))], "node int, other int, gap double")
-    reach = math.sqrt(2 - 2 * threshold) + 1e-9
-    other = nodes.select("label", F.col("node").alias("other"), F.col("r").alias("other_r"), F.col("chunks").alias("other_chunks"))
-    partners = nodes.select("label", "node", "r", "chunks").join(other, "label").join(F.broadcast(gaps), ["node", "other"]).where(F.col("gap") - F.col("r") - F.col("other_r") <= reach)  # at most max_centers squared a label
-    mine = placed.withColumn("h", F.pmod(F.xxhash64("uid"), F.lit(1 << 30)))
-    sent = mine.join(partners, ["label", "node"]).where(F.col("gap") - F.col("dist") <= F.col("other_r") + reach).withColumn("chunk", (F.col("h") % F.col("chunks")).cast("int"))
+            width = batch.column(2).to_numpy()
+            node, dist = np.zeros(len(width), np.int32), np.zeros(len(width))
+            for k in np.unique(width).tolist():
+                at = np.flatnonzero(width == k)
+                d = _to_centers(_matrix(batch.column(3).take(pa.array(at))), centers.value.get(k))
+                node[at] = d.argmin(axis=1)
+                dist[at] = d[np.arange(len(at)), node[at]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node), pa.array(dist)], ["uid", "label", "width", "vec", "node", "dist"])
+
+    def partners_of(table: pa.Table) -> pa.Table:
+        """The nodes of one label and length, ``sample`` at most: pairs within reach, both ways."""
+        c = centers.value.get(table["width"][0].as_py())
+        node, r, chunks = table["node"].to_numpy(), table["r"].to_numpy(), table["chunks"].to_numpy()
+        one, two, gap = [], [], []
+        for i in range(len(node)):
+            g = np.zeros(len(node)) if c is None else _distance(c[node], c[node[i]])
+            near = np.flatnonzero(g - r - r[i] <= reach)
+            one.append(np.full(len(near), i))
+            two.append(near)
+            gap.append(g[near])
+        i, j = np.concatenate(one), np.concatenate(two)
+        take = lambda v: pa.array(v)
+        return pa.table({"label": table["label"].take(take(i)), "width": table["width"].take(take(i)), "node": take(node[i]), "chunks": take(chunks[i]), "other": take(node[j]), "other_r": take(r[j]), "other_chunks": take(chunks[j]), "gap": take(np.concatenate(gap))})
+
+    reach = math.sqrt(2 - 2 * threshold) + 2 * SLACK
+    placed = cut(reps.mapInArrow(assign, "uid long, label string, width int, vec binary, node int, dist double"), "placed")
+    nodes = placed.groupBy("label", "width", "node").agg(F.count("*").alias("n"), F.max("dist").alias("r")).withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
+    partners = nodes.groupBy("label", "width").applyInArrow(partners_of, "label string, width int, node int, chunks int, other int, other_r double, other_chunks int, gap double")
+    mine = placed.join(classes.select(F.col("class").alias("uid"), "w"), "uid").withColumn("h", F.pmod(F.xxhash64("uid"), F.lit(1 << 30)))
+    sent = mine.join(partners, ["label", "width", "node"]).where(F.col("gap") - F.col("dist") <= F.col("other_r") + reach).withColumn("chunk", (F.col("h") % F.col("chunks")).cast("int"))
     sent = sent.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("other_chunks") - 1)))
     first = F.struct("node", "chunk")
     second = F.struct(F.col("other").alias("node"), F.col("other_chunk").alias("chunk"))
-    keyed = sent.select("label", F.least(first, second).alias("one"), F.greatest(first, second).alias("two"), F.when(first <= second, 0).otherwise(1).alias("side"), (first == second).alias("same"), "uid", "vec")
+    keyed = sent.select("label", "width", F.least(first, second).alias("one"), F.greatest(first, second).alias("two"), F.when(first <= second, 0).otherwise(1).alias("side"), (first == second).alias("same"), "uid", "w", "vec")
     # a block meets itself and, once, each other block
-    found = cut(keyed.groupBy("label", "one", "two").applyInArrow(lambda t: linked(t, threshold), "uid long, links long, root long"), "links")
-    degree = found.groupBy("uid").agg(F.sum("links").alias("n_links"))
-    comp = connected_components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
-    ids = comp.join(base.select(F.col("uid").alias("id"), "vec_id"), "id").groupBy("component_id").agg(F.min("vec_id").alias("least"))
-    named = comp.join(ids, "component_id").select(F.col("id").alias("uid"), "least")
-    out = result.join(degree, "uid", "left").join(named, "uid", "left").withColumn("component_id", F.coalesce("least", "vec_id"))
+    found = cut(keyed.groupBy("label", "width", "one", "two").applyInArrow(lambda t: linked(t, threshold), "uid long, links long, root long"), "links")
+    degree = found.groupBy(F.col("uid").alias("class")).agg(F.sum("links").alias("links"))
+    comp = connected_components(found.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "class")
+    least = comp.join(classes.select("class", "least"), "class").groupBy("component_id").agg(F.min("least").alias("reached"))
+    named = comp.join(least, "component_id").select("class", "reached")
+    judged = classes.join(degree, "class", "left").join(named, "class", "left").select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("reached", "least").alias("reached"))
+    out = base.select("vec_id", "label", "digest").join(judged, ["label", "digest"], "left").withColumn("component_id", F.coalesce("reached", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
