@@ -3,10 +3,10 @@
 Two documents link when their sets of word shingles have Jaccard similarity ``num / den`` or more.
 Tokens are 64-bit shingle hashes; equal sets are one node from the start.
 
-Near copies first. Each set meets the first set that shares one of its ``FIRST`` least hashes, and
-what these comparisons link is one group from then on. That costs a set at most ``FIRST``
-comparisons, so groups of thousands of near copies are joined at the price of a link each, and the
-search below only has to find links between different groups.
+Near copies first. Each set meets the set of least id that shares one of its ``FIRST`` least
+hashes, and what these comparisons link is one group from then on. That costs a set at most
+``FIRST`` comparisons, so groups of thousands of near copies are joined at the price of a link
+each, and the search below only has to find links between different groups.
 
 Candidates. Let a set have n tokens. A partner misses at most n - ceil(t n) of them, so among the
 ``m = n - ceil(t n) + k`` tokens of least hash (the extended prefix) it shares k or more. Of these,
@@ -20,14 +20,16 @@ three, each from a prefix that is longer by the size of the combination less one
 the smallest possible partner.) A passage that many documents share holds fewer than k of a prefix
 in all but the shortest, and so indexes nothing.
 
-Links. In a bucket of the index every set is first compared with the bucket's first set only.
+Links. In a bucket of the index every set is first compared with the one that has the most links
+so far only: copies differ more from one another than from what they were copied from.
 Buckets that then still hold more than one group go two ways. Narrow ones compare sets across
 groups, except where the distances to the common first member rule a link out (Jaccard distance is
 a metric). The sets of wide ones are indexed once more, by all their tokens, counted among these
 sets alone: loosely similar documents have enough tokens of their own to fill the short prefix that
 a full count allows, and so part without being compared. There the smaller set of a pair needs only
-the first n - ceil(2t/(1+t) n) + 1 tokens of its order, since its partner is no smaller. No bucket
-is capped.
+the first n - ceil(2t/(1+t) n) + 1 tokens of its order, since its partner is no smaller. These sets also meet ``TURNS`` other member of
+each bucket, which joins clouds of similar documents, before the rest is compared across groups. No
+bucket is capped.
 
 Verification. The hashed prefixes bound the overlap of a pair exactly from above; pairs that survive
 are decided on the full sets, built anew from the texts of just these documents and brought
@@ -54,9 +56,10 @@ from pyspark.sql import functions as F
 from veritape.llm.common import connected_components, cut, drop_cut
 
 FIRST = 3  # least hashes by which near copies are found
-CLASSES = ((0.01, 2), (0.1, 3))  # tokens in over this share of all groups index in combinations of so many
+CLASSES = ((0.05, 2), (0.2, 3))  # tokens in over this share of all groups index in combinations of so many
 LEAST_FREQUENT = 512  # groups that a frequent token has at least
-LEAST_K = 32
+LEAST_K = 16
+TURNS = 1
 WIDE = 64  # members from which a bucket of several groups is indexed again on full sets
 BROADCAST_ROWS = 1_000_000
 CHUNK_TOKENS = 1 << 20
@@ -197,7 +200,9 @@ class _Join:
 
     def bounds(self, pairs: DataFrame) -> DataFrame:
         """a, b, na, nb, most: at most so many tokens are in both sets, from the extended prefixes."""
-        side = lambda x: self.reps.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("low").alias(f"l{x}"))
+        ids = self.scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
+        own = self.reps.join(small(ids), "rid", "left_semi")
+        side = lambda x: own.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("low").alias(f"l{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +251,9 @@ class _Join:
         return full.join(small(needs), "rid").groupBy("a", "chunk").applyInArrow(match, "a long, b long, common long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """a, b, linked, least and greatest Jaccard distance of each pair; a written table."""
+        """a, b, linked, least and greatest Jaccard distance of each pair, itself a written table; a written table."""
+        if not pairs.limit(1).count():
+            return self.scratch.put(pairs.select("a", "b", F.lit(False).alias("linked"), F.lit(0.0).alias("dlo"), F.lit(1.0).alias("dhi")), "verified")
         before = list(self.scratch.held)
         bounds = self.scratch.put(self.bounds(pairs), "bounds")
         possible = f"{self.den} * most >= {self.num} * (na + nb - most)"
@@ -258,18 +265,27 @@ class _Join:
         self.scratch.held.append(out)
         return out
 
-    def star(self, index: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """Each set (key, rid, n, short) against the first of its buckets, unless they are in one group: verified pairs."""
-        first = index.groupBy("key").agg(F.min(F.struct("rid", "n", "short")).alias("p"), F.max("rid").alias("last")).where("p.rid < last")
-        each = index.join(first.select("key", F.col("p.rid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.short").alias("pshort")), "key")
-        pairs = each.where(f"rid <> pivot and if(n < pn, short, pshort) and not ({self.apart()})").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
+    def star(self, index: DataFrame, comp: DataFrame | None, links: DataFrame | None = None, turn: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Each set (key, rid, n, short) against the first of its buckets, unless they are in one group: (pivots, verified pairs).
+
+        First is who has the most of ``links``, then the least id; in a ``turn``, who has the least hash for that turn.
+        """
+        if links is None:
+            by = index.withColumn("few", F.col("doc_id") if turn is None else F.xxhash64("rid", F.lit(turn)))
+        else:
+            ends = links.select(F.explode(F.array("a", "b")).alias("rid"))
+            by = index.join(small(self.scratch.put(ends.groupBy("rid").agg((-F.count("*")).alias("few")), "degrees")), "rid", "left").withColumn("few", F.coalesce("few", F.lit(0)))
+        first = by.groupBy("key").agg(F.min(F.struct("few", "rid", "n", "short")).alias("p"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi")
+        pivots = self.scratch.put(first.select("key", F.col("p.rid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.short").alias("pshort")), "pivots")
+        each = index.join(pivots, "key")
+        pairs = each.where(f"rid <> pivot and if(n < pn, short, pshort) and not ({self.apart()})").select(F.least("pivot", "rid").alias("a"), F.greatest("pivot", "rid").alias("b")).distinct()
         if comp is not None:
             c = lambda x: small(comp).select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}"))
             pairs = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
         written = self.scratch.put(pairs, "star")
         out = self.verify(written)
         self.scratch.drop([written])
-        return out
+        return pivots, out
 
     def index_rows(self, reps: DataFrame, comp: DataFrame, sizes: int) -> DataFrame:
         """(key, rid, n, short): rare tokens and combinations of frequent ones, of those in two groups or more; a written table.
@@ -279,12 +295,13 @@ class _Join:
         """
         before = list(self.scratch.held)
         group = small(comp).withColumnRenamed("id", "rid")
-        grouped = reps.join(group, "rid", "left").withColumn("comp", F.coalesce("component_id", "rid")).select("rid", "comp", "n", "m", "k", "ks", "low")
-        each = grouped.select("rid", "comp", F.explode("low").alias("tok"))
-        wide = self.scratch.put(each.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok"), "tokens")
-        shared = self.scratch.put(each.join(small(wide), "tok"), "shared")
-        counts = shared.select("tok", "comp").distinct().groupBy("tok").agg(F.count("*").alias("c"))
-        lists = shared.select("rid", "tok").join(small(self.scratch.put(counts, "counts")), "tok").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
+        # most tokens are in one set only: those go by the counts of 40 bits of them, before anything else is known
+        each = reps.select("rid", F.explode("low").alias("tok")).withColumn("bits", F.expr("shiftrightunsigned(tok, 24)"))
+        wide = each.groupBy("bits").agg(F.count("*").alias("c")).where("c > 1").select("bits")
+        several = self.scratch.put(each.join(wide, "bits").select("rid", "tok"), "several")
+        owned = several.join(group, "rid", "left").select("rid", "tok", F.coalesce("component_id", "rid").alias("comp"))
+        counts = owned.groupBy("tok", "comp").agg(F.count("*").alias("sets")).groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+        lists = several.join(small(self.scratch.put(counts, "counts")), "tok").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
         place = lists.join(reps.select("rid", "n", "k", "ks"), "rid").select("rid", "n", (F.size("toks") - F.col("k") + 1).alias("left"), (F.size("toks") - F.col("ks") + 1).alias("near"), "toks").where("left > 0")
         limits = [(max(self.least_frequent, share * sizes), k) for share, k in self.classes]
         longest = max([1, *(k for _, k in limits)])
@@ -317,16 +334,16 @@ class _Join:
         rows = self.scratch.put(listed.mapInArrow(run, "key long, rid long, n long, short boolean"), "keys")
         placed = rows.join(group, "rid", "left").withColumn("comp", F.coalesce("component_id", "rid"))
         useful = placed.groupBy("key").agg(F.max("short").alias("any"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("any and lo < hi").select("key")
-        out = cut(rows.join(useful, "key", "left_semi"), "index")
+        out = cut(rows.join(useful, "key"), "index")
         self.scratch.drop(self.scratch.since(before))
         self.scratch.held.append(out)
         return out
 
-    def mixed(self, index: DataFrame, comp: DataFrame, near: DataFrame) -> DataFrame:
+    def mixed(self, index: DataFrame, comp: DataFrame, pivots: DataFrame, near: DataFrame) -> DataFrame:
         """Members of the buckets with more than one group, with their group and distance to the bucket's first; a written table."""
         placed = index.join(small(comp).withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("component_id", "rid")).drop("component_id")
-        some = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rid").alias("pivot")).where("lo < hi").select("key", "pivot")
-        known = placed.join(some, "key").join(near.selectExpr("a pivot", "b rid", "dlo", "dhi"), ["pivot", "rid"], "left")
+        some = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key").join(pivots.select("key", "pivot"), "key")
+        known = placed.join(some, "key").withColumn("a", F.least("pivot", "rid")).withColumn("b", F.greatest("pivot", "rid")).join(near.select("a", "b", "dlo", "dhi"), ["a", "b"], "left")
         return self.scratch.put(known.selectExpr("key", "rid", "n", "short", "comp", "pivot", "if(rid = pivot, 0D, coalesce(dlo, 0D)) dlo", "if(rid = pivot, 0D, coalesce(dhi, 1D)) dhi"), "members")
 
     def across(self, members: DataFrame) -> DataFrame:
@@ -339,17 +356,15 @@ class _Join:
     def links(self) -> DataFrame:
         """(a, b) of nodes: a written table whose components are those of all links."""
         put, free = self.scratch.put, self.scratch.drop
-        least = self.reps.select(F.explode(F.slice("low", 1, FIRST)).alias("key"), "rid", "n", F.lit(True).alias("short"))
-        near = self.star(least, None)
-        found = put(near.where("linked").select("a", "b"), "links")
-        free([near])
+        least = self.reps.select(F.explode(F.slice("low", 1, FIRST)).alias("key"), "rid", "doc_id", "n", F.lit(True).alias("short"))
+        least = put(least.join(least.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "least")
+        found = put(self.star(least, None)[1].where("linked").select("a", "b"), "links")
         comp = put(_labels(found), "labels")
-        sizes = self.reps.count()
-        index = self.index_rows(self.reps, comp, sizes)
-        near = self.star(index, comp)
+        index = self.index_rows(self.reps, comp, self.reps.count())
+        pivots, near = self.star(index, comp, found)
         found2 = put(near.where("linked").select("a", "b"), "links")
-        comp2 = put(_labels(found2.unionAll(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "labels")
-        members = self.mixed(index, comp2, near)
+        comp2 = put(connected_components(found.unionAll(found2)), "labels")
+        members = self.mixed(index, comp2, pivots, near)
         free([index, near, comp])
         size = members.groupBy("key").agg(F.count("*").alias("size"))
         narrow = members.join(size.where(f"size <= {WIDE}").select("key"), "key")
@@ -358,11 +373,14 @@ class _Join:
         if wide.limit(1).count():
             own = put(sets(self.texts(wide), self.width, self.num, self.den, full=True), "full")
             again = self.index_rows(own, comp2, wide.count())
-            near2 = self.star(again, comp2)
+            pivots2, near2 = self.star(again, comp2, put(found.unionAll(found2), "links"))
             found3 = put(near2.where("linked").select("a", "b"), "links")
-            comp3 = put(_labels(found3.unionAll(comp2.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "labels")
             free([own])
-            cross = cross.unionAll(self.across(self.mixed(again, comp3, near2))).distinct()
+            for turn in range(TURNS):  # clouds about the threshold: pivots link with some of the others
+                more = self.star(again, comp2, None, turn)[1].where("linked").select("a", "b")
+                found3 = put(found3.unionAll(more), "links")
+            comp3 = put(connected_components(found.unionAll(found2).unionAll(found3)), "labels")
+            cross = cross.unionAll(self.across(self.mixed(again, comp3, pivots2, near2))).distinct()
             all_links = all_links.unionAll(found3)
         last = self.verify(put(cross, "cross"))
         out = cut(all_links.unionAll(last.where("linked").select("a", "b")).distinct(), "all_links")
