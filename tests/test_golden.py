@@ -165,3 +165,91 @@ def test_asof_never_multiplies(spark, rows):
     out = asof.asof_with_fallback(left, right, "company", "quarter").collect()
     assert len(out) == len(rows)
     assert all(r.match.quarter <= r.quarter for r in out if r.match_type in ("EXACT_MATCH", "FALLBACK_PREV_QUARTER"))
+
+
+def test_risk_from_claims_alone(spark):
+    """Worked by hand: no known direction is UNKNOWN, an empty one is not known, and a score under 0.3 warns."""
+    rows = [("none", None, True), ("none", "", True), ("low", "increase", False), ("low", "increase", False), ("high", "decrease", False), ("high", "increase", False), ("mid", "increase", False), ("mid", "neutral", False), ("mid", None, True)]
+    got = {r.company: (r.level, r.consistency_score, r.warning_flag) for r in risk.risk_from_claims(spark.createDataFrame(rows, "company string, direction string, direction_missing boolean"), ["company"]).collect()}
+    assert got["none"] == ("UNKNOWN", None, 0)
+    assert got["low"] == ("LOW", 1.0, 0)
+    assert got["high"] == ("HIGH", 0.25, 1)
+    assert got["mid"] == ("MODERATE", 0.43, 0)
+    assert risk.risk_from_claims(spark.createDataFrame([], "direction string, direction_missing boolean")).first().level == "UNKNOWN"
+
+
+def test_mismatch_reason(spark):
+    """Only the full reason counts as a mismatch."""
+    rows = [("A", "2024-Q1", "NOT VERIFIED", "Contradicts_Direction | EXACT_MATCH"), ("A", "2024-Q1", "VERIFIED", "CONTRADICTS nothing"), ("A", "2024-Q1", None, None), ("A", "2024-Q1", "SKIPPED", "MISSING_VALUE")]
+    r = risk.rates(spark.createDataFrame(rows, "company string, quarter string, result string, reason string")).first()
+    assert (r.total_claims, r.mismatch, r.missing, r.skip, r.fail) == (4, 0.25, 0.25, 0.5, 0.25)
+
+
+def test_repeated_series_rows(spark):
+    claim = spark.createDataFrame([("A", "2024-Q1", "Revenue grew", "revenue", "increase")], "company string, quarter string, sentence string, metric string, direction string")
+    fields = [f"{m}{k}" for m in ("revenue", "net_profit", "operating_profit", "profit_margin") for k in ("", "_qoq_change", "_yoy_change")]
+    series = spark.createDataFrame([("A", "2024-Q1", *[v] * len(fields)) for v in (7.0, 3.0, 5.0)], "company string, quarter string, " + ", ".join(f"{f} double" for f in fields))
+    for parts in (1, 3):
+        assert verify.verify(claim, series.repartition(parts)).first().actual_change == 3.0
+
+
+def test_keyword_score_words(spark):
+    import re
+
+    from veritape.functions import vocab as V
+
+    texts = ["Revenue grew; net profits improved strongly.", "regrew 9grew risers rose", "", "GROWTH of margins, INCREASED costs-lower", "betterment overall"]
+    want = [sum(w in t.lower() for w in V.PERFORMANCE_KEYWORDS) + sum(any(x.startswith(w) for x in re.findall("[a-z]+", t.lower())) for w in V.DIRECTION_KEYWORDS) for t in texts]
+    assert column(spark, texts, "s string", T.keyword_score(F.col("s"))) == want and max(want) > 3
+
+
+def test_better_near_metric(spark):
+    """The last resort looks eight words back and seven ahead of a word that holds the metric."""
+    filler = lambda n: " ".join(["word"] * n)
+    texts = [f"better {filler(7)} revenue", f"better {filler(8)} revenue", f"revenue {filler(6)} better", f"revenue {filler(7)} better", "revenue alone", "better alone"]
+    assert column(spark, texts, "s string", T.direction(F.col("s"), F.lit("revenue"))) == ["increase", None, "increase", None, None, None]
+
+
+def test_model_claims_by_brute_force(spark):
+    import math
+    import re
+
+    from veritape.functions import vocab as V
+    from veritape.models import model_claims
+
+    rows = [(r.doc_id, s.strip()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).collect() for s in re.split(r"(?<=[.!?])\s+", r.text or "")[:30]]
+    rows += [(5000, "Revenue increased 12 % on strong demand"), (5001, "revenue increased 12 % on strong demand "), (5002, ""), (5003, "   "), (5004, "Margins improved"), (5005, "the margin of our sales grew"), (5006, "Profit declined 3 crore"), (5007, "strong revenue growth"), (5008, "deposits and loans increased, margins expanded"), (5009, "costs fell by \u20b9 2"), (5010, "nothing here"), (5011, "revenue")]
+    seen, want = set(), set()
+    for i, (doc, s) in enumerate(rows):
+        clean = re.sub(r"\s{2,}", " ", re.sub(r"[\r\n\t]+", " ", s)).strip(" ")
+        words = re.findall("[a-z]+", clean.lower())
+        score = sum(w in v for v in (V.NOUNS, V.VERBS, V.ADJECTIVES) for w in words) + (1.0 if re.search(r"[0-9]|%|\u20b9|\$", clean) else 0.0) - 1.5
+        p = 1 / (1 + math.exp(-score))
+        if clean and p >= 0.6 and clean.lower() not in seen:
+            seen.add(clean.lower())
+            want.add((clean, round(p, 4)))
+    df = spark.createDataFrame([(i, "C", "2024-Q1", s) for i, (_, s) in enumerate(rows)], "i int, company string, quarter string, sentence string")
+    got = {(r.sentence, r.confidence) for r in model_claims(df, order=["i"]).collect()}
+    assert {s for s, _ in got} == {s for s, _ in want} and len(got) == len(want) > 5
+    assert all(abs(dict(want)[s] - c) < 1.1e-4 for s, c in got)
+
+
+def test_shared_folder_on_a_cluster():
+    import pytest
+
+    from veritape.session import shared_dir
+
+    class Option:
+        isDefined = staticmethod(lambda: False)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(Option)}))})
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)

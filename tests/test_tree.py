@@ -109,6 +109,28 @@ def test_explanations_from_retrieval(spark, root, tmp_path):
             assert new == old
 
 
+def test_one_company_fails(spark, root, tmp_path):
+    """A company that fails gets the status error; the others' results stand. Stale rows of a company go, and one without filings is judged by its claims."""
+    from veritape.models import lexical_logits
+
+    store = Store(spark, str(tmp_path / "store"))
+    breaks = lambda c: F.when(F.contains(c, F.lit("Deposits")), F.array(F.lit(0.0), F.raise_error(F.lit("no model for this")).cast("double"))).otherwise(lexical_logits(c))
+    names = ["ALPHA", "BETA 2024 Quarterly Data", "GAMMA"]
+    failed = analysis.run_each(spark, root, store, names, logits=breaks)
+    assert list(failed) == ["GAMMA"] and "no model" in failed["GAMMA"]
+    status = {r.folder_name: (r.status, bool(r.error_msg)) for r in store.read("companies").collect()}
+    assert status == {"ALPHA": ("ready", False), "BETA 2024 Quarterly Data": ("ready", False), "GAMMA": ("error", True)}
+    beta = json.loads(service.analyse(store, "beta")[1]["result_json"])
+    assert beta["risk"]["level"] in ("HIGH", "MODERATE", "LOW", "UNKNOWN") and beta["risk"]["warning_flag"] in (0, 1)
+    code, answer = service.chat(store, "ALPHA", "revenue demand", lambda context: context)
+    assert code == 200 and "revenue" in answer["answer"].lower()
+    ids = store.read("companies").select(F.col("id").alias("company_id"))
+    one = ids.where("company_id = 1")
+    assert store.claims(1).count() > 0
+    store.replace_company_rows("claims", store.read("claims").where("false"), companies=one)
+    assert store.claims(1).count() == 0 and store.read("claims").count() > 0
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps({"company": "C", "quarter": "2024-Q1", "raw_text": CALL.replace("\n", " ")}))

@@ -35,16 +35,17 @@ def main(args: list[str] | None = None) -> int:
         return 0
     store = Store(spark, a.store)
     if a.all:
-        analysis.run(spark, a.root, store)
-        tally = store.read("companies").agg(F.count_if(F.col("status") == "ready").alias("ok"), F.count_if(F.col("status") == "error").alias("failed")).first()
-        print(f"{tally.ok} ready, {tally.failed} failed")
-        return int(tally.failed > 0)
+        names = [r.company for r in folders(spark, a.root).collect()]
+        failed = analysis.run_each(spark, a.root, store, names)
+        for name, why in failed.items():
+            print(f"{name}: {why.splitlines()[0] if why else 'failed'}")
+        print(f"{len(names) - len(failed)} ready, {len(failed)} failed")
+        return int(bool(failed))
     found = lookup(folders(spark, a.root), ["company", "display"], "company", a.company, similar=["company"], both_ways=True).first()
     if found is None:
         print(f"no company like {a.company}")
         return 1
-    analysis.run(spark, a.root, store, found.company)
-    return 0
+    return int(bool(analysis.run_each(spark, a.root, store, [found.company])))
 
 
 if __name__ == "__main__":

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,17 +60,16 @@ def is_numeric_claim(c: Column) -> Column:
     return c.rlike(V.NUMERIC_CLAIM)
 
 
-def _list_sql(words: list[str]) -> str:
-    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def keyword_score(c: Column, performance: list[str] | None = None, direction: list[str] | None = None) -> Column:
     """Performance words found as substrings plus direction words that begin some word of letters."""
-    low = F.lower(c)
-    hits = F.size(F.filter(F.expr(_list_sql(performance or V.PERFORMANCE_KEYWORDS)), lambda w: F.contains(low, w)))
-    tokens = F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1))
-    starts = F.size(F.filter(F.expr(_list_sql(direction or V.DIRECTION_KEYWORDS)), lambda w: F.exists(tokens, lambda t: F.startswith(t, w))))
-    return (hits + starts).cast("long")
+    low = F.lower(c)  # the same expression in each term, so generated code computes it once
+    terms = [low.contains(w) for w in performance or V.PERFORMANCE_KEYWORDS] + [low.rlike(f"(?<![a-z]){w}") for w in direction or V.DIRECTION_KEYWORDS]
+    return reduce(add, [t.cast("int") for t in terms]).cast("long")
 
 
 def is_likely_claim(c: Column) -> Column:
@@ -94,8 +97,8 @@ def metrics(c: Column, vocabulary: list[tuple[str, list[str]]] | None = None) ->
 def direction(c: Column, metric: Column) -> Column:
     """decrease, increase, neutral or null. Patterns match inside words. The last resort is ``better`` within eight words of the metric."""
     low = F.lower(c)
-    words = F.regexp_extract_all(low, F.lit("([a-z]+)"), 1)
-    near = F.exists(F.transform(words, lambda w, i: F.contains(w, metric) & F.contains(F.array_join(F.slice(words, F.greatest(F.lit(1), i - 7), i + 9 - F.greatest(F.lit(1), i - 7)), " "), F.lit(V.NEARBY_INCREASE))), lambda x: x)
+    near_word = lambda ws: F.exists(F.transform(ws, lambda w, i: F.contains(w, metric) & F.contains(F.array_join(F.slice(ws, F.greatest(F.lit(1), i - 7), i + 9 - F.greatest(F.lit(1), i - 7)), " "), F.lit(V.NEARBY_INCREASE))), lambda x: x)
+    near = low.contains(V.NEARBY_INCREASE) & low.contains(metric) & _let(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1), near_word)
     return F.when(low.rlike(V.DECREASE), "decrease").when(low.rlike(V.INCREASE), "increase").when(low.rlike(V.SOFT) | low.rlike(V.NEUTRAL), "neutral").when(near, "increase")
 
 
@@ -154,8 +157,10 @@ def nlp_features(c: Column) -> Column:
 
     An entity is a number, percent or money sign; the root is the first verb of any list; the subject is the words before it.
     """
-    low = F.lower(c)
-    words = F.regexp_extract_all(low, F.lit("([a-z]+)"), 1)
+    return _let(F.lower(c), lambda low: _let(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1), lambda words: _features(c, low, words)))
+
+
+def _features(c: Column, low: Column, words: Column) -> Column:
     count = lambda vocabulary: F.size(F.filter(words, lambda w: w.isin(vocabulary))).cast("long")
     verb = F.array_min(F.transform(F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x.w.isin(V.VERBS + V.SPEECH_VERBS + V.BE_VERBS)), lambda x: x))
     subject = F.when(verb.isNotNull(), F.exists(F.slice(words, 1, F.greatest(verb.i, F.lit(0))), lambda w: w.isin(V.NOUNS))).otherwise(False)

@@ -9,6 +9,7 @@ from veritape.functions import vocab as V
 from veritape.functions.numbers import bar_percent, formatted, risk_level, trend, verdict_label
 from veritape.functions.quarters import normalise_quarter
 from veritape.functions.text import signal_title
+from veritape.operators.risk import risk_from_claims
 from veritape.operators.timeseries import latest
 
 # Labels, units and colours of the display.
@@ -76,13 +77,28 @@ def risk_from_table(risk: DataFrame, scope: str = "company") -> DataFrame:
     return row.select(scope, F.struct(risk_level(F.col("consistency_score"), F.col("warning_flag")).alias("level"), "consistency_score", "warning_flag", "verification_rate", "failure_rate").alias("risk"))
 
 
-def assemble(series: DataFrame, risk: DataFrame, claims: DataFrame, explained: DataFrame, order: list[str], modes: tuple[str, ...] = ("full", "earnings", "financial")) -> DataFrame:
-    """company, mode, result_json: one document per company and mode. ``explained``: company, explanation, positive, negative."""
+def claims_risk(attributes: DataFrame, scope: str = "company") -> DataFrame:
+    """Level from the claims' directions alone, per scope, for those without a risk row; in the shape of :func:`risk_from_table`."""
+    found = risk_from_claims(attributes, [scope])
+    none = F.lit(None).cast("double")
+    return found.select(scope, F.struct("level", F.col("consistency_score").cast("double").alias("consistency_score"), "warning_flag", none.alias("verification_rate"), none.alias("failure_rate")).alias("claims_risk"))
+
+
+def assemble(series: DataFrame, risk: DataFrame, claims: DataFrame, explained: DataFrame, order: list[str], modes: tuple[str, ...] = ("full", "earnings", "financial"), attributes: DataFrame | None = None) -> DataFrame:
+    """company, mode, result_json: one document per company and mode. ``explained``: company, explanation, positive, negative.
+
+    ``attributes``: claims from whose directions a company without a risk row is judged; UNKNOWN without them.
+    """
     tiles = bar_tiles(metric_tiles(latest(series, ["company"]))).select("company", "metrics", "bar_metrics")
     shown = display_claims(claims, order)
     listed = shown.groupBy("company").agg(F.array_sort(F.collect_list(F.struct("rank", "quarter", "sentence", "metric", "direction", "result", "confidence"))).alias("claims"))
     named = F.transform("claims", lambda x: F.struct(x.quarter.alias("quarter"), x.sentence.alias("sentence"), x.metric.alias("metric"), x.direction.alias("direction"), x.result.alias("result"), x.confidence.alias("confidence")))
     out = explained.join(tiles, "company", "left").join(risk_from_table(risk), "company", "left").join(listed, "company", "left").join(source_label(claims), "company", "left")
+    none = F.lit(None).cast("double")
+    unknown = F.struct(F.lit("UNKNOWN").alias("level"), none.alias("consistency_score"), F.lit(0).alias("warning_flag"), none.alias("verification_rate"), none.alias("failure_rate"))
+    by_claims = claims_risk(claims if attributes is None else attributes)
+    shape = "struct<level string, consistency_score double, warning_flag int, verification_rate double, failure_rate double>"
+    out = out.join(by_claims, "company", "left").withColumn("risk", F.coalesce(*[x.cast(shape) for x in (F.col("risk"), F.col("claims_risk"), unknown)]))
     body = F.struct(
         "company",
         F.col("metrics").isNotNull().alias("has_xbrl"),

@@ -31,7 +31,7 @@ def rates(verified: DataFrame) -> DataFrame:
             share(result == "NOT VERIFIED", "fail"),
             share(result == "PARTIAL", "part"),
             share(result == "SKIPPED", "skip"),
-            share(reason.contains("CONTRADICTS"), "mismatch"),
+            share(reason.contains("CONTRADICTS_DIRECTION"), "mismatch"),
             share(reason.contains("MISSING"), "missing"),
             share(reason.contains("UNKNOWN_DIRECTION"), "unknown"),
         )
@@ -65,10 +65,10 @@ def aggregate_risk(verified: DataFrame, scope: str = "company") -> DataFrame:
 
 
 def risk_from_claims(attributes: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Level, score and warning where nothing could be verified, from the directions alone; UNKNOWN without claims."""
-    known = F.count("direction")
+    """Level, score and warning where nothing could be verified, from the directions alone; UNKNOWN without a known direction. An empty direction is unknown."""
+    known = F.count(F.nullif(F.col("direction"), F.lit("")))
     share = lambda v: F.try_divide(F.count_if(F.col("direction") == v), known)
     score = F.coalesce(share("increase"), F.lit(0.0)) - 0.5 * F.coalesce(share("decrease"), F.lit(0.0)) - 0.2 * F.coalesce(F.try_divide(F.count_if("direction_missing"), F.count("*")), F.lit(0.0))
-    out = attributes.groupBy(*(scope or [])).agg(F.count("*").alias("n"), round_decimal(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("s"))
+    out = attributes.groupBy(*(scope or [])).agg(known.alias("n"), round_decimal(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("s"))
     level = F.when(F.col("n") == 0, "UNKNOWN").when(F.col("s") > 0.6, "LOW").when(F.col("s") > 0.3, "MODERATE").otherwise("HIGH")
     return out.select(*(scope or []), level.alias("level"), F.when(F.col("n") > 0, F.col("s")).alias("consistency_score"), ((F.col("n") > 0) & (F.col("s") < 0.3)).cast("int").alias("warning_flag"))

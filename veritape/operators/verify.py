@@ -18,12 +18,12 @@ def verify(claims: DataFrame, series: DataFrame, scope: str = "company", normali
 
     Both sides' quarters are normalised once more, as the analysis does (``normalise``). A metric
     without a column, or whose column is empty over the ``scope`` (company or global), is
-    MISSING_METRIC_MAPPING before anything else is looked at.
+    MISSING_METRIC_MAPPING before anything else is looked at. Of series rows that repeat a quarter the least counts.
     """
     quarter = normalise_quarter(F.col("quarter")) if normalise else F.col("quarter")
     left = claims.withColumn("__key", company_key(F.col("company"))).withColumn("quarter", quarter)
     right = series.withColumn("__key", company_key(F.col("company"))).withColumn("quarter", quarter).drop("company")
-    right = right.groupBy("__key", "quarter").agg(F.first(F.struct(*[c for c in right.columns if c not in ("__key", "quarter")])).alias("__s")).select("__key", "quarter", "__s.*")
+    right = right.groupBy("__key", "quarter").agg(F.min(F.struct(*[c for c in right.columns if c not in ("__key", "quarter")])).alias("__s")).select("__key", "quarter", "__s.*")
     names = F.create_map(*[F.lit(x) for kv in V.METRIC_COLUMN.items() for x in kv])
     left = left.withColumn("__base", names[F.col("metric")])
     matched = asof_with_fallback(left, right, "__key", "quarter")

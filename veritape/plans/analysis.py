@@ -59,7 +59,7 @@ def plan(docs: DataFrame, facts: DataFrame, logits: Callable[[Column], Column] =
     return Analysis(sentences, attrs, series, checked, aggregate_risk(checked), checked.unionByName(plain, allowMissingColumns=True))
 
 
-def run(spark: SparkSession, root: str, store: Store, company: str | None = None, logits: Callable[[Column], Column] = lexical_logits, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None, extract_pdf: Callable[[bytes], list[str]] | None = None) -> Analysis:
+def run(spark: SparkSession, root: str, store: Store, company: str | list[str] | None = None, logits: Callable[[Column], Column] = lexical_logits, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None, extract_pdf: Callable[[bytes], list[str]] | None = None) -> Analysis:
     """Read the tree, analyse, and write every table. ``answer`` turns a context text into a model's answer text."""
     store.create()
     docs = transcripts(spark, root, extract_pdf, company)
@@ -74,18 +74,36 @@ def run(spark: SparkSession, root: str, store: Store, company: str | None = None
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None))
         typed = [F.col(x.split()[0]).cast(x.split()[1]) for x in TABLES[name][0].split(", ")]
-        store.replace_company_rows(name, rows.select(*typed))
+        store.replace_company_rows(name, rows.select(*typed), companies=keyed(folders.withColumnRenamed("folder_name", "company")))
     order = [c for c in ("folder", "quarter", "pos") if c in a.sentences.columns]
     store.append_vectors(a.sentences, embed(F.col("sentence")), order)
     vectors = spark.read.parquet(f"{store.root}/vectors").withColumn("company", F.col("metadata")["company"])
     names = a.sentences.select("company").distinct().withColumn("name", display_name(F.col("company"), strict=False))
     explained = explain(vectors, names, embed, answer).drop("answered")
-    payload = assemble(a.series, a.risk, _typed_claims(a.claims), explained, ["quarter", "sentence", "metric"])
+    payload = assemble(a.series, a.risk, _typed_claims(a.claims), explained, ["quarter", "sentence", "metric"], attributes=a.attributes)
     store.save_analysis(keyed(payload).select("company_id", "mode", "result_json", F.expr("unix_micros(current_timestamp())").alias("seq")))
     store.upsert_companies(folders.select("folder_name", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.expr("unix_micros(current_timestamp())").alias("seq")))
     return a
 
 
+def run_each(spark: SparkSession, root: str, store: Store, companies: list[str], **settings) -> dict[str, str]:
+    """All ``companies`` in one plan; where that fails, in halves, down to the companies that fail alone. These get the status
+    error with its message, which is also returned by company; the others' results stand."""
+    if not companies:
+        return {}
+    try:
+        run(spark, root, store, companies, **settings)
+        return {}
+    except Exception as e:  # noqa: BLE001  kept with the company
+        if len(companies) > 1:
+            half = len(companies) // 2
+            return run_each(spark, root, store, companies[:half], **settings) | run_each(spark, root, store, companies[half:], **settings)
+        store.create()
+        seq = F.expr("unix_micros(current_timestamp())").alias("seq")
+        store.upsert_companies(spark.createDataFrame([(companies[0], "error", str(e))], "folder_name string, status string, error_msg string").select("*", seq))
+        return {companies[0]: str(e)}
+
+
 def _typed_claims(claims: DataFrame) -> DataFrame:
     for c, kind in (("result", "string"), ("actual_change", "double")):
         if c not in claims.columns:
@@ -115,7 +133,7 @@ def rebuild(store: Store, embed: Callable[[Column], Column] = hashed_embedding,
     """
     ready = store.read("companies").where("status = 'ready'").select(F.col("id").alias("company_id"), F.col("display_name").alias("company"), "folder_name")
     claims = store.read("claims").where("length(sentence) > 0").join(ready, "company_id")
-    n = store.append_vectors(claims.withColumn("result", F.coalesce("result", F.lit("None"))), embed(F.col("sentence")), ["quarter", "sentence", "metric"])
+    n = store.append_vectors(claims.withColumn("result", F.coalesce("result", F.lit("None"))).withColumn("reason", F.lit("CLAIM")), embed(F.col("sentence")), ["quarter", "sentence", "metric"])
     if answer is None:
         return n
     asked = ready.join(claims.select("company_id").distinct(), "company_id", "left_semi")

@@ -7,6 +7,7 @@ Each query runs an operator over its whole table. Where a query needs text that
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +19,8 @@ from veritape.functions import text as T
 from veritape.functions import vocab as V
 from veritape.models import model_claims, probability
 from veritape.operators import asof, claims, dataset, dedup, facts, fuzzy, payload, retrieval, risk, timeseries, verify
-from veritape.session import table
-from veritape.sinks import upsert_companies, vector_rows
+from veritape.session import shared_dir, table
+from veritape.sinks import Store, upsert_companies, vector_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -327,8 +328,8 @@ def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- risk ---------------------------------------------------------------------------------------
 
 SQL_RESULTS = f"""(SELECT c_mktsegment AS company, {SQL_FQ.format(d="o_orderdate")} AS quarter, CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'P' THEN 'NOT VERIFIED' ELSE CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'PARTIAL' END END AS result,
- CASE o_orderstatus WHEN 'P' THEN 'CONTRADICTS_DIRECTION | EXACT_MATCH' WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'MISSING_VALUE' ELSE 'UNKNOWN_DIRECTION' END ELSE 'VERIFIED_STRONG' END AS reason FROM orders JOIN customer ON o_custkey = c_custkey)"""
-_RATES = [("ver", "result = 'VERIFIED'"), ("fail", "result = 'NOT VERIFIED'"), ("part", "result = 'PARTIAL'"), ("skip", "coalesce(result, 'SKIPPED') = 'SKIPPED'"), ("mismatch", "contains(reason, 'CONTRADICTS')"), ("missing", "contains(reason, 'MISSING')"), ("unknown", "contains(reason, 'UNKNOWN_DIRECTION')")]
+ CASE o_orderstatus WHEN 'P' THEN 'CONTRADICTS_DIRECTION | EXACT_MATCH' WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'MISSING_VALUE' ELSE 'UNKNOWN_DIRECTION' END ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'CONTRADICTS_OTHER' ELSE 'VERIFIED_STRONG' END END AS reason FROM orders JOIN customer ON o_custkey = c_custkey)"""
+_RATES = [("ver", "result = 'VERIFIED'"), ("fail", "result = 'NOT VERIFIED'"), ("part", "result = 'PARTIAL'"), ("skip", "coalesce(result, 'SKIPPED') = 'SKIPPED'"), ("mismatch", "contains(reason, 'CONTRADICTS_DIRECTION')"), ("missing", "contains(reason, 'MISSING')"), ("unknown", "contains(reason, 'UNKNOWN_DIRECTION')")]
 SQL_RATES = f"(SELECT company, quarter, count(*) AS total_claims, {', '.join(f'count(*) FILTER ({c}) / count(*) AS {n}' for n, c in _RATES)} FROM {SQL_RESULTS} GROUP BY company, quarter)"
 _R4 = "round_even({0} * 10000, 0) / 10000"
 SQL_RISK = f"""SELECT company, quarter, CAST(total_claims AS BIGINT) AS total_claims, quarter_weight, verification_rate, failure_rate, partial_rate, skipped_rate, direction_mismatch_rate, missing_data_rate, unknown_direction_rate, consistency_score,
@@ -346,7 +347,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias(" Company "),
         Q.fiscal_quarter(F.col("o_orderdate")).alias("Quarter"),
         F.when(s == "F", "VERIFIED").when(s == "P", "NOT VERIFIED").when(~third, "PARTIAL").alias("RESULT"),
-        F.when(s == "P", "CONTRADICTS_DIRECTION | EXACT_MATCH").when(s == "F", "VERIFIED_STRONG").when(third, "MISSING_VALUE").otherwise("UNKNOWN_DIRECTION").alias("reason"),
+        F.when(s == "P", "CONTRADICTS_DIRECTION | EXACT_MATCH").when(s == "F", F.when(F.col("o_orderkey") % 5 == 0, "CONTRADICTS_OTHER").otherwise("VERIFIED_STRONG")).when(third, "MISSING_VALUE").otherwise("UNKNOWN_DIRECTION").alias("reason"),
     )
 
 
@@ -370,12 +371,13 @@ def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT company, CASE WHEN s > 0.6 THEN 'LOW' WHEN s > 0.3 THEN 'MODERATE' ELSE 'HIGH' END AS level, s AS consistency_score, CASE WHEN s < 0.3 THEN 1 ELSE 0 END AS warning_flag FROM (SELECT company, round_even(greatest(0::DOUBLE, least(1::DOUBLE,
- coalesce(count(*) FILTER (direction = 'increase') / nullif(count(direction), 0), 0) - 0.5 * coalesce(count(*) FILTER (direction = 'decrease') / nullif(count(direction), 0), 0) - 0.2 * (count(*) FILTER (direction IS NULL) / count(*)))), 2) AS s FROM {SQL_CLAIMS} GROUP BY company)"""
+    f"""SELECT company, CASE WHEN known = 0 THEN 'UNKNOWN' WHEN s > 0.6 THEN 'LOW' WHEN s > 0.3 THEN 'MODERATE' ELSE 'HIGH' END AS level, CASE WHEN known > 0 THEN s END AS consistency_score, CASE WHEN known > 0 AND s < 0.3 THEN 1 ELSE 0 END AS warning_flag FROM (SELECT company, count(direction) AS known, round_even(greatest(0::DOUBLE, least(1::DOUBLE,
+ coalesce(count(*) FILTER (direction = 'increase') / nullif(count(direction), 0), 0) - 0.5 * coalesce(count(*) FILTER (direction = 'decrease') / nullif(count(direction), 0), 0) - 0.2 * (count(*) FILTER (direction IS NULL) / count(*)))), 2) AS s FROM (SELECT company, direction FROM {SQL_CLAIMS} UNION ALL SELECT 'silent', NULL FROM region) GROUP BY company)"""
 )
 def risk_claims_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-7"""
-    c = _claims(spark, sf_dir).withColumn("direction_missing", F.col("direction").isNull())
+    silent = table(spark, sf_dir, "region").select(F.lit("silent").alias("company"), F.lit(None).cast("string").alias("direction"))
+    c = _claims(spark, sf_dir).select("company", "direction").unionByName(silent).withColumn("direction_missing", F.col("direction").isNull())
     return risk.risk_from_claims(c, ["company"])
 
 
@@ -608,10 +610,14 @@ def first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_nonempty(tiers, ["o_custkey"]).select("o_orderkey", "tier")
 
 
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'")
+@query("SELECT id, c_name AS folder_name, c_name AS display_name, 'ready' AS status FROM (SELECT c_name, c_mktsegment, row_number() OVER (ORDER BY c_custkey, c_name) AS id FROM customer) WHERE c_mktsegment = 'BUILDING'")
 def ready_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-10, SRC-11, SRT-4, SVC-5"""
-    return table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name", "c_acctbal").orderBy("c_name")
+    """SRC-10, SRC-11, SRT-4, SVC-5: written to a store and listed from it."""
+    store = Store(spark, f"{shared_dir(spark)}/veritape/listing-{uuid.uuid4().hex}")
+    store.create()
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "ready").otherwise("pending")
+    store.upsert_companies(table(spark, sf_dir, "customer").select(F.col("c_name").alias("folder_name"), status.alias("status"), F.lit(None).cast("string").alias("error_msg"), F.col("c_custkey").cast("long").alias("seq")))
+    return store.companies(ready=True).select("id", "folder_name", "display_name", "status")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'ation_1')")
@@ -622,7 +628,7 @@ def match_company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_name, 2 AS tier FROM (SELECT n_name FROM nation WHERE contains(lower(n_name), 'ion_1') ORDER BY n_name LIMIT 1) UNION ALL SELECT n_name, 1 AS tier FROM nation WHERE lower(n_name) = 'nation_7' UNION ALL SELECT n_name, 2 AS tier FROM (SELECT n_name FROM nation WHERE contains(lower(n_name), 'tion_2') ORDER BY n_name LIMIT 1)")
 def fuzzy_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-10, JN-11, STR-23, STR-24: names that may or may not be there, in the first two tiers."""
+    """JN-10, JN-11, STR-23: names that may or may not be there, in the first two tiers."""
     n = table(spark, sf_dir, "nation")
     found = [fuzzy.lookup(n, ["n_name"], "n_name", q, cutoff=2.0) for q in ("ion_1", "Nation_7", "tion_2")]
     return found[0].unionByName(found[1]).unionByName(found[2]).select("n_name", "tier")
@@ -630,7 +636,7 @@ def fuzzy_company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-10's third tier (Ratcliff-Obershelp has no SQL); the tests compare it with the library's own matching."""
+    """STR-24, JN-10's third tier (Ratcliff-Obershelp has no SQL); the tests compare it with the library's own matching."""
     return fuzzy.lookup(table(spark, sf_dir, "nation"), ["n_name"], "n_name", "natoin-7").select("n_name", "tier", F.round("score", 6).alias("score"))
 
 
@@ -690,12 +696,12 @@ def retrieval_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.batch_top_k(v, q, 5, "vec_id")).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), "distance")
 
 
-@query(r"""SELECT c_name || '_' || i AS id, document FROM (SELECT replace(substr(c, 1, 30), ' ', '_') AS c_name, row_number() OVER (PARTITION BY c ORDER BY conv_id, turn) - 1 AS i, text AS document FROM (SELECT *, 'Company ' || role AS c FROM conversations)) WHERE trim(document) <> '' AND c_name <> 'Company_user'""")
+@query(r"""SELECT c_name || '_' || i AS id, document, 'CONTEXT' AS result, 'TRANSCRIPT_EXCERPT' AS reason FROM (SELECT replace(substr(c, 1, 30), ' ', '_') AS c_name, row_number() OVER (PARTITION BY c ORDER BY conv_id, turn) - 1 AS i, text AS document FROM (SELECT *, 'Company ' || role AS c FROM conversations)) WHERE trim(document) <> '' AND c_name <> 'Company_user'""")
 def vector_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-8, PRJ-2, MAP-1: companies that are there already are left out"""
     k = table(spark, sf_dir, "conversations").withColumn("company", F.concat(F.lit("Company "), "role")).withColumnRenamed("text", "sentence")
     old = spark.range(1).select(F.create_map(F.lit("company"), F.lit("Company user")).alias("metadata"))
-    return vector_rows(k, F.lit(None), ["conv_id", "turn"], old).select("id", "document")
+    return vector_rows(k, F.lit(None), ["conv_id", "turn"], old).select("id", "document", F.col("metadata")["result"].alias("result"), F.col("metadata")["reason"].alias("reason"))
 
 
 # ---- payload ------------------------------------------------------------------------------------

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritape.models import hashed_embedding
 from veritape.operators.fuzzy import lookup
 from veritape.operators.retrieval import chat_context, top_k
 from veritape.sinks import Store
@@ -44,11 +45,14 @@ def analyse(store: Store, name: str, mode: str = "full") -> tuple[int, dict]:
     return (404, {"status": "not_cached", "company": found.display_name}) if row is None else (200, {"status": "ok", "company": found.display_name, "result_json": row.result_json})
 
 
-def chat(store: Store, name: str, query: list[float], answer: Callable[[str], str], k: int = 6) -> tuple[int, dict]:
-    """The answer to a question given as its vector, from the company's ``k`` nearest sentences. Errors of the model are part of the answer."""
+def chat(store: Store, name: str, query: str | list[float], answer: Callable[[str], str], k: int = 6, embed: Callable[[Column], Column] = hashed_embedding) -> tuple[int, dict]:
+    """The answer to a question, from the company's ``k`` nearest sentences. A question in words is embedded as the sentences
+    were; a vector is taken as it is. Errors of the model are part of the answer."""
     found = find_company(store, name).first()
     if found is None:
         return 404, {"status": "not_found"}
+    if isinstance(query, str):
+        query = store.spark.createDataFrame([(query,)], "question string").select(embed(F.col("question")).alias("v")).first().v
     vectors = store.spark.read.parquet(f"{store.root}/vectors").withColumns({"quarter": F.col("metadata")["quarter"], "result": F.col("metadata")["result"]})
     near = top_k(vectors, query, k, F.col("metadata")["company"].isin(found.display_name, found.folder_name))
     context = chat_context(near).first().context

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,11 +25,13 @@ def local_session(cpus: str | int = 8, name: str = "veritape") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master; a cluster must set it."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if where is None:
         where = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
+    if where is None and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if where is None:
         where = tempfile.mkdtemp(prefix="veritape-")
         sc.setCheckpointDir(where)

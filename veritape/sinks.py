@@ -59,11 +59,19 @@ class Store:
         new = rows.withColumn("created_at", F.current_timestamp()).select(*self.read("analysis_cache").columns)
         self._swap("analysis_cache", last_wins(self.read("analysis_cache").unionByName(new), ["company_id", "mode"], ["seq", "created_at"]))
 
-    def replace_company_rows(self, name: str, rows: DataFrame, order: list[str] | None = None) -> None:
-        """claims, timeseries or risk: the companies in ``rows`` get just these rows. Keys of the table are unique after it, the last in ``order`` staying."""
+    def replace_company_rows(self, name: str, rows: DataFrame, order: list[str] | None = None, companies: DataFrame | None = None) -> None:
+        """claims, timeseries or risk: the companies in ``rows`` get just these rows. Keys of the table are unique after it, the last in ``order`` staying.
+
+        Companies of ``companies`` (company_id) that have no rows now lose those they had.
+        """
         columns, key = self.read(name).columns, TABLES[name][1]
         new = last_wins(rows, key, order or key) if key else rows
         new.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_id").parquet(self._path(name))
+        if companies is not None:
+            stale = companies.select("company_id").distinct().join(rows.select("company_id").distinct(), "company_id", "left_anti")
+            for r in stale.toLocalIterator():  # one folder each
+                fs, p = self._fs(f"{self._path(name)}/company_id={r.company_id}")
+                fs.delete(p, True)
 
     def company(self, folder: str) -> DataFrame:
         return self.read("companies").where(F.col("folder_name") == folder)
@@ -111,5 +119,5 @@ def vector_rows(sentences: DataFrame, embed: Column, order: list[str], old: Data
     value = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in has else F.lit(default)
     n = F.row_number().over(Window.partitionBy("company").orderBy(*order)) - 1
     rows = rows.withColumn("__i", n).where(F.trim("sentence") != "")
-    meta = F.create_map(F.lit("company"), F.col("company"), F.lit("quarter"), value("quarter", ""), F.lit("result"), value("result", "CONTEXT"), F.lit("reason"), value("reason", ""))
+    meta = F.create_map(F.lit("company"), F.col("company"), F.lit("quarter"), value("quarter", ""), F.lit("result"), value("result", "CONTEXT"), F.lit("reason"), value("reason", "TRANSCRIPT_EXCERPT"))
     return rows.select(vector_id(F.col("company"), F.col("__i")).alias("id"), F.col("sentence").alias("document"), meta.alias("metadata"), embed.alias("embedding"))

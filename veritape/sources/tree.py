@@ -15,19 +15,19 @@ from veritape.functions.text import clean_lines
 FALLBACK_YEAR = 2024
 
 
-def listing(spark: SparkSession, root: str, pattern: str, content: bool = True, company: str | None = None) -> DataFrame:
+def listing(spark: SparkSession, root: str, pattern: str, content: bool = True, company: str | list[str] | None = None) -> DataFrame:
     """company, folder, file, year, weight, content of the files whose name matches ``pattern`` (a regular expression).
 
     A company's folder counts if a year can be read from its name; without any, its own files count
-    with the year 2024. Weights fall with the rank of the year folder, ties by name. ``company``
-    narrows the listing before anything is read. A missing root raises.
+    with the year 2024. Weights fall with the rank of the year folder, ties by name. ``company`` (or
+    several) narrows the listing before anything is read. A missing root raises.
     """
     jroot = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = jroot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jroot):
         raise FileNotFoundError(root)
     base = fs.makeQualified(jroot).toString().rstrip("/")
-    top = f"{base}/{company}" if company else base
+    top = [f"{base}/{c}" for c in ([company] if isinstance(company, str) else company)] if company else base
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
     parts = F.split(F.expr("substring(path, length(:b) + 2)".replace(":b", "'" + base.replace("'", "\\'") + "'")), "/")
     rows = files.select(parts.alias("p"), *([F.col("content")] if content else [])).where(F.size("p").between(2, 3))
@@ -64,7 +64,7 @@ def pdf_pages(extract: Callable[[bytes], list[str]]) -> Callable[[Column], Colum
     return pages
 
 
-def transcripts(spark: SparkSession, root: str, extract_pdf: Callable[[bytes], list[str]] | None = None, company: str | None = None) -> DataFrame:
+def transcripts(spark: SparkSession, root: str, extract_pdf: Callable[[bytes], list[str]] | None = None, company: str | list[str] | None = None) -> DataFrame:
     """company, quarter, weight, source, raw_text, filename of all readable .txt and (with ``extract_pdf``) .pdf files; blank ones go."""
     files = listing(spark, root, r"(?i)\.(txt|pdf)$" if extract_pdf else r"(?i)\.txt$", company=company)
     plain = files.where(F.col("file").rlike(r"(?i)\.txt$")).withColumn("raw_text", clean_lines(decode_text(F.col("content"))))

@@ -54,7 +54,7 @@ def raw_facts(files: DataFrame) -> DataFrame:
     return files.select("company", "folder", "file", "weight", "content").mapInArrow(run, RAW)
 
 
-def filings(spark: SparkSession, root: str, company: str | None = None) -> DataFrame:
+def filings(spark: SparkSession, root: str, company: str | list[str] | None = None) -> DataFrame:
     """company, quarter, metric, value, weight of all filings. Only ``.xml`` in lower case is read."""
     raw = raw_facts(listing(spark, root, r"\.xml$", company=company))
     return facts(raw.withColumn("file", F.concat_ws("/", "company", "folder", "file")))
