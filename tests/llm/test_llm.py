@@ -204,6 +204,29 @@ def test_pii_additions(spark):
         assert all(out[d] == text for d, text in stay.items()), [out[d] for d in stay if out[d] != stay[d]]
 
 
+def test_pii_recall(spark):
+    """Forms outside the base rules in fresh texts, by a model that never saw them: precision and recall of nine tenths, by kind."""
+    rng = np.random.default_rng(8)
+    words = "the report of this week was sent to all of them and nobody had more to add on that".split()
+    say = lambda: " ".join(rng.choice(words, 6))
+    train = [(i, f"{say()} u{i}@mail{i % 9}.example.com {say()} +1 (425) 555-{i:04d} {say()} 10.1.{i % 200}.{i % 250} {say()} 4111 1111 1111 1111 {say()} {2000 + i % 30}-0{i % 9 + 1}-1{i % 9} {say()} {rng.integers(10**7, 10**9)}") for i in range(400)]
+    model = pii.fit(spark.createDataFrame(train, "doc_id long, text string"))
+    assert len(model.limits) == 4 and all(0.5 <= x <= 1 for x in model.limits)
+    right, wrong, planted = collections.Counter(), collections.Counter(), collections.Counter()
+    for i in range(400):
+        k, form = PLANTED[i % 5]
+        x = form.format(i=i + 3000)
+        text = f"{say()} {x} {say()}"
+        got = {text[s:e] for s, kind, e in pii.added_spans(text, pii.base_spans(text), model) if kind == k}
+        planted[k] += 1
+        right[k] += x in got
+        decoy = f"{say()} {DECOYS[i % 3].format(i=i % 200 + 50, m=i % 9 + 1)} {say()}"
+        for _, kind, _ in pii.added_spans(decoy, pii.base_spans(decoy), model):
+            wrong[kind] += 1
+    for k in planted:
+        assert right[k] >= 0.9 * planted[k] and right[k] >= 0.9 * (right[k] + wrong[k]), (pii.KINDS[k], planted, right, wrong, model.limits)
+
+
 def test_boosted_trees():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
@@ -218,7 +241,7 @@ def test_secrets(spark, docs, rows):
     for text in [t for _, t, _, _ in rows if t and len(t) < 60000] + TRICKY:
         assert sorted(secrets.base_spans(text)) == spans_by(SECRET_RULES, text, True)
     found = secrets.find(docs).collect()
-    assert len(found) == len(rows) and sum(r.n_assign for r in found) >= 0
+    assert len(found) == len(rows) and secrets.find(docs.where("false")).count() == 0
     text = "the auth header carries Zq8fK2xV9pLm3RtY7wBn for now, and the key word abcdefghijklmnopqrstuvwxyz0 stays"
     assert [text[s:e] for s, _, e in secrets.novel_spans(text, [])] == ["Zq8fK2xV9pLm3RtY7wBn"]
 
@@ -237,6 +260,24 @@ def test_secret_places():
     assert found(f"nothing of that kind here {one}") == [] and found("the auth of this and of abcdefghijklmnopqrstuvwxyz0") == []
 
 
+def test_secret_recall():
+    """Planted strings of several alphabets and lengths beside decoys: nine tenths are found, and nine tenths of the finds are planted."""
+    rng = np.random.default_rng(11)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    leads = ["Authorization: Bearer {}", "the private key is {} until may", "credential {} of the build", 'auth: {{"value": "{}"}}', "session cookie\n{}\n", "export SIGNING_KEY {}", "pwd -> {}"]
+    decoys = ["get_connection_timeout_seconds_2", "com/example/project/module/version2", "abcdefghijklmnopqrstuvwxyz0", "1234567890123456789a", "aaaaaaaaaaaaaaaaaaaaaaaa1", "the-quick-brown-fox-jumps-over-2-dogs", "createConnection_readFile_writeFile_1"]
+    found = right = planted = 0
+    for i in range(280):
+        secret = "".join(rng.choice(list(alphabets[i % 4]), rng.integers(20, 64)))
+        text = leads[i % 7].format(secret) + " and the rest of the page follows here"
+        spans = secrets.novel_spans(text, secrets.base_spans(text))
+        hit = any(text[s:e] == secret for s, _, e in spans) or any(secret in text[s:e] for s, _, e in secrets.base_spans(text))
+        decoy = leads[i % 7].format(decoys[i % len(decoys)])
+        wrong = len(secrets.novel_spans(decoy, secrets.base_spans(decoy)))
+        planted, right, found = planted + 1, right + hit, found + hit + wrong
+    assert right >= 0.9 * planted and right >= 0.9 * found, (planted, right, found)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for trial in range(150):
@@ -401,9 +442,59 @@ def test_quality(spark, docs, rows):
         want[(d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in x), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w))] += 1
     assert got == want
     assert quality.judge(docs.where("false")).count() == 0
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    judged = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed").join(labels, "doc_id")
-    assert judged.where("quality = 1 and not kept").count() == 0 and judged.where("quality = 0 and kept").count() <= 4
+
+
+def test_quality_distances(spark, docs, rows):
+    """Both distances and the verdict of every document, computed plainly."""
+
+    def measure(x):
+        w = re.findall(r"[^\x20\x09-\x0D]+", x)
+        kinds = collections.Counter(0 if unicodedata.category(c) != "Lu" and unicodedata.category(c)[0] == "L" else 1 if unicodedata.category(c) == "Lu" else 2 if c in "0123456789" else 3 if c in " \t\n\x0b\x0c\r" else 4 if c in "#*$%&|<>" else 5 for c in x)
+        return [kinds[i] for i in range(6)], [w.count(c) for c in quality.COMMON_WORDS] + [sum(c not in quality.COMMON_WORDS for c in w)]
+
+    def distance(p, q):
+        if not sum(p):
+            return 0.0
+        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+        m = (p + q) / 2
+        kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x > 0)
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    import math
+    import unicodedata
+
+    got = quality.judge(docs).collect()
+    base = {(r.doc_id, r.n_words, r.word_chars): r.base_failed for r in got}
+    passing, sums = collections.Counter(), {}
+    data = []
+    for d, text, lang, _ in rows:
+        x = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", x)
+        c, v = measure(x)
+        failed = base[d, len(w), sum(map(len, w))]
+        data.append((d, x, lang, len(w), c, v, failed))
+        if lang is not None and not failed:
+            passing[lang] += 1
+            old = sums.setdefault(lang, (np.zeros(6), np.zeros(len(v))))
+            old[0][:] += c
+            old[1][:] += v
+    refs = {k: v for k, v in sums.items() if passing[k] >= quality.LEAST_SHARE * sum(passing.values())}
+    want = collections.Counter()
+    for d, x, lang, n, c, v, failed in data:
+        cd = min((distance(c, r[0]) for r in refs.values()), default=0.0)
+        wd = min((distance(v, r[1]) for r in refs.values()), default=0.0)
+        bad = not (lang is not None and lang not in refs) and quality.strays(len(x), n, cd, wd)
+        want[(d, n, failed, not failed and not bad, round(cd, 9), round(wd, 9))] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.base_failed, r.kept, round(r.class_distance, 9), round(r.word_distance, 9)) for r in got) == want
+
+
+def test_quality_labels(spark):
+    """The limits were set on the even documents; here are the odd ones."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    odd = quality.judge(docs).where("not base_failed").join(labels, "doc_id").where("doc_id % 2 = 1").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in odd}
+    assert n.get((1, False), 0) <= 0.002 * n[1, True] and n.get((0, True), 0) <= 0.1 * n[0, False]
 
 
 @pytest.mark.parametrize(("width", "num", "den", "wide"), [(3, 9, 10, 64), (5, 8, 10, 3)])
@@ -471,3 +562,49 @@ def test_language(spark, docs, rows):
     real = langid.identify_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert real.where("lang = lang_pred").count() / real.count() > 0.97
     assert {r.lang_pred for r in langid.identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert langid.identify_documents(docs.where("false")).count() == 0
+
+
+def test_language_distances(spark):
+    """Predictions and scores against out-of-place distances computed plainly, in several scripts and planes, also by blocks of languages."""
+    texts = {
+        "en": "the quick brown fox and the lazy dog of the house that they saw in the morning",
+        "de": "der schnelle braune Fuchs und der faule Hund des Hauses, das sie am Morgen sahen",
+        "zh": "\u6f22\u5b57\u662f\u6f22\u5b57 \u6211\u5011\u5728\u65e9\u4e0a\u770b\u5230\u4e86\u623f\u5b50 \u6f22\u5b57",
+        "ko": "\ud55c\uad6d\uc5b4 \ubb38\uc7a5\uc740 \uc774\ub807\uac8c \uc501\ub2c8\ub2e4 \ud55c\uad6d\uc5b4",
+        "got": "\U00010330\U00010331\U00010332 \U00010333\U00010334 \U00010330\U00010331",
+    }
+
+    def grams(text):
+        words = "".join(ch if ch.isalpha() else " " for ch in text.lower()).split()
+        s = f" {' '.join(words)} "
+        found = collections.Counter(ch for ch in s if ch != " ")
+        found.update(("2", s[i : i + 2]) for i in range(len(s) - 1))
+        found.update(("3", s[i : i + 3]) for i in range(len(s) - 2) if s[i + 1] != " ")
+        return found
+
+    def order(counts, size):
+        def code(g):
+            if isinstance(g, str):
+                return ord(g) << 42
+            cs = [0 if ch == " " else ord(ch) for ch in g[1]]
+            return (cs[0] << 21 | cs[1]) - (1 << 63) if len(cs) == 2 else cs[0] << 42 | cs[1] << 21 | cs[2]
+
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+
+    size = 30
+    profiles = {k: order(grams(v), size) for k, v in texts.items()}
+    train = spark.createDataFrame([(k, v) for k, v in texts.items()], "lang string, text string")
+    asked = [*texts.values(), "\U0001f600\U0001f600", "the Hund", "\u6f22 and \ud55c", "12 %", "", None, "\U00010330"]
+    df = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").withColumn("score", F.lit("clash"))
+    learned = langid.train_profiles(train, size=size)
+    for block in (2, 2000):
+        got = {r.doc_id: r for r in langid.identify(df, learned, size=size, max_languages=block).collect()}
+        for i, text in enumerate(asked):
+            own = order(grams(text or ""), size)
+            if not any(ch.isalpha() for ch in text or ""):
+                assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+                continue
+            off = {k: sum(abs(p.index(g) - r) if g in p else size for r, g in enumerate(own)) for k, p in profiles.items()}
+            best = min(sorted(off), key=off.get)
+            assert got[i].lang_pred == best and abs(got[i].score - (1 - off[best] / (len(own) * size))) < 1e-12

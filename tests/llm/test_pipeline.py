@@ -50,6 +50,21 @@ def test_mixture_reaches_the_tokens(spark):
     assert P.tokens(spark, docs.where("false"), SF).count() == 0
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_odd_tables(spark, k):
+    """Clashing columns, nulls in any column, repeated rows, a long text; then no rows."""
+    long = " ".join(f"the word {i} and its mate" for i in range(30000))
+    rows = [(1, long, "en", "src0", 7), (2, None, None, None, None), (None, "the text of a row without an id and of some words", "en", None, 3), (3, "", "xx", "src1", 0), (4, "the same words of a row that is there twice", "en", "src1", 3), (4, "the same words of a row that is there twice", "en", "src1", 3)]
+    clash = ["score", "lang_pred", "slot", "turn", "share", "period", "mix_order", "th", "uid", "__id", "__th", "c0", "rank", "text2"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit("x").alias(c) for c in clash])
+    out = P.STAGES[k][1](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) == {0: 4, 1: 5}.get(k, 6) and all(r.score == r.mix_order == r.c0 == "x" for r in got)
+    if k != 1:
+        assert P.STAGES[k][1](spark, docs.where("false"), SF).count() == 0
+
+
 @pytest.mark.parametrize(
     ("name", "columns"),
     [

@@ -8,9 +8,13 @@ text's ids are its words' ids in a row. Three steps, one shuffle between each:
    deals that list out by word hash.
 2. A word meets all its copies from other blocks in one partition and is encoded there once; the
    ids go back to each block that asked. A partition holds the distinct words of its share, and
-   there are as many shares as shuffle partitions.
-3. A block joins its documents' positions with the ids, and the ids with their pieces for decoding
-   (a table of the vocabulary's fixed size).
+   shares grow in number with the texts' bytes.
+3. A block joins its documents' positions with the ids, and for decoding the ids of its distinct words
+   with their pieces: a join of packed columns with the id-to-piece table, which has the vocabulary's
+   fixed size. :func:`decode` is the same join for any table of ids.
+
+Splitting needs a tokenizer that treats words apart, and decoding one that puts pieces together with
+spaces: :func:`check_tokenizer` refuses others.
 
 Payloads are packed columns, compressed: a word costs a few bytes of shuffle. Nothing is broadcast
 but the tokenizer's file. Very frequent words come once a block, so no key is hot.
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +41,9 @@ from veritape.llm.common import pack, texts_of, unpack
 BLOCK_CHARS = 16_000_000
 LEVEL = 9  # of compression: what is shuffled is the cost
 OFTEN = 1 << 16  # words of a block that get small numbers
+KNOWN_WORDS = 2_000_000  # distinct words of a share that a task remembers; past that it encodes some again
+SHARE_BYTES = 64_000_000
+MAX_SHARES = 10_000  # blocks times shares are rows; past that, shares grow
 
 
 def vocabulary_path() -> str:
@@ -54,6 +62,18 @@ def _tokenizer(source: str):
     return t
 
 
+def check_tokenizer(t) -> None:
+    """Raises unless words encode as they do alone and ids decode to pieces with spaces between."""
+    words = ["The", "don't", "1,234", "café", "\u6f22\u5b57", "\u0130x", "(a)", "--", "\U0001f600", "x" * 300]
+    alone = [t.encode(w, add_special_tokens=False).ids for w in words]
+    for space in (" ", "\n", "\t \r\n", "\x0b\x0c"):
+        if t.encode(space.join(words) + space, add_special_tokens=False).ids != [i for ids in alone for i in ids]:
+            raise ValueError("this tokenizer does not treat words apart at white space")
+    ids = [i for x in alone for i in x]
+    if t.decode(ids, skip_special_tokens=False) != " ".join(t.id_to_token(i) for i in ids):
+        raise ValueError("this tokenizer does not decode to pieces with spaces between")
+
+
 class _Block:
     """Documents of one block: their ids, and their words as numbers in the order of first sight."""
 
@@ -134,6 +154,8 @@ def encode_words(rows: DataFrame, tokenizer_json: str) -> DataFrame:
         for batch in batches:
             for block, share, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
+                    if len(known) > KNOWN_WORDS:
+                        known.clear()
                     words = unpack(payload)[0].split(b" ")
                     fresh = [w for w in words if w not in known]
                     for i in range(0, len(fresh), 4096):
@@ -147,7 +169,7 @@ def encode_words(rows: DataFrame, tokenizer_json: str) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
-def _join_block(table: pa.Table, pieces: list[str]) -> pa.Table:
+def _join_block(table: pa.Table, pieces: pa.Array) -> pa.Table:
     """Step 3 for one block: ids and decoded text of its documents."""
     found, docs = {}, None
     for share, kind, payload in zip(table["share"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True):
@@ -168,7 +190,9 @@ def _join_block(table: pa.Table, pieces: list[str]) -> pa.Table:
     values = ids[take].astype(np.int32)
     words = np.concatenate(([0], np.cumsum(counts.astype(np.int64))))
     offsets = np.concatenate(([0], ends))[words]
-    text = [" ".join([pieces[i] for i in ids[s : s + k]]) for s, k in zip(starts.tolist(), length.tolist(), strict=True)]
+    found_pieces = pieces.take(pa.array(ids.astype(np.int64)))  # the id-to-piece join, of distinct words
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32)), found_pieces), " ").to_pylist()
+    text = [joined[i] for i in order.tolist()]
     if len(length) and not length.all():  # words without ids leave no space
         shown = length[seq] > 0
         words = np.concatenate(([0], np.cumsum(shown)))[words]
@@ -193,10 +217,13 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         with open(vocabulary_path(), encoding="utf-8") as f:
             tokenizer_json = f.read()
     t = _tokenizer(tokenizer_json)
-    pieces = spark.sparkContext.broadcast([t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))])
+    check_tokenizer(t)
+    pieces = spark.sparkContext.broadcast(pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))], pa.string()))
     shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = texts_of(df, id_col, text_col) if place_col is None else df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{place_col}`").cast("long").alias("place"))
-    asked = split_words(docs, shares, block_chars).repartition("share")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares = min(max(shares, -(-size // SHARE_BYTES)), max(shares, MAX_SHARES))
+    asked = split_words(docs, shares, block_chars).repartition(shares, "share")
     return encode_words(asked, tokenizer_json).groupBy("block").applyInArrow(lambda table: _join_block(table, pieces.value), "doc_id long, ids array<int>, decoded string" + ", place long" * (place_col is not None))
 
 

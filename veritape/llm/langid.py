@@ -6,11 +6,13 @@ n-grams, of how far each stands from its place in the language's list, or the fu
 list if it isn't there. The nearest language wins; ties go to the smaller language name.
 
 Counting covers every training document: each batch adds up n-grams per language, Spark sums the
-counts, and a window over a language's distinct n-grams keeps the top ``profile_size``. What is
-broadcast is languages x profile_size entries, and ``max_languages`` is checked before.
+counts, and a window over a language's distinct n-grams keeps the top ``profile_size``. Profiles are
+broadcast in blocks of ``max_languages`` languages, and a document meets one block after the other,
+so any number of languages can be learned.
 
-Null or letterless text gives ``und`` with score 0. Without any usable training row every
-document is ``und``. Repeated rows give repeated results.
+Letters are those of Unicode, in all planes. Null or letterless text gives ``und`` with score 0.
+Without any usable training row every document is ``und``. Repeated rows give repeated results, and
+an empty table an empty one. Time is linear in a text, however long, and columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,40 +25,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritape.session import cut
+
 PROFILE_SIZE = 400
 MAX_LANGUAGES = 2000
 HELD_OUT = (4, 2)
 CHUNK = 1 << 21  # n-gram codes that training holds at a time, besides one document's
 
 
-def _letter_table() -> np.ndarray:
-    """For each 16-bit code unit its letter number, 1 to 1023, or 0. Latin, Greek and other low letters keep their own
-    number; letters above 1023 share numbers by remainder, which is feature hashing for large alphabets."""
-    return np.array([(i if i < 1024 else 1 + i % 1023) if 0xD800 <= i < 0xE000 or chr(i).isalpha() else 0 for i in range(1 << 16)], dtype=np.uint32)
+_LETTERS: np.ndarray | None = None
 
 
-_TABLE: np.ndarray | None = None
+def _letters() -> np.ndarray:
+    """Each code point that is a letter, itself; 0 for the others."""
+    global _LETTERS
+    if _LETTERS is None:
+        _LETTERS = np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.int64)
+    return _LETTERS
 
 
 def ngram_codes(text: str) -> np.ndarray:
-    """The codes of all 1- to 3-grams of the letters of ``text``; other characters part words, a run of them counts as one space."""
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = _letter_table()
-    units = np.frombuffer(f" {text.lower()} ".encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
-    c = _TABLE[units]
+    """The codes of all 1- to 3-grams of the letters of ``text``; other characters part words, a run of them counts as one space.
+
+    A code holds its letters' code points, 21 bits each, so no two n-grams share one: three in the order of the text, two with
+    the sign bit, one in the highest place.
+    """
+    c = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     letter = c != 0
     if not letter.any():
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.int64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of a run of spaces, the first stays
     keep[0] = True
     c = c[keep]
     if not c[1]:
         c = c[1:]
-    three = (c[:-2] << np.uint32(20)) | (c[1:-1] << np.uint32(10)) | c[2:]
-    two = (three >> np.uint32(10)) | np.uint32(1 << 30)
-    return np.concatenate((c[c != 0] | np.uint32(1 << 31), two, three[c[1:-1] != 0]))
+    three = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+    two = (c[:-1] << 21) | c[1:] | np.int64(-(1 << 63))
+    return np.concatenate((c[c != 0] << 42, two, three[c[1:-1] != 0]))
 
 
 def top_ngrams(codes: np.ndarray, size: int) -> np.ndarray:
@@ -89,30 +95,27 @@ def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
         while by:
             lang, codes = by.popitem()
             grams, n = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
-def load_profiles(profiles: DataFrame, max_languages: int = MAX_LANGUAGES, size: int = PROFILE_SIZE) -> tuple[list[str], np.ndarray, np.ndarray]:
+def load_profiles(rows: list, size: int = PROFILE_SIZE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language names in order, the sorted n-grams of all profiles, and a rank for each n-gram and language (``size`` if absent)."""
-    rows = profiles.limit(max_languages * size + 1).collect()
-    if len(rows) > max_languages * size:
-        raise ValueError(f"over {max_languages} languages; profiles are broadcast for no more")
     langs = sorted({r.lang for r in rows})
-    grams = np.unique(np.array([r.gram for r in rows], dtype=np.uint32)) if rows else np.empty(0, np.uint32)
+    grams = np.unique(np.array([r.gram for r in rows], dtype=np.int64))
     ranks = np.full((len(grams), len(langs)), size, dtype=np.int32)
     place = {x: i for i, x in enumerate(langs)}
     for r in rows:
-        ranks[np.searchsorted(grams, np.uint32(r.gram)), place[r.lang]] = r.rank
+        ranks[np.searchsorted(grams, r.gram), place[r.lang]] = r.rank
     return langs, grams, ranks
 
 
 def score_text(text: str | None, langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int = PROFILE_SIZE) -> tuple[str, float]:
     """The nearest language and a score: 1 for a profile in its exact place, 0 if no n-gram is known."""
-    codes = ngram_codes(text) if text else np.empty(0, np.uint32)
+    codes = ngram_codes(text) if text else np.empty(0, np.int64)
     if not len(codes) or not langs:
         return "und", 0.0
     top = top_ngrams(codes, size)
@@ -125,21 +128,34 @@ def score_text(text: str | None, langs: list[str], grams: np.ndarray, ranks: np.
     return langs[best], float(1.0 - off[best] / (len(top) * size))
 
 
-def identify(df: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns, then lang_pred and score, of each row of ``df``; only the text decides."""
-    model = load_profiles(profiles, size=size)
-    kept = [f"`{c}`" for c in (keep or (id_col,))]
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    fields = df.select(*kept).schema
+def identify(df: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE_SIZE, keep: tuple[str, ...] = (), max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """``keep`` columns, then lang_pred and score, of each row of ``df``; only the text decides. Kept columns of those two names go."""
+    profiles = cut(profiles, "profiles")
+    names = sorted(r.lang for r in profiles.select("lang").distinct().collect())
+    kept = [c for c in (keep or (id_col,)) if c not in ("lang_pred", "score")]
+    fields = df.select(*[f"`{c}`" for c in kept]).schema.fields
+    out = df.select(*[f"`{c}`" for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = T.StructType([*fields, T.StructField("__text", T.StringType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    for at in range(0, len(names), max_languages):
+        rows = profiles.where(F.col("lang").between(names[at], names[min(at + max_languages, len(names)) - 1])).collect()
+        out = _best_of(out, df.sparkSession.sparkContext.broadcast(load_profiles(rows, size)), size, schema)
+    return out.drop("__text")
+
+
+def _best_of(df: DataFrame, model, size: int, schema: T.StructType) -> DataFrame:
+    """lang_pred and score replaced where a language of ``model`` is nearer than those before it."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, grams, ranks = shared.value
+        langs, grams, ranks = model.value
         for batch in batches:
-            out = [score_text(t, langs, grams, ranks, size) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
-
-    schema = T.StructType([*fields.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(*kept, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(predict, schema)
+            *kept, text, lang, score = batch.columns
+            out = []
+            for t, *old in zip(text.to_pylist(), lang.to_pylist(), score.to_pylist(), strict=True):
+                new = score_text(t, langs, grams, ranks, size)
+                out.append(new if old[0] == "und" or new[1] > old[1] else old)
+            yield pa.RecordBatch.from_arrays([*kept, text, pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], batch.schema.names)
+
+    return df.mapInArrow(predict, schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

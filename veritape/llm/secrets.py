@@ -6,10 +6,12 @@ sensitive word, before or after it, and those on lines that follow one another f
 as in a key block. For each the marginal cost is measured: the compressed bytes of context plus candidate less
 those of the context alone, by a compressor primed with a dictionary of identifiers and the text
 around the candidate, out of which copies of the candidate itself are taken. Ordinary identifiers and words compress to little; a string that costs at
-least ``novelty`` bytes a character is reported. The limit is above what dictionary words cost and
-below the 6 bits a character of random base64 and the 4 bits of random hexadecimal.
+least ``novelty`` bytes a character is reported. The limits are above what dictionary words cost and
+below the 5 bits a character of random letters and digits, or the 4 bits of random hexadecimal.
+Strings that separators cut into plain words and numbers only are names, not candidates.
 
-Null text counts as empty. Scans are linear in the text. Repeated rows give repeated results.
+Null text counts as empty. Scans are linear in the text. Repeated rows give repeated results, an
+empty table an empty one, and columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame
 from veritape.llm.common import sha256_hex, span_text, texts_of
 
 KINDS = ("assign", "access", "hex")
-NOVELTY = 0.45
+NOVELTY = 0.6
+HEX_NOVELTY = 0.45
 AROUND = 400
 REACH = 400
 
@@ -35,6 +38,8 @@ _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _WORDS = ("pass", "secret", "token", "api", "key", "auth", "bearer", "credential", "private", "pwd", "signature", "cookie", "session")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 
+_MIXED = re.compile("[0-9][A-Za-z]|[A-Za-z][0-9]")
+_HEX_ONLY = re.compile("[0-9a-fA-F=_/+-]+")
 _NEXT_LINE = re.compile(r"""[\s"'`\\,;>|#*.]{1,64}""")
 _LAST_LINE = re.compile(r"""[\x20\t"'`,;>|#*.]*(?:\r?\n|\\n)[\x20\t"'`>|#*]*([A-Za-z0-9+/]{1,15}={1,2}|[A-Za-z0-9+/]{1,15}(?=["'\\,;\s]{1,64}-----END))(?![A-Za-z0-9+/_=])""", re.ASCII)
 
@@ -49,6 +54,7 @@ settings production development staging localhost example default development_se
 get_value set_value get_token set_token refresh_token access_token client_id client_secret user_id
 getUserName setUserName getPassword setPassword createConnection closeConnection readFile writeFile
 http https www com org net html json yaml xml utf-8 ascii base64 sha256 sha1 md5 hmac
+project module version release package source target main index page build test data type list item name code file path
 true false null none undefined abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789
 """.strip().encode()
 
@@ -121,9 +127,12 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: float = NO
         whole = "".join(text[s:e] for s, e in block)
         if not (re.search("[0-9]", whole) and re.search("[A-Za-z]", whole)):
             continue
+        if not any(len(x) >= 16 or _MIXED.search(x) for x in re.split("[-_/+=]", whole)):
+            continue
+        limit = min(novelty, HEX_NOVELTY) if _HEX_ONLY.fullmatch(whole) else novelty
         costly = False
         for s, e in block:
-            costly = marginal_bytes(surroundings(text, s, e), text[s:e]) >= novelty * (e - s)
+            costly = marginal_bytes(surroundings(text, s, e), text[s:e]) >= limit * (e - s)
             if costly and not any(bs < e and s < be for bs, _, be in base):
                 out.append((s, 0, e))
         last = _LAST_LINE.match(text, block[-1][1]) if costly else None  # too short for a string of its own
