@@ -61,15 +61,16 @@ LEAST_FREQUENT = 512  # groups that a frequent token has at least
 LEAST_K = 16
 TURNS = 1
 WIDE = 64  # members from which a bucket of several groups is indexed again on full sets
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 CHUNK_TOKENS = 1 << 20
+KNOWN_WORDS = 200_000  # whose hashes a worker remembers
 INDEX_ROWS = 1 << 16  # that a task holds at a time
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -145,7 +146,10 @@ def sets(rows: DataFrame, width: int, num: int, den: int, full: bool = False) ->
 
 def small(df: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it has at most ``BROADCAST_ROWS`` narrow rows; else Spark shuffles."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    few = getattr(df, "_few", None)
+    if few is None:  # counted once a table
+        few = df._few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df
 
 
 class _Scratch:
