@@ -145,21 +145,20 @@ def _candidates(texts: pa.Table, repeated: pa.Table, length: int):
     number: dict[bytes, int] = {}
     docs, hashes, least = [], [], []
     for doc, b in _texts(texts):
-        found = []
+        found = (np.empty(0, np.int64), np.empty(0, np.int64), [])
         if doc is not None and len(known):
             s = Segments(np.frombuffer(b, np.uint8), length)
             own = _sent(s.hash)
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             ok = known[at] == own
-            for a, n, h in zip(s.start[ok].tolist(), s.count[ok].tolist(), s.hash[ok].tolist(), strict=True):
-                x = b[a : a + n + length - 1]
-                i = number.setdefault(x, len(number))
+            start, count, which = s.start[ok], s.count[ok], []
+            for a, e, h in zip(start.tolist(), (start + count + length - 1).tolist(), s.hash[ok].tolist(), strict=True):
+                i = number.setdefault(b[a:e], len(number))
                 if i == len(hashes):
                     hashes.append(h)
-                    least.append(doc)
-                elif doc < least[i]:
-                    least[i] = doc
-                found.append((a, n, i))
+                    least.append(doc)  # documents come by id, so the first has the least
+                which.append(i)
+            found = (start, count, which)
         docs.append((doc, b, found))
     return docs, number, np.array(hashes, np.uint64), np.array(least, np.int64)
 
@@ -231,23 +230,28 @@ def _least_by_suffix(strings: list[bytes], docs: np.ndarray, length: int) -> tup
 def cut_documents(texts: pa.Table, repeated: pa.Table, results: list[bytes], length: int) -> pa.Table:
     """Pass 3, one bucket: its documents without the covered bytes."""
     docs, number, _, _ = _candidates(texts, repeated, length)
-    sizes: list = [None] * len(number)
-    values: list = [None] * len(number)
+    first, runs = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)  # of each segment: its runs among all
+    sizes, values, so_far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     for payload in results:
-        own, runs, size, value = unpack(payload)
-        ends = np.cumsum(runs.astype(np.int64))
-        for i, a, e in zip(own.tolist(), (ends - runs).tolist(), ends.tolist(), strict=True):
-            sizes[i], values[i] = size[a:e], value[a:e]
+        own, n, size, value = unpack(payload)
+        first[own], runs[own] = so_far + np.cumsum(n.astype(np.int64)) - n, n
+        so_far += len(size)
+        sizes.append(size.astype(np.int64))
+        values.append(value)
+    size, value = np.concatenate(sizes), np.concatenate(values)
     out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
     for doc, b, found in docs:
-        step = np.zeros(len(b) + 1, np.int64)
-        for a, _, i in found:
-            at = a
-            for n, low in zip(sizes[i].tolist(), values[i].tolist(), strict=True):
-                if low < doc:
-                    step[at] += 1
-                    step[at + n + length - 1] -= 1
-                at += n
+        start, _, which = found
+        which = np.array(which, np.int64)
+        each = runs[which]
+        ends = np.cumsum(each)
+        run = np.repeat(first[which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)  # the runs of its segments
+        n = size[run]
+        to = np.cumsum(n)
+        before = np.concatenate(([0], to))[ends - each]  # what came before each segment
+        at = np.repeat(start - before, each) + to - n
+        less = value[run] < doc if doc is not None else np.zeros(0, bool)
+        step = np.bincount(at[less], minlength=len(b) + 1) - np.bincount(at[less] + n[less] + length - 1, minlength=len(b) + 1)
         gone = np.cumsum(step[:-1]) > 0
         out["doc_id"].append(doc)
         out["n_bytes"].append(len(b))
