@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 ``suffix_array`` classifies suffixes as L or S (greater or smaller than the next one), sorts the
-leftmost S substrings (LMS) and names them, recurses on the names while they repeat, and induces the
-whole order from the sorted LMS suffixes.
+leftmost S substrings (LMS) by their symbols and types, as many at a time as a number holds, and names
+them, recurses on the names while they repeat, and induces the whole order from the sorted LMS suffixes.
 
 Induction goes by runs, all buckets at once. An L suffix is a run of falling symbols that ends at an
 LMS suffix, whose order is known; so L suffixes are ordered by their run's symbols and then by that
@@ -11,9 +11,6 @@ from the order of the L suffixes; of equal first symbols, L comes before S. Runs
 doubling: ranks by the first h elements of a run give those by the first 2 h, and only suffixes that
 still tie and whose run goes on take part. Runs of text are a few symbols long, so nearly all ties
 part in the first rounds; a run of r symbols costs log r rounds.
-
-The same two passes name the LMS substrings, with the ends' symbols in place of their order: equal
-substrings keep equal ranks.
 """
 
 from __future__ import annotations
@@ -102,6 +99,52 @@ def _pass(symbol: np.ndarray, mine: np.ndarray, ends: np.ndarray, ends_rank: np.
     return rank
 
 
+def _packed(code: np.ndarray, at: np.ndarray, stop: np.ndarray, each: int, bits: int) -> np.ndarray:
+    """``each`` codes from ``at`` on as one number; 0 from ``stop`` on."""
+    out = np.zeros(len(at), np.int64)
+    for j in range(each):
+        p = at + j
+        out <<= bits
+        out |= np.where(p < stop, code[np.minimum(p, len(code) - 1)], 0)
+    return out
+
+
+def _names(code: np.ndarray, lms: np.ndarray, n: int, k: int) -> tuple[np.ndarray, int]:
+    """Names of the LMS substrings in text order, equal for equal ones and ordered as they are, and how many there are.
+
+    ``code``: 1 + twice the symbol + the type, below ``k``, and a 0 at the end. A substring reaches to the next LMS place, that one included, so
+    none is the beginning of another.
+    """
+    bits = int(k).bit_length()
+    stop = np.append(lms[1:] + 1, n + 1).astype(np.int32)  # the last one runs into the end, which is a 0
+    at = lms.astype(np.int32)
+    each = max(1, 62 // bits)
+    key = _packed(code, at, stop, each, bits)
+    order = np.argsort(key)
+    new = _changes(key[order])
+    rank = np.empty(len(lms), np.int32)
+    rank[order] = _starts(new)
+    d = each
+    each = max(1, 31 // bits)
+    new[:-1] &= new[1:]  # places that are alone
+    open_ = order[~new]
+    open_ = open_[at[open_] + d < stop[open_]]
+    while len(open_):
+        key = _packed(code, at[open_] + d, stop[open_], each, bits)
+        by = _order(rank[open_], key)
+        open_, key = open_[by], key[by]
+        r = rank[open_]
+        new = _changes(r, key)
+        rank[open_] = r + (_starts(new) - _starts(_changes(r)))
+        new[:-1] &= new[1:]
+        d += each
+        open_ = open_[~new]
+        open_ = open_[at[open_] + d < stop[open_]]
+    used = np.zeros(len(lms), np.int32)
+    used[rank] = 1
+    return (np.cumsum(used, dtype=np.int32) - 1)[rank], int(used.sum())
+
+
 def _induce(t: np.ndarray, s: np.ndarray, is_lms: np.ndarray, lms_rank: np.ndarray, k: int) -> np.ndarray:
     """Ranks of all suffixes, from 1, from those of the LMS suffixes (by place; ties allowed)."""
     falling = _pass(t, ~s, is_lms, lms_rank, True, k)
@@ -121,11 +164,7 @@ def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
     lms = np.flatnonzero(is_lms)
     lms_rank = np.zeros(n, np.int32)
     if len(lms) > 1:
-        by_substring = _induce(t, s, is_lms, lms_rank, k)[lms]
-        used = np.zeros(n + 1, np.int32)
-        used[by_substring] = 1
-        kinds = int(used.sum())
-        names = (np.cumsum(used, dtype=np.int32) - 1)[by_substring]
+        names, kinds = _names(np.append(2 * t + s + 1, 0), lms, n, 2 * k + 1)
         if kinds < len(lms):
             lms_rank[lms[suffix_array(names, kinds)]] = np.arange(len(lms))
         else:

@@ -197,20 +197,33 @@ def compared(table: pa.Table, length: int) -> pa.Table:
     sort = np.flatnonzero(n[kind] > 1)
     count = np.array([len(x) for x in strings], np.int64) - length + 1
     runs = np.ones(len(strings), np.int64)  # a segment alone with its hash: one run
-    sizes, values = [count[i : i + 1] for i in range(len(strings))], [least[i : i + 1] for i in range(len(strings))]
     if len(sort):
         low, offset = _least_by_suffix([strings[i] for i in sort.tolist()], least[sort], length)
-        for i, o in zip(sort.tolist(), offset.tolist(), strict=True):
-            m = low[o : o + count[i]]
-            cut = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-            runs[i], sizes[i], values[i] = len(cut), np.diff(np.append(cut, len(m))), m[cut]
+        n = count[sort]
+        m, of = low[np.repeat(offset, n) + _within(n)], np.repeat(np.arange(len(sort)), n)
+        at = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (of[1:] != of[:-1]))))
+        runs[sort] = np.bincount(of[at], minlength=len(sort))
+    first = np.cumsum(runs) - runs
+    size, value = np.empty(int(runs.sum()), np.uint32), np.empty(int(runs.sum()), np.int64)
+    alone = np.ones(len(strings), bool)
+    alone[sort] = False
+    size[first[alone]], value[first[alone]] = count[alone], least[alone]
+    if len(sort):
+        to = np.repeat(first[sort], runs[sort]) + _within(runs[sort])
+        size[to], value[to] = np.diff(np.append(at, len(m))), m[at]
     rows = []
     for bucket, own, mine in asked:
-        pick = mine.tolist()
-        rows.append((bucket, shard, pack(own, runs[mine].astype(np.uint32), np.concatenate([sizes[i] for i in pick]).astype(np.uint32), np.concatenate([values[i] for i in pick]))))
+        run = np.repeat(first[mine], runs[mine]) + _within(runs[mine])
+        rows.append((bucket, shard, pack(own, runs[mine].astype(np.uint32), size[run], value[run])))
     return _rows(rows)
 
 
+def _within(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of ``n``, one after the other."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+
+
 def _least_by_suffix(strings: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each position of the joined strings the least id that has the ``length`` bytes there, and where each string starts."""
     text = np.frombuffer(b"".join(x + b"\xff" for x in strings), np.uint8)
