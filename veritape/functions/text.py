@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,6 +58,10 @@ def is_numeric_claim(c: Column) -> Column:
     return c.rlike(V.NUMERIC_CLAIM)
 
 
+def _list_sql(words: list[str]) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once a row, however often ``use`` names it."""
     return F.transform(F.array(value), use)[0]
@@ -67,9 +69,10 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def keyword_score(c: Column, performance: list[str] | None = None, direction: list[str] | None = None) -> Column:
     """Performance words found as substrings plus direction words that begin some word of letters."""
-    low = F.lower(c)  # the same expression in each term, so generated code computes it once
-    terms = [low.contains(w) for w in performance or V.PERFORMANCE_KEYWORDS] + [low.rlike(f"(?<![a-z]){w}") for w in direction or V.DIRECTION_KEYWORDS]
-    return reduce(add, [t.cast("int") for t in terms]).cast("long")
+    found = lambda words: lambda text: F.size(F.filter(F.expr(_list_sql(words)), lambda w: F.contains(text, w)))
+    low = F.lower(c)
+    begun = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z]+", " "))  # a word of letters begins after a space
+    return (_let(low, found(performance or V.PERFORMANCE_KEYWORDS)) + _let(begun, found([f" {w}" for w in direction or V.DIRECTION_KEYWORDS]))).cast("long")
 
 
 def is_likely_claim(c: Column) -> Column:
