@@ -1,10 +1,14 @@
 """The pipeline's stages, each on its own input, and the queries' contract columns."""
 
+import hashlib
+import re
+
 import corpus_pipeline as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from veritape.llm import pii, queries
+from veritape.llm import bpe, langid, pfair, pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +54,52 @@ def test_mixture_reaches_the_tokens(spark):
     assert P.tokens(spark, docs.where("false"), SF).count() == 0
 
 
+def test_run_by_brute_force(spark):
+    """All rows of run(), in order, against the five stages done plainly on the driver."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    profiles = langid.load_profiles(langid.train_profiles(spark.createDataFrame(rows)).collect())
+    kept = []
+    for r in rows:
+        lang, score = langid.score_text(r.text, *profiles)
+        if lang != "und" and score >= P.LEAST_SCORE:
+            kept.append(r.asDict() | {"lang": r.lang or lang})
+    sets = []
+    for r in kept:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r["text"]))
+        sets.append(frozenset(zip(*[w[i:] for i in range(P.WIDTH)])) if len(w) >= P.WIDTH else frozenset([tuple(w)]))
+    parent = list(range(len(kept)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if P.DEN * len(x & sets[j]) >= P.NUM * len(x | sets[j]):
+                a, b = root(i), root(j)
+                parent[a if kept[a]["doc_id"] > kept[b]["doc_id"] else b] = b if kept[a]["doc_id"] > kept[b]["doc_id"] else a
+    alone = [r for i, r in enumerate(kept) if root(i) == i]
+    assert 0 < len(alone) < len(kept) <= len(rows)
+    model = pii.fit(spark.createDataFrame([(r["doc_id"], r["text"]) for r in alone], "doc_id long, text string"))
+    tokenizer = Tokenizer.from_file(bpe.vocabulary_path())
+    by, want = {}, []
+    for r in alone:
+        base = pii.base_spans(r["text"])
+        text = pii.redact_text(r["text"], base + pii.added_spans(r["text"], base, model))
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        decoded = hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        by.setdefault(r["source"], []).append((hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"], len(ids), ids, decoded))
+    shares = {s: pfair.SHARES.get(s, 1) for s in by}
+    slots = {(s, turn): slot for s, turn, slot in pfair.edf_slots(list(shares.items()))}
+    for s, own in by.items():
+        for k, x in enumerate(sorted(own)):
+            b, a = k // pfair.BLOCK_ROWS, shares[s]
+            want.append(((b // a * sum(shares.values()) + slots[s, b % a + 1]) * pfair.BLOCK_ROWS + k % pfair.BLOCK_ROWS, *x[1:]))
+    got = [(r.doc_id, r.n_tokens, list(r.ids), r.decoded_sha256) for r in P.run(spark, SF).collect()]
+    assert got == [x[1:] for x in sorted(want)]
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_odd_tables(spark, k):
     """Clashing columns, nulls in any column, repeated rows, a long text; then no rows."""
