@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import pack, texts_of, unpack
+from veritape.llm.common import pack, short_batches, texts_of, unpack
 
 BLOCK_CHARS = 16_000_000
 LEVEL = 9  # of compression: what is shuffled is the cost
@@ -220,7 +220,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     check_tokenizer(t)
     pieces = spark.sparkContext.broadcast(pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))], pa.string()))
     shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = texts_of(df, id_col, text_col) if place_col is None else df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{place_col}`").cast("long").alias("place"))
+    docs = texts_of(df, id_col, text_col) if place_col is None else short_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{place_col}`").cast("long").alias("place"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shares = min(max(shares, -(-size // SHARE_BYTES)), max(shares, MAX_SHARES))
     asked = split_words(docs, shares, block_chars).repartition(shares, "share")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from veritape.session import cut, drop_cut  # noqa: F401
 
+BATCH_ROWS = 1000
+
 
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """Apply ``rows`` to each Arrow batch of ``df``; memory is that of one batch."""
@@ -26,9 +28,20 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends ``BATCH_ROWS`` rows an Arrow batch from now on, unless it was set to other than Spark's default.
+
+    Texts are long: the default of 10,000 rows takes tens of MB in the JVM and again in each Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id (as long) and the text, under names of our own: extra columns can't clash."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return short_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def span_text(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:

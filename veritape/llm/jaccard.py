@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import connected_components, cut, drop_cut
+from veritape.llm.common import connected_components, cut, drop_cut, short_batches
 
 FIRST = 3  # least hashes by which near copies are found
 CLASSES = ((0.05, 2), (0.2, 3))  # tokens in over this share of all groups index in combinations of so many
@@ -181,7 +181,7 @@ class _Join:
         self.classes = [(share, min(k, most)) for share, k in classes]
         self.least_frequent = least_frequent
         text = F.col(f"`{text_col}`").cast("string")
-        self.docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        self.docs = short_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
         put = self.scratch.put
         numbered = self.docs.select("doc_id", "th", F.monotonically_increasing_id().alias("uid"), "text")
         self.every = put(sets(numbered, width, num, den), "sets")

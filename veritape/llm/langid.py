@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritape.llm.common import short_batches
 from veritape.session import cut
 
 PROFILE_SIZE = 400
@@ -77,7 +78,7 @@ def is_held_out(df: DataFrame, id_col: str = "doc_id") -> F.Column:
 
 def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE) -> DataFrame:
     """(lang, gram, rank) from rows with a text and a language, all of which are counted."""
-    rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
+    rows = short_batches(df).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,6 +131,7 @@ def score_text(text: str | None, langs: list[str], grams: np.ndarray, ranks: np.
 
 def identify(df: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE_SIZE, keep: tuple[str, ...] = (), max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """``keep`` columns, then lang_pred and score, of each row of ``df``; only the text decides. Kept columns of those two names go."""
+    short_batches(df)
     profiles = cut(profiles, "profiles")
     names = sorted(r.lang for r in profiles.select("lang").distinct().collect())
     kept = [c for c in (keep or (id_col,)) if c not in ("lang_pred", "score")]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veritape.llm.boosting import BoostedTrees
-from veritape.llm.common import bounded_sample, sha256_hex, span_text, texts_of
+from veritape.llm.common import bounded_sample, sha256_hex, short_batches, span_text, texts_of
 from veritape.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -327,7 +327,7 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(df: DataFrame, model: BoostedTrees, text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """``df`` with the same columns and rows, its text redacted; a null text stays null."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = short_batches(df).sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
