@@ -41,7 +41,7 @@ def _letters() -> np.ndarray:
     """Each code point that is a letter, itself; 0 for the others."""
     global _LETTERS
     if _LETTERS is None:
-        _LETTERS = np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.int64)
+        _LETTERS = np.fromiter((i if chr(i).isalpha() else 0 for i in range(0x110000)), np.int32, 0x110000)
     return _LETTERS
 
 
@@ -51,7 +51,7 @@ def ngram_codes(text: str) -> np.ndarray:
     A code holds its letters' code points, 21 bits each, so no two n-grams share one: three in the order of the text, two with
     the sign bit, one in the highest place.
     """
-    c = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    c = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
     letter = c != 0
     if not letter.any():
         return np.empty(0, np.int64)
