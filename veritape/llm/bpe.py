@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import pack, short_batches, texts_of, unpack
+from veritape.llm.common import pack, release, short_batches, texts_of, unpack
 
 BLOCK_CHARS = 16_000_000
 LEVEL = 9  # of compression: what is shuffled is the cost
@@ -141,6 +141,8 @@ def split_words(docs: DataFrame, shares: int, block_chars: int = BLOCK_CHARS) ->
                     n, held = n + 1, _Block()
         if held.docs:
             yield _batch(list(held.rows(first + n, shares)))
+        held = None
+        release()
 
     return docs.mapInArrow(run, _ROW)
 
@@ -165,12 +167,16 @@ def encode_words(rows: DataFrame, tokenizer_json: str) -> DataFrame:
                     ids = [known[w] for w in words]
                     payload = pack(np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), np.uint32), level=LEVEL)
                 yield _batch([(block, share, kind, payload)])
+        del tokenizer
+        known.clear()
+        release()
 
     return rows.mapInArrow(run, _ROW)
 
 
 def _join_block(table: pa.Table, pieces: pa.Array) -> pa.Table:
     """Step 3 for one block: ids and decoded text of its documents."""
+    release()  # what the block before took
     found, docs = {}, None
     for share, kind, payload in zip(table["share"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist(), strict=True):
         if kind:

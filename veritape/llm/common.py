@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,15 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: Spark keeps its Python workers from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def short_batches(df: DataFrame) -> DataFrame:
     """``df``; its session sends ``BATCH_ROWS`` rows an Arrow batch from now on, unless it was set to other than Spark's default.
 

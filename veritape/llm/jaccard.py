@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import connected_components, cut, drop_cut, short_batches
+from veritape.llm.common import connected_components, cut, drop_cut, release, short_batches
 
 FIRST = 3  # least hashes by which near copies are found
 CLASSES = ((0.05, 2), (0.2, 3))  # tokens in over this share of all groups index in combinations of so many
@@ -62,8 +62,8 @@ LEAST_K = 16
 TURNS = 1
 WIDE = 64  # members from which a bucket of several groups is indexed again on full sets
 BROADCAST_ROWS = 250_000
-CHUNK_TOKENS = 1 << 20
-KNOWN_WORDS = 200_000  # whose hashes a worker remembers
+CHUNK_TOKENS = 1 << 19
+KNOWN_WORDS = 100_000  # whose hashes a worker remembers
 INDEX_ROWS = 1 << 16  # that a task holds at a time
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -139,6 +139,8 @@ def sets(rows: DataFrame, width: int, num: int, den: int, full: bool = False) ->
             flat = np.concatenate(low) if low else np.empty(0, np.int64)
             made = [pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(m, pa.int32()), pa.array(k, pa.int32()), pa.array(ks, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*kept, "n", "sig", "m", "k", "ks", "low"])
+        known.clear()
+        release()
 
     schema = "".join(f"{c} long, " for c in kept) + "n long, sig binary, m int, k int, ks int, low array<long>"
     return rows.mapInArrow(run, schema)
@@ -234,6 +236,8 @@ class _Join:
             known = _Words()
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, width, known).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["rid", "tokens"])
+            known.clear()
+            release()
 
         full = self.texts(self.scratch.put(needs.select("rid").distinct(), "ids")).mapInArrow(build, "rid long, tokens binary")
 

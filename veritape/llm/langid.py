@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritape.llm.common import short_batches
+from veritape.llm.common import release, short_batches
 from veritape.session import cut
 
 PROFILE_SIZE = 400
@@ -156,6 +156,7 @@ def _best_of(df: DataFrame, model, size: int, schema: T.StructType) -> DataFrame
                 new = score_text(t, langs, grams, ranks, size)
                 out.append(new if old[0] == "und" or new[1] > old[1] else old)
             yield pa.RecordBatch.from_arrays([*kept, text, pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], batch.schema.names)
+        release()
 
     return df.mapInArrow(predict, schema)
 
