@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritape.llm import bpe, cover_tree, html_blocks, jaccard, langid, pfair, pii, quality, secrets, suffix_dedup
+from veritape.llm import bpe, cover_tree, funnels, html_blocks, infill, jaccard, langid, licenses, pfair, pii, quality, secrets, suffix_dedup
 from veritape.session import table
 
 
@@ -59,6 +59,20 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_funnel_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.count_funnels(table(spark, sf_dir, "clicks"))
+
+
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("licenses")
+
+
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
     "op2_pii_boosting": op2_pii_boosting,
@@ -70,8 +84,14 @@ QUERIES = {
     "op8_divergence_rules": op8_divergence_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_rank_order_language": op10_rank_order_language,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_funnel_sweep": op12_funnel_sweep,
+    "op13_license_rules": op13_license_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op7_pfair_mix": pfair.oracle(pfair.SHARES),
+    "op11_fill_in_middle": infill.oracle(),
+    "op12_funnel_sweep": funnels.oracle(),
+    "op13_license_rules": licenses.oracle(),
 }
