@@ -64,7 +64,7 @@ apache-2
 4 apache org licenses @license 2 0(?: txt| html)?
 4 opensource org (?:license|licenses) @apache 2 0(?: php)?
 4 choosealicense com licenses @apache 2 0
-3 (?:under |with )?(?:the )?@apache (?:software )?(?:foundation )?licen[cs]e (?:version |v )?2(?: 0)?
+3 (?:under |with )?(?:the )?@apache (?:software )?(?:foundation )?licen[cs]e (?:version |v ?)?2(?: 0)?
 3 (?:the )?@apache licen[cs]e v2(?: 0)?
 3 @apache 2(?: 0)? licen[cs]e
 3 @asl (?:version )?2(?: 0)?
@@ -115,16 +115,16 @@ boost-1
 4 boost org @license 1 0(?: txt)?
 3 (?:the )?@boost software licen[cs]e(?: version)?(?: 1 0)?
 gpl-1
-3 @gnu general public licen[cs]e (?:version |v )1(?: 0)?
+3 @gnu general public licen[cs]e (?:version |v ?)1(?: 0)?
 3 @gplv1
 gpl-2
 4 gnu org licenses (?:old licenses )?@gpl 2 0(?: html| txt)?
 4 opensource org (?:license|licenses) @gpl 2 0
-3 (?:the )?@gnu (?:general public licen[cs]e|gpl) (?:version |v )?2(?: 0)?(?: or (?:later|any later version))?
+3 (?:the )?@gnu (?:general public licen[cs]e|gpl) (?:version |v ?)?2(?: 0)?(?: or (?:later|any later version))?
 3 (?:the )?@gnu general public licen[cs]e as published by the free software foundation (?:either )?version 2
 3 @gnu gpl v2
 3 @gplv2
-3 @gpl (?:version |v )?2(?: 0)?(?: or later)?
+3 @gpl (?:version |v ?)?2(?: 0)?(?: or later)?
 3 @gpl v2
 3 @gpl2
 2 version 2 of the @gnu general public licen[cs]e
@@ -132,11 +132,11 @@ gpl-2
 gpl-3
 4 gnu org licenses @gpl 3 0(?: html| txt)?
 4 opensource org (?:license|licenses) @gpl 3 0
-3 (?:the )?@gnu (?:general public licen[cs]e|gpl) (?:version |v )?3(?: 0)?(?: or (?:later|any later version))?
+3 (?:the )?@gnu (?:general public licen[cs]e|gpl) (?:version |v ?)?3(?: 0)?(?: or (?:later|any later version))?
 3 (?:the )?@gnu general public licen[cs]e as published by the free software foundation (?:either )?version 3
 3 @gnu gpl v3
 3 @gplv3
-3 @gpl (?:version |v )?3(?: 0)?(?: or later)?
+3 @gpl (?:version |v ?)?3(?: 0)?(?: or later)?
 3 @gpl v3
 3 @gpl3
 2 version 3 of the @gnu general public licen[cs]e
@@ -149,19 +149,19 @@ gpl
 1 @gpl licensed
 1 @gpl licen[cs]e
 lgpl-2
-3 (?:the )?@gnu (?:library|lesser) general public licen[cs]e (?:version |v )?2(?: 0)?
+3 (?:the )?@gnu (?:library|lesser) general public licen[cs]e (?:version |v ?)?2(?: 0)?
 3 @lgplv2
-3 @lgpl (?:version |v )?2(?: 0)?
+3 @lgpl (?:version |v ?)?2(?: 0)?
 lgpl-2.1
 4 gnu org licenses (?:old licenses )?@lgpl 2 1(?: html| txt)?
-3 (?:the )?@gnu lesser general public licen[cs]e (?:version |v )?2 1
+3 (?:the )?@gnu lesser general public licen[cs]e (?:version |v ?)?2 1
 3 @lgplv2 1
-3 @lgpl (?:version |v )?2 1
+3 @lgpl (?:version |v ?)?2 1
 lgpl-3
 4 gnu org licenses @lgpl 3 0(?: html| txt)?
-3 (?:the )?@gnu lesser general public licen[cs]e (?:version |v )?3(?: 0)?
+3 (?:the )?@gnu lesser general public licen[cs]e (?:version |v ?)?3(?: 0)?
 3 @lgplv3
-3 @lgpl (?:version |v )?3(?: 0)?
+3 @lgpl (?:version |v ?)?3(?: 0)?
 lgpl
 2 (?:the )?@gnu (?:lesser|library) general public licen[cs]e
 2 (?:the )?(?:lesser|library) @gpl
@@ -169,65 +169,65 @@ lgpl
 1 @lgpl licen[cs]e
 agpl-3
 4 gnu org licenses @agpl 3 0(?: html| txt)?
-3 (?:the )?@gnu affero general public licen[cs]e (?:version |v )?3(?: 0)?
-3 @affero gpl (?:version |v )?3
+3 (?:the )?@gnu affero general public licen[cs]e (?:version |v ?)?3(?: 0)?
+3 @affero gpl (?:version |v ?)?3
 3 @agplv3
-3 @agpl (?:version |v )?3(?: 0)?
+3 @agpl (?:version |v ?)?3(?: 0)?
 agpl
 2 (?:the )?@gnu affero general public licen[cs]e
 2 (?:the )?@affero (?:general public licen[cs]e|gpl)
 1 @agpl licen[cs]e
 1 (?:under |with )(?:the )?@agpl
 gfdl-1.2
-3 (?:the )?@gnu free documentation licen[cs]e (?:version |v )?1 2
+3 (?:the )?@gnu free documentation licen[cs]e (?:version |v ?)?1 2
 gfdl-1.3
 4 gnu org licenses @fdl 1 3(?: html| txt)?
-3 (?:the )?@gnu free documentation licen[cs]e (?:version |v )?1 3
+3 (?:the )?@gnu free documentation licen[cs]e (?:version |v ?)?1 3
 gfdl
 2 (?:the )?@gnu free documentation licen[cs]e
 1 (?:under |with )(?:the )?@gfdl
 mpl-1.1
 4 mozilla org mpl @mpl 1 1(?: html| txt)?
-3 (?:the )?@mozilla public licen[cs]e (?:version |v )?1 1
-3 @mpl (?:version |v )?1 1
+3 (?:the )?@mozilla public licen[cs]e (?:version |v ?)?1 1
+3 @mpl (?:version |v ?)?1 1
 mpl-2
 4 mozilla org @mpl 2 0
 4 mozilla org en us @mpl 2 0
-3 (?:the )?@mozilla public licen[cs]e (?:version |v )?2(?: 0)?
-3 @mpl (?:version |v )?2(?: 0)?
+3 (?:the )?@mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?
+3 @mpl (?:version |v ?)?2(?: 0)?
 3 @mplv2
 mpl
 2 (?:the )?@mozilla public licen[cs]e
 1 @mpl licen[cs]e
 epl-1
 4 eclipse org legal @epl v10(?: html)?
-3 (?:the )?@eclipse public licen[cs]e (?:version |v )?1(?: 0)?
+3 (?:the )?@eclipse public licen[cs]e (?:version |v ?)?1(?: 0)?
 epl-2
 4 eclipse org legal @epl 2 0
-3 (?:the )?@eclipse public licen[cs]e (?:version |v )?2(?: 0)?
+3 (?:the )?@eclipse public licen[cs]e (?:version |v ?)?2(?: 0)?
 epl
 2 (?:the )?@eclipse public licen[cs]e
 cpl-1
 3 (?:the )?common public @license version 1 0
 cddl-1
 3 @common development and distribution licen[cs]e (?:version )?1 0
-3 @cddl (?:version |v )?1 0
+3 @cddl (?:version |v ?)?1 0
 cddl-1.1
 3 @common development and distribution licen[cs]e (?:version )?1 1
-3 @cddl (?:version |v )?1 1
+3 @cddl (?:version |v ?)?1 1
 cddl
 2 @common development and distribution licen[cs]e
 1 @cddl licen[cs]e
 eupl-1.1
-3 @european union public licen[cs]e (?:version |v )?1 1
-3 @eupl (?:version |v )?1 1
+3 @european union public licen[cs]e (?:version |v ?)?1 1
+3 @eupl (?:version |v ?)?1 1
 eupl-1.2
-3 @european union public licen[cs]e (?:version |v )?1 2
-3 @eupl (?:version |v )?1 2
+3 @european union public licen[cs]e (?:version |v ?)?1 2
+3 @eupl (?:version |v ?)?1 2
 eupl
 2 @european union public licen[cs]e
 cecill-2.1
-3 @cecill (?:licen[cs]e )?(?:version |v )?2 1
+3 @cecill (?:licen[cs]e )?(?:version |v ?)?2 1
 cecill
 1 (?:licence |license )@cecill
 1 @cecill licen[cs]e
@@ -239,9 +239,9 @@ artistic-2
 artistic
 2 (?:the )?@artistic licen[cs]e
 afl-3
-3 (?:the )?@academic free licen[cs]e (?:version |v )?3 0
+3 (?:the )?@academic free licen[cs]e (?:version |v ?)?3 0
 osl-3
-3 (?:the )?open software @license (?:version |v )?3 0
+3 (?:the )?open software @license (?:version |v ?)?3 0
 ecl-2
 3 (?:the )?@educational community licen[cs]e (?:version )?2 0
 unlicense
@@ -339,7 +339,7 @@ busl-1.1
 sspl-1
 3 server side public @license(?: version)?(?: 1)?
 elastic-2
-3 @elastic licen[cs]e (?:version |v )?2(?: 0)?
+3 @elastic licen[cs]e (?:version |v ?)?2(?: 0)?
 elastic
 2 @elastic licen[cs]e
 commons-clause
