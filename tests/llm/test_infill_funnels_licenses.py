@@ -195,7 +195,7 @@ PLANTED = {
     "a mit of a license, the artistic freedom of apache people": "",
     "she took the mit and left": "",
     "UNDER THE MIT LICENSE cc by nc cc-by-nc; under  the mit\tlicense x": "cc-by-nc,mit",
-    "İunder the mit license K cc by ncé": "mit",
+    "İunder the mit license K cc by ncé": "cc-by,mit",
 }
 
 
