@@ -19,6 +19,7 @@ from veritape.functions import text as T
 from veritape.functions import vocab as V
 from veritape.models import model_claims, probability
 from veritape.operators import asof, claims, dataset, dedup, facts, fuzzy, payload, retrieval, risk, timeseries, verify
+from veritape.operators.vector_index import VectorIndex, recall, temporary_path
 from veritape.session import shared_dir, table
 from veritape.sinks import Store, upsert_companies, vector_rows
 
@@ -696,6 +697,43 @@ def retrieval_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.batch_top_k(v, q, 5, "vec_id")).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), "distance")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return VectorIndex.build(table(spark, sf_dir, "embeddings"), temporary_path(shared_dir(spark)), "vec_id", sort=("label",))
+
+
+def _every_hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(ORACLES["vector_topk"])
+def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-15, LIM-4: the rows of vector_topk, from an index over the whole table that reads only the cells that can hold them"""
+    return _rounded(_index(spark, sf_dir).top_k(_first_vector(spark, sf_dir), 12)).select("vec_id", "distance")
+
+
+@query(ORACLES["vector_topk_filtered"])
+def vector_topk_filtered_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-16 over the index"""
+    return _rounded(_index(spark, sf_dir).top_k(_first_vector(spark, sf_dir), 12, F.col("label") == 3)).select("vec_id", "distance")
+
+
+@query(ORACLES["retrieval_batch"])
+def retrieval_batch_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-12 over the index, after a third of the rows was appended to it"""
+    v = table(spark, sf_dir, "embeddings")
+    index = VectorIndex.build(v.where("vec_id % 3 <> 1"), temporary_path(shared_dir(spark)), "vec_id").append(v.where("vec_id % 3 = 1"))
+    found = _rounded(index.batch_top_k(_every_hundredth(spark, sf_dir), 5))
+    return found.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), "distance")
+
+
+@query()
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIM-2: the share of the ten nearest rows that a probed search finds, for every vector whose id 100 divides (k-means has no SQL)"""
+    index = VectorIndex.build(table(spark, sf_dir, "embeddings"), temporary_path(shared_dir(spark)), "vec_id", recall=0.95)
+    queries = _every_hundredth(spark, sf_dir)
+    return recall(index.batch_top_k(queries, 10, probes=index.probes()), index.batch_top_k(queries, 10).select("query_id", "vec_id"), "vec_id")
+
+
 @query(r"""SELECT c_name || '_' || i AS id, document, 'CONTEXT' AS result, 'TRANSCRIPT_EXCERPT' AS reason FROM (SELECT replace(substr(c, 1, 30), ' ', '_') AS c_name, row_number() OVER (PARTITION BY c ORDER BY conv_id, turn) - 1 AS i, text AS document FROM (SELECT *, 'Company ' || role AS c FROM conversations)) WHERE trim(document) <> '' AND c_name <> 'Company_user'""")
 def vector_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-8, PRJ-2, MAP-1: companies that are there already are left out"""
