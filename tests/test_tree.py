@@ -74,7 +74,7 @@ def test_whole_analysis(spark, root, tmp_path):
     payload = json.loads(body["result_json"])
     assert code == 200 and payload["verdict"] == "Positive" and payload["positive_signals"][0] == {"index": "P1", "title": "first good thing", "body": "first good thing"}
     assert service.analyse(store, "nobody-like-this")[0] == 404 and service.analyse(store, "beta", "earnings")[0] == 200
-    n = spark.read.parquet(f"{store.root}/vectors").count()
+    n = store.read("vectors").count()
     assert store.append_vectors(a.sentences, hashed_embedding(F.col("sentence")), ["folder", "quarter", "pos"]) == n  # no company's vectors twice
     query = list(spark.range(1).select(hashed_embedding(F.lit("revenue demand")).alias("v")).first().v)
     code, answer = service.chat(store, "ALPHA", query, lambda context: context)
@@ -131,6 +131,17 @@ def test_one_company_fails(spark, root, tmp_path):
     assert store.claims(1).count() == 0 and store.read("claims").count() > 0
 
 
+def test_financial_errors(spark, root, tmp_path):
+    """An error in the filings leaves the company ready, with plain claims and risk from these alone."""
+    store = Store(spark, str(tmp_path / "store"))
+    bad = lambda spark, root, company: filings(spark, root, company).withColumn("value", F.when(F.col("company") == "ALPHA", F.raise_error(F.lit("no such number")).cast("double")).otherwise(F.col("value")))
+    assert analysis.run_each(spark, root, store, ["ALPHA", "GAMMA"], facts=bad) == {}
+    assert {(r.folder_name, r.status, r.error_msg) for r in store.read("companies").collect()} == {("ALPHA", "ready", None), ("GAMMA", "ready", None)}
+    assert {r.result for r in store.claims(1).collect()} == {None} and store.read("timeseries").count() == 0
+    payload = json.loads(service.analyse(store, "alpha")[1]["result_json"])
+    assert payload["claims"] and not payload["metrics"] and payload["risk"]["level"] in ("HIGH", "MODERATE", "LOW", "UNKNOWN")
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps({"company": "C", "quarter": "2024-Q1", "raw_text": CALL.replace("\n", " ")}))

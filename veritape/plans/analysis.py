@@ -18,13 +18,15 @@ from veritape.operators.retrieval import SUFFIX_EXPLAIN, company_contexts
 from veritape.operators.risk import aggregate_risk
 from veritape.operators.timeseries import features, pivot_metrics
 from veritape.operators.verify import verify
-from veritape.schemas import TABLES
+from veritape.schemas import FACTS, TABLES
 from veritape.session import cut
-from veritape.sinks import Store
+from veritape.sinks import Store, Transaction
 from veritape.sources.tree import transcripts
 from veritape.sources.xbrl import filings
 
-QUERY = "financial performance earnings guidance financial performance"  # fixed value: follows the company's name, before the suffix
+# What follows the company's name in the query of a batch run and of a repair run, before the suffix.
+QUERY = "financial performance earnings financial performance"
+REBUILD_QUERY = "financial performance earnings guidance financial performance"
 EMPTY_ANSWER = "Insufficient transcript data available to synthesize an analysis."  # fixed value
 
 
@@ -59,14 +61,19 @@ def plan(docs: DataFrame, facts: DataFrame, logits: Callable[[Column], Column] =
     return Analysis(sentences, attrs, series, checked, aggregate_risk(checked), checked.unionByName(plain, allowMissingColumns=True))
 
 
-def run(spark: SparkSession, root: str, store: Store, company: str | list[str] | None = None, logits: Callable[[Column], Column] = lexical_logits, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None, extract_pdf: Callable[[bytes], list[str]] | None = None) -> Analysis:
-    """Read the tree, analyse, and write every table. ``answer`` turns a context text into a model's answer text."""
-    store.create()
+def run(spark: SparkSession, root: str, store: Store, company: str | list[str] | None = None, logits: Callable[[Column], Column] = lexical_logits, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None, extract_pdf: Callable[[bytes], list[str]] | None = None, facts: Callable[..., DataFrame] | None = filings) -> Analysis:
+    """Read the tree, analyse, and write every table in one transaction. ``answer`` turns a context text into a model's answer text; without ``facts`` claims stay unverified."""
     docs = transcripts(spark, root, extract_pdf, company)
-    a = plan(docs, filings(spark, root, company), logits, cut)
+    a = plan(docs, facts(spark, root, company) if facts else spark.createDataFrame([], FACTS), logits, cut)
     folders = docs.select(F.col("company").alias("folder_name")).distinct()
     store.upsert_companies(folders.select("folder_name", F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.expr("unix_micros(current_timestamp())").alias("seq")))
-    ids = store.read("companies").select(F.col("id").alias("company_id"), F.col("folder_name").alias("company"))
+    store.transact(lambda tx: _save(tx, a, folders, embed, answer))
+    return a
+
+
+def _save(tx: Transaction, a: Analysis, folders: DataFrame, embed: Callable[[Column], Column], answer: Callable[[Column], Column] | None) -> None:
+    """All tables of one run, as changes of ``tx``: they are seen together with the status ready, or not at all."""
+    ids = cut(tx.read("companies").select(F.col("id").alias("company_id"), F.col("folder_name").alias("company")).join(folders.withColumnRenamed("folder_name", "company"), "company", "left_semi"), "ids")
     keyed = lambda df: df.join(ids, "company")
     for name, df in (("timeseries", a.series), ("risk", a.risk), ("claims", a.claims)):
         rows = keyed(df)
@@ -74,21 +81,20 @@ def run(spark: SparkSession, root: str, store: Store, company: str | list[str] |
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None))
         typed = [F.col(x.split()[0]).cast(x.split()[1]) for x in TABLES[name][0].split(", ")]
-        store.replace_company_rows(name, rows.select(*typed), companies=keyed(folders.withColumnRenamed("folder_name", "company")))
+        tx.replace_company_rows(name, rows.select(*typed), companies=ids)
     order = [c for c in ("folder", "quarter", "pos") if c in a.sentences.columns]
-    store.append_vectors(a.sentences, embed(F.col("sentence")), order)
-    vectors = spark.read.parquet(f"{store.root}/vectors").withColumn("company", F.col("metadata")["company"])
+    tx.append_vectors(a.sentences, embed(F.col("sentence")), order)
     names = a.sentences.select("company").distinct().withColumn("name", display_name(F.col("company"), strict=False))
-    explained = explain(vectors, names, embed, answer).drop("answered")
+    explained = explain(tx.vectors(), names, embed, answer).drop("answered")
     payload = assemble(a.series, a.risk, _typed_claims(a.claims), explained, ["quarter", "sentence", "metric"], attributes=a.attributes)
-    store.save_analysis(keyed(payload).select("company_id", "mode", "result_json", F.expr("unix_micros(current_timestamp())").alias("seq")))
-    store.upsert_companies(folders.select("folder_name", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.expr("unix_micros(current_timestamp())").alias("seq")))
-    return a
+    tx.save_analysis(keyed(payload).select("company_id", "mode", "result_json", F.expr("unix_micros(current_timestamp())").alias("seq")))
+    tx.upsert_companies(folders.select("folder_name", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.expr("unix_micros(current_timestamp())").alias("seq")))
 
 
 def run_each(spark: SparkSession, root: str, store: Store, companies: list[str], **settings) -> dict[str, str]:
-    """All ``companies`` in one plan; where that fails, in halves, down to the companies that fail alone. These get the status
-    error with its message, which is also returned by company; the others' results stand."""
+    """All ``companies`` in one plan; where that fails, in halves, down to the companies that fail alone. Such a company is run
+    without its filings: if only they were at fault, its claims stay unverified and it is ready. Else it gets the status error
+    with the message, which is also returned by company; the others' results stand."""
     if not companies:
         return {}
     try:
@@ -98,7 +104,8 @@ def run_each(spark: SparkSession, root: str, store: Store, companies: list[str],
         if len(companies) > 1:
             half = len(companies) // 2
             return run_each(spark, root, store, companies[:half], **settings) | run_each(spark, root, store, companies[half:], **settings)
-        store.create()
+        if settings.get("facts", filings) is not None:
+            return run_each(spark, root, store, companies, **settings | {"facts": None})
         seq = F.expr("unix_micros(current_timestamp())").alias("seq")
         store.upsert_companies(spark.createDataFrame([(companies[0], "error", str(e))], "folder_name string, status string, error_msg string").select("*", seq))
         return {companies[0]: str(e)}
@@ -111,7 +118,7 @@ def _typed_claims(claims: DataFrame) -> DataFrame:
     return claims
 
 
-def explain(vectors: DataFrame, companies: DataFrame, embed: Callable[[Column], Column], answer: Callable[[Column], Column] | None, k: int = 6) -> DataFrame:
+def explain(vectors: DataFrame, companies: DataFrame, embed: Callable[[Column], Column], answer: Callable[[Column], Column] | None, k: int = 6, about: str = QUERY) -> DataFrame:
     """company, explanation, positive, negative, answered.
 
     ``companies``: company and the name that its query holds. Its context are the rows of ``vectors`` (with the company as
@@ -120,7 +127,7 @@ def explain(vectors: DataFrame, companies: DataFrame, embed: Callable[[Column],
     none = F.array().cast("array<string>")
     if answer is None:
         return companies.select("company", F.lit(EMPTY_ANSWER).alias("explanation"), none.alias("positive"), none.alias("negative"), F.lit(False).alias("answered"))
-    queries = companies.select("company", embed(F.concat(F.col("name"), F.lit(f" {QUERY} {SUFFIX_EXPLAIN}"))).alias("query"))
+    queries = companies.select("company", embed(F.concat(F.col("name"), F.lit(f" {about} {SUFFIX_EXPLAIN}"))).alias("query"))
     asked = companies.select("company").join(company_contexts(vectors, queries, k), "company", "left")
     parsed = asked.withColumn("__a", F.when(F.col("context").isNotNull(), parse_answer(answer(F.col("context")))))
     made = F.coalesce(F.col("__a.explanation") != "", F.lit(False))
@@ -131,20 +138,24 @@ def rebuild(store: Store, embed: Callable[[Column], Column] = hashed_embedding,
     """Vectors from the stored claims of ready companies that have none, and explanation, signals and verdict of all modes
     asked anew over the stored vectors; returns the number of vectors. A company without claims or an answer keeps its payloads.
     """
-    ready = store.read("companies").where("status = 'ready'").select(F.col("id").alias("company_id"), F.col("display_name").alias("company"), "folder_name")
-    claims = store.read("claims").where("length(sentence) > 0").join(ready, "company_id")
-    n = store.append_vectors(claims.withColumn("result", F.coalesce("result", F.lit("None"))).withColumn("reason", F.lit("CLAIM")), embed(F.col("sentence")), ["quarter", "sentence", "metric"])
+    return store.transact(lambda tx: _rebuild(tx, embed, answer))
+
+
+def _rebuild(tx: Transaction, embed: Callable[[Column], Column], answer: Callable[[Column], Column] | None) -> int:
+    ready = tx.read("companies").where("status = 'ready'").select(F.col("id").alias("company_id"), F.col("display_name").alias("company"), "folder_name")
+    claims = tx.read("claims").where("length(sentence) > 0").join(ready, "company_id")
+    n = tx.append_vectors(claims.withColumn("result", F.coalesce("result", F.lit("None"))).withColumn("reason", F.lit("CLAIM")), embed(F.col("sentence")), ["quarter", "sentence", "metric"])
     if answer is None:
         return n
     asked = ready.join(claims.select("company_id").distinct(), "company_id", "left_semi")
     names = asked.select("company_id", F.explode(F.array_distinct(F.array("company", "folder_name"))).alias("__stored"))  # vectors bear the one or the other
-    vectors = store.spark.read.parquet(f"{store.root}/vectors").withColumn("__stored", F.col("metadata")["company"]).join(names, "__stored").withColumn("company", F.col("company_id"))
-    explained = cut(explain(vectors, asked.select(F.col("company_id").alias("company"), F.col("company").alias("name")), embed, answer).where("answered").withColumnRenamed("company", "company_id"), "explained")
-    old = store.read("analysis_cache").where("mode = 'full'").select("company_id", "result_json")
+    vectors = tx.read("vectors").withColumn("__stored", F.col("metadata")["company"]).join(names, "__stored").withColumn("company", F.col("company_id"))
+    explained = cut(explain(vectors, asked.select(F.col("company_id").alias("company"), F.col("company").alias("name")), embed, answer, about=REBUILD_QUERY).where("answered").withColumnRenamed("company", "company_id"), "explained")
+    old = tx.read("analysis_cache").where("mode = 'full'").select("company_id", "result_json")
     modes = explained.join(old, "company_id", "left").withColumn("mode", F.explode(F.array(*[F.lit(m) for m in ("full", "earnings", "financial")])))
     patch = F.to_json(F.struct("mode", signals(F.col("positive"), "P").alias("positive_signals"), signals(F.col("negative"), "N").alias("negative_signals"), "explanation", verdict_label(F.size("positive"), F.size("negative")).alias("verdict")))
     as_map = lambda c: F.from_json(F.coalesce(c, F.lit("{}")), "map<string,variant>")
     rows = modes.withColumns({"__old": as_map(F.col("result_json")), "__new": as_map(patch)})
     kept = F.map_filter("__old", lambda key, _: ~F.array_contains(F.map_keys("__new"), key))
-    store.save_analysis(rows.select("company_id", "mode", F.to_json(F.map_concat(kept, "__new")).alias("result_json"), F.expr("unix_micros(current_timestamp())").alias("seq")))
+    tx.save_analysis(rows.select("company_id", "mode", F.to_json(F.map_concat(kept, "__new")).alias("result_json"), F.expr("unix_micros(current_timestamp())").alias("seq")))
     return n

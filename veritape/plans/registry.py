@@ -19,7 +19,9 @@ from veritape.functions import text as T
 from veritape.functions import vocab as V
 from veritape.models import model_claims, probability
 from veritape.operators import asof, claims, dataset, dedup, facts, fuzzy, payload, retrieval, risk, timeseries, verify
+from veritape.operators.numbering import dense_numbers
 from veritape.operators.vector_index import VectorIndex, recall, temporary_path
+from veritape.schemas import TABLES
 from veritape.session import shared_dir, table
 from veritape.sinks import Store, upsert_companies, vector_rows
 
@@ -621,6 +623,42 @@ def ready_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.companies(ready=True).select("id", "folder_name", "display_name", "status")
 
 
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/veritape/store-{uuid.uuid4().hex}")
+
+
+@query(f"SELECT 1 AS version, CAST(n_nationkey + 1 AS BIGINT) AS id, n_name AS folder_name, 'pending' AS status FROM nation UNION ALL SELECT 2 AS version, id, folder_name, status FROM ({ORACLES['upsert_company']})")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2, SNK-3: two commits; the first version is read again after the second, which holds only what it changed"""
+    store, nothing = _store(spark), F.lit(None).cast("string").alias("error_msg")
+    n = table(spark, sf_dir, "nation")
+    store.upsert_companies(n.select(F.col("n_name").alias("folder_name"), F.lit("pending").alias("status"), nothing, (F.col("n_nationkey") - 1000).cast("long").alias("seq")))
+    e = table(spark, sf_dir, "events").join(F.broadcast(n), F.col("n_nationkey") == F.col("user_id") % 25)
+    folder = F.when(F.col("user_id") % 3 == 0, F.col("n_name")).otherwise(F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" 2024 Quarterly Data")))
+    store.upsert_companies(e.select(folder.alias("folder_name"), F.when(F.col("event_type") == "purchase", "ready").otherwise("error").alias("status"), nothing, F.col("event_id").alias("seq")))
+    seen = [store.at(v).read("companies").select(F.lit(v).alias("version"), "id", "folder_name", "status") for v in store.versions()]
+    return seen[0].unionByName(seen[1])
+
+
+@query("SELECT user_id AS company_id, event_type AS quarter, value AS confidence FROM events WHERE user_id % 5 <> 0 AND (user_id % 3 <> 0 OR event_type = 'purchase')")
+def store_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-5: rows by company, replaced for some of them and removed for others, each in a part of its own"""
+    store = _store(spark)
+    e = table(spark, sf_dir, "events").withColumn("row", F.struct(F.col("user_id").alias("company_id"), F.col("event_type").alias("quarter"), F.col("value").alias("confidence")))
+    rows = lambda df: spark.createDataFrame([], TABLES["claims"][0]).unionByName(df.select("row.*"), allowMissingColumns=True)
+    store.replace_company_rows("claims", rows(e))
+    thirds, fifths = e.where("user_id % 3 = 0"), e.where("user_id % 5 = 0")
+    store.replace_company_rows("claims", rows(thirds.where("event_type = 'purchase'")), companies=thirds.select("row.company_id").distinct())
+    store.replace_company_rows("claims", rows(fifths.where("false")), companies=fifths.select("row.company_id").distinct())
+    return store.read("claims").select("company_id", "quarter", "confidence")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS n FROM orders")
+def dense_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-3: numbers of new rows in order, by ranges and their sizes"""
+    return dense_numbers(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], "n").select("o_orderkey", "n")
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'ation_1')")
 def match_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-1, FLT-2: no exact name, so the substring tier."""

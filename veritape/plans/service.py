@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritape.models import hashed_embedding
 from veritape.operators.fuzzy import lookup
-from veritape.operators.retrieval import chat_context, top_k
+from veritape.operators.retrieval import chat_context
 from veritape.sinks import Store
 
 MODES = ("full", "earnings", "financial")
@@ -53,8 +53,8 @@ def chat(store: Store, name: str, query: str | list[float], answer: Callable[[st
         return 404, {"status": "not_found"}
     if isinstance(query, str):
         query = store.spark.createDataFrame([(query,)], "question string").select(embed(F.col("question")).alias("v")).first().v
-    vectors = store.spark.read.parquet(f"{store.root}/vectors").withColumns({"quarter": F.col("metadata")["quarter"], "result": F.col("metadata")["result"]})
-    near = top_k(vectors, query, k, F.col("metadata")["company"].isin(found.display_name, found.folder_name))
+    near = store.nearest(query, k, F.col("company").isin(found.display_name, found.folder_name))
+    near = near.withColumns({"quarter": F.col("metadata")["quarter"], "result": F.col("metadata")["result"]})
     context = chat_context(near).first().context
     if not context:
         return 200, {"answer": NO_CONTEXT}

@@ -18,4 +18,5 @@ TABLES = {
     "claims": ("company_id bigint, quarter string, sentence string, metric string, direction string, magnitude string, result string, actual_change double, confidence double", None),
     "timeseries": (f"company_id bigint, quarter string, revenue double, net_profit double, operating_profit double, profit_margin double, {_CHANGES}", ["company_id", "quarter"]),
     "risk": ("company_id bigint, quarter string, total_claims bigint, verification_rate double, failure_rate double, partial_rate double, direction_mismatch_rate double, consistency_score double, risk_drift double, warning_flag int", ["company_id", "quarter"]),
+    "vectors": (VECTOR_DOCS, None),
 }
