@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,34 +11,39 @@ from pyspark.sql import functions as F
 from veritape.functions import vocab as V
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.btrim(c, F.lit(V.SPACES))
+
+
 def clean_sentence(c: Column) -> Column:
     """Line breaks and tabs to spaces, runs of white space to one, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[\r\n\t]+", " "), r"\s{2,}", " "))
+    return strip(F.regexp_replace(F.regexp_replace(c, r"[\r\n\t]+", " "), f"[{V.SPACE}]{{2,}}", " "))
 
 
 def strip_artefacts(c: Column) -> Column:
     """Cleaned, and cut from the first page or confidentiality mark on; a mark inside a word counts too."""
-    return F.trim(F.regexp_replace(clean_sentence(c), V.ARTEFACT, ""))
+    return strip(F.regexp_replace(clean_sentence(c), V.ARTEFACT, ""))
 
 
 def dedup_key(c: Column) -> Column:
     """Lower case, white space collapsed, then other characters to spaces: in that order, so ``a, b`` differs from ``a b``."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), "[^a-z0-9 ]", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), f"[{V.SPACE}]+", " "), "[^a-z0-9 ]", " "))
 
 
 def clean_lower(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, f"[{V.SPACE}]+", " ")))
 
 
 def clean_lines(c: Column) -> Column:
     """Unified line ends, without lines of digits and marks only and lines of three characters or fewer; kept lines stay as they are."""
-    lines = F.split(F.regexp_replace(c, "\r\n|\r", "\n"), "\n")
-    return F.array_join(F.filter(lines, lambda x: (F.length(F.trim(x)) > 3) & ~F.trim(x).rlike(V.LINE_NOISE)), "\n")
+    lines = F.split(F.regexp_replace(c, "\r\n|\r", "\n"), V.LINE_END)
+    return F.array_join(F.filter(lines, lambda x: (F.length(strip(x)) > 3) & ~strip(x).rlike(V.LINE_NOISE)), "\n")
 
 
 def sentences(c: Column) -> Column:
     """Split after ``.``, ``!`` or ``?`` and white space. A deterministic stand-in for a trained sentence model."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), "\u0001"), clean_sentence), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(c, f"([.!?])[{V.SPACE}]+", "$1\u0001"), "\u0001"), clean_sentence), lambda x: x != "")
 
 
 def is_valid_sentence(c: Column) -> Column:
@@ -46,7 +52,7 @@ def is_valid_sentence(c: Column) -> Column:
 
 def hard_exclusion(c: Column) -> Column:
     """Questions, transitions, numbers only, or under 25 characters: never a claim."""
-    s = F.trim(c)
+    s = strip(c)
     return s.endswith("?") | s.rlike(V.TRANSITION) | s.rlike(V.GARBAGE) | (F.length(s) < 25)
 
 
@@ -76,33 +82,34 @@ def keyword_score(c: Column, performance: list[str] | None = None, direction: li
 
 
 def is_likely_claim(c: Column) -> Column:
-    s = F.trim(c)
+    s = strip(c)
     return (F.length(s) >= 25) & ~s.endswith("?") & ~s.rlike(V.GARBAGE) & ~s.rlike(V.TRANSITION_SHORT) & ~s.rlike(V.NEGATION) & (keyword_score(s) >= 3)
 
 
 def contrast_parts(c: Column, pattern: str = V.CONTRAST, least: int = 20) -> Column:
     """Parts between contrast words (case-sensitive), trimmed, over ``least`` characters."""
-    return F.filter(F.transform(F.split(c, pattern), lambda x: F.trim(x)), lambda p: F.length(p) > least)
+    return F.filter(F.transform(F.split(c, pattern), strip), lambda p: F.length(p) > least)
 
 
 def metrics(c: Column, vocabulary: list[tuple[str, list[str]]] | None = None) -> Column:
     """Names whose keywords occur in the lower-cased text, in vocabulary order."""
-    low = F.lower(c)
-    hits = []
-    for name, words in vocabulary or V.METRIC_KEYWORDS:
-        found = low.contains(words[0])
-        for w in words[1:]:
-            found = found | low.contains(w)
-        hits.append(F.when(found, F.lit(name)))
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    def hits(low: Column) -> Column:
+        found = [F.when(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]), F.lit(name)) for name, words in vocabulary or V.METRIC_KEYWORDS]
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    return _let(F.lower(c), hits)
 
 
 def direction(c: Column, metric: Column) -> Column:
     """decrease, increase, neutral or null. Patterns match inside words. The last resort is ``better`` within eight words of the metric."""
-    low = F.lower(c)
     near_word = lambda ws: F.exists(F.transform(ws, lambda w, i: F.contains(w, metric) & F.contains(F.array_join(F.slice(ws, F.greatest(F.lit(1), i - 7), i + 9 - F.greatest(F.lit(1), i - 7)), " "), F.lit(V.NEARBY_INCREASE))), lambda x: x)
-    near = low.contains(V.NEARBY_INCREASE) & low.contains(metric) & _let(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1), near_word)
-    return F.when(low.rlike(V.DECREASE), "decrease").when(low.rlike(V.INCREASE), "increase").when(low.rlike(V.SOFT) | low.rlike(V.NEUTRAL), "neutral").when(near, "increase")
+
+    def found(low: Column) -> Column:
+        near = F.contains(low, F.lit(V.NEARBY_INCREASE)) & F.contains(low, metric) & _let(F.regexp_extract_all(low, F.lit("([a-z]+)"), 1), near_word)
+        return F.when(low.rlike(V.DECREASE), "decrease").when(low.rlike(V.INCREASE), "increase").when(low.rlike(V.SOFT) | low.rlike(V.NEUTRAL), "neutral").when(near, "increase")
+
+    return _let(F.lower(c), found)
 
 
 def magnitude(c: Column) -> Column:
@@ -112,7 +119,7 @@ def magnitude(c: Column) -> Column:
 
 def signal_title(c: Column) -> Column:
     """The first eight words without trailing marks, and an ellipsis if there are more."""
-    words = F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    words = F.filter(F.split(c, f"[{V.SPACE}]+"), lambda x: x != "")
     return F.concat(F.regexp_replace(F.array_join(F.slice(words, 1, 8), " "), "[,.;]+$", ""), F.when(F.size(words) > 8, "…").otherwise(""))
 
 
@@ -171,7 +178,7 @@ def _features(c: Column, low: Column, words: Column) -> Column:
         count(V.NOUNS).alias("nouns"),
         count(V.VERBS).alias("verbs"),
         count(V.ADJECTIVES).alias("adjectives"),
-        c.rlike(r"\d|%|₹|\$").alias("entity"),
+        c.rlike(V.DIGIT + r"|%|₹|\$").alias("entity"),
         F.coalesce(subject, F.lit(False)).alias("subject"),
         F.coalesce(verb.w, F.lit("")).alias("root"),
         low.rlike(V.NEGATED).alias("negated"),

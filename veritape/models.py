@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritape.functions.numbers import round_decimal, softmax
-from veritape.functions.text import clean_sentence, nlp_features
+from veritape.functions.text import clean_sentence, nlp_features, strip
 from veritape.operators.dedup import first_wins
 
 CLAIM_THRESHOLD = 0.6
@@ -47,7 +47,7 @@ def model_claims(sentences: DataFrame, logits: Callable[[Column], Column] = lexi
     extra = [c for c in order or [] if c not in ("company", "quarter", "sentence")]
     rows = sentences.withColumn("sentence", clean_sentence(F.col("sentence"))).where("length(sentence) > 0")
     scored = rows.withColumn("__p", probability(logits(F.col("sentence")))).where(F.col("__p") >= threshold)
-    unique = first_wins(scored, [*(scope or []), F.lower(F.trim("sentence"))], [F.asc(c) for c in order or ["sentence"]])
+    unique = first_wins(scored, [*(scope or []), strip(F.lower("sentence"))], [F.asc(c) for c in order or ["sentence"]])
     return unique.select("company", "quarter", "sentence", F.lit("CLAIM").alias("label"), round_decimal(F.col("__p"), 4).alias("confidence"), *extra)
 
 

@@ -386,9 +386,22 @@ def risk_claims_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- text ---------------------------------------------------------------------------------------
 
-SQL_SENTENCES = r"""(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY raw_pos) - 1 AS pos, sentence FROM (SELECT doc_id, raw_pos, trim(regexp_replace(regexp_replace(s, '[\r\n\t]+', ' ', 'g'), '\s{2,}', ' ', 'g')) AS sentence
- FROM (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS raw_pos FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents))) WHERE sentence <> '')"""
-SQL_VALID = r"length(sentence) >= 20 AND NOT regexp_matches(sentence, '(?i)(^[\d\s.,|\-%()$₹/:]+$|^\s*[A-Z\s]{1,6}\s*$|www\.|http|©|™|®)') AND len(regexp_extract_all(sentence, '[a-zA-Z]{2,}')) >= 3"
+def sql_strip(x: str) -> str:
+    return f"trim({x}, '{V.SPACES}')"
+
+
+def sql_clean(x: str) -> str:
+    return sql_strip(rf"regexp_replace(regexp_replace({x}, '[\r\n\t]+', ' ', 'g'), '[{V.SPACE}]{{2,}}', ' ', 'g')")
+
+
+def sql_sentences(text: str) -> str:
+    """A relation of doc_id, pos and sentence, for an SQL expression over documents."""
+    return rf"""(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY raw_pos) - 1 AS pos, sentence FROM (SELECT doc_id, raw_pos, {sql_clean("s")} AS sentence
+ FROM (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS raw_pos FROM (SELECT doc_id, string_split(regexp_replace({text}, '([.!?])[{V.SPACE}]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents))) WHERE sentence <> '')"""
+
+
+SQL_SENTENCES = sql_sentences("text")
+SQL_VALID = rf"length(sentence) >= 20 AND NOT regexp_matches(sentence, '(?i)(^[\p{{Nd}}{V.SPACE}.,|\-%()$₹/:]+$|^[{V.SPACE}]*[A-Z{V.SPACE}]{{1,6}}[{V.SPACE}]*$|www\.|http|©|™|®)') AND len(regexp_extract_all(sentence, '[a-zA-Z]{{2,}}')) >= 3"
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,10 +409,25 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)), x -> length(trim(x)) > 3 AND NOT regexp_matches(trim(x), '^[\d\s.,|\-%()]+$')), chr(10)) AS cleaned FROM documents")
+#: Line ends and white space of many kinds, which the tables' own texts lack.
+_ODD_LINES = "\f 12 34 \f kept by form feed\u0085ab\u2028\u00a0\u2003xy\u00a0\u2029no-break\u00a0space \v(1.5)\u2003%\x1c \u0661\u0662\u0663 | 4\x1dlast line"
+
+
+@query(rf"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(text || '{_ODD_LINES}', '\r\n|\r', chr(10), 'g'), '{V.LINE_END}'), x -> length({sql_strip('x')}) > 3 AND NOT regexp_matches({sql_strip('x')}, '^[\p{{Nd}}{V.SPACE}.,|\-%()]+$')), chr(10)) AS cleaned FROM documents")
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-3"""
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_lines(F.col("text")).alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_lines(F.concat("text", F.lit(_ODD_LINES))).alias("cleaned"))
+
+
+_ODD_SPACES = "replace(replace(text, ', ', chr(160) || ',' || chr(8195) || ' '), '. ', '.' || chr(12288) || chr(31))"
+
+
+@query(f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, sentence, {SQL_VALID} AS valid, trim(regexp_replace(regexp_replace(lower(sentence), '[{V.SPACE}]+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g')) AS k FROM {sql_sentences(_ODD_SPACES)}")
+def sentence_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-1, STR-3, FLT-4: white space beyond ASCII"""
+    text = F.replace(F.replace("text", F.lit(", "), F.lit("\u00a0,\u2003 ")), F.lit(". "), F.lit(".\u3000\x1f"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(text)).alias("pos", "sentence"))
+    return d.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence", T.is_valid_sentence(F.col("sentence")).alias("valid"), T.dedup_key(F.col("sentence")).alias("k"))
 
 
 @query(f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, sentence FROM {SQL_SENTENCES}")
@@ -421,7 +449,7 @@ def sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.explode_sentences(d, order=["doc_id"]).select("source", "doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
-@query(rf"SELECT doc_id, CAST(pos AS BIGINT) AS pos, k FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS rn FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(sentence), '\s+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g')) AS k FROM {SQL_SENTENCES})) WHERE rn = 1")
+@query(rf"SELECT doc_id, CAST(pos AS BIGINT) AS pos, k FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS rn FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(sentence), '[{V.SPACE}]+', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g')) AS k FROM {SQL_SENTENCES})) WHERE rn = 1")
 def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-3, STR-3"""
     return dedup.first_wins(_sentences(spark, sf_dir).withColumn("k", T.dedup_key(F.col("sentence"))), ["k"], [F.asc("doc_id"), F.asc("pos")]).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "k")
@@ -499,7 +527,7 @@ def hard_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""SELECT doc_id, CAST(pos AS BIGINT) AS pos, trim(regexp_replace(trim(regexp_replace(regexp_replace(s, '[\r\n\t]+', ' ', 'g'), '\s{{2,}}', ' ', 'g')), '{V.ARTEFACT}', '', 'g')) AS stripped
+    rf"""SELECT doc_id, CAST(pos AS BIGINT) AS pos, {sql_strip(f"regexp_replace({sql_clean('s')}, '{V.ARTEFACT}', '', 'g')")} AS stripped
  FROM (SELECT doc_id, pos, sentence || CASE WHEN pos % 4 = 0 THEN '  Page ' || pos || ' of 99 tail' WHEN pos % 4 = 1 THEN ' republic of x' WHEN pos % 4 = 2 THEN ' Classification - Secret x' ELSE '' END AS s FROM {SQL_SENTENCES})"""
 )
 def artefact_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
