@@ -216,8 +216,8 @@ def _join_block(table: pa.Table, pieces: pa.Array) -> pa.Table:
     )
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_json: str | None = None, block_chars: int = BLOCK_CHARS, place_col: str | None = None) -> DataFrame:
-    """doc_id, ids array<int>, decoded string of each row; with ``place_col`` (never null) also that as place long."""
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_json: str | None = None, block_chars: int = BLOCK_CHARS, place_col: str | None = None, text_bytes: int | None = None) -> DataFrame:
+    """doc_id, ids array<int>, decoded string of each row; with ``place_col`` (never null) also that as place long. ``text_bytes``: the texts' size, if it is known."""
     spark = df.sparkSession
     if tokenizer_json is None:
         with open(vocabulary_path(), encoding="utf-8") as f:
@@ -227,7 +227,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pieces = spark.sparkContext.broadcast(pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))], pa.string()))
     shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = texts_of(df, id_col, text_col) if place_col is None else short_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{place_col}`").cast("long").alias("place"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = text_bytes if text_bytes is not None else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shares = min(max(shares, -(-size // SHARE_BYTES)), max(shares, MAX_SHARES))
     asked = split_words(docs, shares, block_chars).repartition(shares, "share")
     return encode_words(asked, tokenizer_json).groupBy("block").applyInArrow(lambda table: _join_block(table, pieces.value), "doc_id long, ids array<int>, decoded string" + ", place long" * (place_col is not None))
