@@ -18,9 +18,9 @@ from veritape.functions import quarters as Q
 from veritape.functions import text as T
 from veritape.functions import vocab as V
 from veritape.models import model_claims, probability
-from veritape.operators import asof, claims, dataset, dedup, facts, fuzzy, payload, retrieval, risk, timeseries, verify
+from veritape.operators import asof, claims, classifier, dataset, dedup, facts, fuzzy, payload, retrieval, risk, timeseries, verify
 from veritape.operators.numbering import dense_numbers
-from veritape.operators.vector_index import VectorIndex, recall, temporary_path
+from veritape.operators.vector_index import VectorIndex, bounded_sample, recall, temporary_path
 from veritape.schemas import TABLES
 from veritape.session import shared_dir, table
 from veritape.sinks import Store, upsert_companies, vector_rows
@@ -568,6 +568,27 @@ def likely_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spoken(spark, sf_dir).where(T.is_likely_claim(F.col("s"))).select("doc_id", "pos")
 
 
+#: Documents whose sentences train the classifier, at most: those of least hash.
+TRAIN_DOCS = 1000
+
+
+@query()
+def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-2, ML-3: a classifier that learns the rules' claims from the sentences of a bounded sample of documents, and its scores of
+    all documents' sentences that are held out (the tests recompute scores in SQL from the stored weights)"""
+    rows = _spoken(spark, sf_dir)
+    judged = lambda df: df.withColumn("label", T.is_claim(F.col("s"), T.nlp_features(F.col("s"))).cast("int"))
+    some = bounded_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", TRAIN_DOCS)
+    model = classifier.fit(judged(rows.join(F.broadcast(some), "doc_id", "left_semi")), "s")
+    return judged(rows.where(classifier.fold(F.col("s")) == 0)).select("doc_id", "pos", "label", model.probability(F.col("s")).alias("score"))
+
+
+@query()
+def classifier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-2: accuracy, precision, recall and F1 of classifier_scores"""
+    return classifier.evaluate(classifier_scores(spark, sf_dir))
+
+
 @query()
 def model_claim_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-2, ML-3, FLT-9, FLT-10, X-4, MTH-12, with the lexical stand-in; held against brute force in the tests."""
