@@ -111,12 +111,13 @@ def schedule(shares: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame) -> DataFrame:
     """(row, id, source) rows with ``rank``: from 0, the row's number within its source."""
-    rows = rows.withColumn("md5", F.md5(F.coalesce("id", F.lit("")))).withColumn("part", F.conv(F.substring("md5", 1, 3), 16, 10).cast("int"))
-    counts = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("s"), F.col("part").alias("p"), "before")
-    numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy("source", "part").orderBy("md5", "tie")))
-    joined = numbered.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    return joined.select("row", "source", (F.col("before") + F.col("rn") - 1).alias("rank"))
+    # plain keys in place of a null-safe join: numbering and joining then share one exchange, so rows move once
+    rows = rows.withColumn("md5", F.md5(F.coalesce("id", F.lit("")))).withColumn("part", F.conv(F.substring("md5", 1, 3), 16, 10).cast("int")).withColumn("key", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    keys = ["key", "none", "part"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    before = counts.select(*keys, F.coalesce(F.sum("n").over(Window.partitionBy("key", "none").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("md5", "tie")))
+    return numbered.join(before, keys).select("row", "source", (F.col("before") + F.col("rn") - 1).alias("rank"))
 
 
 def mix(df: DataFrame, shares: DataFrame, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
