@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritape.functions.numbers import round_decimal, softmax
+from veritape.functions.text import _let as let
 from veritape.functions.text import clean_sentence, nlp_features, strip
 from veritape.operators.dedup import first_wins
 
@@ -61,7 +62,11 @@ def sentiment(logits: Column) -> Column:
 def hashed_embedding(c: Column, width: int = 64) -> Column:
     """A unit vector of signed word hashes: equal texts are near, nothing more. For tests and runs without an embedder."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1))
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.when(F.pmod(x, F.lit(width)) == i, F.when(F.shiftright(x, 33) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(slots, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(slots, lambda x: F.try_divide(x, norm).cast("float"))
+
+    def slots(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.when(F.pmod(x, F.lit(width)) == i, F.when(F.shiftright(x, 33) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
+
+    def unit(v: Column) -> Column:
+        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(v, lambda x: F.try_divide(x, norm).cast("float")))
+
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), slots), unit)

@@ -18,7 +18,7 @@ from veritape.functions import quarters as Q
 from veritape.functions import text as T
 from veritape.functions import vocab as V
 from veritape.models import model_claims, probability
-from veritape.operators import asof, claims, classifier, dataset, dedup, facts, fuzzy, payload, retrieval, risk, timeseries, verify
+from veritape.operators import asof, claims, classifier, dataset, dedup, embedder, facts, fuzzy, payload, retrieval, risk, timeseries, verify
 from veritape.operators.numbering import dense_numbers
 from veritape.operators.vector_index import VectorIndex, bounded_sample, recall, temporary_path
 from veritape.schemas import TABLES
@@ -589,6 +589,23 @@ def classifier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.evaluate(classifier_scores(spark, sf_dir))
 
 
+SQL_TERMS = r"(SELECT doc_id, CAST('0x' || substr(md5(w), 1, 7) AS INTEGER) % 8192 AS bucket FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS w FROM documents))"
+
+
+@query(f"SELECT bucket, df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 9) AS idf FROM (SELECT bucket, count(DISTINCT doc_id) AS df FROM {SQL_TERMS} GROUP BY bucket)")
+def term_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-7: in how many documents each bucket of words occurs, and its weight"""
+    d = table(spark, sf_dir, "documents")
+    return embedder.text_counts(d).select("bucket", "df", F.round(embedder.inverse_frequency(F.col("df"), d.count()), 9).alias("idf"))
+
+
+@query()
+def learned_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-7: the embedder trained on all documents, and their vectors (the tests recompute vectors in SQL from the stored weights)"""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", embedder.fit(d).embed()(F.col("text")).alias("embedding"))
+
+
 @query()
 def model_claim_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-2, ML-3, FLT-9, FLT-10, X-4, MTH-12, with the lexical stand-in; held against brute force in the tests."""
