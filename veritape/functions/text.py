@@ -41,9 +41,14 @@ def clean_lines(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: (F.length(strip(x)) > 3) & ~strip(x).rlike(V.LINE_NOISE)), "\n")
 
 
+def plain_breaks(c: Column) -> Column:
+    """The parts of a text that end with ``.``, ``!`` or ``?`` and white space."""
+    return F.split(F.regexp_replace(c, f"([.!?])[{V.SPACE}]+", "$1\u0001"), "\u0001")
+
+
 def sentences(c: Column) -> Column:
-    """Split after ``.``, ``!`` or ``?`` and white space. A deterministic stand-in for a trained sentence model."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, f"([.!?])[{V.SPACE}]+", "$1\u0001"), "\u0001"), clean_sentence), lambda x: x != "")
+    """Split after ``.``, ``!`` or ``?`` and white space. A deterministic rule; ``operators/sentence_model.py`` learns where it is wrong."""
+    return F.filter(F.transform(plain_breaks(c), clean_sentence), lambda x: x != "")
 
 
 def is_valid_sentence(c: Column) -> Column:

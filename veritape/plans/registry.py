@@ -18,7 +18,7 @@ from veritape.functions import quarters as Q
 from veritape.functions import text as T
 from veritape.functions import vocab as V
 from veritape.models import model_claims, probability
-from veritape.operators import asof, claims, classifier, dataset, dedup, embedder, facts, fuzzy, payload, retrieval, risk, timeseries, verify
+from veritape.operators import asof, claims, classifier, dataset, dedup, embedder, facts, fuzzy, payload, retrieval, risk, sentence_model, timeseries, verify
 from veritape.operators.numbering import dense_numbers
 from veritape.operators.vector_index import VectorIndex, bounded_sample, recall, temporary_path
 from veritape.schemas import TABLES
@@ -409,6 +409,63 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+#: Abbreviations, which the tables' own texts lack: some words written as such.
+_SHORTENED = {" the ": " approx. ", " of ": " e.g. ", " der ": " bzw. ", " de ": " Mr. ", " by ": " Inc. "}
+SQL_SHORTENED = "text"
+for _w, _x in _SHORTENED.items():
+    SQL_SHORTENED = f"replace({SQL_SHORTENED}, '{_w}', '{_x}')"
+SQL_WORDS = rf"""(SELECT doc_id, i, t, lower(regexp_replace(t, '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}.]+$', '', 'g')) AS w FROM (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM
+ (SELECT doc_id, list_filter(regexp_split_to_array({SQL_SHORTENED}, '[{V.SPACE}]+'), x -> x <> '') AS ts FROM documents)))"""
+SQL_ABBREVIATIONS = rf"""(SELECT word, n_with, n_without, (n_with + n_without) / n_all AS share, CASE WHEN dots < n_all THEN -2 * (n_with * ln(dots / n_all / 0.99) + n_without * ln((1 - dots / n_all) / 0.01)) * exp(-(length(word) - inside)) * (inside + 1) * pow(length(word) - inside, -n_without) ELSE 0 END AS score FROM
+ (SELECT *, length(word) - length(replace(word, '.', '')) AS inside, sum(n_with) OVER ()::DOUBLE AS dots, sum(n_with + n_without) OVER ()::DOUBLE AS n_all FROM
+ (SELECT regexp_replace(w, '\.+$', '') AS word, count(*) FILTER (ends_with(w, '.')) AS n_with, count(*) FILTER (NOT ends_with(w, '.')) AS n_without FROM {SQL_WORDS} WHERE regexp_matches(w, '\p{{L}}') GROUP BY 1)) WHERE n_with > 0)"""
+SQL_SHORT = f"(SELECT word FROM {SQL_ABBREVIATIONS} WHERE score >= 0.3 AND share >= 1 / 50000.0)"
+SQL_STARTS = rf"""(WITH words AS MATERIALIZED (SELECT * FROM {SQL_WORDS}), short AS MATERIALIZED (SELECT * FROM {SQL_SHORT}),
+ pairs AS (SELECT regexp_replace(w, '\.+$', '') AS word, regexp_matches(pt, '[.!?]$') AND NOT (ends_with(pw, '.') AND (length(pb) < 2 OR NOT regexp_matches(pb, '\p{{L}}') OR pb IN (SELECT word FROM short))) AS sure FROM (SELECT *, regexp_replace(pw, '\.+$', '') AS pb FROM (SELECT w, lag(t) OVER o AS pt, lag(w) OVER o AS pw FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i))) WHERE pt IS NOT NULL),
+ counts AS (SELECT word, count(*) FILTER (sure)::DOUBLE AS a, count(*)::DOUBLE AS n, sum(count(*) FILTER (sure)) OVER ()::DOUBLE AS e, sum(count(*)) OVER ()::DOUBLE AS m FROM pairs GROUP BY word),
+ ll AS (SELECT *, (n - a) AS b, m - e AS r, n / m AS p, a / e AS p1, (n - a) / (m - e) AS p2 FROM counts WHERE a > 0 AND regexp_matches(word, '\p{{L}}'))
+ SELECT word, CAST(a AS BIGINT) AS n_start, CAST(n AS BIGINT) AS n, n / m AS share,
+ 2 * (a * ln(p1) + CASE WHEN e > a THEN (e - a) * ln(1 - p1) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(p2) ELSE 0 END + CASE WHEN r > b THEN (r - b) * ln(1 - p2) ELSE 0 END - (a * ln(p) + CASE WHEN e > a THEN (e - a) * ln(1 - p) ELSE 0 END) - (CASE WHEN b > 0 THEN b * ln(p) ELSE 0 END + CASE WHEN r > b THEN (r - b) * ln(1 - p) ELSE 0 END)) AS score FROM ll WHERE p1 > p2)"""
+
+
+def _shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    for w, x in _SHORTENED.items():
+        text = F.replace(text, F.lit(w), F.lit(x))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"SELECT word, n_with, n_without, round(score, 6) + 0 AS score FROM {SQL_ABBREVIATIONS}")
+def abbreviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-5: how likely each word that bears a period is an abbreviation"""
+    counts = sentence_model.word_counts(_shortened(spark, sf_dir))
+    return sentence_model.abbreviation_scores(counts).select("word", "n_with", "n_without", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT word, n_start, n, round(score, 6) AS score FROM {SQL_STARTS} WHERE score >= 30 AND share >= 1 / 50000.0")
+def sentence_starters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-5: words that start sentences"""
+    docs = _shortened(spark, sf_dir)
+    found = sentence_model.start_scores(sentence_model.start_counts(docs, sentence_model.fit(docs).abbreviations))
+    return found.where((F.col("score") >= sentence_model.LEAST_START) & (F.col("share") >= sentence_model.LEAST_SHARE)).select("word", "n_start", "n", F.round("score", 6).alias("score"))
+
+
+@query(
+    rf"""WITH short AS MATERIALIZED (SELECT list(word) AS ws FROM {SQL_SHORT}), starts AS MATERIALIZED (SELECT list(word) AS ws FROM {SQL_STARTS} WHERE score >= 30 AND share >= 1 / 50000.0),
+ parts AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace({SQL_SHORTENED}, '([.!?])[{V.SPACE}]+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents)),
+ marked AS (SELECT *, lower(regexp_replace(regexp_extract(before, '([^{V.SPACE}]+)$', 1), '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}.]+$', '', 'g')) AS w, regexp_extract(p, '^([^{V.SPACE}]+)', 1) AS f FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM parts)),
+ judged AS (SELECT *, i > 1 AND ends_with(w, '.') AND (list_contains(short.ws, regexp_replace(w, '\.+$', '')) OR regexp_matches(regexp_replace(w, '\.+$', ''), '^\p{{L}}$'))
+  AND NOT (regexp_matches(f, '^[^\p{{L}}\p{{Nd}}]*\p{{Lu}}') AND list_contains(starts.ws, regexp_replace(lower(regexp_replace(f, '^[^\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}.]+$', '', 'g')), '\.+$', ''))) AS glued FROM marked, short, starts),
+ numbered AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM judged)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS pos, sentence FROM (SELECT doc_id, g, {sql_clean("string_agg(p, ' ' ORDER BY i)")} AS sentence FROM numbered GROUP BY doc_id, g) WHERE sentence <> ''"""
+)
+def sentence_model_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-5: sentences by the model learned from the same texts"""
+    docs = _shortened(spark, sf_dir)
+    found = docs.select("doc_id", F.posexplode(sentence_model.fit(docs).sentences(F.col("text"))).alias("pos", "sentence"))
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 #: Line ends and white space of many kinds, which the tables' own texts lack.
 _ODD_LINES = "\f 12 34 \f kept by form feed\u0085ab\u2028\u00a0\u2003xy\u00a0\u2029no-break\u00a0space \v(1.5)\u2003%\x1c \u0661\u0662\u0663 | 4\x1dlast line"
 
