@@ -77,3 +77,16 @@ def test_nothing_to_learn(spark):
     model = sentence_model.fit(few)
     assert model.abbreviations == []
     assert few.select(model.sentences(F.col("text")).alias("s")).where("s is not null").collect()[0].s == ["No period here"]
+
+
+def test_analysis_takes_the_model(spark, learned):
+    """A claim with an abbreviation stays whole in the analysis, where the plain rule cuts it."""
+    from veritape.plans import analysis
+    from veritape.schemas import FACTS
+
+    docs = spark.createDataFrame([("acme", "2024-Q1", "Revenue growth of Acme Inc. increased by approx. 12% on strong demand this quarter.")], "company string, quarter string, raw_text string")
+    facts = spark.createDataFrame([], FACTS)
+    whole = [r.sentence for r in analysis.plan(docs, facts, split=learned[0].sentences).sentences.collect()]
+    parts = [r.sentence for r in analysis.plan(docs, facts).sentences.collect()]
+    assert whole == ["Revenue growth of Acme Inc. increased by approx. 12% on strong demand this quarter."]
+    assert len(parts) > 1

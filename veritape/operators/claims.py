@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from veritape.functions import text as T
 from veritape.operators.dedup import first_wins
 
 
-def explode_sentences(docs: DataFrame, text_col: str = "raw_text", order: list[str] | None = None) -> DataFrame:
-    """One row per valid sentence with its position ``pos``, first of equal ones kept by (order, pos). weight and filename go."""
+def explode_sentences(docs: DataFrame, text_col: str = "raw_text", order: list[str] | None = None, split: Callable[[Column], Column] = T.sentences) -> DataFrame:
+    """One row per valid sentence of ``split`` with its position ``pos``, first of equal ones kept by (order, pos). weight and filename go."""
     keep = [c for c in docs.columns if c not in (text_col, "weight", "filename")]
-    each = docs.select(*keep, F.posexplode(T.sentences(F.col(text_col))).alias("pos", "sentence")).where(T.is_valid_sentence(F.col("sentence")))
+    each = docs.select(*keep, F.posexplode(split(F.col(text_col))).alias("pos", "sentence")).where(T.is_valid_sentence(F.col("sentence")))
     return first_wins(each, ["company", "sentence"] if "company" in keep else ["sentence"], [F.asc(c) for c in order or []] + [F.asc("pos")])
 
 

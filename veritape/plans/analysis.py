@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veritape.functions.numbers import verdict_label
 from veritape.functions.text import display_name, parse_answer
+from veritape.functions.text import sentences as text_sentences
 from veritape.models import hashed_embedding, lexical_logits, model_claims
 from veritape.operators.claims import attributes, explode_sentences, rule_claims
 from veritape.operators.dedup import first_nonempty
@@ -42,13 +43,14 @@ class Analysis:
     claims: DataFrame
 
 
-def plan(docs: DataFrame, facts: DataFrame, logits: Callable[[Column], Column] = lexical_logits, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Analysis:
+def plan(docs: DataFrame, facts: DataFrame, logits: Callable[[Column], Column] = lexical_logits, keep: Callable[[DataFrame], DataFrame] = lambda df: df, split: Callable[[Column], Column] = text_sentences) -> Analysis:
     """``docs`` and ``facts`` of any number of companies. The model's claims are used for a company if it has any, else the rules'.
 
+    ``split`` turns a text into its sentences: the plain rule, or the ``sentences`` of a learned model.
     ``keep`` is applied to each frame that several later ones read; a run that writes them all passes :func:`cut`.
     """
     order = ["company", "folder", "quarter", "pos"] if "folder" in docs.columns else ["company", "quarter", "pos"]
-    sentences = keep(explode_sentences(docs, order=[c for c in order if c != "pos"]))
+    sentences = keep(explode_sentences(docs, order=[c for c in order if c != "pos"], split=split))
     found = model_claims(sentences, logits, order, scope=["company"]).select("company", "quarter", "sentence", *[c for c in order if c not in ("company", "quarter")])
     ruled = rule_claims(sentences, order=order, scope=["company"]).select(*found.columns)
     claims = first_nonempty([found, ruled], ["company"])
@@ -61,10 +63,10 @@ def plan(docs: DataFrame, facts: DataFrame, logits: Callable[[Column], Column] =
     return Analysis(sentences, attrs, series, checked, aggregate_risk(checked), checked.unionByName(plain, allowMissingColumns=True))
 
 
-def run(spark: SparkSession, root: str, store: Store, company: str | list[str] | None = None, logits: Callable[[Column], Column] = lexical_logits, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None, extract_pdf: Callable[[bytes], list[str]] | None = None, facts: Callable[..., DataFrame] | None = filings) -> Analysis:
+def run(spark: SparkSession, root: str, store: Store, company: str | list[str] | None = None, logits: Callable[[Column], Column] = lexical_logits, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None, extract_pdf: Callable[[bytes], list[str]] | None = None, facts: Callable[..., DataFrame] | None = filings, split: Callable[[Column], Column] = text_sentences) -> Analysis:
     """Read the tree, analyse, and write every table in one transaction. ``answer`` turns a context text into a model's answer text; without ``facts`` claims stay unverified."""
     docs = transcripts(spark, root, extract_pdf, company)
-    a = plan(docs, facts(spark, root, company) if facts else spark.createDataFrame([], FACTS), logits, cut)
+    a = plan(docs, facts(spark, root, company) if facts else spark.createDataFrame([], FACTS), logits, cut, split)
     folders = docs.select(F.col("company").alias("folder_name")).distinct()
     store.upsert_companies(folders.select("folder_name", F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.expr("unix_micros(current_timestamp())").alias("seq")))
     store.transact(lambda tx: _save(tx, a, folders, embed, answer))
