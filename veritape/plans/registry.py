@@ -24,6 +24,7 @@ from veritape.operators.vector_index import VectorIndex, bounded_sample, recall,
 from veritape.schemas import TABLES
 from veritape.session import shared_dir, table
 from veritape.sinks import Store, upsert_companies, vector_rows
+from veritape.sources.xbrl import raw_facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,6 +195,25 @@ def fact_priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.pick_by_priority(t, ["l_suppkey", "metric"], "priority", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]).select("l_suppkey", "metric", "tag", F.col("priority").cast("bigint").alias("priority"), "l_extendedprice")
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, tag, ref, unit, value, CASE WHEN NOT is_instant THEN day END AS start, CASE WHEN NOT is_instant THEN strftime(l_shipdate + INTERVAL 90 DAY, '%Y-%m-%d') END AS "end", CASE WHEN is_instant THEN day END AS instant
+ FROM (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS day, ref LIKE 'I%' AS is_instant FROM (
+ SELECT *, 'Income' AS tag, 'D' || l_linenumber AS ref, 'INR' AS unit, l_extendedprice AS value FROM lineitem
+ UNION ALL SELECT *, 'Expenses', 'I' || l_linenumber, NULL, l_quantity FROM lineitem)) WHERE (l_orderkey + l_linenumber) % 11 <> 5"""
+)
+def filing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-6, SRC-7, JN-5, XML-1: a filing a line, parsed; contexts stand before and after their facts, and each eleventh filing breaks at its end"""
+    li = table(spark, sf_dir, "lineitem")
+    date = lambda name, days: F.concat(F.lit(f"<i:{name}>"), F.date_format(F.date_add("l_shipdate", days), "yyyy-MM-dd"), F.lit(f"</i:{name}>"))
+    context = lambda kind, *dates: F.concat(F.lit(f'<i:context id="{kind}'), F.col("l_linenumber").cast("string"), F.lit('"><i:period>'), *dates, F.lit("</i:period></i:context>"))
+    fact = lambda tag, kind, unit, c: F.concat(F.lit(f'<e:{tag} {unit} contextRef="{kind}'), F.col("l_linenumber").cast("string"), F.lit('">'), F.col(c).cast("string"), F.lit(f"</e:{tag}>"))
+    span, instant = context("D", date("startDate", 0), date("endDate", 90)), context("I", date("instant", 0))
+    last = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 11 == 5, "</x").otherwise("</x>")
+    text = F.concat(F.lit('<x xmlns:i="http://www.xbrl.org/2003/instance" xmlns:e="http://example.org">'), span, fact("Income", "D", 'unitRef="INR"', "l_extendedprice"), fact("Expenses", "I", "", "l_quantity"), instant, last)
+    raw = raw_facts(li.select("l_orderkey", "l_linenumber", text.cast("binary").alias("content")), ("l_orderkey", "l_linenumber"))
+    return raw.select("l_orderkey", "l_linenumber", T.local_name(F.col("tag")).alias("tag"), F.col("context_ref").alias("ref"), F.col("unit_ref").alias("unit"), N.number(F.col("text")).alias("value"), "start", "end", "instant")
+
+
 @query("SELECT l_partkey, l_returnflag, l_quantity, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_returnflag, l_quantity ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def fact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-1, SRT-2"""
