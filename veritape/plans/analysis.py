@@ -63,17 +63,17 @@ def plan(docs: DataFrame, facts: DataFrame, logits: Callable[[Column], Column] =
     return Analysis(sentences, attrs, series, checked, aggregate_risk(checked), checked.unionByName(plain, allowMissingColumns=True))
 
 
-def run(spark: SparkSession, root: str, store: Store, company: str | list[str] | None = None, logits: Callable[[Column], Column] = lexical_logits, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None, extract_pdf: Callable[[bytes], list[str]] | None = None, facts: Callable[..., DataFrame] | None = filings, split: Callable[[Column], Column] = text_sentences) -> Analysis:
-    """Read the tree, analyse, and write every table in one transaction. ``answer`` turns a context text into a model's answer text; without ``facts`` claims stay unverified."""
+def run(spark: SparkSession, root: str, store: Store, company: str | list[str] | None = None, logits: Callable[[Column], Column] = lexical_logits, embed: Callable[[Column], Column] = hashed_embedding, answer: Callable[[Column], Column] | None = None, extract_pdf: Callable[[bytes], list[str]] | None = None, facts: Callable[..., DataFrame] | None = filings, split: Callable[[Column], Column] = text_sentences, renew: bool = False) -> Analysis:
+    """Read the tree, analyse, and write every table in one transaction. Vectors that a company has stay, unless ``renew``. ``answer`` turns a context text into a model's answer text; without ``facts`` claims stay unverified."""
     docs = transcripts(spark, root, extract_pdf, company)
     a = plan(docs, facts(spark, root, company) if facts else spark.createDataFrame([], FACTS), logits, cut, split)
     folders = docs.select(F.col("company").alias("folder_name")).distinct()
     store.upsert_companies(folders.select("folder_name", F.lit("processing").alias("status"), F.lit(None).cast("string").alias("error_msg"), F.expr("unix_micros(current_timestamp())").alias("seq")))
-    store.transact(lambda tx: _save(tx, a, folders, embed, answer))
+    store.transact(lambda tx: _save(tx, a, folders, embed, answer, renew))
     return a
 
 
-def _save(tx: Transaction, a: Analysis, folders: DataFrame, embed: Callable[[Column], Column], answer: Callable[[Column], Column] | None) -> None:
+def _save(tx: Transaction, a: Analysis, folders: DataFrame, embed: Callable[[Column], Column], answer: Callable[[Column], Column] | None, renew: bool = False) -> None:
     """All tables of one run, as changes of ``tx``: they are seen together with the status ready, or not at all."""
     ids = cut(tx.read("companies").select(F.col("id").alias("company_id"), F.col("folder_name").alias("company")).join(folders.withColumnRenamed("folder_name", "company"), "company", "left_semi"), "ids")
     keyed = lambda df: df.join(ids, "company")
@@ -85,7 +85,10 @@ def _save(tx: Transaction, a: Analysis, folders: DataFrame, embed: Callable[[Col
         typed = [F.col(x.split()[0]).cast(x.split()[1]) for x in TABLES[name][0].split(", ")]
         tx.replace_company_rows(name, rows.select(*typed), companies=ids)
     order = [c for c in ("folder", "quarter", "pos") if c in a.sentences.columns]
-    tx.append_vectors(a.sentences, embed(F.col("sentence")), order)
+    if renew:
+        tx.renew_vectors(a.sentences, embed(F.col("sentence")), order, folders.withColumnRenamed("folder_name", "company"))
+    else:
+        tx.append_vectors(a.sentences, embed(F.col("sentence")), order)
     names = a.sentences.select("company").distinct().withColumn("name", display_name(F.col("company"), strict=False))
     explained = explain(tx.vectors(), names, embed, answer).drop("answered")
     payload = assemble(a.series, a.risk, _typed_claims(a.claims), explained, ["quarter", "sentence", "metric"], attributes=a.attributes)

@@ -50,8 +50,8 @@ KEEP_S = 3600  # parts of no version are younger than this while their writer ma
 class Snapshot:
     """One version of all tables."""
 
-    def __init__(self, store: Store, version: int, tables: dict[str, list[dict]], index: dict | None):
-        self.store, self.version, self.tables, self.index = store, version, tables, index
+    def __init__(self, store: Store, version: int, tables: dict[str, list[dict]], index: dict | None, streams: dict[str, int] | None = None):
+        self.store, self.version, self.tables, self.index, self.streams = store, version, tables, index, streams or {}
 
     def parts(self, name: str) -> list[dict]:
         return self.tables.get(name, [])
@@ -76,13 +76,22 @@ class Snapshot:
         numbered = lambda frames: reduce(DataFrame.unionByName, [f.withColumn("__part", F.lit(i)) for i, f in enumerate(frames)])
         rows = numbered([self._rows(name, p) for p in parts])
         if kind == APPEND:
-            return rows.drop("__part"), None
+            return self._renewed(rows, parts)
         if kind == UPSERT:
             order = ["seq", "__part"] if "seq" in rows.columns else ["__part"]
             return last_wins(rows, TABLES[name][1], order).drop("__part"), None
         newest = numbered(covers).groupBy("company_id").agg(F.max("__part").alias("__part"))
         return rows.join(newest, ["company_id", "__part"]).select(*[c for c in rows.columns if c != "__part"]), newest.select("company_id")
 
+    def _renewed(self, rows: DataFrame, parts: list[dict]) -> tuple[DataFrame, DataFrame | None]:
+        """Vectors (with ``__part``) but those of companies that a later part renewed, and the renewed companies, if any."""
+        covers = [self.store.spark.read.schema("company string").parquet(f"{self.store.root}/{p['covers']}").withColumn("__from", F.lit(i)) for i, p in enumerate(parts) if "covers" in p]
+        if not covers:
+            return rows.drop("__part"), None
+        last = reduce(DataFrame.unionByName, covers).groupBy("company").agg(F.max("__from").alias("__from"))
+        kept = rows.withColumn("company", F.col("metadata")["company"]).join(last, "company", "left").where("__from is null or __part >= __from")
+        return kept.select(*[c for c in rows.columns if c != "__part"]), last.select("company")
+
     # ---- what the services read -----------------------------------------------------------------
 
     def company(self, folder: str) -> DataFrame:
@@ -102,11 +111,12 @@ class Snapshot:
         return self.read("vectors").withColumn("company", F.col("metadata")["company"])
 
     def nearest(self, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-        """The ``k`` nearest vectors with ``distance``, filtered first: from the index, and by a scan of what came after it."""
-        if self.index is None:
+        """The ``k`` nearest vectors with ``distance``, filtered first: from the index, and by a scan of what came after it.
+        If some of that renewed companies the index still holds their old vectors, and all are scanned."""
+        later = [p for p in self.parts("vectors") if p["rows"] not in self.index["parts"]] if self.index else []
+        if self.index is None or any("covers" in p for p in later):
             return top_k(self.vectors(), query, k, where)
         found = VectorIndex(self.store.spark, f"{self.store.root}/{self.index['path']}").top_k(query, k, where)
-        later = [p for p in self.parts("vectors") if p["rows"] not in self.index["parts"]]
         if not later:
             return found
         rest = self._merged("vectors", later)[0].withColumn("company", F.col("metadata")["company"])
@@ -117,7 +127,7 @@ class Transaction(Snapshot):
     """Changes on top of one version, which see each other; :meth:`Store.transact` commits them together."""
 
     def __init__(self, base: Snapshot):
-        super().__init__(base.store, base.version, {k: list(v) for k, v in base.tables.items()}, base.index)
+        super().__init__(base.store, base.version, {k: list(v) for k, v in base.tables.items()}, base.index, dict(base.streams))
         self.base, self.added, self.seen, self.written = base, {}, set(), []
 
     def parts(self, name: str) -> list[dict]:
@@ -141,15 +151,17 @@ class Transaction(Snapshot):
         self.tables.setdefault(name, []).append(part)
 
     def fold(self, name: str) -> None:
-        """If a table has many parts, its newest become one."""
+        """If a table has many parts, its newest become one. Appended parts only do if some of them renewed companies."""
         parts = self.tables.get(name, [])
-        if KINDS[name] == APPEND or len(parts) <= MAX_PARTS:
+        if len(parts) <= MAX_PARTS or (KINDS[name] == APPEND and not any("covers" in p for p in parts[1:])):
             return
         self.seen.add(name)
         at, total = len(parts) - 1, parts[-1]["bytes"]
         while at > 0 and (parts[at - 1]["bytes"] <= FOLD * total or len(parts) - at < 2):
             at -= 1
             total += parts[at]["bytes"]
+        if KINDS[name] == APPEND and self.index and any(p["rows"] in self.index["parts"] for p in parts[at:]):
+            self.index = None  # it names parts that are no more
         self.tables[name] = [*parts[:at], self._write(name, *self._merged(name, parts[at:]))]
 
     # ---- changes --------------------------------------------------------------------------------
@@ -181,6 +193,16 @@ class Transaction(Snapshot):
         self._add("vectors", rows.withColumn("embedding", F.col("embedding").cast("array<float>")))
         return self.read("vectors").count()  # from the files' footers
 
+    def renew_vectors(self, sentences: DataFrame, embed: Column, order: list[str], companies: DataFrame) -> None:
+        """Vectors of ``companies`` (company), which hold all of ``sentences``: just those of these, whatever they had. Old ones are
+        read past until the parts are folded."""
+        rows = vector_rows(sentences, embed, order)
+        self._add("vectors", rows.withColumn("embedding", F.col("embedding").cast("array<float>")), companies.select("company").distinct())
+
+    def note_batch(self, stream: str, batch: int) -> None:
+        """``batch`` of a stream, and all before it, are part of this version."""
+        self.streams[stream] = max(batch, self.streams.get(stream, -1))
+
     def index_vectors(self, **settings: Any) -> None:
         """A new index over all vectors of now; later ones are scanned until the next."""
         self.index = {"path": f"data/index/{uuid.uuid4().hex}", "parts": [p["rows"] for p in self.parts("vectors")]}
@@ -242,14 +264,14 @@ class Store:
     def at(self, version: int) -> Snapshot:
         """The tables as of ``version``; 0 is the empty store."""
         if version == 0:
-            return Snapshot(self, 0, {}, None)
+            return Snapshot(self, 0, {}, None, {})
         fs, p = self._path(f"log/{version:020}.json")
         stream = fs.open(p)
         try:
             found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Snapshot(self, version, found["tables"], found["index"])
+        return Snapshot(self, version, found["tables"], found["index"], found.get("streams"))
 
     def latest(self) -> Snapshot:
         return self.at(max(self.versions(), default=0))
@@ -262,7 +284,7 @@ class Store:
                 result = work(tx)
                 for name in list(tx.added):
                     tx.fold(name)
-                if tx.tables == tx.base.tables and tx.index == tx.base.index:
+                if (tx.tables, tx.index, tx.streams) == (tx.base.tables, tx.base.index, tx.base.streams):
                     return result
                 if self._commit(tx):
                     return result
@@ -276,11 +298,12 @@ class Store:
         base = tx.base
         for _ in range(ATTEMPTS):
             changed = {k for k in {*base.tables, *tx.base.tables} if base.tables.get(k, []) != tx.base.tables.get(k, [])}
-            if changed & tx.seen or (base.index != tx.base.index and tx.index != tx.base.index):
+            if changed & tx.seen or (base.streams != tx.base.streams and tx.streams != tx.base.streams) or (base.index != tx.base.index and tx.index != tx.base.index):
                 return False
             tables = {k: [*base.tables.get(k, []), *tx.added.get(k, [])] if k in changed else tx.tables.get(k, []) for k in {*base.tables, *tx.tables}}
             index = base.index if tx.index == tx.base.index else tx.index
-            if self._put(f"log/{base.version + 1:020}.json", json.dumps({"at": time.time(), "tables": tables, "index": index}, sort_keys=True)):
+            streams = base.streams if tx.streams == tx.base.streams else tx.streams
+            if self._put(f"log/{base.version + 1:020}.json", json.dumps({"at": time.time(), "tables": tables, "index": index, "streams": streams}, sort_keys=True)):
                 return True
             base = self.latest()
         return False
@@ -296,7 +319,7 @@ class Store:
         def work(tx: Transaction) -> None:
             old = self.at(version)
             tx.seen |= {*tx.tables, *old.tables}
-            tx.tables, tx.index = {k: list(v) for k, v in old.tables.items()} | {k: [] for k in tx.tables if k not in old.tables}, old.index
+            tx.tables, tx.index, tx.streams = {k: list(v) for k, v in old.tables.items()} | {k: [] for k in tx.tables if k not in old.tables}, old.index, dict(old.streams)
 
         self.transact(work)
 
