@@ -90,3 +90,26 @@ def test_analysis_takes_the_model(spark, learned):
     parts = [r.sentence for r in analysis.plan(docs, facts).sentences.collect()]
     assert whole == ["Revenue growth of Acme Inc. increased by approx. 12% on strong demand this quarter."]
     assert len(parts) > 1
+
+
+def test_long_tokens_and_counts_of_starts(spark):
+    """A long token costs its length, not its square; counts from different tokens are those of a walk over all tokens."""
+    import re
+    import time
+
+    texts = ["a" * 300_000 + " is. The end", "Mr. A. b! Then? . x\u0001y. The", " \n ", None, "The The. the", "... End. the e.g. The ! "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = sentence_model.SentenceModel(["mr"], ["the"])
+    began = time.perf_counter()
+    assert [r.n for r in df.select(F.size(model.sentences(F.col("text"))).alias("n")).limit(1).collect()] == [2]
+    assert time.perf_counter() - began < 30
+    want = {}
+    for t in texts:
+        tokens = [x for x in re.split(r"[\s\x1c-\x1f]+", t or "") if x]
+        words = [re.sub(r"^[^\w]+|[^\w.]+$", "", x).lower() for x in tokens]
+        for i in range(1, len(tokens)):
+            before = words[i - 1].rstrip(".")
+            sure = tokens[i - 1][-1] in ".!?" and not (words[i - 1].endswith(".") and (len(before) < 2 or before == "mr"))
+            at = want.setdefault(words[i].rstrip("."), [0, 0])
+            at[0], at[1] = at[0] + sure, at[1] + 1
+    assert {r.word: [r.n_start, r.n] for r in sentence_model.start_counts(df, ["mr"]).collect()} == want

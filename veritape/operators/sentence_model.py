@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritape.functions import vocab as V
+from veritape.functions.text import _let as let
 from veritape.functions.text import clean_sentence, plain_breaks
+from veritape.session import cut, drop_cut
 
 LEAST_SHARE = 1 / 50_000
 LEAST_SCORE = 0.3  # of an abbreviation; with the next, values of the paper
@@ -39,15 +41,25 @@ def bare(w: Column) -> Column:
     return F.regexp_replace(w, r"\.+$", "")
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{V.SPACE}]+"), lambda t: t != "")
+def last_token(part: Column) -> Column:
+    """What follows the last white space; a search for a token at the end would try each token before it."""
+    return F.regexp_replace(part, f"(?s)^.*[{V.SPACE}]", "")
 
 
-def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n_with, n_without: how often each word that has a letter stands with and without a period at its end."""
-    each = texts.select(F.explode(F.transform(_tokens(F.col(f"`{text_col}`")), word)).alias("w")).where(F.col("w").rlike(r"\p{L}"))
-    dot = F.col("w").endswith(".").cast("long")
-    return each.groupBy(bare(F.col("w")).alias("word")).agg(F.sum(dot).alias("n_with"), F.sum(1 - dot).alias("n_without"))
+def first_token(part: Column) -> Column:
+    return F.regexp_extract(part, f"^([^{V.SPACE}]+)", 1)
+
+
+def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """token, n: how often each different token stands in the texts."""
+    return texts.select(F.explode(F.split(F.col(f"`{text_col}`"), f"[{V.SPACE}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def word_counts(texts: DataFrame, text_col: str = "text", tokens: DataFrame | None = None) -> DataFrame:
+    """word, n_with, n_without: how often each word that has a letter stands with and without a period at its end. ``tokens``: the texts' :func:`token_counts`, if they are there."""
+    each = (token_counts(texts, text_col) if tokens is None else tokens).select(word(F.col("token")).alias("w"), "n").where(F.col("w").rlike(r"\p{L}"))
+    dot = F.col("w").endswith(".")
+    return each.groupBy(bare(F.col("w")).alias("word")).agg(F.sum(F.when(dot, F.col("n")).otherwise(0)).alias("n_with"), F.sum(F.when(dot, 0).otherwise(F.col("n"))).alias("n_without"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -62,14 +74,22 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
     return counts.where("n_with > 0").crossJoin(F.broadcast(totals)).select("word", "n_with", "n_without", ((n + m) / F.col("__all")).alias("share"), score.alias("score"))  # totals are one row
 
 
-def start_counts(texts: DataFrame, abbreviations: list[str], text_col: str = "text") -> DataFrame:
-    """word, n_start, n: how often each word follows a sure sentence end, and how often it follows anything."""
-    words = F.transform(_tokens(F.col(f"`{text_col}`")), lambda t: F.struct(word(t).alias("w"), t.rlike(r"[.!?]$").alias("ends")))
-    pairs = F.transform(F.array(words), lambda a: F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.struct(x.alias("x"), y.w.alias("w"))))[0]
-    each = texts.select(F.explode(pairs).alias("p")).select("p.x", bare(F.col("p.w")).alias("word")).where("word is not null")
-    before = bare(F.col("x.w"))
-    sure = F.col("x.ends") & ~(F.col("x.w").endswith(".") & ((F.length(before) < 2) | ~before.rlike(r"\p{L}") | before.isin(abbreviations)))
-    return each.groupBy("word").agg(F.sum(sure.cast("long")).alias("n_start"), F.count("*").alias("n"))
+def start_counts(texts: DataFrame, abbreviations: list[str], text_col: str = "text", tokens: DataFrame | None = None) -> DataFrame:
+    """word, n_start, n: how often each word follows a sure sentence end, and how often it follows anything.
+
+    A word follows something wherever it stands but first in a text, so only the breaks after ``.``, ``!`` and ``?`` are
+    looked at one by one; the rest are counts of tokens. ``tokens``: the texts' :func:`token_counts`, if they are there.
+    """
+    none = F.lit(0).cast("long")
+    parts = F.split(F.ltrim(F.col(f"`{text_col}`"), F.lit(V.SPACES)), f"(?<=[.!?])[{V.SPACE}]+")
+    # the first part follows nothing, and a last one without a token isn't there
+    pairs = let(parts, lambda a: F.transform(a, lambda y, i: F.struct(F.when(i > 0, last_token(F.get(a, i - 1))).alias("x"), first_token(y).alias("y"))))
+    breaks = texts.select(F.explode(pairs).alias("p")).select("p.x", "p.y").where("y <> ''")
+    ends = breaks.select("x", bare(word(F.col("y"))).alias("word")).withColumn("xw", word(F.col("x"))).withColumn("before", bare(F.col("xw")))
+    sure = ~(F.col("xw").endswith(".") & ((F.length("before") < 2) | ~F.col("before").rlike(r"\p{L}") | F.col("before").isin(abbreviations)))
+    starts = ends.select("word", F.coalesce(sure.cast("long"), none).alias("n_start"), F.when(F.col("x").isNull(), -1).otherwise(0).cast("long").alias("n"))
+    each = (token_counts(texts, text_col) if tokens is None else tokens).select(bare(word(F.col("token"))).alias("word"), none.alias("n_start"), "n")
+    return each.unionAll(starts).groupBy("word").agg(F.sum("n_start").alias("n_start"), F.sum("n").alias("n")).where("n > 0")
 
 
 def start_scores(counts: DataFrame) -> DataFrame:
@@ -96,11 +116,9 @@ class SentenceModel:
         """The cleaned sentences of a text."""
 
         def glued(left: Column, right: Column) -> Column:
-            w = word(F.regexp_extract(left, f"([^{V.SPACE}]+)$", 1))
-            first = F.regexp_extract(right, f"^([^{V.SPACE}]+)", 1)
-            short = w.endswith(".") & (bare(w).isin(self.abbreviations) | bare(w).rlike(r"^\p{L}$"))
-            capital = first.rlike(r"^[^\p{L}\p{Nd}]*\p{Lu}")
-            return short & ~(capital & bare(word(first)).isin(self.starters))
+            capital = lambda first: first.rlike(r"^[^\p{L}\p{Nd}]*\p{Lu}") & bare(word(first)).isin(self.starters)
+            short = lambda w: w.endswith(".") & let(bare(w), lambda b: b.isin(self.abbreviations) | b.rlike(r"^\p{L}$"))
+            return let(word(last_token(left)), short) & ~let(first_token(right), capital)
 
         def rejoined(parts: Column) -> Column:
             later = F.zip_with(parts, F.slice(parts, 2, F.size(parts)), lambda x, y: F.when(y.isNull(), "").otherwise(F.concat(F.when(glued(x, y), " ").otherwise("\u0001"), y)))
@@ -110,9 +128,23 @@ class SentenceModel:
         return F.filter(F.transform(F.split(whole, "\u0001"), clean_sentence), lambda x: x != "")
 
 
-def fit(texts: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE) -> SentenceModel:
-    """Learn from all of ``texts``, in two passes."""
+def _abbreviations(tokens: DataFrame, least_share: float) -> list[str]:
+    known = abbreviation_scores(word_counts(tokens, tokens=tokens)).where((F.col("score") >= LEAST_SCORE) & (F.col("share") >= least_share))
+    return sorted(r.word for r in known.select("word").collect())  # at most 1 / least_share words
+
+
+def scored_starters(texts: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE) -> tuple[list[str], DataFrame, DataFrame]:
+    """The abbreviations of ``texts``, the rows of :func:`start_scores` that are learned, and the written counts that they read."""
     held = texts.select(F.col(f"`{text_col}`").alias("text"))
-    short = [r.word for r in abbreviation_scores(word_counts(held)).where((F.col("score") >= LEAST_SCORE) & (F.col("share") >= least_share)).select("word").collect()]  # at most 1 / least_share words
-    starts = [r.word for r in start_scores(start_counts(held, short)).where((F.col("score") >= LEAST_START) & (F.col("share") >= least_share)).select("word").collect()]
-    return SentenceModel(sorted(short), sorted(starts))
+    tokens = cut(token_counts(held), "tokens")
+    short = _abbreviations(tokens, least_share)
+    found = start_scores(start_counts(held, short, tokens=tokens)).where((F.col("score") >= LEAST_START) & (F.col("share") >= least_share))
+    return short, found, tokens
+
+
+def fit(texts: DataFrame, text_col: str = "text", least_share: float = LEAST_SHARE) -> SentenceModel:
+    """Learn from all of ``texts``, in two passes: different tokens are counted and written once, and breaks are judged by what these counts say."""
+    short, found, tokens = scored_starters(texts, text_col, least_share)
+    starts = [r.word for r in found.select("word").collect()]
+    drop_cut(tokens)
+    return SentenceModel(short, sorted(starts))
