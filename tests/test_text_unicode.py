@@ -58,3 +58,27 @@ def test_similar_names(spark):
         want = difflib.get_close_matches(q, words, n=1, cutoff=0.5)
         assert ([found.name] if found else []) == want, q
     assert fuzzy.lookup(spark.createDataFrame([("diet",)], "name string"), ["name"], "name", "tide").first().score == 0.5
+
+
+def test_white_space_class_for_java(spark):
+    """The class that Java's patterns get holds the same characters, also when it is negated."""
+    every = "".join(chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000)
+    df = spark.createDataFrame([(every,)], "s string")
+    kept, left = df.select(F.regexp_replace("s", f"[^{V.WHITE}]", ""), F.regexp_replace("s", f"[{V.WHITE}]", "")).first()
+    assert set(kept) == set(V.SPACES) and set(left) == set(every) - set(V.SPACES)
+
+
+def test_logits_are_computed_once_a_row(spark):
+    """Each row's logits are asked for once, by the softmax and by the filter of claims together."""
+    from veritape.models import model_claims
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def logits(_):
+        asked.add(1)
+        return [0.0, 2.0]
+
+    rows = spark.range(20).selectExpr("'c' company", "'q' quarter", "concat('sentence ', id) sentence", "id doc_id")
+    assert len(model_claims(rows, logits=logits, order=["doc_id"]).collect()) == 20
+    assert asked.value == 20

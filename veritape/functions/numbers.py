@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veritape.functions import vocab as V
+from veritape.functions.text import _let as let
 
 
 def null_if_nan(c: Column) -> Column:
@@ -92,7 +93,9 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda t, v: t + v)
-    return F.transform(e, lambda x: x / total)
+    """Shares of the exponents; the logits are computed once a row."""
+
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda t, v: t + v), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(logits, lambda held: let(let(F.array_max(held), lambda top: F.transform(held, lambda x: F.exp(x - top))), shares))

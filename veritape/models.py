@@ -38,16 +38,15 @@ def probability(logits: Column, index: int = 1) -> Column:
 
 def lexical_logits(c: Column) -> Column:
     """Two logits from word-list counts: the stand-in where no classifier is given."""
-    f = nlp_features(c)
-    score = (f.nouns + f.verbs + f.adjectives).cast("double") + F.when(f.entity, 1.0).otherwise(0.0) - 1.5
-    return F.array(F.lit(0.0), score)
+    return let(nlp_features(c), lambda f: F.array(F.lit(0.0), (f.nouns + f.verbs + f.adjectives).cast("double") + F.when(f.entity, 1.0).otherwise(0.0) - 1.5))
 
 
 def model_claims(sentences: DataFrame, logits: Callable[[Column], Column] = lexical_logits, order: list[str] | None = None, threshold: float = CLAIM_THRESHOLD, scope: list[str] | None = None) -> DataFrame:
     """company, quarter, sentence, label, confidence of the sentences whose claim probability reaches the threshold (compared before it is rounded); first of equal ones kept."""
     extra = [c for c in order or [] if c not in ("company", "quarter", "sentence")]
     rows = sentences.withColumn("sentence", clean_sentence(F.col("sentence"))).where("length(sentence) > 0")
-    scored = rows.withColumn("__p", probability(logits(F.col("sentence")))).where(F.col("__p") >= threshold)
+    reached = F.filter(F.array(probability(logits(F.col("sentence")))), lambda p: p >= threshold)  # exploded, because a filter would compute it again
+    scored = rows.select("*", F.explode(reached).alias("__p"))
     unique = first_wins(scored, [*(scope or []), strip(F.lower("sentence"))], [F.asc(c) for c in order or ["sentence"]])
     return unique.select("company", "quarter", "sentence", F.lit("CLAIM").alias("label"), round_decimal(F.col("__p"), 4).alias("confidence"), *extra)
 

@@ -43,16 +43,16 @@ def bare(w: Column) -> Column:
 
 def last_token(part: Column) -> Column:
     """What follows the last white space; a search for a token at the end would try each token before it."""
-    return F.regexp_replace(part, f"(?s)^.*[{V.SPACE}]", "")
+    return F.regexp_replace(part, f"(?s)^.*[{V.WHITE}]", "")
 
 
 def first_token(part: Column) -> Column:
-    return F.regexp_extract(part, f"^([^{V.SPACE}]+)", 1)
+    return F.regexp_extract(part, f"^([^{V.WHITE}]+)", 1)
 
 
 def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """token, n: how often each different token stands in the texts."""
-    return texts.select(F.explode(F.split(F.col(f"`{text_col}`"), f"[{V.SPACE}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    return texts.select(F.explode(F.split(F.col(f"`{text_col}`"), f"[{V.WHITE}]+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def word_counts(texts: DataFrame, text_col: str = "text", tokens: DataFrame | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def start_counts(texts: DataFrame, abbreviations: list[str], text_col: str = "te
     looked at one by one; the rest are counts of tokens. ``tokens``: the texts' :func:`token_counts`, if they are there.
     """
     none = F.lit(0).cast("long")
-    parts = F.split(F.ltrim(F.col(f"`{text_col}`"), F.lit(V.SPACES)), f"(?<=[.!?])[{V.SPACE}]+")
+    parts = F.split(F.ltrim(F.col(f"`{text_col}`"), F.lit(V.SPACES)), f"(?<=[.!?])[{V.WHITE}]+")
     # the first part follows nothing, and a last one without a token isn't there
     pairs = let(parts, lambda a: F.transform(a, lambda y, i: F.struct(F.when(i > 0, last_token(F.get(a, i - 1))).alias("x"), first_token(y).alias("y"))))
     breaks = texts.select(F.explode(pairs).alias("p")).select("p.x", "p.y").where("y <> ''")
