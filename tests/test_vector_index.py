@@ -1,5 +1,6 @@
 """The vector index against a scan."""
 
+import random
 import re
 
 import numpy as np
@@ -107,3 +108,36 @@ def test_recall_on_the_tables(spark):
 
     found = registry.QUERIES["vector_index_recall"](spark, "/root/testdata/sf0.01").agg(F.avg("recall"), F.count("*")).first()
     assert found[0] >= 0.9 and found[1] == 5
+
+
+def test_block_search_passes_on_few_rows(spark):
+    """Tasks pass on a small share of the pairs, with the distances of a scan to the last bit; odd vectors come last."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from veritape.operators.nearest import matrix, nearest
+    from veritape.operators.retrieval import batch_top_k
+
+    rng = random.Random(3)
+    made = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(made + made[:5])), "id long, embedding array<double>").coalesce(2)
+    queries = rows.where("id < 40").selectExpr("id query_id", "embedding query")
+    ids, q = matrix(queries, "query_id", "query", 8)
+    assert nearest(rows, ids, q, 3, "id", "embedding", queries.schema["query_id"].dataType).count() <= 40 * 3 * 2
+    got = {(r.query_id, r["rank"]): (r.id, r.distance) for r in batch_top_k(rows, queries, 3).collect()}
+    for query, (i, v) in zip(ids.to_pylist(), enumerate(q.tolist())):
+        scan = sorted((sum_of(v, x), n) for n, x in enumerate(made + made[:5]))[:3]
+        assert [got[query, k + 1] for k in range(3)] == [(n, d) for d, n in scan]
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [math.nan, 0.0]), (5, [math.inf, 0.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "query_id long, query array<double>")
+    found = {(r.query_id, r["rank"]): r.id for r in batch_top_k(odd, asked, 5).collect()}
+    assert [found[1, k] for k in range(1, 6)] == [1, 5, 4, 2, 3] and [found[2, k] for k in range(1, 6)] == [1, 2, 3, 4, 5]
+    assert batch_top_k(odd, asked.where(F.lit(False)), 5).count() == 0
+
+
+def sum_of(a, b):
+    total = 0.0
+    for x, y in zip(a, b):
+        total += (y - x) * (y - x)
+    return total

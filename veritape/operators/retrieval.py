@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veritape.functions.numbers import signal_class, squared_distance
 from veritape.functions.text import context_lines, is_noise
 from veritape.operators.dedup import first_wins
+from veritape.operators.nearest import matrix, nearest, usable
 from veritape.session import cut
 
 SUFFIX_EXPLAIN = "growth decline guidance margins"  # fixed values: words added to a query before it is embedded
@@ -50,7 +51,7 @@ def signal_top_k(vectors: DataFrame, query: list[float], k: int = 8, where: Colu
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query", max_queries: int = 1024) -> DataFrame:
-    """The ``k`` nearest rows for each query. Each task keeps k rows a query before anything moves.
+    """The ``k`` nearest rows for each query, rows without a distance last. Blocks are measured in the tasks; see ``operators/nearest.py``.
 
     Over ``max_queries`` queries are taken in blocks of about two thirds as many, by the hash of their id; each block's
     result is written, so that one block at a time is broadcast.
@@ -61,9 +62,24 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "i
         held = cut(queries.withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(blocks))), "queries")
         parts = [cut(batch_top_k(vectors, held.where(F.col("__block") == b).drop("__block"), k, id_col, vec_col, query_id, query_vec, n), "nearest") for b in range(blocks)]
         return reduce(DataFrame.unionAll, parts)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("__q"))
-    pairs = vectors.crossJoin(F.broadcast(q)).withColumn("distance", squared_distance(F.col(vec_col), F.col("__q"))).drop("__q")
-    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("__q"))
+    common = asked.where("__q is not null").groupBy(F.size("__q").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
+    width = common.w if common else 0
+    good, odd = usable(F.col("__q"), width) & (F.size("__q") > 0), usable(F.col(vec_col).cast("array<double>"), width)
+    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), id_col)
+
+    def plain(rows: DataFrame, some: DataFrame) -> DataFrame:
+        return rows.crossJoin(F.broadcast(some)).withColumn("distance", squared_distance(F.col(vec_col), F.col("__q"))).drop("__q")
+
+    # queries without a vector like most others' are few; they are measured pair by pair
+    pairs = plain(vectors, asked.where(~good))
+    ids, q = matrix(asked.where(good), "query_id", "__q", max(width, 1))
+    if len(ids):
+        # to such queries a row without finite components is as far as to any other, so the least k of them are enough
+        zero = F.array_repeat(F.lit(0.0), width)
+        unlike = vectors.where(~odd).withColumn("__d", squared_distance(F.col(vec_col), zero)).orderBy(F.asc_nulls_last("__d"), id_col).limit(k).drop("__d")
+        near = nearest(vectors.where(odd), ids, q, k, id_col, vec_col, asked.schema["query_id"].dataType)
+        pairs = pairs.unionByName(near).unionByName(plain(unlike, asked.where(good)))
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritape.functions.numbers import squared_distance
+from veritape.operators.nearest import matrix, nearest, usable
 from veritape.session import cut, drop_cut
 
 SAMPLE = 20_000  # rows that the centers are fitted on, at most
@@ -45,11 +47,6 @@ SLACK = 1e-9  # of a bound, for rounding
 NO_CELL = -1
 
 
-def usable(vector: Column, width: int) -> Column:
-    inner = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vector) == width) & inner, F.lit(False))
-
-
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those of least hash of ``key``: thinned by hash before they are ordered, so tasks send little more than that."""
     n = rows.count()
@@ -253,10 +250,18 @@ class VectorIndex:
         return queries.select("query_id", "query", "bound").mapInArrow(pairs, f"query_id {kind}, ivf_cell int, away double, bound double")
 
     def _ranked(self, queries: DataFrame, pairs: DataFrame, k: int, bounded: bool, keep_cell: bool) -> DataFrame:
-        near = self.rows().join(F.broadcast(pairs), "ivf_cell")  # at most PAIRS rows
-        near = near.where(F.abs(F.col("ivf_radius") - F.col("away")) <= F.col("bound")) if bounded else near
-        near = near.join(F.broadcast(queries), "query_id")
-        near = near.withColumn("distance", squared_distance(F.col(self.vec_col), F.col("query"))).drop("query", "away", "bound", "ivf_radius", *[] if keep_cell else ["ivf_cell"])
+        rows = self.rows().where("ivf_cell >= 0")
+        ids, q = matrix(queries, "query_id", "query", max(self.width, 1))
+        found = pairs.toArrow()  # at most PAIRS rows
+        place = pc.index_in(found["query_id"], value_set=ids).to_numpy()
+        cell, bound = found["ivf_cell"].to_numpy(), np.full(len(ids), np.inf)
+        if bounded:
+            bound[place] = found["bound"].to_numpy() ** 2 * (1 + SLACK)
+        sort = np.argsort(cell, kind="stable")
+        held, begin = np.unique(cell[sort], return_index=True)
+        cells = {int(c): np.unique(part) for c, part in zip(held, np.split(place[sort], begin[1:]), strict=True)} if len(held) else {}
+        near = nearest(rows.where(F.col("ivf_cell").isin(list(cells))), ids, q, k, self.id_col, self.vec_col, queries.schema["query_id"].dataType, bound, cells)
+        near = near.drop("ivf_radius", *[] if keep_cell else ["ivf_cell"])
         w = Window.partitionBy("query_id").orderBy("distance", self.id_col)
         return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
