@@ -104,3 +104,11 @@ def test_frames(spark):
     assert sorted(tuple(r) for r in got) == want
     assert xbrl.raw_facts(files.where("false"), ("n",)).count() == 0
     assert xbrl.raw_facts(files.withColumn("n", F.lit(1)), ("n",)).count() == len(want)
+
+
+def test_filings_are_dealt_to_all_cores(spark):
+    """The table's one small file doesn't leave all parsing to one task."""
+    from veritape.plans import registry
+
+    found = registry.filing_facts(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
