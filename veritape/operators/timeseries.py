@@ -18,19 +18,29 @@ def pivot_metrics(facts: DataFrame, keys: tuple[str, str] = ("company", "quarter
     return wide.select(*keys, *[F.coalesce(*[F.col(f"__{m}") for m in ms]).alias(t) for t, ms in sources.items()])
 
 
+def _timed(df: DataFrame, quarter: str) -> DataFrame:
+    """``df`` with the order of its quarters as columns: windows over equal columns share one sort, those over a computed key sort again each."""
+    key = sort_key(F.col(quarter))
+    return df.withColumns({"__y": key.y, "__q": key.q})
+
+
 def _time(company: str, quarter: str) -> Window:
-    return Window.partitionBy(company).orderBy(sort_key(F.col(quarter)), F.col(quarter))
+    return Window.partitionBy(company).orderBy("__y", "__q", quarter)
 
 
-def forward_fill(df: DataFrame, columns: list[str], company: str = "company", quarter: str = "quarter") -> DataFrame:
+def _filled(timed: DataFrame, columns: list[str], company: str, quarter: str) -> DataFrame:
     w = _time(company, quarter).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    return timed.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+
+
+def forward_fill(df: DataFrame, columns: list[str], company: str = "company", quarter: str = "quarter") -> DataFrame:
+    return _filled(_timed(df, quarter), columns, company, quarter).drop("__y", "__q")
 
 
 def features(wide: DataFrame, company: str = "company", quarter: str = "quarter", infinite: bool = False) -> DataFrame:
     """Forward-filled series with profit_margin and, per column, change to the row before and to four rows before: rows, not calendar quarters."""
     base = [c for c in V.SERIES_COLUMNS if c != "profit_margin"]
-    filled = forward_fill(wide, base, company, quarter).withColumn("profit_margin", F.try_divide("net_profit", "revenue") * 100)
+    filled = _filled(_timed(wide, quarter), base, company, quarter).withColumn("profit_margin", F.try_divide("net_profit", "revenue") * 100)
     w = _time(company, quarter)
 
     def lagged(c: str, n: int) -> Column:
@@ -41,7 +51,7 @@ def features(wide: DataFrame, company: str = "company", quarter: str = "quarter"
         new[f"{c}_qoq_change"] = pct_change(F.col(c), lagged(c, 1), infinite)
         new[f"{c}_qoq_abs_change"] = F.col(c) - lagged(c, 1)
         new[f"{c}_yoy_change"] = pct_change(F.col(c), lagged(c, 4), infinite)
-    return filled.withColumns(new)
+    return filled.withColumns(new).drop("__y", "__q")
 
 
 def present_columns(series: DataFrame, scope: list[str] | None = None) -> DataFrame:
