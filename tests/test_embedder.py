@@ -1,5 +1,6 @@
 """The trained embedder."""
 
+import collections
 import random
 
 import duckdb
@@ -104,3 +105,38 @@ def test_hashed_embedding(spark):
     got = {r.id: r.v for r in df.select("id", hashed_embedding(F.col("text")).alias("v")).collect()}
     assert np.allclose(got[1], want / np.linalg.norm(want)) and got[1] == got[2]
     assert got[3] == [None] * 64
+
+
+def test_bags_give_the_same_vectors(spark, trained):
+    df, model = trained
+    rows = embedder.bags(df, n_buckets=1024, keep=("id",))
+    assert rows.columns == ["id", "at", "times"]
+    hashed = {r.id: collections.Counter(r.at) for r in df.select("id", embedder.terms(F.col("text"), 1024).alias("at")).collect()}
+    for r in rows.collect():
+        assert r.at == sorted(r.at) and dict(zip(r.at, r.times, strict=True)) == hashed[r.id]
+    one, other = vectors(df, model.embed()), {r.id: np.array(r.embedding) for r in model.embed_bags(rows).collect()}
+    assert one.keys() == other.keys() and all((one[i] == other[i]).all() for i in one)
+
+
+def test_products_of_chunks(trained, spark, monkeypatch):
+    """The Gram product by dense chunks of rows against one of all rows, with rows that are empty or longer than a chunk."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    lists = [sorted(rng.choice(50, size=k, replace=False).tolist()) for k in (0, 3, 40, 1, 0, 12, 50, 7, 0)]
+    times = [[int(t) for t in rng.integers(1, 9, len(x))] for x in lists]
+    idf, q = rng.random(50) + 1, rng.standard_normal((50, 6))
+    x = np.zeros((len(lists), 50))
+    for i, (at, n) in enumerate(zip(lists, times)):
+        x[i, at] = (1 + np.log(n)) * idf[at]
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    for rows, chunk in ((64, 1 << 15), (2, 1 << 15), (64, 20), (1, 1)):
+        monkeypatch.setattr(embedder, "CHUNK_ROWS", rows)
+        monkeypatch.setattr(embedder, "CHUNK", chunk)
+        total, seen = np.zeros((50, 6)), []
+        for row, begins, at, value in embedder._rows(pa.array(lists, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())), idf):
+            assert len(row) <= rows and (len(at) <= chunk or len(row) == 1)
+            used, part = embedder._dense(begins, at, value, 50)
+            total[used] += part.T @ (part @ q[used])
+            seen += row.tolist()
+        assert seen == [1, 2, 3, 5, 6, 7] and np.allclose(total, x.T @ (x @ q))
