@@ -82,3 +82,32 @@ def test_logits_are_computed_once_a_row(spark):
     rows = spark.range(20).selectExpr("'c' company", "'q' quarter", "concat('sentence ', id) sentence", "id doc_id")
     assert len(model_claims(rows, logits=logits, order=["doc_id"]).collect()) == 20
     assert asked.value == 20
+
+
+def test_rules_at_once_equal_rules_one_by_one(spark):
+    """Texts are cleaned whole, keys made in one pass and words found by one pattern a list; the plain rules give the same."""
+    import random
+    import re
+
+    from veritape.functions import vocab as V
+
+    r = random.Random(5)
+    parts = [*"  \t\r\n\x0b\x1f  　\x01.!?,-©", ". ", "?\n", "abc", "Ab", "x1", "İKK", "été", "\U0001f600", "revenues", "PROFITs", "loancost", "regrew", "9grew", "spreadebtdebt", "accelerated", "www.", "two words here"]
+    texts = ["", *("".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(600))]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    c = F.col("s")
+    plain = F.filter(F.transform(T.plain_breaks(c), T.clean_sentence), lambda x: x != "")
+    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), f"[{V.WHITE}]+", " "), "[^a-z0-9 ]", " "))
+    garbage = rf"(?i)(^[{V.DIGIT}{V.SPACE}.,|\-%()$₹/:]+$|^[{V.SPACE}]*[A-Z{V.SPACE}]{{1,6}}[{V.SPACE}]*$|www\.|http|©|™|®)"
+    valid = (F.length(c) >= 20) & ~c.rlike(garbage) & (F.size(F.regexp_extract_all(c, F.lit("([a-zA-Z]{2,})"), 1)) >= 3)
+    got = df.select(F.lower(c).alias("low"), T.sentences(c), plain, T.dedup_key(c), key, T.is_valid_sentence(c), valid, T.keyword_score(c).alias("score"))
+    rows = got.collect()
+    for x in rows:
+        assert x[1] == x[2] and x[3] == x[4] and x[5] == x[6]
+        words = re.findall("[a-z]+", x.low)
+        assert x.score == sum(w in x.low for w in V.PERFORMANCE_KEYWORDS) + sum(any(y.startswith(w) for y in words) for w in V.DIRECTION_KEYWORDS)
+    assert len({x.score for x in rows}) > 4 and {True, False} == {x[5] for x in rows}
+    scored = df.select(T.keyword_score(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" not in scored.lower()  # no search of the text for each word
+    split = df.select(T.sentences(c).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert split.count("regexp_replace") == 2  # none for each sentence
