@@ -128,3 +128,29 @@ def test_contract(spark, name, columns):
     df = queries.QUERIES[name](spark, SF)
     assert df.columns[: len(columns)] == columns
     assert df.count() == spark.read.parquet(f"{SF}/{'embeddings' if name == 'op1_cover_tree' else 'documents'}.parquet").count()
+
+
+def test_steps_count_as_they_write(spark):
+    """Aggregates come with the write, those of plans that turn out to be empty too."""
+    from veritape.llm import common
+
+    rows = spark.range(1000).where("id % 3 = 0")
+    for df, n, top in ((rows, 334, 999), (rows.where("id < 0"), 0, None), (rows.join(rows.where("id > 2000").repartition(3, "id"), "id"), 0, None), (rows.groupBy("id").count(), 334, 999)):
+        out, found = common.measured_cut(df, "test", n=F.count(F.lit(1)), top=F.max("id"))
+        assert found == {"n": n, "top": top} and out.count() == n
+        assert common.rows_of(common.counted_cut(df, "test")) == n
+
+
+def test_near_duplicates_take_few_jobs(spark):
+    """The driver keeps a plan, code and history of every job, however small the table."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i * 7 : i * 7 + 60]) for i in range(40)] + [" ".join(words[i * 7 : i * 7 + 59]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sc = spark.sparkContext
+    sc.setJobGroup("near-duplicates", "counted")
+    try:
+        kept = P.near_duplicates(spark, docs, "").count()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("near-duplicates"))
+    assert kept == 40 and jobs < 190  # 216 before rows were counted as they are written, then 160

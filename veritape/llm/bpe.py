@@ -225,6 +225,8 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = _tokenizer(tokenizer_json)
     check_tokenizer(t)
     pieces = spark.sparkContext.broadcast(pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))], pa.string()))
+    del t  # tens of MB, which the driver would keep
+    release()
     shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = texts_of(df, id_col, text_col) if place_col is None else short_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{place_col}`").cast("long").alias("place"))
     size = text_bytes if text_bytes is not None else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veritape.session import cut, drop_cut  # noqa: F401
@@ -29,6 +29,33 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+def measured_cut(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut`, and aggregates over the rows that it wrote: taken as they are written, so no job reads them again for it.
+
+    Every job costs the driver a plan, its compiled code and its history, so an operator of many steps counts this way.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    found = seen.get
+    if set(measures) - set(found):  # a plan that was found to be empty as it ran observes nothing
+        found = out.agg(*[c.alias(k) for k, c in measures.items()]).first().asDict()
+    return out, {k: found[k] for k in measures}
+
+
+def counted_cut(df: DataFrame, name: str) -> DataFrame:
+    """:func:`cut` of a table that knows its number of rows: see :func:`rows_of`."""
+    out, found = measured_cut(df, name, n=F.count(F.lit(1)))
+    out._veritape_rows = found["n"]
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    """Rows of a table: without a job if :func:`counted_cut` wrote it, else counted once."""
+    if not hasattr(df, "_veritape_rows"):
+        df._veritape_rows = df.count()
+    return df._veritape_rows
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system: Spark keeps its Python workers from stage to stage."""
     pa.default_memory_pool().release_unused()
@@ -116,12 +143,10 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     the longest path. An empty table gives an empty result; self links and repeated links are ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now = cut(e, name)
+    measures = {"n": F.count(F.lit(1)), "total": F.sum(F.col("v").cast("decimal(38,0)")), "mixed": F.bit_xor(F.xxhash64("u", "v"))}
+    now, stats = measured_cut(e, name, **measures)
     before = None
-    while True:
-        stats = now.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if stats == before or stats[0] == 0:
-            break
+    while stats != before and stats["n"]:
         before = stats
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -129,7 +154,7 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low2, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low2.select("u", F.col("m").alias("v")))
-        after = cut(small.where("u <> v").distinct(), name)
+        after, stats = measured_cut(small.where("u <> v").distinct(), name, **measures)
         drop_cut(now)
         now = after
     # at the fixed point each u has one v, the root

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import connected_components, cut, drop_cut, release, short_batches
+from veritape.llm.common import connected_components, counted_cut, cut, drop_cut, measured_cut, release, rows_of, short_batches
 
 FIRST = 3  # least hashes by which near copies are found
 CLASSES = ((0.05, 2), (0.2, 3))  # tokens in over this share of all groups index in combinations of so many
@@ -148,10 +148,7 @@ def sets(rows: DataFrame, width: int, num: int, den: int, full: bool = False) ->
 
 def small(df: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it has at most ``BROADCAST_ROWS`` narrow rows; else Spark shuffles."""
-    few = getattr(df, "_few", None)
-    if few is None:  # counted once a table
-        few = df._few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if rows_of(df) <= BROADCAST_ROWS else df
 
 
 class _Scratch:
@@ -161,7 +158,7 @@ class _Scratch:
         self.held: list[DataFrame] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        self.held.append(cut(df, name))
+        self.held.append(counted_cut(df, name))
         return self.held[-1]
 
     def drop(self, frames: list[DataFrame]) -> None:
@@ -189,9 +186,10 @@ class _Join:
         self.every = put(sets(numbered, width, num, den), "sets")
         valid = self.every.where("n > 0 and doc_id is not null")
         self.nodes = cut(valid.groupBy("sig").agg(F.min(F.struct("doc_id", "uid")).alias("f")).select("sig", F.col("f.uid").alias("node"), F.col("f.doc_id").alias("doc")), "nodes")
-        copies = put(valid.select("uid", "sig", "doc_id").join(self.nodes, "sig").where("uid <> node").select("uid", (F.col("doc_id") == F.col("doc")).alias("again")), "copies")
-        self.repeats = copies.where("again").limit(1).count() > 0  # the texts of some sets are there several times
-        reps = valid.join(small(copies.select("uid")), "uid", "left_anti")
+        copies, found = measured_cut(valid.select("uid", "sig", "doc_id").join(self.nodes, "sig").where("uid <> node").select("uid", (F.col("doc_id") == F.col("doc")).alias("again")), "copies", n=F.count(F.lit(1)), again=F.max("again"))
+        copies._veritape_rows, self.repeats = found["n"], bool(found["again"])  # whether the texts of some sets are there several times
+        self.scratch.held.append(copies)
+        reps = valid.join(small(copies).select("uid"), "uid", "left_anti")
         self.reps = reps.select(F.col("uid").alias("rid"), "doc_id", "th", "n", "m", "k", "ks", "low").where(F.col("n") >= least)
 
     def apart(self) -> str:
@@ -260,7 +258,7 @@ class _Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked, least and greatest Jaccard distance of each pair, itself a written table; a written table."""
-        if not pairs.limit(1).count():
+        if not rows_of(pairs):
             return self.scratch.put(pairs.select("a", "b", F.lit(False).alias("linked"), F.lit(0.0).alias("dlo"), F.lit(1.0).alias("dhi")), "verified")
         before = list(self.scratch.held)
         bounds = self.scratch.put(self.bounds(pairs), "bounds")
@@ -378,9 +376,9 @@ class _Join:
         narrow = members.join(size.where(f"size <= {WIDE}").select("key"), "key")
         wide = put(members.join(size.where(f"size > {WIDE}").select("key"), "key", "left_semi").select("rid").distinct(), "wide")
         cross, all_links = self.across(narrow), found.unionAll(found2)
-        if wide.limit(1).count():
+        if rows_of(wide):
             own = put(sets(self.texts(wide), self.width, self.num, self.den, full=True), "full")
-            again = self.index_rows(own, comp2, wide.count())
+            again = self.index_rows(own, comp2, rows_of(wide))
             pivots2, near2 = self.star(again, comp2, put(found.unionAll(found2), "links"))
             found3 = put(near2.where("linked").select("a", "b"), "links")
             free([own])
@@ -453,8 +451,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     join = _Join(df, id_col, text_col, width, num, den, classes, least_frequent)
     links, rows = join.links(), join.rows()
     own = rows.where("doc_id is not null").join(join.nodes, "sig")
-    several = cut(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("doc_id", "a"), "several")
-    if several.limit(1).count():
+    several = counted_cut(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("doc_id", "a"), "several")
+    if rows_of(several):
         links = links.unionAll(own.join(small(several), "doc_id").select("a", F.col("node").alias("b")).distinct())
     final = connected_components(links)
     of = final.withColumnRenamed("id", "node").join(join.nodes.select("node", "doc"), "node")
@@ -474,11 +472,11 @@ def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     final = connected_components(links).withColumnRenamed("id", "node")
     own = rows.where("doc_id is not null and n > 0").join(join.nodes.select("sig", "node"), "sig").join(final, "node", "left").select("doc_id", "th", "uid", F.coalesce("component_id", "node").alias("c"))
     first = own.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f"))
-    ranked = cut(own.join(first, "c").select("doc_id", "th", (F.struct("doc_id", "th") == F.col("f")).alias("first")).groupBy("doc_id", "th").agg(F.max("first").alias("first"), F.count("*").alias("rows")), "ranked")
+    ranked, found = measured_cut(own.join(first, "c").select("doc_id", "th", (F.struct("doc_id", "th") == F.col("f")).alias("first")).groupBy("doc_id", "th").agg(F.max("first").alias("first"), F.count("*").alias("rows")), "ranked", again=F.max(F.expr("first and rows > 1")))
     key = [F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__th")]
-    side = lambda where: small(cut(ranked.where(where).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "gone"))
+    side = lambda where: small(counted_cut(ranked.where(where).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "gone"))
     left = df.join(side("not first"), key, "left_anti")
-    if ranked.where("first and rows > 1").limit(1).count():
+    if found["again"]:
         again = side("first and rows > 1")
         once = left.join(again, key, "left_anti")
         whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
