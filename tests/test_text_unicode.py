@@ -111,3 +111,21 @@ def test_rules_at_once_equal_rules_one_by_one(spark):
     assert "contains" not in scored.lower()  # no search of the text for each word
     split = df.select(T.sentences(c).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert split.count("regexp_replace") == 2  # none for each sentence
+
+
+def test_listed_words_by_one_pattern(spark):
+    """Counts and root are those of the whole words of letters that the lists have; words that aren't listed are never taken out of the text."""
+    import random
+    import re
+
+    from veritape.functions import vocab as V
+
+    r = random.Random(7)
+    parts = ["profit", "profits", "profitable", "reprofit", "PROFIT", "grew", "Grew9fell", "be", "being", "believe", "are", "area", "strong", "stronger", " ", " ", "-", "é", "\U0001d400", "", "cost"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", ", "]) for _ in range(r.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.nlp_features(F.col("s")).alias("f"))
+    for s, f in df.collect():
+        words = re.findall("[a-z]+", s.lower())
+        assert [f.nouns, f.verbs, f.adjectives] == [sum(w in v for w in words) for v in (V.NOUNS, V.VERBS, V.ADJECTIVES)]
+        assert f.root == next((w for w in words if w in V.VERBS + V.SPEECH_VERBS + V.BE_VERBS), "")
+    assert "([a-z]+)" not in df._jdf.queryExecution().optimizedPlan().toString()
