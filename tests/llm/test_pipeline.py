@@ -154,3 +154,37 @@ def test_near_duplicates_take_few_jobs(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     jobs = len(sc.statusTracker().getJobIdsForGroup("near-duplicates"))
     assert kept == 40 and jobs < 190  # 216 before rows were counted as they are written, then 160
+
+
+def test_near_duplicates_write_their_sets_once(spark):
+    """Without the copies' sets, not joined with the copies anew by each step that reads them: every such join is a broadcast on the driver."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i * 7 : i * 7 + 60]) for i in range(40)] * 2 + [" ".join(words[i * 7 : i * 7 + 59]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sc = spark.sparkContext
+    sc.setJobGroup("sets-once", "counted")
+    try:
+        kept = sorted(r.doc_id for r in P.near_duplicates(spark, docs, "").collect())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("sets-once"))
+    assert kept == list(range(40)) and jobs < 150, jobs
+
+
+def test_spent_broadcasts_leave_the_driver(spark):
+    """Tables that were broadcast for finished steps don't stay until the JVM happens to collect its garbage; the last step's may."""
+    import time
+
+    from veritape.llm import common
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().memoryManager().storageMemoryUsed()
+    rows, most = spark.range(20000), 0
+    for i in range(6):
+        rows.join(F.broadcast(rows.select((F.col("id") + i).alias("b"))), F.col("id") == F.col("b")).count()
+        most = max(most, held())
+    common.spent(rows)
+    for _ in range(40):
+        if held() < most / 2:
+            break
+        time.sleep(0.25)
+    assert most > 1_000_000 and held() < most / 2, (most, held())

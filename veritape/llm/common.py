@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -65,6 +66,16 @@ def release() -> None:
         pass
 
 
+def spent(df: DataFrame) -> None:
+    """After a step of several jobs in the session of ``df``: its broadcasts, plans and shuffles leave the driver.
+
+    Spark keeps them until the driver's JVM happens to collect its garbage, and the heap grows instead as long as it may,
+    by the tables of all steps so far. Results don't depend on it.
+    """
+    gc.collect()  # Python's references hold theirs in the JVM
+    df.sparkSession._jvm.System.gc()
+
+
 def short_batches(df: DataFrame) -> DataFrame:
     """``df``; its session sends ``BATCH_ROWS`` rows an Arrow batch from now on, unless it was set to other than Spark's default.
 

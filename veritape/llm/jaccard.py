@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritape.llm.common import connected_components, counted_cut, cut, drop_cut, measured_cut, release, rows_of, short_batches
+from veritape.llm.common import connected_components, counted_cut, cut, drop_cut, measured_cut, release, rows_of, short_batches, spent
 
 FIRST = 3  # least hashes by which near copies are found
 CLASSES = ((0.05, 2), (0.2, 3))  # tokens in over this share of all groups index in combinations of so many
@@ -61,7 +61,7 @@ LEAST_FREQUENT = 512  # groups that a frequent token has at least
 LEAST_K = 16
 TURNS = 1
 WIDE = 64  # members from which a bucket of several groups is indexed again on full sets
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS = 100_000  # the driver holds a broadcast several times over: as collected, as a hash table that doubles as it grows, and in blocks
 CHUNK_TOKENS = 1 << 19
 KNOWN_WORDS = 100_000  # whose hashes a worker remembers
 INDEX_ROWS = 1 << 16  # that a task holds at a time
@@ -181,16 +181,18 @@ class _Join:
         self.least_frequent = least_frequent
         text = F.col(f"`{text_col}`").cast("string")
         self.docs = short_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-        put = self.scratch.put
         numbered = self.docs.select("doc_id", "th", F.monotonically_increasing_id().alias("uid"), "text")
-        self.every = put(sets(numbered, width, num, den), "sets")
-        valid = self.every.where("n > 0 and doc_id is not null")
+        every = cut(sets(numbered, width, num, den), "sets")
+        self.rows = cut(every.select("doc_id", "th", "uid", "n", "sig"), "rows")  # of each row; outlasts the others
+        valid = self.rows.where("n > 0 and doc_id is not null")
         self.nodes = cut(valid.groupBy("sig").agg(F.min(F.struct("doc_id", "uid")).alias("f")).select("sig", F.col("f.uid").alias("node"), F.col("f.doc_id").alias("doc")), "nodes")
         copies, found = measured_cut(valid.select("uid", "sig", "doc_id").join(self.nodes, "sig").where("uid <> node").select("uid", (F.col("doc_id") == F.col("doc")).alias("again")), "copies", n=F.count(F.lit(1)), again=F.max("again"))
         copies._veritape_rows, self.repeats = found["n"], bool(found["again"])  # whether the texts of some sets are there several times
-        self.scratch.held.append(copies)
-        reps = valid.join(small(copies).select("uid"), "uid", "left_anti")
-        self.reps = reps.select(F.col("uid").alias("rid"), "doc_id", "th", "n", "m", "k", "ks", "low").where(F.col("n") >= least)
+        reps = every.where("n > 0 and doc_id is not null").where(F.col("n") >= least).join(small(copies).select("uid"), "uid", "left_anti")
+        # written once: each of some twenty steps that read it would plan, broadcast or shuffle that join again
+        self.reps = self.scratch.put(reps.select(F.col("uid").alias("rid"), "doc_id", "th", "n", "m", "k", "ks", "low"), "reps")
+        self.scratch.drop([every, copies])
+        spent(df)
 
     def apart(self) -> str:
         """SQL: two sizes that can't link."""
@@ -269,6 +271,7 @@ class _Join:
         out = cut(exact.unionAll(far), "verified")
         self.scratch.drop(self.scratch.since(before))
         self.scratch.held.append(out)
+        spent(out)
         return out
 
     def star(self, index: DataFrame, comp: DataFrame | None, links: DataFrame | None = None, turn: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -343,6 +346,7 @@ class _Join:
         out = cut(rows.join(useful, "key"), "index")
         self.scratch.drop(self.scratch.since(before))
         self.scratch.held.append(out)
+        spent(out)
         return out
 
     def mixed(self, index: DataFrame, comp: DataFrame, pivots: DataFrame, near: DataFrame) -> DataFrame:
@@ -366,7 +370,7 @@ class _Join:
         least = put(least.join(least.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "least")
         found = put(self.star(least, None)[1].where("linked").select("a", "b"), "links")
         comp = put(_labels(found), "labels")
-        index = self.index_rows(self.reps, comp, self.reps.count())
+        index = self.index_rows(self.reps, comp, rows_of(self.reps))
         pivots, near = self.star(index, comp, found)
         found2 = put(near.where("linked").select("a", "b"), "links")
         comp2 = put(connected_components(found.unionAll(found2)), "labels")
@@ -390,13 +394,7 @@ class _Join:
             all_links = all_links.unionAll(found3)
         last = self.verify(put(cross, "cross"))
         out = cut(all_links.unionAll(last.where("linked").select("a", "b")).distinct(), "all_links")
-        free([x for x in self.scratch.held if x is not self.every])
-        return out
-
-    def rows(self) -> DataFrame:
-        """doc_id, th, uid, n, sig of each row; a written table that outlasts the others."""
-        out = cut(self.every.select("doc_id", "th", "uid", "n", "sig"), "rows")
-        self.scratch.drop(self.scratch.held)
+        free(self.scratch.held)
         return out
 
 
@@ -449,7 +447,7 @@ def _labels(links: DataFrame) -> DataFrame:
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10, classes: tuple = CLASSES, least_frequent: int = LEAST_FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     join = _Join(df, id_col, text_col, width, num, den, classes, least_frequent)
-    links, rows = join.links(), join.rows()
+    links, rows = join.links(), join.rows
     own = rows.where("doc_id is not null").join(join.nodes, "sig")
     several = counted_cut(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("doc_id", "a"), "several")
     if rows_of(several):
@@ -468,7 +466,7 @@ def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows with the same id and other texts are judged by their texts. Rows with a null id stay, as do those without words.
     """
     join = _Join(df, id_col, text_col, width, num, den, CLASSES, LEAST_FREQUENT)
-    links, rows = join.links(), join.rows()
+    links, rows = join.links(), join.rows
     final = connected_components(links).withColumnRenamed("id", "node")
     own = rows.where("doc_id is not null and n > 0").join(join.nodes.select("sig", "node"), "sig").join(final, "node", "left").select("doc_id", "th", "uid", F.coalesce("component_id", "node").alias("c"))
     first = own.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("f"))
