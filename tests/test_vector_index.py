@@ -136,6 +136,25 @@ def test_block_search_passes_on_few_rows(spark):
     assert batch_top_k(odd, asked.where(F.lit(False)), 5).count() == 0
 
 
+def test_block_search_passes_on_as_few_rows_of_short_batches(spark):
+    """A session that sends fewer rows an Arrow batch gets the same rows: operators over texts set it so."""
+    from veritape.operators.nearest import matrix, nearest
+
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(3000)], "id long, embedding array<double>").coalesce(1)
+    queries = rows.where("id < 40").selectExpr("id query_id", "embedding query")
+    ids, q = matrix(queries, "query_id", "query", 8)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, got = spark.conf.get(key), []
+    try:
+        for n in ("10000", "100"):
+            spark.conf.set(key, n)
+            got.append(sorted((r.query_id, r.id, r.distance) for r in nearest(rows, ids, q, 3, "id", "embedding", queries.schema["query_id"].dataType).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1] and len(got[0]) == 120
+
+
 def sum_of(a, b):
     total = 0.0
     for x, y in zip(a, b):

@@ -96,10 +96,21 @@ def nearest(rows: DataFrame, ids: pa.Array, q: np.ndarray, k: int, id_col: str,
             for i in range(0, part.num_rows, ROWS):
                 yield part.slice(i, ROWS), asked
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of ``ROWS`` rows at least, but the last: the session may send shorter ones, and each would pass on k rows a query."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, bound, _ = sent.value
         best, every = _Best(q, k, bound), np.arange(len(q))
-        for batch in batches:
+        for batch in gathered(batches):
             for part, asked in blocks(batch):
                 v = part.column(names.index(vec_col)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
                 order = np.empty(len(v), np.int64)
